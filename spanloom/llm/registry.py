@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality
+from . import decontaminate, neardup, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_quality": quality.op2_quality,
+    "op3_jaccard": neardup.op3_jaccard,
+    "op4_substrings": substrings.op4_substrings,
+}
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": decontaminate.SQL,
+    "op2_quality": quality.SQL,
+    "op3_jaccard": neardup.SQL,
+    "op4_substrings": substrings.SQL,
 }
-ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.SQL, "op2_quality": quality.SQL}

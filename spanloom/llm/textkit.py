@@ -33,7 +33,10 @@ def lut(separators: bytes) -> np.ndarray:
     return table
 
 
-#: Blank-separated words, and runs of digits, lower-case letters and non-ASCII bytes.
+#: A-Z to a-z, all other bytes as they are.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Blank-separated words.
 BLANK = lut(b"\x20\x09\x0a\x0b\x0c\x0d")
 
 
