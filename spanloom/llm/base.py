@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,7 +36,12 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/spanloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")  # what this write has shuffled goes when it is done
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._spanloom_path = path
     return out
