@@ -94,25 +94,7 @@ class Words:
         return np.repeat(np.arange(len(self.count)), self.count)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        size = self.end - self.start
-        if not size.size:
-            return np.zeros(0, U64)
-        raw = np.concatenate([self.buf, np.zeros(8, np.uint8)])
-        at = np.ndarray((self.buf.size + 1,), "<u8", raw, strides=(1,))
-        h = at[self.start] & _MASK[np.minimum(size, 8)]
-        h ^= size.astype(U64) * LANES[0][0]
-        mix(h)
-        some = np.flatnonzero((size > 8) & (size <= LONG_WORD))
-        pos, left = self.start[some] + 8, size[some] - 8
-        while some.size:
-            part = at[pos] & _MASK[np.minimum(left, 8)]
-            h[some] = mix(h[some] * LANES[0][1] ^ part)
-            go = left > 8
-            some, pos, left = some[go], pos[go] + 8, left[go] - 8
-        for i in np.flatnonzero(size > LONG_WORD):
-            h[i] = xxhash.xxh3_64_intdigest(self.buf[self.start[i] : self.end[i]].tobytes())
-        return h
+        return span_hashes(self.buf, self.start, self.end)
 
     def valid(self, k: int) -> np.ndarray:
         """True where ``k`` words of one document start; one value a word."""
@@ -121,6 +103,28 @@ class Words:
         return np.repeat(self.woff[1:], self.count) - np.arange(len(self.start)) >= k
 
 
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: eight bytes a step, all spans at once."""
+    size = end - start
+    if not size.size:
+        return np.zeros(0, U64)
+    raw = np.concatenate([buf, np.zeros(8, np.uint8)])
+    at = np.ndarray((buf.size + 1,), "<u8", raw, strides=(1,))
+    h = at[start] & _MASK[np.minimum(size, 8)]
+    h ^= size.astype(U64) * LANES[0][0]
+    mix(h)
+    some = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    pos, left = start[some] + 8, size[some] - 8
+    while some.size:
+        part = at[pos] & _MASK[np.minimum(left, 8)]
+        h[some] = mix(h[some] * LANES[0][1] ^ part)
+        go = left > 8
+        some, pos, left = some[go], pos[go] + 8, left[go] - 8
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = xxhash.xxh3_64_intdigest(buf[start[i] : end[i]].tobytes())
+    return h
+
+
 def windows(h: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
     """Hash of the ``k`` values from each position, by doubling; windows past the end hold filler."""
     a, b, c = LANES[lane]
