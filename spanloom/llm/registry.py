@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup, quality, substrings
+from . import decontaminate, lines, lmscore, neardup, packing, pii, quality, shards, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_quality": quality.op2_quality,
     "op3_jaccard": neardup.op3_jaccard,
     "op4_substrings": substrings.op4_substrings,
+    "op5_lines": lines.op5_lines,
+    "op6_warc": warc.op6_warc,
+    "op7_packing": packing.op7_packing,
+    "op8_pii": pii.op8_pii,
+    "op9_lmscore": lmscore.op9_lmscore,
+    "op10_shards": shards.op10_shards,
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": decontaminate.SQL,
     "op2_quality": quality.SQL,
     "op3_jaccard": neardup.SQL,
     "op4_substrings": substrings.SQL,
+    "op5_lines": lines.SQL,
+    "op6_warc": warc.SQL,
 }
