@@ -116,7 +116,7 @@ def overlapping_levels(df: DataFrame, keys: Keys, width: int, step: int, v: str
 def sliding(df: DataFrame, keys: Keys, width: int, step: int, t: str = "t") -> DataFrame:
     """A row for each window [w0, w0 + width), w0 a multiple of ``step``, that a row falls in."""
     last = F.floor(F.col(t) / step)
-    return df.withColumn("w0", F.explode(F.sequence(F.floor((F.col(t) - width) / step) + 1, last)) * step)
+    return df.withColumn("w0", F.explode(F.transform(F.sequence(F.floor((F.col(t) - width) / step) + 1, last), lambda n: n * step)))
 
 
 def best_window(mask: DataFrame, keys: Keys, width: int, step: int, v: str = "m") -> DataFrame:
