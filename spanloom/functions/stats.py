@@ -91,8 +91,9 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 def consensus(df: DataFrame, keys: Sequence[str], x: str, tolerance: float, least: int = 3) -> DataFrame:
     """The densest cluster [low, low + tolerance] of a group's estimates (the lowest of equals): median, size, largest residual."""
-    order = Window.partitionBy(*keys).orderBy(x).rangeBetween(0, tolerance)
-    near = df.withColumn("_all", F.collect_list(x).over(order)).withColumn("_n", F.size("_all"))
+    by = ", ".join(f"`{k}`" for k in keys)
+    frame = f"collect_list(`{x}`) over (partition by {by} order by `{x}` range between current row and {float(tolerance)}D following)"
+    near = df.withColumn("_all", F.expr(frame)).withColumn("_n", F.size("_all"))
     best = near.groupBy(*keys).agg(F.max(F.struct("_n", (-F.col(x)).alias("_low"), "_all")).alias("_best")).where(F.col("_best._n") >= least)
     mid = best.select(*keys, F.array_sort("_best._all").alias("_s"), F.col("_best._n").alias("n"))
     i = F.floor(F.col("n") / 2).cast("int")
