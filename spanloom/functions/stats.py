@@ -37,13 +37,19 @@ def mad(df: DataFrame, keys: Sequence[str], x: str, k: float = 4.0) -> DataFrame
     return off.groupBy(*keys, "center").agg(F.median("_off").alias("spread")).withColumn("limit", F.col("center") + k * F.col("spread"))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation of a group, null without spread on either side."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 0, F.covar_pop(x, y) / spread)
+
+
 def correlated(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 3) -> DataFrame:
     """Pearson and, on average ranks, Spearman; null under ``least`` rows or without spread."""
     ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     for c, name in ((x, "_rx"), (y, "_ry")):
         ties = F.count("*").over(Window.partitionBy(*keys, c))
         ranked = ranked.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (ties - 1) / 2)
-    safe = lambda a, b: F.when((F.count("*") >= least) & (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b))
+    safe = lambda a, b: F.when(F.count("*") >= least, correlation(a, b))
     return ranked.groupBy(*keys).agg(safe(x, y).alias("pearson"), safe("_rx", "_ry").alias("spearman"), F.count("*").alias("n"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..functions import stats
 from ..operators import gates, joins, ranking
 from .base import EV, HOUR, MONTH, events, load, query, r, series
 
@@ -154,7 +155,7 @@ v AS (SELECT user_id, CASE WHEN round(c, 6) >= 0.5 AND round(g, 6) <= 0.5 THEN '
 def channel_pair_verdict(spark, sf):
     d = events(spark, sf).groupBy("user_id", F.floor(F.col("t") / (24 * HOUR)).alias("d"), "event_type").agg(F.count("*").alias("n"))
     b = d.where("event_type in ('view', 'error')").select("user_id", "d", F.col("event_type").alias("other"), F.col("n").alias("m"))
-    p = d.where("event_type = 'click'").join(b, ["user_id", "d"]).groupBy("user_id", "other").agg(F.round(F.when((F.stddev_pop("n") > 0) & (F.stddev_pop("m") > 0), F.corr("n", "m")), 6).alias("c"), F.round(F.abs(F.avg("n") - F.avg("m")), 6).alias("g"))
+    p = d.where("event_type = 'click'").join(b, ["user_id", "d"]).groupBy("user_id", "other").agg(F.round(stats.correlation("n", "m"), 6).alias("c"), F.round(F.abs(F.avg("n") - F.avg("m")), 6).alias("g"))
     v = F.when((F.col("c") >= 0.5) & (F.col("g") <= 0.5), "DUPLICATE").when(F.col("c") >= 0.1, "PARTIAL").otherwise("INDEPENDENT")
     return p.groupBy("user_id").agg(F.concat(F.lit("MULTI_"), F.array_join(F.array_sort(F.collect_set(v)), "_")).alias("verdict"))
 

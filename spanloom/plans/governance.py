@@ -1 +1,197 @@
-"""Queries."""
+"""Catalogues, duplicates, splits, leakage, privacy, manifests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scalars as sc
+from ..operators import corpus, joins, ranking
+from .base import EV, HOUR, events, load, query, r
+
+
+@query("dup_by_size_then_hash", "WITH d AS (SELECT doc_id, n_chars, text FROM documents WHERE n_chars IN (SELECT n_chars FROM documents GROUP BY 1 HAVING count(*) > 1)), h AS (SELECT doc_id, sha256(text) AS digest FROM d) SELECT doc_id, digest, count(*) OVER (PARTITION BY digest) AS copies FROM h")
+def dup_by_size_then_hash(spark, sf):
+    return corpus.duplicates(load(spark, sf, "documents").select("doc_id", "n_chars", "text"), "n_chars", F.col("text")).select("doc_id", "digest", "copies")
+
+
+@query("stable_ids", "SELECT s_suppkey, printf('recording_%04d', row_number() OVER (ORDER BY s_name, s_suppkey)) AS stable_id FROM supplier")
+def stable_ids(spark, sf):
+    return ranking.stable_ids(load(spark, sf, "supplier"), [F.col("s_name"), F.col("s_suppkey")]).select("s_suppkey", "stable_id")
+
+
+_SPLIT = "s AS (SELECT o_orderkey, o_custkey, o_orderpriority, CASE WHEN o_orderkey % 10 = 0 THEN 'TEST' WHEN o_orderkey % 10 = 1 THEN 'DEV' ELSE 'TRAIN' END AS split FROM orders)"
+
+
+def _split(spark, sf):
+    k = F.col("o_orderkey") % 10
+    return load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.when(k == 0, "TEST").when(k == 1, "DEV").otherwise("TRAIN").alias("split"))
+
+
+@query("group_disjoint_holdout", f"WITH {_SPLIT} SELECT o_orderkey, split, CASE WHEN split = 'TEST' AND o_custkey IN (SELECT o_custkey FROM s WHERE split = 'TRAIN') THEN 'group_in_train' ELSE '' END AS note FROM s")
+def group_disjoint_holdout(spark, sf):
+    return corpus.holdout(_split(spark, sf), "o_custkey", "split").select("o_orderkey", "split", "note")
+
+
+@query("leakage_audit", f"WITH {_SPLIT}, b AS (SELECT DISTINCT o_custkey, split FROM s), q AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'DEV' ELSE 'TRAIN' END AS split FROM orders) SELECT o_orderkey, o_custkey, split FROM q ANTI JOIN b USING (o_custkey, split)")
+def leakage_audit(spark, sf):
+    recipes = load(spark, sf, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 3 == 0, "DEV").otherwise("TRAIN").alias("split"))
+    return corpus.leakage(_split(spark, sf), recipes, "o_custkey", "split").select("o_orderkey", "o_custkey", "split")
+
+
+@query("disjointness_proof", f"WITH {_SPLIT} SELECT a.split AS a, b.split AS b, count(DISTINCT a.o_custkey) AS shared FROM s a JOIN s b ON a.o_custkey = b.o_custkey AND a.split < b.split GROUP BY ALL")
+def disjointness_proof(spark, sf):
+    g = _split(spark, sf).select("o_custkey", "split").distinct()
+    return g.select("o_custkey", F.col("split").alias("a")).join(g.select("o_custkey", F.col("split").alias("b")), "o_custkey").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+@query("split_override", f"WITH {_SPLIT}, v AS (SELECT c_custkey, 'SEALED' AS o FROM customer WHERE c_nationkey = 7) SELECT o_orderkey, CASE WHEN o IS NOT NULL THEN 'SEALED_EXCLUDED' ELSE split END AS split FROM s LEFT JOIN v ON c_custkey = o_custkey")
+def split_override(spark, sf):
+    v = load(spark, sf, "customer").where("c_nationkey = 7").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("o"))
+    return _split(spark, sf).join(v, "o_custkey", "left").select("o_orderkey", F.when(F.col("o"), "SEALED_EXCLUDED").otherwise(F.col("split")).alias("split"))
+
+
+@query("hash_uniform_split")
+def hash_uniform_split(spark, sf):
+    """Weighted draws from a hash of the key: the same on any cluster."""
+    split = ranking.drawn({"train": 0.8, "dev": 0.1, "test": 0.1}, 20260912, "o_custkey")
+    return load(spark, sf, "orders").select("o_orderkey", split.alias("split")).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("crc_seed_pick", "SELECT p_partkey, ((p_partkey * 37 + p_size) % 1000)::BIGINT AS region FROM part")
+def crc_seed_pick(spark, sf):
+    return load(spark, sf, "part").select("p_partkey", F.pmod(F.col("p_partkey") * 37 + F.col("p_size"), F.lit(1000)).cast("bigint").alias("region"))
+
+
+@query("crc_row_seed")
+def crc_row_seed(spark, sf):
+    """A seed for each row from the CRC32 of its key."""
+    return load(spark, sf, "part").select("p_partkey", F.crc32(F.concat_ws(":", "p_brand", "p_partkey").cast("binary")).alias("seed"))
+
+
+@query("stratified_split")
+def stratified_split(spark, sf):
+    """One supplier for each of three strata without replacement, a seeded fill of ten, the rest train."""
+    s = load(spark, sf, "supplier")
+    strata = [
+        ("rich", F.lit(True), [F.desc("s_acctbal"), F.col("s_suppkey")], "TEST"),
+        ("poor", F.lit(True), [F.col("s_acctbal"), F.col("s_suppkey")], "TEST"),
+        ("low_nation", F.col("s_nationkey") < 5, [F.desc("s_acctbal"), F.col("s_suppkey")], "DEV"),
+    ]
+    return ranking.stratified_split(s, "s_suppkey", strata, ("DEV", 10), "TRAIN", 20260912).select("s_suppkey", "split")
+
+
+@query("plan_grid", "SELECT a AS session, b AS stratum, c AS level, CASE WHEN c = 0 THEN 'control' ELSE 'panel' END AS panel FROM (SELECT unnest([1, 2, 3]) AS a), (SELECT unnest(['press', 'slide', 'touch', 'rest']) AS b), (SELECT unnest([0, 10]) AS c)")
+def plan_grid(spark, sf):
+    g = joins.grid(spark, session=[1, 2, 3], stratum=["press", "slide", "touch", "rest"], level=[0, 10])
+    return g.withColumn("panel", F.when(F.col("level") == 0, "control").otherwise("panel"))
+
+
+@query("freeze_manifest", "SELECT page_id, sha256(html) AS sha256, strlen(html) AS bytes FROM pages")
+def freeze_manifest(spark, sf):
+    m = corpus.manifest(load(spark, sf, "pages"), "page_id", F.col("html"))
+    return m.select("page_id", "sha256", F.col("bytes").cast("bigint").alias("bytes"))
+
+
+@query("verify_manifest", "SELECT 'hash' AS status, count_if(page_id % 50 = 7) AS n FROM pages UNION ALL SELECT 'same', count_if(page_id % 50 <> 7) FROM pages")
+def verify_manifest(spark, sf):
+    p = load(spark, sf, "pages")
+    a = corpus.manifest(p, "page_id", F.col("html"))
+    b = corpus.manifest(p.withColumn("html", F.when(F.expr("page_id % 50 = 7"), F.reverse("html")).otherwise(F.col("html"))), "page_id", F.col("html"))
+    return joins.catalog_diff(a, b, "page_id", "bytes", "sha256").groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("blinded_assignment")
+def blinded_assignment(spark, sf):
+    return corpus.blinded(load(spark, sf, "part").select("p_brand", "p_partkey"), "p_brand", "p_partkey", 7)
+
+
+@query("gain_audit", "WITH g AS (SELECT label, avg(list_sum(embedding)) AS g FROM embeddings GROUP BY 1), a AS (SELECT label, abs(list_sum(embedding) - g) AS e FROM embeddings JOIN g USING (label)) SELECT label, round(max(e), 4) AS largest FROM a GROUP BY label")
+def gain_audit(spark, sf):
+    e = load(spark, sf, "embeddings").select("label", F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x).alias("s"))
+    g = e.groupBy("label").agg(F.avg("s").alias("g"))
+    return e.join(g, "label").groupBy("label").agg(r(F.max(F.abs(F.col("s") - F.col("g"))), 4).alias("largest"))
+
+
+@query("window_bank")
+def window_bank(spark, sf):
+    rel = events(spark, sf).select("user_id", (F.col("t") - 1_704_067_200_000_000).alias("t"))
+    return corpus.windows_bank(rel, "user_id", "t", 8 * HOUR, 12, 3)
+
+
+@query("public_projection", "SELECT doc_id, lang, n_chars FROM documents")
+def public_projection(spark, sf):
+    return corpus.public(load(spark, sf, "documents"), ["doc_id", "lang", "n_chars", "device", "session"])
+
+
+_PATHS = r"(?:[A-Za-z]:\\|/(?:home|Users|mnt)/)[^\s\"'']*"
+
+
+@query(
+    "private_text_scan",
+    rf"WITH d AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'see /home/u' || doc_id || '/a.wav and C:\x\y' WHEN doc_id % 6 = 1 THEN 'clean /data/x' ELSE lang END AS note, CASE WHEN doc_id % 10 = 3 THEN '/Users/k/z ' ELSE source END AS src FROM documents), l AS (SELECT doc_id, 'note' AS path, note AS v FROM d UNION ALL SELECT doc_id, 'src', src FROM d) SELECT doc_id, path, unnest(regexp_extract_all(v, '{_PATHS}')) AS found FROM l",
+)
+def private_text_scan(spark, sf):
+    d = load(spark, sf, "documents").select(
+        "doc_id",
+        F.when(F.expr("doc_id % 6 = 0"), F.concat(F.lit("see /home/u"), "doc_id", F.lit("/a.wav and C:\\x\\y"))).when(F.expr("doc_id % 6 = 1"), "clean /data/x").otherwise(F.col("lang")).alias("note"),
+        F.when(F.expr("doc_id % 10 = 3"), "/Users/k/z ").otherwise(F.col("source")).alias("src"),
+    )
+    return corpus.private_findings(d, "doc_id", ["note", "src"])
+
+
+@query("json_leaves", "SELECT event_id, '$.k' AS path, json_extract_string(props, '$.k') AS value FROM events")
+def json_leaves(spark, sf):
+    return corpus.leaves(load(spark, sf, "events"), "event_id", "props", 2)
+
+
+@query("json_props_extract", "SELECT json_extract_string(props, '$.k')::BIGINT % 10 AS k, count(*) AS n FROM events GROUP BY 1")
+def json_props_extract(spark, sf):
+    k = F.get_json_object("props", "$.k").cast("bigint") % 10
+    return load(spark, sf, "events").groupBy(k.alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("url_segments", "SELECT page_id, nullif(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '') AS host, list_filter(string_split(regexp_replace(url, '^[a-z]+://[^/?#]+|[?#].*$', '', 'g'), '/'), lambda x: x <> '')[1] AS first, list_filter(string_split(regexp_replace(url, '^[a-z]+://[^/?#]+|[?#].*$', '', 'g'), '/'), lambda x: x <> '')[-1] AS last FROM pages")
+def url_segments(spark, sf):
+    path = F.regexp_replace("url", r"^[a-z]+://[^/?#]+|[?#].*$", "")
+    host = F.nullif(F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1), F.lit(""))
+    return load(spark, sf, "pages").select("page_id", host.alias("host"), sc.segment(path, 1).alias("first"), sc.segment(path, -1).alias("last"))
+
+
+@query("path_classify", "SELECT page_id, CASE WHEN url LIKE '%?%' THEN 'query' WHEN regexp_matches(url, '://(www|m)\\.') THEN 'front' WHEN lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) IN ('html', 'htm', 'php') THEN 'file' ELSE 'other' END AS cls, CASE WHEN url LIKE 'https%' THEN 'secure' ELSE 'plain' END AS provenance FROM pages")
+def path_classify(spark, sf):
+    u = F.col("url")
+    cls = F.when(u.contains("?"), "query").when(u.rlike(r"://(www|m)\."), "front").when(sc.extension("url").isin("html", "htm", "php"), "file").otherwise("other")
+    return load(spark, sf, "pages").select("page_id", cls.alias("cls"), F.when(u.startswith("https"), "secure").otherwise("plain").alias("provenance"))
+
+
+@query("family_key", "SELECT p_partkey, trim(regexp_replace(p_name, '(?i)small|large|red', '', 'g')) AS family FROM part")
+def family_key(spark, sf):
+    return load(spark, sf, "part").select("p_partkey", sc.family("p_name", "small|large|red").alias("family"))
+
+
+@query("duration_parse", "WITH d AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'no duration' ELSE printf('Duration: %02d:%02d:%05.2f, start', (event_id % 5)::INT, (event_id % 60)::INT, (event_id % 59)::DOUBLE) END AS line FROM events) SELECT event_id, CASE WHEN line LIKE 'Dur%' THEN event_id % 5 * 3600.0::DOUBLE + event_id % 60 * 60 + event_id % 59 END AS seconds FROM d")
+def duration_parse(spark, sf):
+    e = F.col("event_id")
+    line = F.format_string("Duration: %02d:%02d:%05.2f, start", (e % 5).cast("int"), (e % 60).cast("int"), (e % 59).cast("double"))
+    return load(spark, sf, "events").select("event_id", F.when(e % 4 == 0, "no duration").otherwise(line).alias("line")).select("event_id", sc.clock_seconds("line").alias("seconds"))
+
+
+@query("set_operations", "SELECT 'both' AS part, count(*) AS n FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT 'only_f', count(*) FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT 'either', count(*) FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def set_operations(spark, sf):
+    o = load(spark, sf, "orders")
+    f, p = o.where("o_orderstatus = 'F'").select("o_custkey"), o.where("o_orderstatus = 'P'").select("o_custkey")
+    count = lambda df, name: df.agg(F.lit(name).alias("part"), F.count("*").alias("n"))
+    return count(f.intersect(p), "both").unionByName(count(f.subtract(p), "only_f")).unionByName(count(f.union(p).distinct(), "either"))
+
+
+@query("union_of_shapes", f"{EV} SELECT event_type AS kind, user_id, value AS level, NULL::BIGINT AS length FROM ev WHERE event_type = 'click' UNION ALL SELECT 'span', user_id, NULL, {HOUR} FROM ev WHERE event_type = 'view'")
+def union_of_shapes(spark, sf):
+    a = events(spark, sf, "click").select(F.col("event_type").alias("kind"), "user_id", F.col("value").alias("level"))
+    b = events(spark, sf, "view").select(F.lit("span").alias("kind"), "user_id", F.lit(HOUR).cast("bigint").alias("length"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query("document_lint", "WITH l AS (SELECT doc_id, unnest(range(len(ls))) AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), c AS (SELECT *, CASE WHEN line LIKE '|%' THEN len(string_split(line, '|')) END AS c FROM l), p AS (SELECT *, lag(c) OVER (PARTITION BY doc_id ORDER BY n) AS pc FROM c), h AS (SELECT doc_id, n, length(regexp_extract(line, '^(#+) ', 1)) AS h FROM l WHERE regexp_matches(line, '^#+ ')), j AS (SELECT *, lag(h) OVER (PARTITION BY doc_id ORDER BY n) AS ph FROM h) SELECT doc_id, n::INT AS n, 'table_width' AS error FROM p WHERE c <> pc UNION ALL SELECT doc_id, n::INT, 'heading_jump' FROM j WHERE h > coalesce(ph, 0) + 1")
+def document_lint(spark, sf):
+    lines = load(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    return corpus.lint(lines, "doc_id", "n", "line")
