@@ -1 +1,178 @@
-"""Queries."""
+"""Sources, sinks, waveform kernels and streaming twins over the driver's tables."""
+
+from __future__ import annotations
+
+import uuid
+
+import numpy as np
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import signal as sg
+from ..sources import files
+from ..streaming import twins
+from .base import EV, HOUR, MONTH, events, load, query, r
+
+# Sixteen embeddings of a label in order are one waveform, the label's next sixteen its estimate.
+
+
+def waves(spark, sf):
+    n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    rows = load(spark, sf, "embeddings").select("label", F.floor(n / 16).alias("block"), "vec_id", "embedding")
+    w = rows.groupBy("label", "block").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("x"))
+    w = w.where(F.size("x") == 16).select("label", "block", F.flatten(F.transform("x", lambda v: v["embedding"])).alias("x"))
+    return w.withColumn("y", F.lead("x").over(Window.partitionBy("label").orderBy("block"))).where("y is not null")
+
+
+def _kernel(name, fn, schema, columns=("x", "y")):
+    def run(spark, sf):
+        return sg.mapped(waves(spark, sf), fn, f"label int, block long, {schema}", ["label", "block"], list(columns))
+
+    query(name)(run)
+
+
+_kernel("stft_round_trip", lambda x: {"frames": len(sg.stft(x)), "error": float(np.abs(sg.istft(sg.stft(x), x.size) - x).max())}, "frames long, error double", ["x"])
+_kernel("stft_band_level", lambda x: {"low": sg.band_db(x, 0.0, 0.1), "high": sg.band_db(x, 0.3, 0.5)}, "low double, high double", ["x"])
+_kernel("spectral_flux_onsets", lambda x: {"n": len(sg.onsets(sg.onset_strength(x))), "peak": float(sg.onset_strength(x).max())}, "n long, peak double", ["x"])
+_kernel("band_pass_envelope", lambda x: {"peak": float(sg.envelope(sg.band_pass(x, 0.05, 0.2)).max())}, "peak double", ["x"])
+_kernel("delay_estimates", lambda x, y: {"ncc": sg.delay(x, y, 32)[0], "phat": sg.delay(x, y, 32, "phat")[0]}, "ncc double, phat double")
+_kernel("sinc_warp", lambda x: {"error": float(np.abs(sg.warp(x, np.arange(64, 128) + 0.0) - x[64:128]).max())}, "error double", ["x"])
+_kernel("ridge_cancel", lambda x, y: {"left_db": float(sg.db(np.mean(sg.cancel(x + 0.5 * y, [y]) ** 2)) - sg.db(np.mean(x**2)))}, "left_db double")
+_kernel("percussive_mask", lambda x: {"mean": float(sg.percussive_mask(sg.stft(x)).mean())}, "mean double", ["x"])
+_kernel("wiener_gate", lambda x, y: {"gain": float(sg.wiener_gain(x + y, y).mean()), "gated": float(np.abs(sg.soft_gate(x, np.abs(y), 0.5)).mean())}, "gain double, gated double")
+_kernel("multi_resolution_distance", lambda x, y: {"distance": sg.log_distance(x, y)}, "distance double")
+_kernel("mask_oracles", lambda x, y: {"bounded": float(sg.bounded_mask(x + y, x).mean()), "ratio_error": float(np.abs(sg.istft(sg.complex_mask(x + y, x) * sg.stft(x + y), x.size) - x).max())}, "bounded double, ratio_error double")
+_kernel("mask_path_decomposition", lambda x, y: sg.paths(sg.bounded_mask(x + y, x), x, y), "target_kept_db double, nuisance_cut_db double, residual double")
+_kernel("coherence_by_band", lambda x, y: {"low": float(sg.coherence(x, y)[:8].mean()), "high": float(sg.coherence(x, y)[16:].mean())}, "low double, high double")
+_kernel("stereo_features", sg.stereo, "level_db double, correlation double, phase double, delay double")
+_kernel("transient_fidelity", lambda x, y: sg.transient(x + 0.1 * y, x), "rise_error long, decay_error long, peak_ratio double")
+_kernel("reference_attenuation", lambda x, y: sg.active_attenuation(x + y, x, y), "active_db double, inactive_db double")
+_kernel("overlap_add_chunks", lambda x: {"error": float(np.abs(sg.chunked(x, lambda c: c, 256)[256:-256] - x[256:-256]).max() if x.size > 512 else 0.0)}, "error double", ["x"])
+_kernel("augmentation_chain", lambda x, block: {"level_db": float(sg.db(np.mean(sg.augmented(x, int(block)) ** 2)))}, "level_db double", ["x", "block"])
+_kernel("delayed_copy_check", lambda x, y: dict(zip(("lag", "value"), sg.delayed_copy(x + 0.3 * np.roll(y, 5), y, 2, 16), strict=True)), "lag long, value double")
+_kernel("comb_ripple", lambda x, y: {"ripple": sg.comb_ripple(x, x + 0.5 * np.roll(x, 7))}, "ripple double")
+
+
+# Sources and sinks.
+
+
+def _folder(spark):
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/spanloom"
+    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
+@query("json_round_trip", f"{EV} SELECT event_id, user_id, event_type, value FROM ev")
+def json_round_trip(spark, sf):
+    df = events(spark, sf).select("event_id", "user_id", "event_type", "value")
+    return files.read_json(spark, files.write_json(df, _folder(spark)), df.schema)
+
+
+@query("csv_round_trip", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def csv_round_trip(spark, sf):
+    df = load(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    path = _folder(spark)
+    df.write.csv(path, header=True)
+    return files.read_csv(spark, path, df.schema)
+
+
+@query("public_private_sink", "SELECT 'public' AS sink, count(*) AS n, 3 AS columns FROM documents UNION ALL SELECT 'private', count(*), 5 FROM documents")
+def public_private_sink(spark, sf):
+    folder = _folder(spark)
+    files.write_both(load(spark, sf, "documents"), folder, ["doc_id", "lang", "n_chars"])
+    out = None
+    for name in ("public", "private"):
+        df = spark.read.parquet(f"{folder}/{name}")
+        row = df.agg(F.lit(name).alias("sink"), F.count("*").alias("n"), F.lit(len(df.columns)).alias("columns"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("series_archive", "SELECT label, count(*) AS n, len(any_value(embedding)) AS width FROM embeddings GROUP BY label")
+def series_archive(spark, sf):
+    df = load(spark, sf, "embeddings")
+    back = files.read_series(spark, files.write_series(df, _folder(spark), "label"))
+    return back.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("embedding")).cast("bigint").alias("width"))
+
+
+@query("file_catalog")
+def file_catalog(spark, sf):
+    """Files of the table folder with size and category; contents are not read."""
+    return files.catalog(spark, sf).select("name", "bytes", "category")
+
+
+@query("latest_optional")
+def latest_optional(spark, sf):
+    return files.latest(files.catalog(spark, sf), r"orders|lineitem")
+
+
+@query("inventory_with_errors", "SELECT event_id, json_extract_string(CASE WHEN event_id % 10 = 4 THEN NULL ELSE props END, '$.k')::BIGINT AS k, CASE WHEN event_id % 10 = 4 THEN 'unreadable' END AS error FROM events")
+def inventory_with_errors(spark, sf):
+    text = F.when(F.expr("event_id % 10 = 4"), F.lit("{broken")).otherwise(F.col("props"))
+    return files.parsed(load(spark, sf, "events").select("event_id", text.alias("props")), "props", "k bigint").select("event_id", "k", "error")
+
+
+@query("media_probe", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 48000 ELSE 32000 END AS rate, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS channels FROM events")
+def media_probe(spark, sf):
+    e = F.col("event_id")
+    first = F.format_string("Stream #0: Audio: pcm, %d Hz, %s", F.when(e % 3 == 0, 48000).otherwise(0), F.when(e % 2 == 0, "stereo").otherwise("mono"))
+    second = F.format_string('{"sample_rate": %d}', F.when(e % 3 == 0, 44100).otherwise(32000))
+    return files.probed(load(spark, sf, "events").select("event_id", first.alias("log"), second.alias("probe")), "event_id", "log", "probe")
+
+
+@query("report_rows", "SELECT printf('| %s | %d | %.2f |', l_returnflag, count(*), round(avg(l_quantity), 2)) AS line FROM lineitem GROUP BY l_returnflag")
+def report_rows(spark, sf):
+    g = load(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 2).alias("mean"))
+    return files.report(g, "| %s | %d | %.2f |", ["l_returnflag", "n", "mean"])
+
+
+@query("wav_round_trip", "SELECT count(*) AS n, true AS same FROM (SELECT vec_id FROM embeddings)")
+def wav_round_trip(spark, sf):
+    x = load(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("samples"))
+    back = files.decoded_wav(files.encoded_wav(x, "vec_id", "samples", 8000), "vec_id", "wav")
+    both = x.join(back.withColumnRenamed("samples", "again"), "vec_id")
+    far = F.aggregate(F.zip_with("samples", "again", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda m, d: F.greatest(m, d))
+    return both.agg(F.count("*").alias("n"), (F.max(far) < 1e-6).alias("same"))
+
+
+@query("raw_frame_source")
+def raw_frame_source(spark, sf):
+    """The Python data source of raw frames, reading frames it makes itself."""
+    files.register(spark)
+    df = spark.read.format("rawframes").option("synthetic", "12").option("width", "8").option("height", "6").load()
+    return df.select("frame", "warm", "white", "bright", "diff")
+
+
+@query("table_partitions_pruned", "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_quantity < 10 GROUP BY 1")
+def table_partitions_pruned(spark, sf):
+    df = load(spark, sf, "lineitem").where("l_shipdate >= timestamp_ntz'1998-01-01' and l_quantity < 10")
+    return df.groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+# Streaming twins: the events table replayed as a stream until it is used up.
+
+
+@query("stream_sessions", f"""{EV}, f AS (SELECT *, CASE WHEN t - lag(t) OVER w < {4 * HOUR} THEN 0 ELSE 1 END AS nw FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)), s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS session FROM f)
+SELECT user_id, min(t) AS start, count(*) AS n FROM s GROUP BY user_id, session""")
+def stream_sessions(spark, sf):
+    return twins.replayed(spark, sf, lambda s: twins.sessions(s, "4 hours"))
+
+
+@query("stream_sliding", f"{EV}, x AS (SELECT unnest(range((t - {8 * HOUR}) // {2 * HOUR} + 1, t // {2 * HOUR} + 1)) * {2 * HOUR} AS w0 FROM ev) SELECT w0, count(*) AS n FROM x GROUP BY w0")
+def stream_sliding(spark, sf):
+    return twins.replayed(spark, sf, lambda s: twins.sliding(s, "8 hours", "2 hours"))
+
+
+@query("stream_tumbling", f"{EV} SELECT t // {24 * HOUR} * {24 * HOUR} AS w0, count(*) AS n, round(sum(value), 2) AS total FROM ev GROUP BY 1")
+def stream_tumbling(spark, sf):
+    return twins.replayed(spark, sf, lambda s: twins.tumbling(s, "24 hours"))
+
+
+@query("stream_refractory")
+def stream_refractory(spark, sf):
+    """Events kept by a stateful refractory rule, one state a user."""
+    return twins.replayed(spark, sf, lambda s: twins.refractory(s, 6 * HOUR))
+
+
+@query("stream_hysteresis")
+def stream_hysteresis(spark, sf):
+    return twins.replayed(spark, sf, lambda s: twins.hysteresis(s, 60.0, 20.0, 2))
