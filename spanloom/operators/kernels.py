@@ -24,7 +24,8 @@ def folded(df: DataFrame, keys: Keys, gap: int | float | None, fold: Callable[[p
     cut = sessions(df, keys, gap, t, tie).drop("first") if gap is not None else df.withColumn("session", F.lit(0).cast("bigint"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fold(pdf.sort_values([t, *tie], kind="stable").reset_index(drop=True))
+        out = fold(pdf.sort_values([t, *tie], kind="stable").reset_index(drop=True))
+        return out.astype({c: object for c, kind in out.dtypes.items() if not isinstance(kind, np.dtype)})
 
     return cut.groupBy(*keys, "session").applyInPandas(run, schema)
 
@@ -216,7 +217,7 @@ def matched(predicted: DataFrame, actual: DataFrame, keys: Keys, tolerance: int
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         p, o = pdf.loc[pdf.side == 0, t].to_numpy(), pdf.loc[pdf.side == 1, t].to_numpy()
         pairs = match(p, o, tolerance) if len(p) and len(o) else []
-        out = {k: [pdf[k].iloc[0]] * len(pairs) for k in keys}
+        out = {k: pd.Series([pdf[k].iloc[0]] * len(pairs), dtype=object) for k in keys}
         return pd.DataFrame(out | {"predicted": [p[a] for a, _ in pairs], "actual": [o[b] for _, b in pairs]})
 
     return folded(both, keys, tolerance, fold, schema, t, ["side"])
