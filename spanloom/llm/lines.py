@@ -9,7 +9,8 @@ from its left end to its right, with the same windows elsewhere.  All but the
 first place of a run, in the order of (doc_id, line), lose its lines; longer
 runs are the union of such windows.
 
-No pairs are made: an occurrence is compared with the first one of its window
+The texts meet their runs in a sort-merge join at every size, so a small run
+table changes nothing about the plan.  No pairs are made: an occurrence is compared with the first one of its window
 only, counts and minima are partial aggregates, and the joins back on them
 are split where a key is hot.
 
@@ -114,7 +115,7 @@ def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
             for lo, hi, buf, off in tk.text_slices(batch.column("text")):
                 yield _cut(batch.slice(lo, hi - lo), names, buf, off, run)
 
-    paired = docs.withColumns({"_key": key, "_hash": digest}).join(runs, ["_key", "_hash"], "left").select(*names, "_starts")
+    paired = docs.withColumns({"_key": key, "_hash": digest}).join(runs.hint("merge"), ["_key", "_hash"], "left").select(*names, "_starts")
     return paired.mapInArrow(cut, schema)
 
 
