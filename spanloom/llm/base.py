@@ -68,7 +68,7 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 def map_texts(
     docs: DataFrame, fn: Callable[[pa.RecordBatch, int, int, np.ndarray, np.ndarray], pa.RecordBatch], schema: str, column: str = "text"
 ) -> DataFrame:
-    """Apply ``fn(batch, lo, hi, bytes, offsets)`` to megabyte slices of each Arrow batch."""
+    """Apply ``fn(batch, lo, hi, bytes, offsets)`` to slices of each Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -50,8 +50,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def text_slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) pieces of about ``limit`` bytes; a null is an empty text."""
+def text_slices(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) pieces of about ``limit`` bytes, small enough for their arrays to stay in cache; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
