@@ -23,11 +23,12 @@ ignored; texts are never truncated.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +40,7 @@ CAPACITY = 4096
 END = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Longest rest that is a piece of its own; most words remembered; groups merged in one round.
-TAIL, MEMO, FAN = 64, 300_000, 64
+TAIL, MEMO, FAN = 64, 400_000, 64
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, kind int, worker long, sequence_id long, offset long"
 _NAMES = [x.split()[0] for x in _PIECE.split(", ")]
@@ -63,22 +64,61 @@ def per_bin(kind: int) -> int:
     return kind if kind > 0 else CAPACITY // -kind
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@lru_cache(1)
+def ids_of(path: str) -> Ids:
+    """One tokenizer and memo for all tasks of a Python worker."""
+    return Ids(path)
+
+
+def _visible_bytes() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in kept]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Ids:
-    """Token ids of texts as little-endian 32-bit words, by words that white space parts."""
+    """Token ids of texts as little-endian 32-bit words, by words that white space parts.
+
+    A new word of plain letters, perhaps with a full stop or comma, is one
+    run of the tokenizer's splitter, so it goes to the merges directly; any
+    other goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.model, visible = self.tokenizer.model, _visible_bytes()
+        # letters below U+0130 lower to one letter each and are in normal form
+        self.letters = {c: "".join(visible[b] for b in chr(c).lower().encode()) for c in range(0x130) if chr(c).isalpha()}
+        self.stops = {c: self._whole(c) for c in ".,"}
+
+    def _whole(self, word: str) -> bytes:
+        return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def _word(self, word: str) -> bytes:
+        core, stop = word, b""
+        if len(word) > 1 and word[-1] in self.stops and word[-2].isascii() and word[-2].isalpha():
+            core, stop = word[:-1], self.stops[word[-1]]
+        if core.isalpha() and max(core) < "\u0130":
+            return _packed([t.id for t in self.model.tokenize(core.translate(self.letters))]) + stop
+        return self._whole(word)
 
     def many(self, texts: list[str]) -> list[bytes]:
-        words = [x.replace("\n", " ").split(" ") for x in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        new = list({w for ws in words for w in ws if w not in self.memo})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memo[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.memo.__getitem__, ws)) for ws in words]
+        memo, out = self.memo, []
+        for text in texts:
+            words = text.replace("\n", " ").split(" ")
+            for w in {w for w in words if w not in memo}:
+                memo[w] = self._word(w)
+            out.append(b"".join(map(memo.__getitem__, words)))
+        return out
 
 
 class Bins:
@@ -116,8 +156,8 @@ def _pieces(docs: DataFrame, path: str) -> DataFrame:
     """Pieces of all documents; those of unfilled bins have no sequence yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, worker = Ids(path), TaskContext.get().partitionId()
-        bins, end = Bins(worker << 32), np.array([END], "<u4").tobytes()
+        ids, worker = ids_of(path), TaskContext.get().partitionId()
+        bins, end = Bins(worker << 32), _packed([END])
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
