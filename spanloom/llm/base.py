@@ -32,9 +32,21 @@ def scratch(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def fewer(df: DataFrame) -> DataFrame:
+    """At most four partitions a core: a cluster's worth of tasks, and no more files than that."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+    spark, df = df.sparkSession, fewer(df)
     path = f"{scratch(spark)}/spanloom/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")  # what this write has shuffled goes when it is done

@@ -224,7 +224,7 @@ def packed(docs: DataFrame, path: str) -> DataFrame:
         rest, workers, level = filled.where("sequence_id is null"), -(-workers // FAN), level + 1
         if workers == 1:
             break
-    done.append(rest.groupBy("worker").applyInArrow(_final(level << 56), _PIECE))
+    done.append(rest.groupBy("worker").applyInArrow(_final(level << 56), _PIECE).coalesce(1))  # one group
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
