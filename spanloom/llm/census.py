@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .base import ordered, release, written
+from .base import ordered, written
 
 #: Chunk and bucket sizes grow with the square root of the corpus, within these bounds.
 CHUNK_BYTES = (4 << 20, 128 << 20)
@@ -104,7 +104,6 @@ def answered(rows: DataFrame, deal: Deal, hashes: Hashes, finish: Finish, schema
 
     asked = rows.groupBy("chunk").applyInArrow(emit, "chunk long, bucket int, keys binary, counts binary")
     answers = written(asked.groupBy("bucket").applyInArrow(tally, "chunk long, bucket int, answer binary"), "answers")
-    release(asked)
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(close, schema)
 
 

@@ -12,7 +12,8 @@ same stage, so a large benchmark costs passes, not memory, and no shuffle.
 
 Edge cases: null and empty texts have no words and no hits; items without
 words have no window; repeated items each count; with an empty benchmark
-nothing is hit; an empty table gives an empty result.
+nothing is hit; an empty table gives an empty result; other columns are kept,
+but for those that have the names of the new ones.
 """
 
 from __future__ import annotations
@@ -86,6 +87,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
     ``_n_hit`` counts the words in the spans.
     """
     spark = docs.sparkSession
+    docs = docs.drop("_n_words", "_n_hit", "_spans", "_items", "_hits")
     bench = benchmark.select(F.col("item_id"), "text")
     size = bench.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))

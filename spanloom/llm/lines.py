@@ -18,7 +18,7 @@ Edge cases: null and empty texts have no line; texts of fewer than ``RUN``
 lines lose none; a row without doc_id counts as last; rows that repeat a
 doc_id and its text get the same result and do not delete each other's lines;
 an empty table gives an empty result; other columns are kept by
-:func:`deduplicated`.
+:func:`deduplicated`, but for those that have the names of its own.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .base import release, table, written
+from .base import fewer, free, release, table, written
 
 RUN = 3
 
@@ -102,6 +102,7 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
 
 def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
     """All columns of ``docs``, and _n_lines, _n_removed and _kept, the text without later repeated runs."""
+    docs = docs.drop("_n_lines", "_n_removed", "_kept")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     digest = F.xxhash64("text")
     runs = repeated_runs(docs.select(key.alias("_key"), digest.alias("_hash"), F.col("text").alias("_text")), run)
@@ -113,16 +114,18 @@ def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, off in tk.text_slices(batch.column("text")):
-                yield _cut(batch.slice(lo, hi - lo), names, buf, off, run)
+                yield _cut(batch.slice(lo, hi - lo), names, starts, buf, off, run)
 
-    paired = docs.withColumns({"_key": key, "_hash": digest}).join(runs.hint("merge"), ["_key", "_hash"], "left").select(*names, "_starts")
-    return paired.mapInArrow(cut, schema)
+    k, h, starts = free(docs, "_key"), free(docs, "_hash"), free(docs, "_starts")
+    runs = runs.select(F.col("_key").alias(k), F.col("_hash").alias(h), F.col("_starts").alias(starts))
+    paired = docs.withColumns({k: key, h: digest}).join(runs.hint("merge"), [k, h], "left").select(*names, starts)
+    return fewer(paired).mapInArrow(cut, schema)
 
 
-def _cut(batch: pa.RecordBatch, names: list[str], buf: np.ndarray, off: np.ndarray, run: int) -> pa.RecordBatch:
+def _cut(batch: pa.RecordBatch, names: list[str], column: str, buf: np.ndarray, off: np.ndarray, run: int) -> pa.RecordBatch:
     lines, full, _, _ = lines_of(buf, off)
     count = np.bincount(lines.doc[full], minlength=len(off) - 1)
-    starts = batch.column("_starts")
+    starts = batch.column(column)
     removed, kept = np.zeros(len(off) - 1, np.int64), []
     for i, text in enumerate(batch.column("text")):
         text = text.as_py()

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .base import chunk_of, components, release, table, text_bytes, written
+from .base import chunk_of, components, fewer, table, text_bytes, written
 from .census import Deal, answered, concatenated
 
 SHINGLE = 5
@@ -201,7 +201,7 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .join(degree.withColumnRenamed("u", "rep"), "rep", "left")
         .select("s1", "s2", F.coalesce("component", "rep").alias("component"), (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     )
-    return cand.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left").select(
+    return fewer(cand.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "doc_id").alias("component_id"),
@@ -241,7 +241,9 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     are dropped, rows without doc_id stay unless their component has one.
     """
     found = joined(docs, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    some = docs.join(found.where("_keep is not null"), docs.doc_id == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
+    keep = found.where("_keep is not null")
+    some = docs.join(keep, docs.doc_id == keep["_keep"], "left_semi").dropDuplicates(["doc_id"])
+    some = fewer(some)
     if found.where("_keep is null").isEmpty():
         return some
     return some.unionByName(docs.where("doc_id is null"))

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table, written
+from .base import fewer, table, written
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 REACH, TERM_CHARS = 64, 4
@@ -176,7 +176,7 @@ def spans(docs: DataFrame, support: int = SUPPORT, level: float = DISCLOSURE) ->
     )
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit("mask").alias("action")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,action:string>>")
-    return found.join(added, ["key", "hash"], "left").select(
+    return fewer(found.join(added, ["key", "hash"], "left")).select(
         "doc_id", "key", "hash", base.alias("base"), F.array_sort(F.concat(base, F.coalesce("terms", none))).alias("all")
     )
 

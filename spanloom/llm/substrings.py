@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .base import chunk_of, release, table, text_bytes, written
+from .base import chunk_of, fewer, table, text_bytes, written
 from .census import Deal, answered, concatenated
 
 WINDOW = 35
@@ -92,7 +92,6 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, keep_text: bool = True,
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ROW, strict=True)], schema=_ROW)
 
     first = written(answered(rows, deal, hashes, finish, _spark(_ROW)), "windows")
-    release(rows)
     found = [first.where("n_removed > 0").select("row", F.lit(window).cast("long").alias("longest"))]
     state, length = first.where("length(at) > 0").select("chunk", "row", "at", "keys"), window
     while levels:
@@ -105,7 +104,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, keep_text: bool = True,
         state = state.where("length(at) > 0")
     longest = reduce(DataFrame.unionByName, found).groupBy("row").agg(F.max("longest").alias("longest"))
     out = first.join(longest, "row", "left").withColumn("longest", F.coalesce("longest", F.lit(0).cast("long")))
-    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * keep_text, "longest")
+    return fewer(out).select("doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * keep_text, "longest")
 
 
 def _level(state: DataFrame, length: int, weight: int, least: int) -> DataFrame:
