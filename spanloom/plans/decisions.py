@@ -247,3 +247,10 @@ def candidate_window_search(spark, sf):
 def weighted_rank(spark, sf):
     s = events(spark, sf).withColumn("score", F.round(0.7 * F.col("value") + 0.3 * (F.col("event_id") % 100), 4))
     return ranking.top(s, ["event_type"], [F.desc("score"), F.col("event_id")], 25).select("event_type", "event_id", "score")
+
+
+@query("used_confidence_filter", "WITH t AS (SELECT event_id, CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_id % 6 = 1 THEN 'no_transient' WHEN event_id % 6 = 2 THEN 'out_of_range' WHEN event_id % 6 = 3 THEN 'weak' ELSE 'strong' END AS c FROM events) SELECT event_id, c FROM t WHERE c IN ('weak', 'present', 'strong')")
+def used_confidence_filter(spark, sf):
+    k = F.col("event_id") % 6
+    c = F.when(k == 1, "no_transient").when(k == 2, "out_of_range").when(k == 3, "weak").when(k > 3, "strong")
+    return events(spark, sf).select("event_id", c.alias("c")).where(F.col("c").isin("weak", "present", "strong"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
-from .base import EV, HOUR, MONTH, events, load, query, r
+from .base import EV, HOUR, MONTH, SER, events, load, query, r, series
 
 U = ["user_id"]
 #: Padded, merged spans of one event type in SQL.
@@ -282,3 +282,37 @@ def order_ship_dwell(spark, sf):
     j = o.join(l, o.o_orderkey == l.l_orderkey).where("l_shipdate > o_orderdate")
     spans = j.select(F.col("o_orderpriority").alias("priority"), F.lit(0).cast("bigint").alias("s"), F.datediff("l_shipdate", "o_orderdate").cast("bigint").alias("e"))
     return iv.dwell(spans, ["priority"])
+
+
+_AD = """c AS (SELECT user_id, i AS p, v AS a FROM ser WHERE event_type = 'click' AND v >= 20), n AS (SELECT c.user_id, c.p, c.a, s.i, s.v, max(s.v) FILTER (s.i >= c.p) OVER (PARTITION BY c.user_id, c.p) AS top FROM c JOIN ser s ON s.user_id = c.user_id AND s.i BETWEEN c.p - 5 AND c.p + 8),
+ad AS (SELECT user_id, coalesce(max(i) FILTER (i < p AND v <= 0.18 * a), p - 5) AS s, coalesce(min(i) FILTER (i >= p AND v <= 0.3 * top), p + 8) AS e FROM n GROUP BY user_id, p)"""
+
+
+@query("adaptive_spans", f"{SER}, {_AD}, {_merge('m', 'SELECT user_id, s, e FROM ad')} SELECT user_id, s, e, parts FROM m")
+def adaptive_spans(spark, sf):
+    s = series(spark, sf)
+    peaks = s.where("event_type = 'click' and v >= 20")
+    return iv.merged(iv.adaptive(s, peaks, U, 5, 8, 0.18, 0.3), U)
+
+
+@query(
+    "event_dynamics",
+    f"""{SER}, sm AS (SELECT *, sum(v) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 AS o FROM ser), p AS (SELECT c.user_id, c.i AS event, max(s.v) AS raw_peak, max(s.o) AS out_peak FROM sm c JOIN sm s ON s.user_id = c.user_id AND s.i BETWEEN c.i - 2 AND c.i + 2 WHERE c.event_type = 'purchase' GROUP BY c.user_id, c.i)
+SELECT user_id, event, raw_peak, round(out_peak / greatest(raw_peak, 1e-9), 5) AS ratio, round(abs(ln(out_peak / greatest(raw_peak, 1e-9))), 5) AS log_error, out_peak / greatest(raw_peak, 1e-9) < 0.5 AS missed FROM p""",
+)
+def event_dynamics(spark, sf):
+    from ..operators.series import moving_average
+
+    s = moving_average(series(spark, sf), U, 3, out="o")
+    d = iv.dynamics(s, s.where("event_type = 'purchase'"), U, 2, "v", "o", 0.5)
+    return d.select("user_id", "event", "raw_peak", r("ratio", 5).alias("ratio"), r("log_error", 5).alias("log_error"), "missed")
+
+
+@query("onset_coincidence")
+def onset_coincidence(spark, sf):
+    """Clicks matched one to one with purchases, and how many of the pairs have a low-band purchase (value under 10)."""
+    from ..operators import kernels
+
+    ref = events(spark, sf, "purchase").select("user_id", F.col("t").alias("actual"), (F.col("value") < 10).alias("low_band"))
+    m = kernels.matched(events(spark, sf, "click").select("user_id", "t"), ref.select("user_id", F.col("actual").alias("t")), U, 3 * HOUR)
+    return m.join(ref, ["user_id", "actual"]).groupBy("user_id").agg(F.count("*").alias("pairs"), F.count_if("low_band").alias("low_band"))
