@@ -40,8 +40,9 @@ def free(df: DataFrame, name: str) -> str:
 
 
 def fewer(df: DataFrame) -> DataFrame:
-    """At most four partitions a core: a cluster's worth of tasks, and no more files than that."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+    """Four partitions a core or a quarter of the shuffle's, whichever is more: a cluster's worth of tasks, and no more files than that."""
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
