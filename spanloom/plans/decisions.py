@@ -62,7 +62,7 @@ def _cascade(spark, sf):
 @query(
     "gate_tallies",
     f"""{EV}, n AS (SELECT e.*, EXISTS (SELECT 1 FROM ev p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND abs(p.t - e.t) <= {6 * HOUR}) AS near FROM ev e WHERE event_type = 'click')
-SELECT user_id, count_if(value > 60 OR value < 5) AS n_keep_, count_if(value BETWEEN 5 AND 60 AND (value > 30 OR near)) AS n_open_, count_if(value >= 5 AND value <= 30 AND NOT near) AS n_drop_, count(*) AS n FROM n GROUP BY user_id""",
+SELECT user_id, count(*) FILTER (value > 60 OR value < 5) AS n_keep_, count(*) FILTER (value BETWEEN 5 AND 60 AND (value > 30 OR near)) AS n_open_, count(*) FILTER (value >= 5 AND value <= 30 AND NOT near) AS n_drop_, count(*) AS n FROM n GROUP BY user_id""",
 )
 def gate_tallies(spark, sf):
     return gates.tallies(_cascade(spark, sf), U, "gate", ["keep_", "open_", "drop_"])
@@ -106,7 +106,7 @@ def checkpoint_validity(spark, sf):
 
 @query(
     "decision_rules",
-    "WITH c AS (SELECT o_custkey AS k, count_if(o_orderstatus = 'F') AS f, count_if(o_orderstatus = 'O') AS o, count(*) AS n, avg(CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice END) AS p FROM orders GROUP BY 1) SELECT k, CASE WHEN NOT coalesce(n >= 3 AND p > 100000, false) THEN 'D' WHEN 2 * f >= n THEN 'A' WHEN 4 * o >= n THEN 'B' ELSE 'C' END AS outcome FROM c",
+    "WITH c AS (SELECT o_custkey AS k, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) AS n, avg(CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice END) AS p FROM orders GROUP BY 1) SELECT k, CASE WHEN NOT coalesce(n >= 3 AND p > 100000, false) THEN 'D' WHEN 2 * f >= n THEN 'A' WHEN 4 * o >= n THEN 'B' ELSE 'C' END AS outcome FROM c",
 )
 def decision_rules(spark, sf):
     s = F.col("o_orderstatus")
@@ -160,7 +160,7 @@ def channel_pair_verdict(spark, sf):
     return p.groupBy("user_id").agg(F.concat(F.lit("MULTI_"), F.array_join(F.array_sort(F.collect_set(v)), "_")).alias("verdict"))
 
 
-@query("interaction_labels", "WITH c AS (SELECT user_id, count_if(event_type = 'click') AS a, count_if(event_type = 'view') AS b, max(value) AS m, count(*) AS n FROM events GROUP BY 1) SELECT user_id, array_to_string(list_sort(list_filter([CASE WHEN a > b THEN 'clicker' END, CASE WHEN b >= a THEN 'viewer' END, CASE WHEN m > 200 THEN 'loud' END, CASE WHEN n > 66 THEN 'busy' END], lambda x: x IS NOT NULL)), ',') AS labels FROM c")
+@query("interaction_labels", "WITH c AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS a, count(*) FILTER (event_type = 'view') AS b, max(value) AS m, count(*) AS n FROM events GROUP BY 1) SELECT user_id, array_to_string(list_sort(list_filter([CASE WHEN a > b THEN 'clicker' END, CASE WHEN b >= a THEN 'viewer' END, CASE WHEN m > 200 THEN 'loud' END, CASE WHEN n > 66 THEN 'busy' END], lambda x: x IS NOT NULL)), ',') AS labels FROM c")
 def interaction_labels(spark, sf):
     k = F.col("event_type")
     c = events(spark, sf).groupBy("user_id").agg(F.count_if(k == "click").alias("a"), F.count_if(k == "view").alias("b"), F.max("value").alias("m"), F.count("*").alias("n"))
@@ -198,7 +198,7 @@ def dedup_by_rounded_key(spark, sf):
     return ranking.deduplicated(e, ["user_id", "cell"], [F.col("t"), F.col("event_id")]).select("user_id", "cell", "event_id")
 
 
-_GRID = "g AS (SELECT a AS lim, b AS gap, count_if(value >= a AND event_type = 'click') AS closed, count_if(value < a AND event_type = 'purchase' AND event_id % 5 < b) AS lost FROM events, (SELECT unnest([10, 20, 40, 80]) AS a), (SELECT unnest([1, 2, 3]) AS b) GROUP BY ALL)"
+_GRID = "g AS (SELECT a AS lim, b AS gap, count(*) FILTER (value >= a AND event_type = 'click') AS closed, count(*) FILTER (value < a AND event_type = 'purchase' AND event_id % 5 < b) AS lost FROM events, (SELECT unnest([10, 20, 40, 80]) AS a), (SELECT unnest([1, 2, 3]) AS b) GROUP BY ALL)"
 
 
 def _grid(spark, sf):

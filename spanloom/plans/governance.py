@@ -92,7 +92,7 @@ def freeze_manifest(spark, sf):
     return m.select("page_id", "sha256", F.col("bytes").cast("bigint").alias("bytes"))
 
 
-@query("verify_manifest", "SELECT 'hash' AS status, count_if(page_id % 50 = 7) AS n FROM pages UNION ALL SELECT 'same', count_if(page_id % 50 <> 7) FROM pages")
+@query("verify_manifest", "SELECT 'hash' AS status, count(*) FILTER (page_id % 50 = 7) AS n FROM pages UNION ALL SELECT 'same', count(*) FILTER (page_id % 50 <> 7) FROM pages")
 def verify_manifest(spark, sf):
     p = load(spark, sf, "pages")
     a = corpus.manifest(p, "page_id", F.col("html"))

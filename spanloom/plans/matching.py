@@ -83,7 +83,7 @@ def event_in_window_tags(spark, sf):
 
 @query(
     "signed_lag_share",
-    f"{EV}, {_P}, {_NEAR}, l AS (SELECT unnest([1, 3, 6, 24]) AS hours) SELECT hours, count(lag) AS n, count_if(abs(lag) <= hours * {HOUR}) AS hit, round(count_if(abs(lag) <= hours * {HOUR}) / count(lag), 6) AS share FROM d, l WHERE lag IS NOT NULL GROUP BY hours",
+    f"{EV}, {_P}, {_NEAR}, l AS (SELECT unnest([1, 3, 6, 24]) AS hours) SELECT hours, count(lag) AS n, count(*) FILTER (abs(lag) <= hours * {HOUR}) AS hit, round(count(*) FILTER (abs(lag) <= hours * {HOUR}) / count(lag), 6) AS share FROM d, l WHERE lag IS NOT NULL GROUP BY hours",
 )
 def signed_lag_share(spark, sf):
     p, o = sides(spark, sf)
@@ -149,7 +149,7 @@ def family_siblings(spark, sf):
     return f.join(by, "family").select("page_id", "family", (F.col("_n") - 1).alias("siblings"), (F.col("_h") - 1).alias("other_hosts"))
 
 
-@query("parameter_grid", "SELECT a AS enter, b AS stay, c AS hold, d AS gap FROM (SELECT unnest([0.5, 0.6, 0.7, 0.8]) AS a), (SELECT unnest([0.2, 0.3, 0.4, 0.5]) AS b), (SELECT unnest([2, 4]) AS c), (SELECT unnest([3, 5, 7]) AS d)")
+@query("parameter_grid", "SELECT a AS enter, b AS stay, c AS hold, d AS gap FROM (SELECT unnest([0.5, 0.6, 0.7, 0.8]::DOUBLE[]) AS a), (SELECT unnest([0.2, 0.3, 0.4, 0.5]::DOUBLE[]) AS b), (SELECT unnest([2, 4]) AS c), (SELECT unnest([3, 5, 7]) AS d)")
 def parameter_grid(spark, sf):
     return joins.grid(spark, enter=[0.5, 0.6, 0.7, 0.8], stay=[0.2, 0.3, 0.4, 0.5], hold=[2, 4], gap=[3, 5, 7])
 
@@ -206,7 +206,7 @@ SELECT o_custkey, i, 'left' AS side FROM a ANTI JOIN b USING (o_custkey, i) UNIO
 )
 def positional_join_complete(spark, sf):
     o = load(spark, sf, "orders")
-    nth = lambda *order: F.row_number().over(Window.partitionBy("o_custkey").orderBy(*order)).alias("i")
+    nth = lambda *order: F.row_number().over(Window.partitionBy("o_custkey").orderBy(*order)).cast("bigint").alias("i")
     return joins.complete(o.select("o_custkey", nth("o_orderkey")), o.where("o_orderstatus <> 'P'").select("o_custkey", nth("o_orderdate", "o_orderkey")), ["o_custkey", "i"])
 
 

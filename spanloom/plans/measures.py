@@ -133,13 +133,13 @@ def percentile_cap_filter(spark, sf):
     return li.join(cap, "l_returnflag").where("l_extendedprice <= cap").groupBy("l_returnflag").agg(F.count("*").alias("kept"), F.max("l_extendedprice").alias("top"))
 
 
-@query("verdict_counts", "WITH c AS (SELECT o_custkey, count(*) AS total, count_if(o_orderstatus = 'P') AS n FROM orders GROUP BY 1) SELECT total, count(*) AS customers, count_if(2 * n >= total) AS insufficient FROM c GROUP BY total")
+@query("verdict_counts", "WITH c AS (SELECT o_custkey, count(*) AS total, count(*) FILTER (o_orderstatus = 'P') AS n FROM orders GROUP BY 1) SELECT total, count(*) AS customers, count(*) FILTER (2 * n >= total) AS insufficient FROM c GROUP BY total")
 def verdict_counts(spark, sf):
     c = load(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "P").alias("n"))
     return c.groupBy("total").agg(F.count("*").alias("customers"), F.count_if(2 * F.col("n") >= F.col("total")).alias("insufficient"))
 
 
-@query("wilson_interval", "WITH c AS (SELECT user_id, count_if(event_type = 'error')::DOUBLE AS k, count(*)::DOUBLE AS n FROM events GROUP BY 1), p AS (SELECT *, k / n AS p, 1.96::DOUBLE AS z FROM c) SELECT user_id, round((p + z*z/(2*n)) / (1 + z*z/n) - z * sqrt(p*(1-p)/n + z*z/(4*n*n)) / (1 + z*z/n), 6) AS low, round((p + z*z/(2*n)) / (1 + z*z/n) + z * sqrt(p*(1-p)/n + z*z/(4*n*n)) / (1 + z*z/n), 6) AS high FROM p")
+@query("wilson_interval", "WITH c AS (SELECT user_id, count(*) FILTER (event_type = 'error')::DOUBLE AS k, count(*)::DOUBLE AS n FROM events GROUP BY 1), p AS (SELECT *, k / n AS p, 1.96::DOUBLE AS z FROM c) SELECT user_id, round((p + z*z/(2*n)) / (1 + z*z/n) - z * sqrt(p*(1-p)/n + z*z/(4*n*n)) / (1 + z*z/n), 6) AS low, round((p + z*z/(2*n)) / (1 + z*z/n) + z * sqrt(p*(1-p)/n + z*z/(4*n*n)) / (1 + z*z/n), 6) AS high FROM p")
 def wilson_interval(spark, sf):
     c = events(spark, sf).groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").cast("double").alias("k"), F.count("*").cast("double").alias("n"))
     low, high = stats.wilson(F.col("k"), F.col("n"))
@@ -199,12 +199,12 @@ def consensus_offset(spark, sf):
     return c.select("user_id", F.col("n").cast("bigint").alias("n"), r("offset", 4).alias("offset_"))
 
 
-@query("cross_tab", "SELECT o_orderpriority AS priority, count_if(o_orderstatus = 'F') AS F, count_if(o_orderstatus = 'O') AS O, count_if(o_orderstatus = 'P') AS P FROM orders GROUP BY 1")
+@query("cross_tab", "SELECT o_orderpriority AS priority, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1")
 def cross_tab(spark, sf):
     return load(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("priority")).pivot("o_orderstatus", ["F", "O", "P"]).count().fillna(0)
 
 
-@query("tier_confusion", "WITH t AS (SELECT event_id, CASE WHEN value / 20 > 4 AND event_id % 10 / 10.0 > 0.35 THEN 'strong' WHEN value / 20 > 2.5 THEN 'present' WHEN value / 20 > 1.6 THEN 'weak' ELSE 'no_transient' END AS tier, event_type = 'purchase' AS hit FROM events) SELECT tier, count_if(hit) AS tp, count_if(NOT hit) AS fp FROM t GROUP BY tier")
+@query("tier_confusion", "WITH t AS (SELECT event_id, CASE WHEN value / 20 > 4 AND event_id % 10 / 10.0 > 0.35 THEN 'strong' WHEN value / 20 > 2.5 THEN 'present' WHEN value / 20 > 1.6 THEN 'weak' ELSE 'no_transient' END AS tier, event_type = 'purchase' AS hit FROM events) SELECT tier, count(*) FILTER (hit) AS tp, count(*) FILTER (NOT hit) AS fp FROM t GROUP BY tier")
 def tier_confusion(spark, sf):
     tier = sc.confidence_tier(F.col("value") / 20, F.col("event_id") % 10 / 10)
     hit = F.col("event_type") == "purchase"
@@ -218,7 +218,7 @@ def label_agreement(spark, sf):
     return l.groupBy("quality", "toxic").agg(F.count("*").alias("n")).withColumn("share", r(F.col("n") / total))
 
 
-@query("mean_per_method", "SELECT l_returnflag AS method, l_linestatus AS k, round(avg(l_discount), 6) AS mean, count_if(l_discount >= 0.06) AS over FROM lineitem GROUP BY ALL".replace(" AS over", " AS over_"))
+@query("mean_per_method", "SELECT l_returnflag AS method, l_linestatus AS k, round(avg(l_discount), 6) AS mean, count(*) FILTER (l_discount >= 0.06) AS over FROM lineitem GROUP BY ALL".replace(" AS over", " AS over_"))
 def mean_per_method(spark, sf):
     return load(spark, sf, LI).groupBy(F.col("l_returnflag").alias("method"), F.col("l_linestatus").alias("k")).agg(r(F.avg("l_discount")).alias("mean"), F.count_if(F.col("l_discount") >= 0.06).alias("over_"))
 

@@ -191,7 +191,7 @@ def event_locked_average(spark, sf):
     "nearest_peak_offset",
     f"""{SER}, {_MX}, c AS (SELECT user_id, i FROM ser WHERE event_type = 'click'), q AS (SELECT user_id, i FROM mx WHERE v >= 60), n AS (SELECT c.user_id, c.i, b.i AS bi, a.i AS ai FROM c ASOF LEFT JOIN q b ON c.user_id = b.user_id AND c.i >= b.i ASOF LEFT JOIN q a ON c.user_id = a.user_id AND c.i <= a.i),
 d AS (SELECT user_id, CASE WHEN ai IS NULL OR (bi IS NOT NULL AND i - bi <= ai - i) THEN bi - i ELSE ai - i END AS lag FROM n)
-SELECT user_id, count_if(coalesce(abs(lag) <= 5, false)) AS heard, count(*) - count_if(coalesce(abs(lag) <= 5, false)) AS silent, median(CASE WHEN abs(lag) <= 5 THEN lag END::DOUBLE) AS lead FROM d GROUP BY user_id""",
+SELECT user_id, count(*) FILTER (coalesce(abs(lag) <= 5, false)) AS heard, count(*) - count(*) FILTER (coalesce(abs(lag) <= 5, false)) AS silent, median(CASE WHEN abs(lag) <= 5 THEN lag END::DOUBLE) AS lead FROM d GROUP BY user_id""",
 )
 def nearest_peak_offset(spark, sf):
     s = series(spark, sf)

@@ -146,7 +146,7 @@ def point_in_span(spark, sf):
 @query(
     "span_coverage_fraction",
     f"""{EV}, {_merge("m", _pad("click"))}, p AS (SELECT user_id, event_id, t FROM ev WHERE event_type = 'error')
-SELECT p.user_id, count(*) AS n, count_if(p.t <= q.e) AS covered, round(avg(CASE WHEN coalesce(p.t <= q.e, false) THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS fraction FROM p ASOF LEFT JOIN m q ON p.user_id = q.user_id AND p.t >= q.s GROUP BY p.user_id""",
+SELECT p.user_id, count(*) AS n, count(*) FILTER (p.t <= q.e) AS covered, round(avg(CASE WHEN coalesce(p.t <= q.e, false) THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS fraction FROM p ASOF LEFT JOIN m q ON p.user_id = q.user_id AND p.t >= q.s GROUP BY p.user_id""",
 )
 def span_coverage_fraction(spark, sf):
     hit = F.col("inside").cast("int")
@@ -204,7 +204,7 @@ def envelope_frames(spark, sf):
 @query(
     "gate_support",
     f"""{EV}, {_ENV}, n AS (SELECT *, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS k FROM env WHERE g > 0), l AS (SELECT user_id, max(c) AS longest FROM (SELECT user_id, k, count(*) AS c FROM n GROUP BY user_id, k) GROUP BY user_id)
-SELECT env.user_id, round(sum(g) / 720, 4) AS mean_gain, round(count_if(g > 0) / 720, 6) AS open, round(count_if(g >= 0.5) / 720, 6) AS half_open, any_value(longest) AS longest FROM env JOIN l USING (user_id) GROUP BY env.user_id""",
+SELECT env.user_id, round(sum(g) / 720, 4) AS mean_gain, round(count(*) FILTER (g > 0) / 720, 6) AS open, round(count(*) FILTER (g >= 0.5) / 720, 6) AS half_open, any_value(longest) AS longest FROM env JOIN l USING (user_id) GROUP BY env.user_id""",
 )
 def gate_support(spark, sf):
     from pyspark.sql import Window
@@ -235,7 +235,7 @@ def contact_support(spark, sf):
     "exposure_partition",
     f"""{EV}, {_ENV}, k AS (SELECT user_id, i, g, EXISTS (SELECT 1 FROM ev p WHERE p.user_id = env.user_id AND p.event_type = 'purchase' AND p.t // {HOUR} BETWEEN env.i - 4 AND env.i + 4) AS allowed,
 EXISTS (SELECT 1 FROM ev p WHERE p.user_id = env.user_id AND p.event_type = 'view' AND p.t // {HOUR} BETWEEN env.i - 4 AND env.i + 4) AS rest FROM env)
-SELECT CASE WHEN allowed THEN 'allowed' WHEN rest THEN 'rest' ELSE 'unlabelled' END AS part, count_if(g > 0) AS open_frames, count_if(g >= 0.5) AS half_frames, round(avg(g), 6) AS mean_gain FROM k GROUP BY 1""",
+SELECT CASE WHEN allowed THEN 'allowed' WHEN rest THEN 'rest' ELSE 'unlabelled' END AS part, count(*) FILTER (g > 0) AS open_frames, count(*) FILTER (g >= 0.5) AS half_frames, round(avg(g), 6) AS mean_gain FROM k GROUP BY 1""",
 )
 def exposure_partition(spark, sf):
     def mask(kind):
@@ -250,7 +250,7 @@ def exposure_partition(spark, sf):
 @query(
     "burst_region_coverage",
     f"""{EV}, b AS (SELECT DISTINCT user_id, unnest(range(t // {HOUR}, t // {HOUR} + 4)) AS i, 1 AS x FROM ev WHERE event_type = 'click'), g AS (SELECT DISTINCT user_id, unnest(range(t // {HOUR} - 1, t // {HOUR} + 3)) AS i, 1 AS y FROM ev WHERE event_type = 'view')
-SELECT user_id, count_if(x IS NOT NULL AND y IS NOT NULL) AS covered, count_if(y IS NULL) AS false_frames, count_if(x IS NULL) AS missed_frames FROM b FULL JOIN g USING (user_id, i) GROUP BY user_id""",
+SELECT user_id, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS covered, count(*) FILTER (y IS NULL) AS false_frames, count(*) FILTER (x IS NULL) AS missed_frames FROM b FULL JOIN g USING (user_id, i) GROUP BY user_id""",
 )
 def burst_region_coverage(spark, sf):
     def frames(kind, low, high, name):
