@@ -165,7 +165,7 @@ w AS (SELECT doc_id, i, [line, lead(line) OVER p, lead(line, 2) OVER p] AS win,
 m AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS nth FROM w WHERE ok),
 g AS (SELECT DISTINCT doc_id, i + x AS i FROM m, range(3) AS y(x) WHERE nth > 1),
 z AS (SELECT l.doc_id, l.k, l.line, g.i IS NOT NULL AS gone, l.has FROM l LEFT JOIN f USING (doc_id, k) LEFT JOIN g ON g.doc_id = f.doc_id AND g.i = f.i)
-SELECT doc_id, count_if(has)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_removed,
+SELECT doc_id, count(*) FILTER (has)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_removed,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
 FROM z GROUP BY doc_id
 """
