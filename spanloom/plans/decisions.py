@@ -12,9 +12,9 @@ from .base import EV, HOUR, MONTH, events, load, query, r, series
 U = ["user_id"]
 
 
-@query("contact_filter", "WITH e AS (SELECT *, CASE WHEN event_id % 9 = 0 THEN 'rejected' WHEN event_id % 4 = 0 THEN 'ok' END AS status FROM events) SELECT event_id FROM e WHERE event_type IN ('click', 'view', 'purchase') AND (status IS NULL OR status <> 'rejected')")
+@query("contact_filter", "WITH e AS (SELECT *, CASE WHEN value < 5 THEN 'rejected' WHEN value > 100 THEN 'ok' END AS status FROM events) SELECT event_id FROM e WHERE event_type IN ('click', 'view', 'purchase') AND (status IS NULL OR status <> 'rejected')")
 def contact_filter(spark, sf):
-    status = F.when(F.expr("event_id % 9 = 0"), "rejected").when(F.expr("event_id % 4 = 0"), "ok")
+    status = F.when(F.col("value") < 5, "rejected").when(F.col("value") > 100, "ok")
     e = events(spark, sf).withColumn("status", status)
     return e.where(F.col("event_type").isin("click", "view", "purchase") & ~F.col("status").eqNullSafe("rejected")).select("event_id")
 
@@ -249,8 +249,8 @@ def weighted_rank(spark, sf):
     return ranking.top(s, ["event_type"], [F.desc("score"), F.col("event_id")], 25).select("event_type", "event_id", "score")
 
 
-@query("used_confidence_filter", "WITH t AS (SELECT event_id, CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_id % 6 = 1 THEN 'no_transient' WHEN event_id % 6 = 2 THEN 'out_of_range' WHEN event_id % 6 = 3 THEN 'weak' ELSE 'strong' END AS c FROM events) SELECT event_id, c FROM t WHERE c IN ('weak', 'present', 'strong')")
+@query("used_confidence_filter", "WITH t AS (SELECT event_id, CASE WHEN value < 2 THEN NULL WHEN value < 10 THEN 'no_transient' WHEN value > 150 THEN 'out_of_range' WHEN value < 30 THEN 'weak' ELSE 'strong' END AS c FROM events) SELECT event_id, c FROM t WHERE c IN ('weak', 'present', 'strong')")
 def used_confidence_filter(spark, sf):
-    k = F.col("event_id") % 6
-    c = F.when(k == 1, "no_transient").when(k == 2, "out_of_range").when(k == 3, "weak").when(k > 3, "strong")
+    v = F.col("value")
+    c = F.when(v < 2, None).when(v < 10, "no_transient").when(v > 150, "out_of_range").when(v < 30, "weak").otherwise("strong")
     return events(spark, sf).select("event_id", c.alias("c")).where(F.col("c").isin("weak", "present", "strong"))

@@ -32,9 +32,9 @@ def group_disjoint_holdout(spark, sf):
     return corpus.holdout(_split(spark, sf), "o_custkey", "split").select("o_orderkey", "split", "note")
 
 
-@query("leakage_audit", f"WITH {_SPLIT}, b AS (SELECT DISTINCT o_custkey, split FROM s), q AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'DEV' ELSE 'TRAIN' END AS split FROM orders) SELECT o_orderkey, o_custkey, split FROM q ANTI JOIN b USING (o_custkey, split)")
+@query("leakage_audit", f"WITH {_SPLIT}, b AS (SELECT DISTINCT o_custkey, split FROM s), q AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'DEV' ELSE 'TRAIN' END AS split FROM orders) SELECT o_orderkey, o_custkey, split FROM q ANTI JOIN b USING (o_custkey, split)")
 def leakage_audit(spark, sf):
-    recipes = load(spark, sf, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 3 == 0, "DEV").otherwise("TRAIN").alias("split"))
+    recipes = load(spark, sf, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderpriority") == "5-LOW", "DEV").otherwise("TRAIN").alias("split"))
     return corpus.leakage(_split(spark, sf), recipes, "o_custkey", "split").select("o_orderkey", "o_custkey", "split")
 
 
@@ -92,11 +92,11 @@ def freeze_manifest(spark, sf):
     return m.select("page_id", "sha256", F.col("bytes").cast("bigint").alias("bytes"))
 
 
-@query("verify_manifest", "SELECT 'hash' AS status, count(*) FILTER (page_id % 50 = 7) AS n FROM pages UNION ALL SELECT 'same', count(*) FILTER (page_id % 50 <> 7) FROM pages")
+@query("verify_manifest", "SELECT CASE WHEN url LIKE '%?%' THEN 'hash' ELSE 'same' END AS status, count(*) AS n FROM pages GROUP BY 1")
 def verify_manifest(spark, sf):
     p = load(spark, sf, "pages")
     a = corpus.manifest(p, "page_id", F.col("html"))
-    b = corpus.manifest(p.withColumn("html", F.when(F.expr("page_id % 50 = 7"), F.reverse("html")).otherwise(F.col("html"))), "page_id", F.col("html"))
+    b = corpus.manifest(p.withColumn("html", F.when(F.col("url").contains("?"), F.reverse("html")).otherwise(F.col("html"))), "page_id", F.col("html"))
     return joins.catalog_diff(a, b, "page_id", "bytes", "sha256").groupBy("status").agg(F.count("*").alias("n"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as sc
 from ..functions import stats
 from ..operators import joins, kernels
 from .base import EV, HOUR, events, load, query, r
@@ -99,23 +100,19 @@ def lookup_first(spark, sf):
     return o.join(first, o.o_orderkey == first.l_orderkey, "left").select("o_orderkey", F.col("l_partkey").alias("first_part"))
 
 
-_CAT = """a AS (SELECT doc_id, n_chars, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 3),
-b AS (SELECT doc_id, CASE WHEN doc_id % 11 = 5 THEN n_chars + 1 ELSE n_chars END AS n_chars, CASE WHEN doc_id % 13 = 2 THEN sha256(lang) ELSE sha256(text) END AS h FROM documents WHERE doc_id % 5 <> 1)"""
+_SIDE = "SELECT o_custkey, count(*) AS n, sha256(string_agg(o_orderpriority, chr(10) ORDER BY o_orderpriority)) AS h FROM orders WHERE o_orderstatus = '{}' GROUP BY 1"
 
 
 @query(
     "catalog_diff",
-    f"""WITH {_CAT} SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'extra' WHEN a.n_chars <> b.n_chars THEN 'size' WHEN a.h <> b.h THEN 'hash' ELSE 'same' END AS status FROM a FULL JOIN b ON a.doc_id = b.doc_id""",
+    f"""WITH a AS ({_SIDE.format("F")}), b AS ({_SIDE.format("O")}) SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey,
+CASE WHEN b.n IS NULL THEN 'missing' WHEN a.n IS NULL THEN 'extra' WHEN a.n <> b.n THEN 'size' WHEN a.h <> b.h THEN 'hash' ELSE 'same' END AS status FROM a FULL JOIN b ON a.o_custkey = b.o_custkey""",
 )
 def catalog_diff(spark, sf):
-    d = load(spark, sf, "documents").select("doc_id", "n_chars", "lang", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
-    a = d.where("doc_id % 7 <> 3")
-    b = d.where("doc_id % 5 <> 1").select(
-        "doc_id",
-        F.when(F.expr("doc_id % 11 = 5"), F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("n_chars"),
-        F.when(F.expr("doc_id % 13 = 2"), F.sha2(F.col("lang").cast("binary"), 256)).otherwise(F.col("h")).alias("h"),
-    )
-    return joins.catalog_diff(a, b, "doc_id", "n_chars", "h")
+    """A customer's finished orders against the open ones, as two catalogues."""
+    o = load(spark, sf, "orders")
+    side = lambda s: o.where(F.col("o_orderstatus") == s).groupBy("o_custkey").agg(F.count("*").alias("n"), sc.assignment_hash(F.collect_list("o_orderpriority")).alias("h"))
+    return joins.catalog_diff(side("F"), side("O"), "o_custkey", "n", "h")
 
 
 @query(

@@ -26,9 +26,9 @@ def summary_struct(spark, sf):
     return s.select("k", r("median", 4).alias("median"), r("mean", 4).alias("mean"), "low", "high", "n")
 
 
-@query("median_of_finite", "SELECT user_id, round(median(CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN NULL ELSE value END), 4) AS median FROM events GROUP BY user_id")
+@query("median_of_finite", "SELECT user_id, round(median(CASE WHEN value < 3 THEN NULL WHEN value > 90 THEN NULL ELSE value END), 4) AS median FROM events GROUP BY user_id")
 def median_of_finite(spark, sf):
-    odd = F.when(F.expr("event_id % 5 = 0"), F.lit(float("nan"))).when(F.expr("event_id % 7 = 0"), F.lit(float("inf"))).otherwise(F.col("value"))
+    odd = F.when(F.col("value") < 3, F.lit(float("nan"))).when(F.col("value") > 90, F.lit(float("inf"))).otherwise(F.col("value"))
     return events(spark, sf).withColumn("x", odd).groupBy("user_id").agg(r(F.median(stats.finite("x")), 4).alias("median"))
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import signal as sg
 from ..sources import files
+from ..sources.scratch import shared
 from ..streaming import twins
 from .base import EV, HOUR, MONTH, events, load, query, r
 
@@ -57,8 +56,7 @@ _kernel("comb_ripple", lambda x, y: {"ripple": sg.comb_ripple(x, x + 0.5 * np.ro
 
 
 def _folder(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/spanloom"
-    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    return shared(spark, "tables")
 
 
 @query("json_round_trip", f"{EV} SELECT event_id, user_id, event_type, value FROM ev")

@@ -5,8 +5,6 @@ Late rows wait for a watermark; state is one small row a key.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.scratch import shared
+
 LATE = "1 hour"
 
 
@@ -26,8 +26,7 @@ def source(spark: SparkSession, folder: str, name: str = "events.parquet", water
 
 def replayed(spark: SparkSession, folder: str, plan: Callable[[DataFrame], DataFrame], mode: str | None = None) -> DataFrame:
     """Run a streaming plan over all files that are there, and read what it wrote."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = shared(spark, "stream")
     df = plan(source(spark, folder, watermark=None))
     schema = df.schema
 
