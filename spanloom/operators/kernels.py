@@ -1,33 +1,69 @@
-"""Sequential rules: each is a fold over one series, so it runs as a grouped kernel.
+"""Sequential rules: each is a fold over one series, so it runs as a streaming kernel.
 
 Series are first cut where a gap is longer than the rule can see; the state
-before such a gap has no effect after it, so a kernel gets one *segment* and
-a long series is never in one task as a whole.
+before such a gap has no effect after it, so a kernel folds one *segment* at a
+time.  Rows come sorted from the window that cut them, without another
+shuffle, and a task holds one batch and the segment that runs over its end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .series import sessions
 
 Keys = Sequence[str]
+#: Rows of several segments and where each starts and ends -> the rows that come out.
+Fold = Callable[[pd.DataFrame, list[tuple[int, int]]], pd.DataFrame]
+
+
+def folded(df: DataFrame, keys: Keys, gap: int | float | None, fold: Fold, schema: str, t: str = "t", tie: Sequence[str] = ()) -> DataFrame:
+    """Fold each segment, sorted by time and ties; ``gap`` None keeps a series whole."""
+    if gap is not None:
+        cut = sessions(df, keys, gap, t, tie).drop("first")
+    else:
+        cut = df.repartition(*keys).withColumn("session", F.lit(0).cast("bigint"))
+    names = [*keys, "session"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            new = _starts(pdf, names)
+            if held and not _starts(pd.concat([held[-1].tail(1), pdf.head(1)]), names)[1]:
+                new[0] = False
+            if not new.any():
+                held.append(pdf)
+                continue
+            last = int(np.flatnonzero(new)[-1])
+            if held or last:
+                yield done(pd.concat([*held, pdf.iloc[:last]]))
+            held = [pdf.iloc[last:]]
+        if held:
+            yield done(pd.concat(held))
+
+    def done(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.reset_index(drop=True)
+        starts = np.flatnonzero(_starts(pdf, names)).tolist()
+        out = fold(pdf, list(zip(starts, [*starts[1:], len(pdf)], strict=True)))
+        return out.astype({c: object for c, kind in out.dtypes.items() if not isinstance(kind, np.dtype)})
 
+    return cut.sortWithinPartitions(*names, t, *tie).mapInPandas(run, schema)
 
-def folded(df: DataFrame, keys: Keys, gap: int | float | None, fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str, t: str = "t", tie: Sequence[str] = ()) -> DataFrame:
-    """Apply ``fold`` to each segment, sorted by time and ties; ``gap`` None keeps a series whole."""
-    cut = sessions(df, keys, gap, t, tie).drop("first") if gap is not None else df.withColumn("session", F.lit(0).cast("bigint"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = fold(pdf.sort_values([t, *tie], kind="stable").reset_index(drop=True))
-        return out.astype({c: object for c, kind in out.dtypes.items() if not isinstance(kind, np.dtype)})
 
-    return cut.groupBy(*keys, "session").applyInPandas(run, schema)
+def _starts(pdf: pd.DataFrame, names: Sequence[str]) -> np.ndarray:
+    """True where a row's names differ from the row's before; the first row is one."""
+    new = np.zeros(len(pdf), bool)
+    new[:1] = True
+    for c in names:
+        v = pdf[c].to_numpy()
+        new[1:] |= np.asarray(v[1:] != v[:-1], bool)
+    return new
 
 
 def _schema(df: DataFrame, *more: str) -> str:
@@ -37,11 +73,13 @@ def _schema(df: DataFrame, *more: str) -> str:
 def refractory(df: DataFrame, keys: Keys, gap: int | float, t: str = "t", tie: Sequence[str] = ()) -> DataFrame:
     """Rows at least ``gap`` after the last row *kept*."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep, last = [], None
-        for x in pdf[t]:
-            keep.append(last is None or x - last >= gap)
-            last = x if keep[-1] else last
+    def fold(pdf: pd.DataFrame, segments: list[tuple[int, int]]) -> pd.DataFrame:
+        keep, times = np.zeros(len(pdf), bool), pdf[t].tolist()
+        for a, b in segments:
+            last = None
+            for n in range(a, b):
+                if last is None or times[n] - last >= gap:
+                    keep[n], last = True, times[n]
         return pdf[keep].drop(columns="session")
 
     return folded(df, keys, gap, fold, _schema(df), t, tie)
@@ -49,8 +87,6 @@ def refractory(df: DataFrame, keys: Keys, gap: int | float, t: str = "t", tie: S
 
 def rising_edges(df: DataFrame, keys: Keys, threshold: float, slope: float, gap: int, v: str = "score", i: str = "i") -> DataFrame:
     """Rows over the threshold that rose by ``slope`` since the row before, ``gap`` after the last accepted."""
-    from pyspark.sql import Window
-
     rise = F.col(v) - F.lag(v).over(Window.partitionBy(*keys).orderBy(i))
     return refractory(df.withColumn("rise", rise).where((F.col(v) >= threshold) & (F.col("rise") >= slope)).drop("rise"), keys, gap, i)
 
@@ -58,15 +94,17 @@ def rising_edges(df: DataFrame, keys: Keys, threshold: float, slope: float, gap:
 def hysteresis(df: DataFrame, keys: Keys, enter: float, stay: float, hold: int, v: str = "score", i: str = "i") -> DataFrame:
     """Adds ``on``: set at ``enter``, kept while ``stay`` is reached at least every ``hold`` rows; the hold's tail is on."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        on, quiet, state = [], 0, False
-        for x in pdf[v]:
-            if not state:
-                state, quiet = x >= enter, 0
-            else:
-                quiet = 0 if x >= stay else quiet + 1
-                state = quiet <= hold
-            on.append(bool(state))
+    def fold(pdf: pd.DataFrame, segments: list[tuple[int, int]]) -> pd.DataFrame:
+        on, values = np.zeros(len(pdf), bool), pdf[v].tolist()
+        for a, b in segments:
+            state, quiet = False, 0
+            for n in range(a, b):
+                if not state:
+                    state, quiet = values[n] >= enter, 0
+                else:
+                    quiet = 0 if values[n] >= stay else quiet + 1
+                    state = quiet <= hold
+                on[n] = state
         return pdf.drop(columns="session").assign(on=on)
 
     return folded(df, keys, None, fold, _schema(df, "`on` boolean"), i)
@@ -75,14 +113,17 @@ def hysteresis(df: DataFrame, keys: Keys, enter: float, stay: float, hold: int,
 def min_separation(df: DataFrame, keys: Keys, gap: int | float, v: str, t: str = "t", tie: Sequence[str] = ()) -> DataFrame:
     """Rows at least ``gap`` apart: a row too near the last kept one replaces it if its value is higher."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(pdf: pd.DataFrame, segments: list[tuple[int, int]]) -> pd.DataFrame:
         kept: list[int] = []
-        for n, (x, y) in enumerate(zip(pdf[t], pdf[v], strict=True)):
-            if kept and x - pdf[t][kept[-1]] < gap:
-                if y > pdf[v][kept[-1]]:
-                    kept[-1] = n
-            else:
-                kept.append(n)
+        times, values = pdf[t].tolist(), pdf[v].tolist()
+        for a, b in segments:
+            first = len(kept)
+            for n in range(a, b):
+                if len(kept) > first and times[n] - times[kept[-1]] < gap:
+                    if values[n] > values[kept[-1]]:
+                        kept[-1] = n
+                else:
+                    kept.append(n)
         return pdf.loc[kept].drop(columns="session")
 
     return folded(df, keys, gap, fold, _schema(df), t, tie)
@@ -91,14 +132,19 @@ def min_separation(df: DataFrame, keys: Keys, gap: int | float, v: str, t: str =
 def suppressed(df: DataFrame, keys: Keys, reach: int | float, v: str, t: str = "t", tie: Sequence[str] = (), quota: int | None = None) -> DataFrame:
     """Highest first, rows with no taken row closer than ``reach``; at most ``quota`` a series if given."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: list[int] = []
-        for n in sorted(range(len(pdf)), key=lambda n: (-pdf[v][n], n)):
-            if quota is not None and len(taken) == quota:
-                break
-            if all(abs(pdf[t][n] - pdf[t][m]) >= reach for m in taken):
-                taken.append(n)
-        return pdf.loc[sorted(taken)].drop(columns="session")
+    def fold(pdf: pd.DataFrame, segments: list[tuple[int, int]]) -> pd.DataFrame:
+        out: list[int] = []
+        times, values = pdf[t].tolist(), pdf[v].tolist()
+        for a, b in segments:
+            taken: list[int] = []  # by time: only the neighbours of a new row can be too near
+            for n in sorted(range(a, b), key=lambda n: (-values[n], n)):
+                if quota is not None and len(taken) == quota:
+                    break
+                at = bisect_left(taken, n)
+                if all(abs(times[n] - times[m]) >= reach for m in taken[max(0, at - 1) : at + 1]):
+                    taken.insert(at, n)
+            out += taken
+        return pdf.loc[out].drop(columns="session")
 
     return folded(df, keys, None if quota is not None else reach, fold, _schema(df), t, tie)
 
@@ -113,14 +159,17 @@ def peaks(df: DataFrame, keys: Keys, distance: int, height: float, v: str = "v",
 def placed(df: DataFrame, keys: Keys, size: str, room: int, gap: int, order: str) -> DataFrame:
     """First fit in order on a canvas of ``room``: rows with ``at``, until one does not fit."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, cursor = [], 0
-        for n in pdf[size]:
-            if cursor + n > room:
-                break
-            at.append(cursor)
-            cursor += n + gap
-        return pdf.iloc[: len(at)].drop(columns="session").assign(at=np.array(at, np.int64))
+    def fold(pdf: pd.DataFrame, segments: list[tuple[int, int]]) -> pd.DataFrame:
+        kept, at, sizes = [], [], pdf[size].tolist()
+        for a, b in segments:
+            cursor = 0
+            for n in range(a, b):
+                if cursor + sizes[n] > room:
+                    break
+                kept.append(n)
+                at.append(cursor)
+                cursor += sizes[n] + gap
+        return pdf.loc[kept].drop(columns="session").assign(at=np.array(at, np.int64))
 
     return folded(df, keys, None, fold, _schema(df, "`at` bigint"), order)
 
@@ -214,10 +263,17 @@ def matched(predicted: DataFrame, actual: DataFrame, keys: Keys, tolerance: int
     kind = dict(predicted.dtypes)
     schema = ", ".join([*(f"`{k}` {kind[k]}" for k in keys), f"predicted {kind[t]}, actual {kind[t]}"])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, o = pdf.loc[pdf.side == 0, t].to_numpy(), pdf.loc[pdf.side == 1, t].to_numpy()
-        pairs = match(p, o, tolerance) if len(p) and len(o) else []
-        out = {k: pd.Series([pdf[k].iloc[0]] * len(pairs), dtype=object) for k in keys}
-        return pd.DataFrame(out | {"predicted": [p[a] for a, _ in pairs], "actual": [o[b] for _, b in pairs]})
+    def fold(pdf: pd.DataFrame, segments: list[tuple[int, int]]) -> pd.DataFrame:
+        side, times, rows, p, o = pdf["side"].to_numpy(), pdf[t].to_numpy(), [], [], []
+        for a, b in segments:
+            here = side[a:b] == 0
+            left, right = times[a:b][here], times[a:b][~here]
+            if left.size and right.size:
+                found = match(left, right, tolerance)
+                rows += [a] * len(found)
+                p += [left[i] for i, _ in found]
+                o += [right[j] for _, j in found]
+        out = {k: pd.Series(pdf[k].to_numpy()[rows] if rows else [], dtype=object) for k in keys}
+        return pd.DataFrame(out | {"predicted": p, "actual": o})
 
     return folded(both, keys, tolerance, fold, schema, t, ["side"])
