@@ -23,10 +23,11 @@ ignored; texts are never truncated.
 
 from __future__ import annotations
 
+import string
 import struct
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -40,7 +41,7 @@ CAPACITY = 4096
 END = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Longest rest that is a piece of its own; most words remembered; groups merged in one round.
-TAIL, MEMO, FAN = 64, 400_000, 64
+TAIL, MEMO, FAN = 64, 550_000, 64
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, kind int, worker long, sequence_id long, offset long"
 _NAMES = [x.split()[0] for x in _PIECE.split(", ")]
@@ -64,8 +65,13 @@ def per_bin(kind: int) -> int:
     return kind if kind > 0 else CAPACITY // -kind
 
 
+#: ASCII signs but the apostrophe, which the splitter may keep with the letters after it.
+_STOPS = string.punctuation.replace("'", "")
+_FORMATS = [f"<{n}I" for n in range(32)]
+
+
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return struct.pack(_FORMATS[len(ids)] if len(ids) < 32 else f"<{len(ids)}I", *ids)
 
 
 @lru_cache(1)
@@ -81,44 +87,55 @@ def _visible_bytes() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Memo(dict):
+    """Values of a function, each computed when first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        out = self[word] = self.make(word)
+        return out
+
+
 class Ids:
     """Token ids of texts as little-endian 32-bit words, by words that white space parts.
 
-    A new word of plain letters, perhaps with a full stop or comma, is one
-    run of the tokenizer's splitter, so it goes to the merges directly; any
-    other goes through the whole tokenizer.
+    A new word of plain letters is one run of the tokenizer's splitter, and
+    signs after it are another, so the letters go to the merges directly; any
+    other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer, self.memo = Tokenizer.from_file(path), _Memo(self._word)
         self.model, visible = self.tokenizer.model, _visible_bytes()
         # letters below U+0130 lower to one letter each and are in normal form
         self.letters = {c: "".join(visible[b] for b in chr(c).lower().encode()) for c in range(0x130) if chr(c).isalpha()}
-        self.stops = {c: self._whole(c) for c in ".,"}
 
     def _whole(self, word: str) -> bytes:
         return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
-        core, stop = word, b""
-        if len(word) > 1 and word[-1] in self.stops and word[-2].isascii() and word[-2].isalpha():
-            core, stop = word[:-1], self.stops[word[-1]]
-        if core.isalpha() and max(core) < "\u0130":
-            return _packed([t.id for t in self.model.tokenize(core.translate(self.letters))]) + stop
-        return self._whole(word)
+        letters = core = word.rstrip(_STOPS)
+        if not core.isalpha():
+            return self._whole(word)
+        if core.isascii():  # such letters stand for themselves
+            core = core.lower()
+        elif max(core) < "\u0130":
+            core = core.translate(self.letters)
+        else:
+            return self._whole(word)
+        ids = _packed([t.id for t in self.model.tokenize(core)])
+        return ids if len(letters) == len(word) else ids + self.memo[word[len(letters) :]]
 
     def many(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo, out = self.memo, []
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            for w in {w for w in words if w not in memo}:
-                memo[w] = self._word(w)
-            out.append(b"".join(map(memo.__getitem__, words)))
-        return out
+        ids = self.memo.__getitem__
+        return [b"".join(map(ids, text.replace("\n", " ").split(" "))) for text in texts]
 
 
 class Bins:

@@ -278,3 +278,14 @@ def test_pipeline_of_nothing(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
         assert docs.count() == 0
+
+
+def test_ids_are_the_tokenizers():
+    import random
+
+    ids = packing.Ids(packing.tokenizer_path())
+    rng = random.Random(9)
+    signs = "abZÉßñİΣσ09 ..,,!'\"<>|_-%$*\n\tªº²é́ "
+    for _ in range(4000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(1, 30)))
+        assert np.frombuffer(ids.many([text])[0], "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
