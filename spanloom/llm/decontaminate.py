@@ -52,7 +52,7 @@ def patterns(items: list[tuple[object, str | None]], window: int = WINDOW) -> di
     found: dict[str, tuple[int, list[str]]] = {}
     for item, text in items:
         line, n = normalised((text or "").encode())
-        words = line.split()
+        words = line[1:-1].split(" ")  # str.split() would also cut at bytes 0x85 and 0xA0 inside letters
         for i in range(max(1, n - window + 1) if n else 0):
             part = words[i : i + window]
             owners = found.setdefault(f" {' '.join(part)} ", (len(part), []))[1]

@@ -94,6 +94,18 @@ def test_decontamination(spark, rows, block):
     assert got[999]["_n_hit"] == 14
 
 
+def test_decontamination_keeps_letters_whole(spark):
+    """Letters whose UTF-8 holds byte 0x85 or 0xA0."""
+    words = "à Å хлеб Роза 老 中国 nb\u00a0sp voilà Århus Рим 全 tail".split(" ")
+    items = [(1, " ".join(words)), (2, "voilà Århus"), (3, "Å")]
+    rows = [(1, "intro " + " ".join(words) + " outro"), (2, "x " + " ".join(words[2:]) + " y"), (3, "a VOILà Århus b"), (4, "voil hus")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.scanned(frame(spark, rows), bench).collect()}
+    for i, t in rows:
+        assert (got[i]["_n_words"], got[i]["_n_hit"], got[i]["_items"]) == hits(t, items)
+    assert got[1]["_n_hit"] == 12 and got[2]["_items"] == ["1", "2"]
+
+
 def test_decontamination_edges(spark, docs, empty, repeated):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.scanned(docs, none).where("_n_hit > 0").count() == 0
