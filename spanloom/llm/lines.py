@@ -9,13 +9,17 @@ from its left end to its right, with the same windows elsewhere.  All but the
 first place of a run, in the order of (doc_id, line), lose its lines; longer
 runs are the union of such windows.
 
+A passage can also be repeated as fewer lines than ``RUN``.  Each single line,
+pair and so on below ``RUN`` with more than ``LONG`` words is a window and a
+fingerprint of its own, beside the others.
+
 The texts meet their runs in a sort-merge join at every size, so a small run
 table changes nothing about the plan.  No pairs are made: an occurrence is compared with the first one of its window
 only, counts and minima are partial aggregates, and the joins back on them
 are split where a key is hot.
 
 Edge cases: null and empty texts have no line; texts of fewer than ``RUN``
-lines lose none; a row without doc_id counts as last; rows that repeat a
+lines lose long windows only; a row without doc_id counts as last; rows that repeat a
 doc_id and its text get the same result and do not delete each other's lines;
 an empty table gives an empty result; other columns are kept by
 :func:`deduplicated`, but for those that have the names of its own.
@@ -36,76 +40,88 @@ from . import textkit as tk
 from .base import fewer, free, release, table, written
 
 RUN = 3
+#: A run shorter than ``RUN`` lines counts if it has more words than this.
+LONG = 50
 
 _LINE = tk.lut(b"\n")
 _LAST = (1 << 63) - 1
 
 
-def lines_of(buf: np.ndarray, off: np.ndarray) -> tuple[tk.Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines of a slice, which of them hold a word, and the trimmed start and end of these."""
+def lines_of(buf: np.ndarray, off: np.ndarray) -> tuple[tk.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of a slice, which of them hold a word, and the trimmed start, end and words of these."""
     lines, words = tk.Words(buf, off, _LINE), tk.Words(buf, off)
     first = np.searchsorted(words.start, lines.start)
     after = np.searchsorted(words.start, lines.end)
     full = after > first
-    return lines, full, words.start[first[full]], words.end[after[full] - 1]
+    return lines, full, words.start[first[full]], words.end[after[full] - 1], (after - first)[full]
 
 
-def _anchors(batch: pa.RecordBatch, run: int) -> Iterator[pa.RecordBatch]:
+def _anchors(batch: pa.RecordBatch, run: int, long: int | None) -> Iterator[pa.RecordBatch]:
     for lo, _, buf, off in tk.text_slices(batch.column("_text")):
-        lines, full, start, end = lines_of(buf, off)
+        lines, full, start, end, count = lines_of(buf, off)
         doc = lines.doc[full]
         h = tk.span_hashes(buf, start, end)
         bound = np.searchsorted(doc, np.arange(len(off)))
-        if h.size < run:
-            continue
-        ok = np.flatnonzero(doc[: h.size - run + 1] == doc[run - 1 :])
-        key = tk.windows(h, run)[ok]
-        best = np.argmin(np.stack([h[ok + i] for i in range(run)]), 0) + ok if ok.size else ok
-        cut = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (ok[1:] != ok[:-1] + 1)])) if ok.size else ok
-        owner = doc[ok[cut]]
-        keys = pa.ListArray.from_arrays(pa.array(np.append(cut, ok.size).astype(np.int32)), pa.array(key.view(np.int64)))
-        who = pa.array(owner + lo)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("_key").take(who),
-                batch.column("_hash").take(who),
-                pa.array(h[best[cut]].view(np.int64)),
-                pa.array((ok[cut] - bound[owner]).astype(np.int32)),
-                keys,
-            ],
-            ["_key", "_hash", "print", "start", "keys"],
-        )
-
-
-def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """_key, _hash and the starts of the windows of ``run`` lines that occur earlier, of documents that have any."""
+
+        def rows(prints: np.ndarray, at: np.ndarray, cut: np.ndarray, key: np.ndarray, size: int, lo=lo, doc=doc, bound=bound) -> pa.RecordBatch:
+            """A row a fingerprint: windows ``cut[i]`` to ``cut[i + 1]`` chose it."""
+            owner = doc[at[cut]]
+            keys = pa.ListArray.from_arrays(pa.array(np.append(cut, at.size).astype(np.int32)), pa.array(key.view(np.int64)))
+            who = pa.array(owner + lo)
+            return pa.RecordBatch.from_arrays(
+                [
+                    batch.column("_key").take(who),
+                    batch.column("_hash").take(who),
+                    pa.array(prints.view(np.int64)),
+                    pa.array((at[cut] - bound[owner]).astype(np.int32)),
+                    pa.array(np.full(cut.size, size, np.int32)),
+                    keys,
+                ],
+                ["_key", "_hash", "print", "start", "size", "keys"],
+            )
+
+        if h.size >= run:
+            ok = np.flatnonzero(doc[: h.size - run + 1] == doc[run - 1 :])
+            key = tk.windows(h, run)[ok]
+            best = np.argmin(np.stack([h[ok + i] for i in range(run)]), 0) + ok if ok.size else ok
+            cut = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (ok[1:] != ok[:-1] + 1)])) if ok.size else ok
+            yield rows(h[best[cut]], ok, cut, key, run)
+        total = np.concatenate([[0], np.cumsum(count)])
+        for size in range(1, min(run, h.size + 1)) if long is not None else ():
+            ok = np.flatnonzero((doc[: h.size - size + 1] == doc[size - 1 :]) & (total[size:] - total[:-size] > long))
+            key = tk.windows(h, size)[ok]
+            yield rows(key, ok, np.arange(ok.size), key, size)
+
+
+def repeated_runs(docs: DataFrame, run: int = RUN, long: int | None = LONG) -> DataFrame:
+    """_key, _hash and the windows (at, size) that occur earlier, of documents that have any."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _anchors(batch, run)
+            yield from _anchors(batch, run, long)
 
-    schema = "_key long, _hash long, print long, start int, keys array<long>"
+    schema = "_key long, _hash long, print long, start int, size int, keys array<long>"
     marks = written(docs.mapInArrow(emit, schema), "fingerprints")
     often = marks.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
     places = written(
-        marks.join(often, "print").select("_key", "_hash", "print", "start", F.posexplode("keys").alias("i", "window")).select(
-            "_key", "_hash", "print", "window", (F.col("start") + F.col("i")).alias("at")
+        marks.join(often, "print").select("_key", "_hash", "print", "start", "size", F.posexplode("keys").alias("i", "window")).select(
+            "_key", "_hash", "print", "size", "window", (F.col("start") + F.col("i")).alias("at")
         ),
         "windows",
     )
     release(marks)
     place = F.struct("_key", "_hash", "at")
-    first = places.groupBy("print", "window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = places.join(first, ["print", "window"]).where(place > F.col("first"))
-    return written(later.groupBy("_key", "_hash").agg(F.collect_set("at").alias("_starts")), "runs")
+    first = places.groupBy("print", "size", "window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = places.join(first, ["print", "size", "window"]).where(place > F.col("first"))
+    return written(later.groupBy("_key", "_hash").agg(F.collect_set(F.struct("at", "size")).alias("_starts")), "runs")
 
 
-def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """All columns of ``docs``, and _n_lines, _n_removed and _kept, the text without later repeated runs."""
+def deduplicated(docs: DataFrame, run: int = RUN, long: int | None = LONG) -> DataFrame:
+    """All columns of ``docs``, and _n_lines, _n_removed and _kept, the text without later repeated runs; ``long`` None: of ``run`` lines only."""
     docs = docs.drop("_n_lines", "_n_removed", "_kept")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     digest = F.xxhash64("text")
-    runs = repeated_runs(docs.select(key.alias("_key"), digest.alias("_hash"), F.col("text").alias("_text")), run)
+    runs = repeated_runs(docs.select(key.alias("_key"), digest.alias("_hash"), F.col("text").alias("_text")), run, long)
     schema = T.StructType(
         [*docs.schema, T.StructField("_n_lines", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_kept", T.StringType())]
     )
@@ -114,7 +130,7 @@ def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, off in tk.text_slices(batch.column("text")):
-                yield _cut(batch.slice(lo, hi - lo), names, starts, buf, off, run)
+                yield _cut(batch.slice(lo, hi - lo), names, starts, buf, off)
 
     k, h, starts = free(docs, "_key"), free(docs, "_hash"), free(docs, "_starts")
     runs = runs.select(F.col("_key").alias(k), F.col("_hash").alias(h), F.col("_starts").alias(starts))
@@ -122,15 +138,15 @@ def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
     return fewer(paired).mapInArrow(cut, schema)
 
 
-def _cut(batch: pa.RecordBatch, names: list[str], column: str, buf: np.ndarray, off: np.ndarray, run: int) -> pa.RecordBatch:
-    lines, full, _, _ = lines_of(buf, off)
+def _cut(batch: pa.RecordBatch, names: list[str], column: str, buf: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
+    lines, full, *_ = lines_of(buf, off)
     count = np.bincount(lines.doc[full], minlength=len(off) - 1)
     starts = batch.column(column)
     removed, kept = np.zeros(len(off) - 1, np.int64), []
     for i, text in enumerate(batch.column("text")):
         text = text.as_py()
         if starts[i].is_valid:
-            gone = set((np.array(starts[i].as_py())[:, None] + np.arange(run)).ravel().tolist())
+            gone = {x["at"] + k for x in starts[i].as_py() for k in range(x["size"])}
             removed[i] = len(gone)
             out, at = [], 0
             for line in text.split("\n"):
@@ -147,7 +163,8 @@ def _cut(batch: pa.RecordBatch, names: list[str], column: str, buf: np.ndarray,
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # the query's SQL knows runs of RUN lines only; the pipeline takes long shorter ones as well
+    found = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), long=None)
     return found.select(
         "doc_id",
         F.col("_n_lines").alias("n_lines"),

@@ -159,6 +159,19 @@ def test_lines_edges(empty, repeated, spark):
     assert {r["doc_id"]: r["_kept"] for r in lines.deduplicated(twice).collect()} == {1: "q\na b \nc d\n e f", 2: "x", None: ""}
 
 
+def test_long_lines_are_runs_of_their_own(spark):
+    """A passage of over 50 words that two texts share as one line, or as two, goes from the later one."""
+    say = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    one, two, short = say("a", 51), [say("b", 26), say("c", 25)], say("d", 50)
+    rows = [(1, f"x\n{one}\ny"), (2, f"p\n  {one}\t\nq"), (3, "\n".join(["r", *two, "s"])), (4, "\n".join(["t", *two, "u"]))]
+    rows += [(5, f"{short}\nv"), (6, f"{short}\nw"), (7, one), (8, f"{two[0]}\nz"), (9, f"{one}\nk"), (10, f"{one}\nk")]
+    got = {r["doc_id"]: (r["_n_removed"], r["_kept"]) for r in lines.deduplicated(frame(spark, rows)).collect()}
+    texts = dict(rows)
+    assert {i: got[i] for i in (1, 3, 5, 6, 8)} == {i: (0, texts[i]) for i in (1, 3, 5, 6, 8)}
+    assert (got[2], got[4], got[7], got[9], got[10]) == ((1, "p\nq"), (2, "t\nu"), (1, ""), (1, "k"), (2, ""))
+    assert all(r["_n_removed"] == 0 for r in lines.deduplicated(frame(spark, rows), long=None).collect())
+
+
 def test_shingle_sets_fold_case():
     a, b = neardup.shingle_sets(pa.array(["One TWO three Four fIVE six", "one two three four five six"]))[0]
     assert a.tolist() == b.tolist() and len(a) == 2
