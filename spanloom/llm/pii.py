@@ -4,19 +4,22 @@ Base spans are regular expression matches that pass a check.  A pattern's
 places come from the text split at it: the lengths of what lies between the
 matches and of the matches add up to code points.
 
-The method adds terms that give an entity away.  Terms are words of at least
-``TERM_CHARS`` letters within ``REACH`` code points of an entity.  With N
-documents, n(t) of them holding the term anywhere, n(e) the entity and n(t, e)
-the term near the entity, the term discloses the entity when
+The method adds terms that give an entity away.  Terms are runs of letters, of
+any length, that touch no base span.  With N documents, n(t) of them holding
+the term, n(e) the entity and n(t, e) both, wherever in the document, the term
+discloses the entity when
 
     PMI(t, e) = log2(N n(t, e) / (n(t) n(e))) >= DISCLOSURE * log2(N / n(e))
 
 that is, when knowing the term tells at least that part of what there is to
-know about the entity, and ``SUPPORT`` different texts show it.  A term that
-always comes with the entity is removed, another is generalised.
+know about the entity, and ``SUPPORT`` different texts show it.  Every place of
+such a term is marked, in documents without the entity too.  A term that always
+comes with an entity is removed, another is generalised.
 
-n(t) is counted over every word of every document, as partial sums.  A
-document joins the rest by (doc_id, hash of its text).
+n(t) and n(t, e) are counted over every word of every document, as partial
+sums; entities of fewer than ``SUPPORT`` texts, which no term can disclose, are
+left out before pairs are made.  Places are looked up only in the documents
+that hold a disclosing term.  A document joins the rest by (doc_id, hash of its text).
 
 Edge cases: a null text is empty and has no span; a row without doc_id takes
 part like any; rows that repeat a doc_id and its text get the same spans; an
@@ -31,7 +34,6 @@ from pyspark.sql import functions as F
 from .base import fewer, table, written
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-REACH, TERM_CHARS = 64, 4
 SUPPORT, DISCLOSURE = 3, 0.9
 
 #: The contract's patterns.  Possessive repeats and looks behind change no match: they stop the engine
@@ -42,7 +44,10 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_WORD = r"(?<!\p{L})\p{L}{%d,}+" % TERM_CHARS
+_WORD = r"\p{L}++"
+#: Stands for a base span; letters that touch it are part of what the span hides.
+_HOLE = "\uffff"
+_FREE_WORD = r"(?<![\p{L}\uFFFF])\p{L}++(?!\uFFFF)"
 
 _LAST = (1 << 63) - 1
 
@@ -57,9 +62,10 @@ def places(text: Column, pattern: str, keep, value) -> Column:
         a = acc["at"] + F.length(x["gap"])
         b = a + F.length(x["hit"])
         one = F.array(F.struct(a.alias("start"), b.alias("end"), value(x["hit"]).alias("value")))
-        return F.struct(b.alias("at"), F.when(keep(x["hit"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        return F.struct(b.alias("at"), F.when(x["hit"].isNotNull() & keep(x["hit"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    pairs = F.transform(found, lambda hit, i: F.struct(hit.alias("hit"), F.get(between, i).alias("gap")))
+    # zipped, as a lambda over positions would split the text again for every match; what follows the last match has no hit
+    pairs = F.zip_with(found, between, lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
@@ -114,39 +120,39 @@ def _counted(number: int) -> Column:
     return F.size(F.filter("base", lambda s: s["kind"] == number)).cast("long")
 
 
-def _near(text: Column, span: Column, spans: Column) -> Column:
-    """Words near a span that touch no base span; one cut off at the end of reach is left out."""
-    low = F.greatest(span["start"] - REACH, F.lit(0))
-    high = span["end"] + REACH
-    around = F.substring(text, low + 1, high - low)
-    words = places(around, _WORD, lambda x: F.lit(True), F.lower)
-    whole = F.filter(
-        words,
-        lambda w: ((low == 0) | (w["start"] > 0))
-        & ((w["end"] < high - low) | (high >= F.length(text)))
-        & ~F.exists(spans, lambda s: (s["start"] < w["end"] + low) & (s["end"] > w["start"] + low)),
-    )
-    return F.transform(
-        whole,
-        lambda w: F.struct(
-            F.concat_ws(":", span["kind"], span["value"]).alias("entity"), w["value"].alias("term"), (w["start"] + low).alias("start"), (w["end"] + low).alias("end")
-        ),
-    )
+def _words(text: Column, pattern: str = _WORD) -> Column:
+    """The different words of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower))
+
+
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with each base span as one hole."""
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.concat(acc["out"], gap, F.lit(_HOLE)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, level: float = DISCLOSURE) -> DataFrame:
     """(entity, term, share): terms that give the entity away, and n(t, e) / n(t)."""
-    near = found.select("key", "hash", F.explode("near").alias("x")).select("key", "hash", "x.entity", "x.term").distinct()
-    pairs = near.groupBy("entity", "term", "hash").agg(F.count("*").alias("n")).groupBy("entity", "term")
-    pairs = pairs.agg(F.sum("n").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= support)
+    some = found.where(F.size("spans") > 0)
+    copies = some.select("key", "hash").distinct().groupBy("hash").agg(F.count("*").alias("n"))
+    named = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))
+    texts = some.select("hash", named.alias("entities"), "terms").dropDuplicates(["hash"]).join(copies, "hash")
     entities = (
-        found.select("key", "hash", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("entity"))
-        .distinct()
+        texts.select("n", F.explode("entities").alias("entity"))
         .groupBy("entity")
-        .agg(F.count("*").alias("n_entity"))
+        .agg(F.sum("n").alias("n_entity"), F.count("*").alias("shown"))
+        .where(F.col("shown") >= support)
+        .drop("shown")
     )
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    held = texts.select("n", "terms", F.explode("entities").alias("entity")).join(entities.select("entity"), "entity")
+    pairs = held.select("n", "entity", F.explode("terms").alias("term")).groupBy("entity", "term")
+    pairs = written(pairs.agg(F.sum("n").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= support), "pairs")
+    terms = docs.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     total = docs.count()
     kept = pairs.join(terms.join(pairs.select("term").distinct(), "term"), "term").join(entities, "entity")
     share = F.col("both") / F.col("n_term")
@@ -155,29 +161,33 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, level:
     return kept.where((known > 0) & (pmi >= level * known)).select("entity", "term", F.least(share, F.lit(1.0)).alias("share"))
 
 
+def _marked(docs: DataFrame, give: DataFrame) -> DataFrame:
+    """key, hash and terms (start, kind, end, action): every place of a disclosing term."""
+    action = F.when(F.max("share") >= 1, "remove").otherwise("generalise").alias("action")
+    given = written(give.groupBy("term").agg(action), "given")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    held = rows.select("key", "hash", F.explode(_words(F.col("text"))).alias("term")).join(given, "term")
+    holders = written(held.groupBy("key", "hash").agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("actions")), "holders")
+    found = places(F.col("text"), _WORD, lambda x: F.map_contains_key("actions", F.lower(x)), F.lower)
+    spans = F.transform(
+        found, lambda w: F.struct(w["start"].alias("start"), F.lit(4).alias("kind"), w["end"].alias("end"), F.element_at("actions", w["value"]).alias("action"))
+    )
+    return rows.join(holders, ["key", "hash"]).select("key", "hash", spans.alias("terms")).dropDuplicates(["key", "hash"])
+
+
 def spans(docs: DataFrame, support: int = SUPPORT, level: float = DISCLOSURE) -> DataFrame:
     """doc_id, key, hash, base and added spans (start, kind, end, action) of every document."""
     found = base_spans(docs)
-    # the places near a base span, while the text is at hand
-    near = F.when(
-        F.size("spans") > 0, F.flatten(F.transform("spans", lambda s: _near(F.col("text"), s, F.col("spans"))))
-    ).otherwise(F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>"))
-    found = written(found.select("doc_id", "key", "hash", "spans", near.alias("near")), "found")
-    give = disclosing(docs, found, support, level)
-    added = (
-        found.select("key", "hash", F.explode("near").alias("x"))
-        .select("key", "hash", "x.entity", "x.term", "x.start", "x.end")
-        .join(give, ["entity", "term"])
-        .groupBy("key", "hash", "start", "end")
-        .agg(F.max("share").alias("share"))
-        .withColumn("span", F.struct("start", F.lit(4).alias("kind"), "end", F.when(F.col("share") >= 1, "remove").otherwise("generalise").alias("action")))
-        .groupBy("key", "hash")
-        .agg(F.collect_list("span").alias("terms"))
-    )
+    # the words beside base spans, while the text is at hand
+    terms = F.when(F.size("spans") > 0, _words(_outside(F.col("text"), F.col("spans")), _FREE_WORD)).otherwise(F.array().cast("array<string>"))
+    found = written(found.select("doc_id", "key", "hash", "spans", terms.alias("terms")), "found")
+    added = _marked(docs, disclosing(docs, found, support, level))
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit("mask").alias("action")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,action:string>>")
-    return fewer(found.join(added, ["key", "hash"], "left")).select(
-        "doc_id", "key", "hash", base.alias("base"), F.array_sort(F.concat(base, F.coalesce("terms", none))).alias("all")
+    apart = F.filter(F.coalesce("terms", none), lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
+    return fewer(found.drop("terms").join(added, ["key", "hash"], "left")).select(
+        "doc_id", "key", "hash", base.alias("base"), F.array_sort(F.concat(base, apart)).alias("all")
     )
 
 

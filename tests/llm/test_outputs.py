@@ -166,6 +166,20 @@ def test_disclosing_terms(spark):
     assert "secret" not in clean[3] and "Zanzibar" not in clean[3] and "[EMAIL]" in clean[3] and clean[105] == texts[105]
 
 
+def test_disclosing_terms_anywhere(spark):
+    """Far from the entity, in a document without it, and of any length; what a base span touches is no term."""
+    far = "ordinary words and nothing else besides them " * 4
+    rows = [(i, f"Zanzibar Li 李明 {far} {i} mail éme@secret.org") for i in range(6)]
+    rows += [(50, f"{far} as Li said to li, é"), (51, "李明"), (52, "Alibi")]
+    rows += [(100 + i, f"{i} {far} mail") for i in range(300)]
+    found = {r["doc_id"]: r for r in pii.spans(frame(spark, rows)).collect()}
+    texts = dict(rows)
+    added = {i: [(texts[i][s["start"] : s["end"]], s["action"]) for s in found[i]["all"] if s["kind"] == 4] for i in texts}
+    assert added[0] == [("Zanzibar", "remove"), ("Li", "generalise"), ("李明", "generalise")]
+    assert added[50] == [("Li", "generalise"), ("li", "generalise")] and added[51] == [("李明", "generalise")]
+    assert not any(added[i] for i in (52, 100, 399))
+
+
 def test_personal_data_edges(spark, empty, repeated):
     assert pii.spans(empty).count() == 0 and pii.sanitised(empty).count() == 0
     assert pii.spans(repeated).count() == 27
