@@ -1,24 +1,33 @@
 """Harmonic packing of token sequences (op7).
 
-A document's ids, with the end id, are cut at once, by its length alone:
-class k takes pieces of exactly floor(4096 / k) ids, k to a bin, and each cut
-takes the largest class that fits the rest; a rest of at most ``TAIL`` ids is one
-piece of the class of its own length.  Every class fills its bins with a fixed
-number of pieces, so workers fill bins independently and never look at lengths
-again: a bin of class k wastes less than k ids.
-
-What a worker's last, unfilled bins hold is bounded by the classes alone.  It
-is merged by class over groups of ``FAN`` workers, then of FAN * FAN, until one
-group is left; the last pieces of all, bounded by the classes whatever the
-corpus, are placed largest first into the fullest bin with room.
+Lengths, with the end id, fall into reciprocal classes: a document of n ids is
+of class k = floor(4096 / n), and a bin of class k takes k whole documents of
+that class.  Only a document longer than a sequence is cut at once: it fills
+sequences alone, and its rest is classed like any document.
+
+A bin that has its k documents still has room, under a k + 1st of 4096 ids.  As
+soon as this room is more than what the unfilled bins hold, documents that
+come next are given to it, each whole into the fullest bin that has room for
+it; when the room grows to twice that and no bin has room for a whole one, a
+document is cut over the widest rooms.  A sequence is given out when it is full.
+
+Workers fill bins independently: nothing is shuffled, and a worker holds the
+ids of its bins alone, of about 64 classes whatever the corpus.  At the end of
+its rows a worker fills rooms from the unfilled bins, then from the emptiest
+bins.  Its very last sequence is cut into sequences whose lengths are powers of
+two, so nothing is padded.
+
+A worker is an input partition, whose number is taken below the kernel:
+partitions that are coalesced later into one task keep their own numbers, so
+sequence ids never meet.
 
 Ids come from a public tokenizer whose merges never cross white space, so a
 worker keeps the ids of words it has seen (``MEMO`` of them at most, then it
 starts again).
 
-Edge cases: null and empty texts have the end id alone; repeated rows are
-packed like any; an empty table gives an empty result; other columns are
-ignored; texts are never truncated.
+Edge cases: null and empty texts have the end id alone; repeated rows and rows
+without doc_id are packed like any; an empty table gives an empty result; other
+columns are ignored; texts are never truncated.
 """
 
 from __future__ import annotations
@@ -26,43 +35,26 @@ from __future__ import annotations
 import string
 import struct
 import zlib
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table, written
+from .base import table
 
 CAPACITY = 4096
 END = 2
 TOKENIZER = "word_bpe_49k.json"
-#: Longest rest that is a piece of its own; most words remembered; groups merged in one round.
-TAIL, MEMO, FAN = 64, 550_000, 64
+#: Most words remembered.
+MEMO = 550_000
 
-_PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, kind int, worker long, sequence_id long, offset long"
+_PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [x.split()[0] for x in _PIECE.split(", ")]
-_TYPES = [pa.int32() if x.endswith("int") else pa.int64() for x in _PIECE.split(", ")]
-
-
-def cuts(length: int) -> list[tuple[int, int]]:
-    """(class, ids) of the pieces of a document; a tail's class is minus its length."""
-    out = [(1, CAPACITY)] * (length // CAPACITY)
-    rest = length % CAPACITY
-    while rest > TAIL:
-        k = -(-CAPACITY // rest)
-        while CAPACITY // k > rest:
-            k += 1
-        out.append((k, CAPACITY // k))
-        rest -= CAPACITY // k
-    return out + [(-rest, rest)] * bool(rest)
-
-
-def per_bin(kind: int) -> int:
-    return kind if kind > 0 else CAPACITY // -kind
 
 
 #: ASCII signs but the apostrophe, which the splitter may keep with the letters after it.
@@ -138,114 +130,149 @@ class Ids:
         return [b"".join(map(ids, text.replace("\n", " ").split(" "))) for text in texts]
 
 
+@dataclass
+class Part:
+    """Ids of a document from ``start`` on, as bytes."""
+
+    doc: int | None
+    start: int
+    ids: memoryview
+    total: int
+
+    def __len__(self) -> int:
+        return len(self.ids) // 4
+
+    def cut(self, n: int) -> tuple[Part, Part]:
+        return Part(self.doc, self.start, self.ids[: 4 * n], self.total), Part(self.doc, self.start + n, self.ids[4 * n :], self.total)
+
+
 class Bins:
-    """Open bins of each class; a bin that is full is given out at once."""
+    """The bins of one worker; full sequences go to ``out`` at once."""
 
     def __init__(self, first: int):
-        self.open: dict[int, list[list]] = defaultdict(list)
         self.next, self.out = first, []
+        self.open: dict[int, list[Part]] = defaultdict(list)
+        self.held = 0  # ids in bins that lack documents
+        self.rooms: list[tuple[int, int]] = []  # (room, bin) of bins that have their documents, in order
+        self.room, self.closed = 0, {}
+
+    def add(self, doc: int | None, blob: bytes) -> None:
+        part = Part(doc, 0, memoryview(blob), len(blob) // 4)
+        while len(part) > CAPACITY:
+            whole, part = part.cut(CAPACITY)
+            self.give([whole])
+        if self.room > self.held and len(part) <= self.rooms[-1][0]:
+            self.fill(bisect_left(self.rooms, (len(part), -1)), part)
+        elif self.room > 2 * self.held + len(part):
+            while len(part) > self.rooms[-1][0]:
+                some, part = part.cut(self.rooms[-1][0])
+                self.fill(-1, some)
+            self.fill(bisect_left(self.rooms, (len(part), -1)), part)
+        else:
+            k = CAPACITY // len(part)
+            mine = self.open[k]
+            mine.append(part)
+            self.held += len(part)
+            if len(mine) == k:
+                self.held -= sum(map(len, mine))
+                self.close(self.open.pop(k))
+
+    def close(self, parts: list[Part]) -> None:
+        left = CAPACITY - sum(map(len, parts))
+        if not left:
+            return self.give(parts)
+        self.closed[self.next] = parts
+        insort(self.rooms, (left, self.next))
+        self.room, self.next = self.room + left, self.next + 1
+
+    def fill(self, at: int, part: Part) -> None:
+        """Put a part into the closed bin at a place of ``rooms``."""
+        room, number = self.rooms.pop(at)
+        self.closed[number].append(part)
+        self.room -= len(part)
+        if room > len(part):
+            insort(self.rooms, (room - len(part), number))
+        else:
+            self.give(self.closed.pop(number), number)
 
-    def put(self, piece: list) -> None:
-        mine = self.open[piece[5]]
-        mine.append(piece)
-        if len(mine) == per_bin(piece[5]):
-            self.close(mine)
-            self.open[piece[5]] = []
-
-    def close(self, pieces: list[list]) -> None:
+    def give(self, parts: list[Part], number: int | None = None) -> None:
+        if number is None:
+            number, self.next = self.next, self.next + 1
         at = 0
-        for p in pieces:
-            p[7], p[8] = self.next, at
-            at += p[2]
-        self.next += 1
-        self.out += pieces
+        for p in parts:
+            self.out.append((p.doc, p.start, len(p), zlib.crc32(p.ids), p.total, number, at))
+            at += len(p)
+
+    def finish(self) -> None:
+        """Fill what is left: the fullest bins first, from unfilled bins, then from the emptiest."""
+        spare = sorted(((len(p), i, p) for i, p in enumerate(p for k in sorted(self.open) for p in self.open[k])), key=lambda x: x[:2])
+        bins = [self.closed[number] for _, number in self.rooms]
+        self.open, self.closed, self.rooms, self.held, self.room = defaultdict(list), {}, [], 0, 0
+        extra = len(spare)
+        while bins or spare:
+            parts = bins.pop(0) if bins else []
+            left = CAPACITY - sum(map(len, parts))
+            while left:
+                if not spare and bins:
+                    for p in bins.pop():
+                        insort(spare, (len(p), extra, p), key=lambda x: x[:2])
+                        extra += 1
+                if not spare:
+                    break
+                at = bisect_left(spare, left + 1, key=lambda x: x[0]) - 1  # the longest that fits, or a cut of the shortest
+                size, nth, p = spare.pop(max(at, 0))
+                if size > left:
+                    p, rest = p.cut(left)
+                    insort(spare, (len(rest), nth, rest), key=lambda x: x[:2])
+                parts.append(p)
+                left -= len(p)
+            self.powers(parts) if left else self.give(parts)
+
+    def powers(self, parts: list[Part]) -> None:
+        """Sequences whose lengths are the powers of two that add up to what is left."""
+        left, parts = sum(map(len, parts)), parts[::-1]
+        while left:
+            size, some = 1 << left.bit_length() - 1, []
+            left -= size
+            while size:
+                p = parts.pop()
+                if len(p) > size:
+                    p, rest = p.cut(size)
+                    parts.append(rest)
+                some.append(p)
+                size -= len(p)
+            self.give(some)
 
     def given(self) -> pa.RecordBatch:
         out, self.out = self.out, []
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(_NAMES), _TYPES, strict=True)], _NAMES)
-
-    def rest(self) -> pa.RecordBatch:
-        self.out = [p for pieces in self.open.values() for p in pieces]
-        return self.given()
+        columns = zip(*out, strict=True) if out else [[]] * len(_NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _NAMES)
 
 
-def _pieces(docs: DataFrame, path: str) -> DataFrame:
-    """Pieces of all documents; those of unfilled bins have no sequence yet."""
+def packed(docs: DataFrame, path: str) -> DataFrame:
+    """A row for each piece: where it starts in its document, and where it lies in which sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, worker = ids_of(path), TaskContext.get().partitionId()
-        bins, end = Bins(worker << 32), _packed([END])
+        ids, end, bins, now = ids_of(path), _packed([END]), None, None
         for batch in batches:
+            if batch.num_rows and batch.column(2)[0].as_py() != now:  # one task may run several coalesced partitions
+                if bins:
+                    bins.finish()
+                    yield bins.given()
+                now = batch.column(2)[0].as_py()
+                bins = Bins(now << 32)
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts = [x or "" for x in part.column("text").to_pylist()]
                 for doc, blob in zip(part.column("doc_id").to_pylist(), ids.many(texts), strict=True):
-                    blob = memoryview(blob + end)
-                    total, start = len(blob) // 4, 0
-                    for kind, n in cuts(total):
-                        bins.put([doc, start, n, zlib.crc32(blob[4 * start : 4 * (start + n)]), total, kind, worker, None, None])
-                        start += n
+                    bins.add(doc, blob + end)
                 yield bins.given()
-        yield bins.rest()
-
-    return docs.mapInArrow(run, _PIECE)
-
-
-def _merged(first: int, stride: int):
-    """Fill the bins of one class from a group of workers; a group's ids start at its own offset."""
-
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        bins = Bins(first + ((key[0].as_py() * 2 * (CAPACITY + 1) + key[1].as_py() + CAPACITY) << 20))
-        rows = t.select(_NAMES).sort_by([(c, "ascending") for c in ("worker", "doc_id", "start", "ids_crc32")])
-        for row in zip(*[c.to_pylist() for c in rows.columns], strict=True):
-            bins.put([*row[:6], row[6] // stride, None, None])
-        return pa.Table.from_batches([bins.given(), bins.rest()])
-
-    return run
-
+        if bins:
+            bins.finish()
+            yield bins.given()
 
-def _final(first: int):
-    """Place the last pieces: largest first, each into the fullest bin that has room."""
-
-    def run(t: pa.Table) -> pa.Table:
-        rows = [list(r) for r in zip(*[c.to_pylist() for c in t.select(_NAMES).columns], strict=True)]
-        rows.sort(key=lambda r: (-r[2], r[0] is None, r[0] or 0, r[1], r[3]))
-        bins, room = [], [[] for _ in range(CAPACITY + 1)]
-        for r in rows:
-            fit = next((x for x in range(r[2], CAPACITY + 1) if room[x]), None)
-            if fit is None:
-                bins.append([])
-                at, left = len(bins) - 1, CAPACITY
-            else:
-                at, left = room[fit].pop(), fit
-            bins[at].append(r)
-            room[left - r[2]].append(at)
-        out = Bins(first)
-        for pieces in bins:
-            out.close(pieces)
-        return pa.Table.from_batches([out.given()])
-
-    return run
-
-
-def packed(docs: DataFrame, path: str) -> DataFrame:
-    """A row for each piece: where it starts in its document, and where it lies in which sequence."""
-    pieces = written(_pieces(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path), "pieces")
-    done, rest = [pieces.where("sequence_id is not null")], pieces.where("sequence_id is null")
-    workers = (rest.agg(F.max("worker")).first()[0] or 0) + 1
-    level = 1
-    while True:
-        group = F.floor(F.col("worker") / FAN).cast("long").alias("group")
-        filled = written(rest.groupBy(group, "kind").applyInArrow(_merged(level << 56, FAN), _PIECE), "bins")
-        done.append(filled.where("sequence_id is not null"))
-        rest, workers, level = filled.where("sequence_id is null"), -(-workers // FAN), level + 1
-        if workers == 1:
-            break
-    done.append(rest.groupBy("worker").applyInArrow(_final(level << 56), _PIECE).coalesce(1))  # one group
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().cast("long").alias("worker"))
+    return rows.mapInArrow(run, _PIECE)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import os
+import random
 import re
 import tempfile
 import zlib
@@ -61,20 +62,13 @@ def test_warc_edges(spark):
         assert warc.page_of(warc.record_id(p, b"12345678")) == p
 
 
-def test_cuts_cover_every_length():
-    for n in [*range(1, 9000), 40_961]:
-        pieces = packing.cuts(n)
-        assert sum(size for _, size in pieces) == n
-        for kind, size in pieces:
-            assert 0 < size <= packing.CAPACITY // packing.per_bin(kind) and (kind > 0 or size <= packing.TAIL)
-
-
-def checked_pieces(spark, docs, rows):
+def checked_pieces(spark, docs, rows, partitions=None):
     from tokenizers import Tokenizer
 
     path = packing.tokenizer_path()
     t = Tokenizer.from_file(path)
-    got = [r.asDict() for r in packing.packed(docs, path).collect()]
+    out = packing.packed(docs, path)
+    got = [r.asDict() for r in (out.coalesce(partitions) if partitions else out).collect()]
     by, seq = defaultdict(list), defaultdict(list)
     for r in got:
         by[r["doc_id"]].append(r)
@@ -99,12 +93,49 @@ def test_packing(spark, docs, rows):
     got, seq = checked_pieces(spark, docs, rows)
     tokens = sum(r["length"] for r in got)
     padding = sum(packing.CAPACITY - n for n in (sum(r["length"] for r in p) for p in seq.values()) if n & (n - 1))
-    assert padding < 0.05 * tokens + packing.CAPACITY
+    assert padding == 0 and tokens
+    whole = Counter(r["doc_id"] for r in got)
+    assert sum(whole[i] == 1 for i, _ in rows) > 0.6 * len(rows)
+
+
+def test_packing_coalesced_partitions(spark, docs, rows):
+    """Input partitions that end up in one task keep their sequences apart."""
+    checked_pieces(spark, docs.repartition(24), rows, partitions=2)
+
+
+def test_packing_bins():
+    """Any mix of lengths: every id once, in order, no gap, no padding; bins of a class take its count of whole documents."""
+    for seed in range(12):
+        rng = random.Random(seed)
+        bins, docs = packing.Bins(7 << 32), {}
+        for i in range(rng.choice([0, 1, 2, 60, 300])):
+            n = rng.choice([1, 2, rng.randrange(1, 64), rng.randrange(1, 600), rng.randrange(1, 4097), rng.randrange(1, 20_000), 4096])
+            docs[i] = np.array([rng.randrange(50_000) for _ in range(n)], "<u4").tobytes()
+            bins.add(i, docs[i])
+            assert bins.held <= 64 * packing.CAPACITY and bins.room <= 2 * bins.held + 2 * packing.CAPACITY
+        bins.finish()
+        by, seq = defaultdict(list), defaultdict(list)
+        for doc, start, length, crc, total, number, offset in bins.out:
+            by[doc].append((start, length, crc, total))
+            seq[number].append((offset, length))
+        for parts in seq.values():
+            n = sum(length for _, length in parts)
+            assert [o for o, _ in sorted(parts)] == [sum(x for _, x in sorted(parts)[:k]) for k in range(len(parts))] and n <= packing.CAPACITY and n & (n - 1) == 0
+        for i, blob in docs.items():
+            at = 0
+            for start, length, crc, total in sorted(by[i]):
+                assert (start, total) == (at, len(blob) // 4) and crc == zlib.crc32(blob[4 * at : 4 * (at + length)])
+                at += length
+            assert at == len(blob) // 4
+    bins = packing.Bins(0)
+    for i in range(6):
+        bins.add(i, bytes(4 * 1300))
+    assert [len(x) for x in bins.closed.values()] == [3, 3] and not bins.out
 
 
 def test_packing_edges(spark, empty):
     assert packing.packed(empty, packing.tokenizer_path()).count() == 0
-    odd = [(1, "It's. Don't, ... ΣΊΣΥΦΟΣ. İstanbul .,. a..b, <|endoftext|> 1,000.5 ª.º, ÀÉ."), (2, None), (3, ""), (4, "x y")]
+    odd = [(1, "It's. Don't, ... ΣΊΣΥΦΟΣ. İstanbul .,. a..b, <|endoftext|> 1,000.5 ª.º, ÀÉ."), (2, None), (3, ""), (4, "x y"), (None, "nobody's text")]
     checked_pieces(spark, frame(spark, odd), odd)
     many = packing.packed(frame(spark, [(1, "same")] * 5), packing.tokenizer_path())
     assert many.agg(F.sum("length")).first()[0] == 5 * many.first()["doc_tokens"]
