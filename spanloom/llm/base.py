@@ -73,6 +73,24 @@ def release(*tables: DataFrame) -> None:
         tables[0].sparkSession._jvm.System.gc()
 
 
+#: Most keys that are broadcast for having many rows.
+HEAVY = 4096
+
+
+def spread(rows: DataFrame, found: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Inner join of ``rows`` with ``found``, which has one row a key and how many of ``rows`` it meets.
+
+    Keys of over one part in ``HEAVY`` of the rows are ``HEAVY`` at most, and
+    are broadcast; no other key has more rows than that in one task.
+    """
+    many = max(1000, (found.agg(F.sum(weight)).first()[0] or 0) // HEAVY)
+    heavy, rest = found.where(F.col(weight) > many), found.where(F.col(weight) <= many)
+    if heavy.isEmpty():
+        return rows.join(rest, keys)
+    light = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(rest, keys)
+    return rows.join(F.broadcast(heavy), keys).unionByName(light)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of a text column: one native scan that shuffles one number a task."""
     return docs.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
@@ -91,30 +109,55 @@ def map_texts(
     return docs.mapInArrow(run, schema)
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v", most: int = 60) -> DataFrame:
+#: Edges that one task takes: 32 MB.
+EDGES = 1 << 21
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges of one task: labels sink to the smaller end and are followed to their roots."""
+    t = pa.Table.from_batches(list(batches), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    node, at = np.unique(np.concatenate([t.column(c).to_numpy() for c in "ab"]), return_inverse=True)
+    a, b, label = at[: t.num_rows], at[t.num_rows :], np.arange(node.size)
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[label])], ["node", "component"])
+
+
+def components(edges: DataFrame, u: str = "u", v: str = "v", most: int = 60, small: int = EDGES) -> DataFrame:
     """(node, component) of the nodes on edges; the component is its smallest node.
 
-    Alternates large-star and small-star steps until no edge changes; each
-    step is written to the shared folder.  Minima are partial aggregates, so a
-    hub with many edges costs one row a task.
+    Up to ``small`` edges are one task's work.  Beyond that, large-star and
+    small-star steps alternate until no edge changes; each step is written to
+    the shared folder.  Minima are partial aggregates, written before they join
+    back, so that the join of a hub's edges is one of two sorted shuffles, which
+    adaptive execution splits.
     """
+    now = written(
+        edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).where("a > b").distinct(), "edges"
+    )
+    if now.count() <= small:
+        return now.repartition(1).mapInArrow(_united, "node long, component long")
 
     def hang(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        low = pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = written(pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "minima")
         return pairs.join(low, "a"), low
 
-    now = written(
-        edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).where("a > b").distinct(), "edges"
-    )
     before = None
     for _ in range(most):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = hang(both)[0].where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        hung, first = hang(both)
+        large = written(hung.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
         hung, low = hang(large)
-        small = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        after = written(small.where("a > b").distinct(), "edges")
+        some = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        after = written(some.where("a > b").distinct(), "edges")
         state = after.agg(F.count("*"), F.sum(F.col("b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("a", "b"))).first()
-        release(now)
+        release(now, first, large, low)
         now = after
         if state == before:
             break

@@ -21,7 +21,7 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def classes(rows):
+def classes(rows, percent=75):
     sets = [(i, shingles(t)) for i, t in rows]
     parent, links = {i: i for i, _ in sets}, Counter()
 
@@ -32,7 +32,7 @@ def classes(rows):
 
     for n, (i, a) in enumerate(sets):
         for j, b in sets[:n]:
-            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 links[i] += 1
                 links[j] += 1
                 x, y = root(i), root(j)
@@ -79,6 +79,66 @@ def test_one_of_each(docs, rows, empty, repeated):
     assert neardup.joined(repeated).count() == 27
 
 
+@pytest.mark.parametrize("percent, block, few", [(50, 2, 4), (50, 256, 1), (90, 5, 40)])
+def test_any_threshold_and_block(spark, monkeypatch, percent, block, few):
+    """Links hold at every threshold, block size and bound on short lists."""
+    rng = random.Random(percent + block)
+    base_words = [f"b{i}" for i in range(60)]
+    texts = []
+    for i in range(50):
+        w = list(base_words)[: rng.randrange(20, 61)]
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(6)}"
+        texts.append(" ".join(w))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "FEW", few)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in neardup.joined(frame(spark, rows), percent).collect()}
+    assert got == classes(rows, percent)
+
+
+def test_lists_over_partitions(spark):
+    """A list gives the same pairs and clusters however it is cut; a list of a third of all rows lies in many partitions."""
+    rng = random.Random(4)
+    rows = [(t, n, g, 0, 1, 0) for g, (t, n) in enumerate((rng.randrange(30), rng.randrange(20, 40)) for _ in range(90))]
+    rows += [(99, rng.randrange(20, 90), 1000 + g, 0, 1, 0) for g in range(60)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in neardup._LIST))
+    part, shared = neardup._lists(75, 4)
+    schema = "u long, v long, " + ", ".join(f"{c} long" for c in neardup._LIST)
+    seen = []
+    for parts in (1, 7, 40):
+        dealt = df.repartitionByRange(parts, "token", "n", "gsig").sortWithinPartitions("token", "n", "gsig")
+        found = dealt.mapInArrow(part, schema).cache()
+        rest = found.where("u is null").groupBy("token").applyInArrow(shared, schema)
+        both = found.where("u is not null").unionByName(rest)
+        pairs = {tuple(r) for r in both.where("long = 0").select("u", "v").collect()}
+        edges = both.where("long = 1").select("u", "v")
+        seen.append((pairs, {r["node"]: r["component"] for r in base.components(edges).collect()}))
+        sizes = [r[0] for r in dealt.groupBy(F.spark_partition_id()).agg(F.count("*")).select("count(1)").collect()]
+        assert parts == 1 or max(sizes) <= 3 * len(rows) / parts
+    assert seen[0] == seen[1] == seen[2]
+    by = defaultdict(list)
+    for t, n, g, *_ in rows:
+        by[t].append((n, g))
+    want = {(min(x, y)[1], max(x, y)[1]) for m in by.values() if len(m) <= 4 for x in m for y in m if x < y and 100 * x[0] >= 75 * y[0] and x[0] >= -(-75 * (x[0] + y[0]) // 175)}
+    assert {tuple(sorted(p)) for p in seen[0][0]} == {tuple(sorted(p)) for p in want}
+
+
+def test_copies_without_doc_id_and_other_texts(spark):
+    """Rows without doc_id link like any; a doc_id with two texts keeps both; columns clash with inner names."""
+    text = " ".join(f"w{i}" for i in range(40))
+    near = text + " tail"
+    rows = [(None, text), (None, near), (5, "quite another text of more than five words"), (5, "a second text under the same number as before"), (5, near)]
+    got = Counter((r["doc_id"], r["component_id"], r["n_links"]) for r in neardup.joined(frame(spark, rows)).collect())
+    assert got == {(None, 5, 2): 2, (5, 5, 0): 2, (5, 5, 2): 1}
+    df = frame(spark, rows + rows).withColumn("_key", F.lit("mine")).withColumn("_rows", F.lit("too"))
+    kept = neardup.one_of_each(df)
+    assert kept.columns == df.columns and {(r["_key"], r["_rows"]) for r in kept.collect()} == {("mine", "too")}
+    assert sorted(r["text"] for r in kept.collect()) == sorted(t for i, t in rows if i)
+    one = neardup.one_of_each(frame(spark, rows[:2]))
+    assert [r["text"] for r in one.collect()] in ([text], [near])
+
+
 def test_overlap_matrix():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, 30).astype(np.uint64)) for _ in range(12)]
@@ -91,6 +151,8 @@ def test_components_of_paths_and_stars(spark):
     got = {r["node"]: r["component"] for r in base.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(21)} | {i: 100 for i in range(100, 120)}
     assert base.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    far = {r["node"]: r["component"] for r in base.components(spark.createDataFrame(edges, "u long, v long"), small=0).collect()}
+    assert far == got
 
 
 def removed(rows, k):
