@@ -186,28 +186,51 @@ def test_substrings_edges(empty, repeated):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-def cut(rows, run):
+def cut(rows, least):
+    """Every run of ``least`` characters or more that occurs earlier, by brute force over all runs."""
     split = lambda t: [(n, x.strip(" \t\n\v\f\r")) for n, x in enumerate((t or "").split("\n")) if WORD.search(x)]
+
+    def runs(keys):
+        for i in range(len(keys)):
+            chars = 0
+            for j in range(i, len(keys)):
+                chars += len(keys[j])
+                if chars >= least:
+                    yield i, j + 1
+                if chars >= 2 * least and j > i:  # a longer run is made of these
+                    break
+
     first, out = {}, {}
-    order = sorted(rows)
-    for doc, t in order:
+    for doc, t in sorted(rows):
         keys = [x for _, x in split(t)]
-        for i in range(len(keys) - run + 1):
-            first.setdefault(tuple(keys[i : i + run]), (doc, i))
-    for doc, t in order:
+        for i, j in runs(keys):
+            first.setdefault(tuple(keys[i:j]), (doc, i))
+    for doc, t in sorted(rows):
         held = split(t)
         keys = [x for _, x in held]
-        gone = {held[i + j][0] for i in range(len(keys) - run + 1) if first[tuple(keys[i : i + run])] != (doc, i) for j in range(run)}
+        gone = {held[k][0] for i, j in runs(keys) if first[tuple(keys[i:j])] != (doc, i) for k in range(i, j)}
         kept = "\n".join(x for n, x in enumerate((t or "").split("\n")) if n not in gone)
         out[doc] = (len(held), len(gone), t if t is None else kept)
     return out
 
 
-@pytest.mark.parametrize("run", [3, 2])
-def test_lines(docs, rows, run):
-    found = lines.deduplicated(docs, run)
+@pytest.mark.parametrize("least", [25, 60, 1])
+def test_lines(docs, rows, least):
+    found = lines.deduplicated(docs, least)
     assert found.columns == [*docs.columns, "_n_lines", "_n_removed", "_kept"]
-    assert {r["doc_id"]: (r["_n_lines"], r["_n_removed"], r["_kept"]) for r in found.collect()} == cut(rows, run)
+    assert {r["doc_id"]: (r["_n_lines"], r["_n_removed"], r["_kept"]) for r in found.collect()} == cut(rows, least)
+
+
+def test_lines_of_any_mix(spark):
+    """Short lines in runs, repeats inside a document and across, hot lines; recall of repeated lines of the least length is one."""
+    rng = random.Random(8)
+    pool = ["a", "bb", "c d", "a line of twenty-five cha", "some words that make a long line", "é" * 24, "é" * 25, "x y z"]
+    rows = [(i, "\n".join(rng.choice(pool + [f"own {i} {k}"]) for k in range(rng.randrange(1, 14)))) for i in range(80)]
+    found = lines.deduplicated(frame(spark, rows))
+    got = {r["doc_id"]: (r["_n_lines"], r["_n_removed"], r["_kept"]) for r in found.collect()}
+    assert got == cut(rows, 25)
+    seen, left = set(), Counter(x for _, _, kept in got.values() for x in kept.split("\n") if len(x) >= 25)
+    assert left and all(n == 1 for n in left.values()) and not seen
 
 
 def test_lines_edges(empty, repeated, spark):
@@ -217,21 +240,22 @@ def test_lines_edges(empty, repeated, spark):
         if r["doc_id"] is not None:
             by[r["doc_id"]].add((r["_n_lines"], r["_n_removed"], r["_kept"]))
     assert all(len(v) == 1 for v in by.values()) and len(by) == 12
-    twice = frame(spark, [(2, "a b\nc d\ne f\nx"), (1, "q\na b \nc d\n e f"), (None, "a b\nc d\ne f")])
-    assert {r["doc_id"]: r["_kept"] for r in lines.deduplicated(twice).collect()} == {1: "q\na b \nc d\n e f", 2: "x", None: ""}
+    long = "a line that is long enough to go"
+    twice = frame(spark, [(2, f"{long}\nx"), (1, f"q\n{long} "), (None, long), (1, long)]).withColumn("_kept", F.lit("mine"))
+    got = lines.deduplicated(twice)
+    assert got.columns == [*twice.columns, "_n_lines", "_n_removed", "_kept_"] and {r["_kept"] for r in got.collect()} == {"mine"}
+    assert sorted((r["doc_id"] or 9, r["_kept_"]) for r in got.collect()) == [(1, long), (1, f"q\n{long} "), (2, "x"), (9, "")]
 
 
-def test_long_lines_are_runs_of_their_own(spark):
+def test_a_passage_on_one_line_or_two(spark):
     """A passage of over 50 words that two texts share as one line, or as two, goes from the later one."""
     say = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
-    one, two, short = say("a", 51), [say("b", 26), say("c", 25)], say("d", 50)
-    rows = [(1, f"x\n{one}\ny"), (2, f"p\n  {one}\t\nq"), (3, "\n".join(["r", *two, "s"])), (4, "\n".join(["t", *two, "u"]))]
-    rows += [(5, f"{short}\nv"), (6, f"{short}\nw"), (7, one), (8, f"{two[0]}\nz"), (9, f"{one}\nk"), (10, f"{one}\nk")]
+    one, two = say("a", 51), [say("b", 26), say("c", 25)]
+    rows = [(1, f"x\n{one}\ny"), (2, f"p\n  {one}\t\nq"), (3, "\n".join(["r", *two, "s"])), (4, "\n".join(["t", *two, "u"])), (7, one), (8, f"{two[0]}\nz"), (9, f"{one}\nk"), (10, f"{one}\nk")]
     got = {r["doc_id"]: (r["_n_removed"], r["_kept"]) for r in lines.deduplicated(frame(spark, rows)).collect()}
     texts = dict(rows)
-    assert {i: got[i] for i in (1, 3, 5, 6, 8)} == {i: (0, texts[i]) for i in (1, 3, 5, 6, 8)}
-    assert (got[2], got[4], got[7], got[9], got[10]) == ((1, "p\nq"), (2, "t\nu"), (1, ""), (1, "k"), (2, ""))
-    assert all(r["_n_removed"] == 0 for r in lines.deduplicated(frame(spark, rows), long=None).collect())
+    assert {i: got[i] for i in (1, 3)} == {i: (0, texts[i]) for i in (1, 3)}
+    assert (got[2], got[4], got[7], got[8], got[9], got[10]) == ((1, "p\nq"), (2, "t\nu"), (1, ""), (1, "z"), (1, "k"), (2, ""))
 
 
 def test_shingle_sets_fold_case():
