@@ -1,27 +1,38 @@
 """Masked pseudo-likelihood of documents (op9).
 
-A small network predicts each token's class from the two tokens on either side
-and never sees the token itself: an embedding for each of the four places, a
-tanh layer, a softmax.  Words are hashed into ``CLASSES`` classes, so the
-vocabulary is bounded and needs no dictionary.
+Every word is predicted from both sides and never sees itself, in two steps:
 
-Training covers every document.  Class counts over the corpus set the output
-biases.  In each of ``ROUNDS`` rounds the next part of the documents is dealt to
-replicas of ``REPLICA_BYTES`` of text; each starts from the common weights,
-makes one pass of gradient steps in numpy and sends its weights, and parameter
-blocks are averaged by tokens, side by side.  What is gathered grows with the
-corpus; what the driver holds is one network.
+    log p(word | sides) = log p(class | sides) + log p(word | class)
 
-A document's score is the sum over its tokens of log p(class | both sides).
+The class (a hash of the lower-cased word, ``CLASSES`` of them) comes from a
+small network: an embedding for each of the two words on either side, a tanh
+layer, a softmax.  The word within its class comes from the corpus: its count in
+all other documents, against all other words of its class, with ``OPEN`` counts
+set aside for words that no other document holds, shared out by a spelling model
+(byte frequencies).  So the vocabulary is that of the corpus and open, rare
+words are told apart, a document never counts as evidence for itself, and what
+scoring gathers grows with the corpus: it is a census of all words.
 
-Edge cases: null and empty texts have no token and score 0; a single word is
-predicted from four text ends; repeated rows score alike; an empty table gives
-an empty result; other columns are ignored.
+Training covers every document.  Class counts over the corpus set the output
+biases.  In each of ``ROUNDS`` rounds the next part of the documents is dealt to
+replicas of ``REPLICA_BYTES`` of text; each starts from the common weights and
+makes one pass of gradient steps in numpy.  A task adds its replicas up, weighted
+by words, as integers, one row a parameter; the sums over tasks are partial
+aggregates.  Integers make the mean the same in any order, and no task sees the
+replicas of another.  The driver holds one network.
+
+A document's score is the sum over its words.
+
+Edge cases: null and empty texts have no word and score 0; a single word is
+predicted from four text ends; repeated rows are documents like any, so they
+score alike, and better than a text that stands alone; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,24 +40,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .base import table
+from .base import chunk_of, table, text_bytes
+from .census import Deal, answered, concatenated
 
 CLASSES, WIDTH, SIDES = 128, 16, 2
 PLACES = 2 * SIDES
 ROUNDS, REPLICA_BYTES = 3, 4 << 20
 BATCH, RATE, SCORE_BATCH = 2048, 0.8, 8192
-#: Parameters averaged by one task.
-BLOCK = 4096
+#: Counts set aside in each class for words that no other document holds.
+OPEN = 50.0
+#: Replicas are added up in units of so many words and so small a part of a weight.
+WORDS_UNIT, WEIGHT_UNIT = 1024, 2.0**-20
 
 #: Embeddings (the last class is beyond the text), hidden bias, output weights, output bias.
 _SHAPES = [(PLACES, CLASSES + 1, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,)]
 _SIZES = [int(np.prod(s)) for s in _SHAPES]
 
 
-def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each word, and the word range of each document."""
+def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, tk.Words]:
+    """Hash and class of each word, and the words."""
     words = tk.Words(tk.LOWER[buf], off)
-    return (words.hashes() % np.uint64(CLASSES)).astype(np.int64), words.woff
+    h = words.hashes()
+    return h, (h % np.uint64(CLASSES)).astype(np.int64), words
 
 
 def contexts(cls: np.ndarray, woff: np.ndarray) -> np.ndarray:
@@ -119,82 +134,149 @@ class Network:
                 self.embed[i][place[first]] -= np.add.reduceat(back[order], first, axis=0) * 8
 
 
-def class_counts(docs: DataFrame) -> np.ndarray:
-    """Words of each class over all documents."""
+@dataclass(frozen=True)
+class Corpus:
+    """Words of each class and bytes of words (256: their ends) over all documents, and the network's weights."""
+
+    classes: np.ndarray
+    bytes: np.ndarray
+    weights: np.ndarray
+
+    def spelling(self) -> np.ndarray:
+        """Log probability of each byte of a word, and of its end."""
+        counts = self.bytes + 1.0
+        return np.log(counts / counts.sum())
+
+
+def counted(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each class, and bytes of words with the ends of words last, over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES, np.int64)
+        total, spelt = np.zeros(CLASSES, np.int64), np.zeros(257, np.int64)
         for batch in batches:
             for _, _, buf, off in tk.text_slices(batch.column("text")):
-                total += np.bincount(tokens(buf, off)[0], minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(total)], ["cls", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(CLASSES)
+                _, cls, words = tokens(buf, off)
+                total += np.bincount(cls, minlength=CLASSES)
+                spelt[:256] += np.bincount(tk.LOWER[buf[tk.BLANK[buf]]], minlength=256)
+                spelt[256] += words.start.size
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES + 257)), pa.array(np.concatenate([total, spelt]))], ["i", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(CLASSES + 257)
     for r in rows:
-        out[r["cls"]] = r["n"]
-    return out
+        out[r["i"]] = r["n"]
+    return out[:CLASSES], out[CLASSES:]
 
 
 def _round(docs: DataFrame, weights: np.ndarray, rate: float) -> np.ndarray:
-    """Replicas trained from ``weights`` on ``docs``, averaged."""
-    blocks = -(-weights.size // BLOCK)
+    """Replicas trained from ``weights`` on ``docs``, averaged by words."""
+    size = weights.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, seen, size = Network(weights), 0, 0
+        net, seen, read = Network(weights), 0, 0
+        total, units = np.zeros(size, np.int64), 0
 
-        def sent() -> pa.RecordBatch:
-            flat = net.flat()
-            blobs = [flat[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in range(blocks)]
-            return pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([seen] * blocks, pa.int64()), pa.array(blobs, pa.binary())], ["block", "n", "weights"])
+        def add() -> None:
+            nonlocal net, seen, read, total, units
+            n = -(-seen // WORDS_UNIT)
+            total += n * np.rint(net.flat() / WEIGHT_UNIT).astype(np.int64)
+            units += n
+            net, seen, read = Network(weights), 0, 0
 
         for batch in batches:
             for _, _, buf, off in tk.text_slices(batch.column("text")):
-                cls, woff = tokens(buf, off)
+                _, cls, words = tokens(buf, off)
                 if cls.size:
-                    net.learn(contexts(cls, woff), cls, rate)
-                seen, size = seen + cls.size, size + buf.size
-                if size >= REPLICA_BYTES:
-                    yield sent()
-                    net, seen, size = Network(weights), 0, 0
+                    net.learn(contexts(cls, words.woff), cls, rate)
+                seen, read = seen + cls.size, read + buf.size
+                if read >= REPLICA_BYTES:
+                    add()
         if seen:
-            yield sent()
-
-    def mean(t: pa.Table) -> pa.Table:
-        n = t.column("n").to_numpy().astype(np.float64)
-        total = np.zeros(len(t.column("weights")[0].as_buffer()) // 4)
-        for k, x in zip(n, t.column("weights"), strict=True):
-            total += k / n.sum() * np.frombuffer(x.as_buffer(), np.float32)
-        return pa.table({"block": t.column("block").slice(0, 1), "weights": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-    sent = docs.select("text").mapInArrow(run, "block int, n long, weights binary")
-    got = {r["block"]: bytes(r["weights"]) for r in sent.groupBy("block").applyInArrow(mean, "block int, weights binary").collect()}
-    return np.concatenate([np.frombuffer(got[i], np.float32) for i in range(blocks)]) if got else weights
-
-
-def trained(docs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after each document has been learnt from once."""
-    weights = Network.fresh(class_counts(docs)).flat()
+            add()
+        if units:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(np.append(total, units))], ["i", "s"])
+
+    sums = docs.select("text").mapInArrow(run, "i long, s long").groupBy("i").agg(F.sum("s").alias("s")).collect()
+    if not sums:
+        return weights
+    out = np.zeros(size + 1)
+    for r in sums:
+        out[r["i"]] = r["s"]
+    return (out[:-1] / out[-1] * WEIGHT_UNIT).astype(np.float32)
+
+
+def trained(docs: DataFrame, rounds: int = ROUNDS) -> Corpus:
+    """Corpus counts, and weights after each document has been learnt from once."""
+    classes, spelt = counted(docs)
+    weights = Network.fresh(classes).flat()
     for r in range(rounds):
         part = docs.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(rounds)) == r)
         weights = _round(part, weights, RATE / (1 + r))
-    return weights
-
+    return Corpus(classes, spelt, weights)
+
+
+def _within(corpus: Corpus, h: np.ndarray, cls: np.ndarray, words: tk.Words, count: np.ndarray) -> np.ndarray:
+    """Log probability of each word in its class, by all other documents."""
+    doc = words.doc
+    key = tk.mix(h + doc.astype(np.uint64) * tk.LANES[1][0])
+    _, at, own = np.unique(key, return_inverse=True, return_counts=True)
+    _, cat, own_class = np.unique(doc * CLASSES + cls, return_inverse=True, return_counts=True)
+    spelling = corpus.spelling()
+    spelt = np.concatenate([[0.0], np.cumsum(spelling[:256][words.buf])])
+    base = np.minimum(spelt[words.end] - spelt[words.start] + spelling[256] + np.log(CLASSES), 0.0)
+    others = np.maximum(count.astype(np.float64) - own[at], 0.0)
+    rest = np.maximum(corpus.classes[cls] - own_class[cat], others)
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(others), np.log(OPEN) + base) - np.log(rest + OPEN)
+
+
+def _sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of each document's values, by these alone."""
+    out, some = np.zeros(bounds.size - 1), np.diff(bounds) > 0
+    if x.size:
+        out[some] = np.add.reduceat(x, bounds[:-1][some])
+    return out
 
-def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens and pll, the sum of conditional log probabilities."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(weights)
-        for batch in batches:
-            for lo, hi, buf, off in tk.text_slices(batch.column("text")):
-                cls, woff = tokens(buf, off)
-                sums = np.concatenate([[0.0], np.cumsum(net.log_probability(contexts(cls, woff), cls))])
-                cols = [batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(woff).astype(np.int64)), pa.array(sums[woff[1:]] - sums[woff[:-1]])]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "pll"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, pll double")
+def scored(docs: DataFrame, corpus: Corpus, counted_in: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, pll (the sum of conditional log probabilities) and class_pll, the network's part of it.
+
+    ``docs`` are what the corpus was learnt from; or else ``counted_in`` is, and
+    the words of both are counted.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(True).alias("wanted"))
+    if counted_in is not None:
+        corpus = replace(corpus, classes=corpus.classes + counted(docs)[0])
+        rows = rows.unionByName(counted_in.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(False).alias("wanted")))
+    size = text_bytes(rows)
+    deal = Deal.of(size, size / 60, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shared = spark.sparkContext.broadcast(corpus)
+    rows = rows.withColumn("chunk", chunk_of(deal.chunks, "doc_id", "text"))
+
+    def hashes(t: pa.Table):
+        keys, parts = [], []
+        for lo, hi, buf, off in tk.text_slices(t.column("text")):
+            h, _, _ = tokens(buf, off)
+            keys.append(h)
+            parts.append((lo, hi, buf, off, h.size))
+        key = concatenated(keys)
+        return key, tk.mix(key ^ tk.LANES[1][2]), parts
+
+    def finish(t: pa.Table, key: np.ndarray, count: np.ndarray, parts: list) -> pa.Table:
+        net, done, n, both, by_class = Network(shared.value.weights), 0, [], [], []
+        for _, _, buf, off, size in parts:
+            h, cls, words = tokens(buf, off)
+            first = net.log_probability(contexts(cls, words.woff), cls)
+            second = _within(shared.value, h, cls, words, count[done : done + size])
+            done += size
+            for out, x in ((both, first + second), (by_class, first)):
+                out.append(_sums(x, words.woff))
+            n.append(np.diff(words.woff).astype(np.int64))
+        cols = [t.column("doc_id"), *[pa.array(concatenated(x, k)) for x, k in ((n, np.int64), (both, np.float64), (by_class, np.float64))]]
+        return pa.Table.from_arrays(cols, ["doc_id", "n_tokens", "pll", "class_pll"]).filter(t.column("wanted"))
+
+    return answered(rows, deal, hashes, finish, "doc_id long, n_tokens long, pll double, class_pll double", np.uint32)
 
 
 def op9_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:

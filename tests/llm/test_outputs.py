@@ -9,6 +9,7 @@ import re
 import tempfile
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 from math import log2
 
 import duckdb
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spanloom.llm import lmscore, packing, pii, registry, shards, warc
+from spanloom.llm import textkit as tk
 
 TABLES = "documents pages benchmark labels".split()
 
@@ -182,58 +184,154 @@ def test_base_spans(spark):
         assert [(s["start"], s["kind"], s["end"]) for s in got[i]["base"]] == personal(t), i
 
 
+def terms_of(text, whole=False):
+    """Terms beside base spans, and their generalisations, by hand."""
+    holes = [] if whole else [(a, b) for a, _, b in personal(text)]
+    out = set()
+    for m in re.finditer(r"[^\W_]+", text or ""):
+        if any(m.start() <= b and m.end() >= a for a, b in holes):
+            continue
+        run = m.group()
+        if not any(c.isdigit() for c in run):
+            out |= {run.lower(), run.lower()[0] + "*"}
+        elif any(c.isalpha() for c in run) and len(run) >= 8:
+            shape = "hex" if re.fullmatch("[0-9a-f]+", run) else "capitals" if re.fullmatch("[0-9A-Z]+", run) else "mixed"
+            out.add(f"#{shape}:{len(run).bit_length() - 1}")
+    return out
+
+
+def entities_of(text):
+    out = {"credential"} if re.search(r"(?i:\b(?:api[_-]?key|passwd|password|secret|token)\"?\s*[=:])|\bAKIA[0-9A-Z]{16}", text or "") else set()
+    for a, k, b in personal(text):
+        v = text[a:b]
+        digits = re.sub("[^0-9]", "", v)
+        value = [v.lower(), v, digits, digits][k]
+        group = [value.split("@")[-1], ".".join(value.split(".")[:2]), value[:6], value[:4]][k]
+        out |= {f"k{k}", f"g{k}:{group}", f"v{k}:{value}"}
+    return out
+
+
 def test_disclosing_terms(spark):
-    filler = [f"ordinary words number {i} and nothing else besides them" for i in range(200)]
-    rows = [(i, f"note {i}: Zanzibar keeper reach me@secret.org about ordinary words") for i in range(6)]
-    rows += [(100 + i, t) for i, t in enumerate(filler)]
-    found = {r["doc_id"]: r for r in pii.spans(frame(spark, rows)).collect()}
-    texts = dict(rows)
-    added = {texts[0][s["start"] : s["end"]] for s in found[0]["all"] if s["kind"] == 4}
-    n, both = len(rows), 6
-    want = {w for w in ("Zanzibar", "keeper", "reach", "about", "note", "ordinary", "words") if log2(n * both / (sum(w.lower() in t.lower().split() or w.lower() + ":" in t.lower() for t in texts.values()) * both)) >= 0.9 * log2(n / both)}
-    assert added == want and "Zanzibar" in added and "ordinary" not in added
-    assert all(len(found[i]["all"]) == 0 for i in range(100, 110))
-    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(frame(spark, rows)).collect()}
-    assert "secret" not in clean[3] and "Zanzibar" not in clean[3] and "[EMAIL]" in clean[3] and clean[105] == texts[105]
-
-
-def test_disclosing_terms_anywhere(spark):
-    """Far from the entity, in a document without it, and of any length; what a base span touches is no term."""
-    far = "ordinary words and nothing else besides them " * 4
-    rows = [(i, f"Zanzibar Li 李明 {far} {i} mail éme@secret.org") for i in range(6)]
-    rows += [(50, f"{far} as Li said to li, é"), (51, "李明"), (52, "Alibi")]
-    rows += [(100 + i, f"{i} {far} mail") for i in range(300)]
-    found = {r["doc_id"]: r for r in pii.spans(frame(spark, rows)).collect()}
-    texts = dict(rows)
-    added = {i: [(texts[i][s["start"] : s["end"]], s["action"]) for s in found[i]["all"] if s["kind"] == 4] for i in texts}
-    assert added[0] == [("Zanzibar", "remove"), ("Li", "generalise"), ("李明", "generalise")]
-    assert added[50] == [("Li", "generalise"), ("li", "generalise")] and added[51] == [("李明", "generalise")]
-    assert not any(added[i] for i in (52, 100, 399))
+    """Every disclosing term by hand-counted co-occurrence; marked everywhere, generalised where that helps, removed otherwise; disclosure falls."""
+    rng = random.Random(6)
+    filler = "ordinary words and nothing else besides them zebra lion mail".split()
+    rows = [(i, f"Zanzibar Li {' '.join(rng.sample(filler, 6))} {i} mail éme{i}@secret.org") for i in range(8)]
+    rows += [(20 + i, f"{' '.join(rng.sample(filler, 6))} password={'%018x' % (rng.getrandbits(70) | 1 << 69)} and so on") for i in range(8)]
+    rows += [(40 + i, f"key AKIA{''.join(rng.choice('ABCDEFGH234567') for _ in range(15))}9 {rng.choice(filler)}") for i in range(4)]
+    rows += [(50, "as Li said to li, é"), (51, "zanzibar alone"), (52, "Alibi")]
+    rows += [(100 + i, f"{i} {' '.join(rng.sample(filler, 7))}") for i in range(300)]
+    texts, df = dict(rows), frame(spark, rows)
+    found = {r["doc_id"]: r for r in pii.spans(df).collect()}
+    n, ents, terms, anywhere = len(rows), {}, {}, Counter()
+    for i, t in rows:
+        for e in entities_of(t):
+            ents.setdefault(e, set()).add(i)
+        for w in terms_of(t):
+            terms.setdefault(w, set()).add(i)
+        anywhere.update(terms_of(t, whole=True))
+    gives = defaultdict(set)
+    for e, who in ents.items():
+        for w, held in terms.items():
+            both = len(who & held)
+            if both >= 3 and len(who) >= 3 and log2(n * both / (anywhere[w] * len(who))) >= 0.9 * log2(n / len(who)) > 0:
+                gives[w].add(e)
+    base = pii.base_spans(df)
+    base = base.withColumn("entities", pii._entities("spans", F.col("text"))).withColumn("terms", pii._words(pii._outside(F.col("text"), F.col("spans")), pii._FREE_RUN))
+    assert {(r["entity"], r["term"]) for r in pii.disclosing(df, base).collect()} == {(e, w) for w, es in gives.items() for e in es}
+    shown = {w for w in gives if not w.endswith("*")}
+    assert "zanzibar" in shown and "#hex:4" in shown and "#capitals:4" in shown and not shown & set(filler)
+    for i, t in rows:
+        hidden = {t[s["start"] : s["end"]] for s in found[i]["all"] if s["kind"] == 4}
+        assert {w.lower() for w in hidden if not any(c.isdigit() for c in w)} == {w for w in terms_of(t) & shown if w[0] != "#"}, i
+        assert any(any(c.isdigit() for c in w) for w in hidden) == any(w[0] == "#" for w in terms_of(t) & shown), i
+    assert all(len(found[i]["all"]) == 0 for i in range(100, 400))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
+    assert "secret.org" not in clean[3] and "Zanzibar" not in clean[3] and "[EMAIL]" in clean[3] and clean[105] == texts[105]
+    assert all(hashlib.sha256(clean[i].encode()).hexdigest() == found[i]["clean_sha256"] for i in texts)
+    assert clean[51] == ("* alone" if "z*" in gives else "Z* alone").replace("Z", texts[51][0]) or clean[51] == " alone"
+    left = pii.base_spans(spark.createDataFrame(sorted(clean.items()), "doc_id long, text string"))
+    left = left.withColumn("entities", pii._entities("spans", F.col("text")))
+    assert left.where(F.size("spans") > 0).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    """More matches than one fold takes, in order and without a gap."""
+    text = "x ".join(f"{i % 256}.1.2.3" for i in range(700))
+    rows = [(1, text), (2, "@ . 1.2.3.4")]
+    got = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["base"]] for r in pii.spans(frame(spark, rows)).collect()}
+    assert got == {i: personal(t) for i, t in rows} and len(got[1]) == 700
 
 
 def test_personal_data_edges(spark, empty, repeated):
     assert pii.spans(empty).count() == 0 and pii.sanitised(empty).count() == 0
     assert pii.spans(repeated).count() == 27
-
-
-def test_scores_prefer_order(spark):
+    rows = [(1, "mail a@b.cd now"), (1, "mail a@b.cd now"), (1, "another text c@d.ef"), (None, "nobody g@h.ij"), (None, None)] * 2
+    df = frame(spark, rows).withColumn("spans", F.lit("mine")).withColumn("hash", F.lit("too"))
+    got = Counter((r["doc_id"], tuple((s["start"], s["end"]) for s in r["base"])) for r in pii.spans(df).collect())
+    assert got == Counter((i, tuple((a, b) for a, _, b in personal(t))) for i, t in rows)
+    assert Counter((r["doc_id"], r["text"]) for r in pii.sanitised(df).collect()) == Counter({(1, "mail [EMAIL] now"): 4, (1, "another text [EMAIL]"): 2, (None, "nobody [EMAIL]"): 2, (None, ""): 2})
+
+
+def by_hand(texts, corpus, all_texts):
+    """Scores word by word: a forward pass and counts in plain Python."""
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    hashed = lambda w: int(tk.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0])
+    code = {w: hashed(w) % lmscore.CLASSES for t in all_texts for w in split(t)}
+    everywhere = Counter(w for t in all_texts for w in split(t))
+    letters, net, out = corpus.spelling(), lmscore.Network(corpus.weights), []
+    for t in texts:
+        words, total = split(t), 0.0
+        own, own_class = Counter(words), Counter(code[w] for w in words)
+        for i, w in enumerate(words):
+            sides = [code[words[j]] if 0 <= j < len(words) else lmscore.CLASSES for j in (i - 2, i - 1, i + 1, i + 2)]
+            hidden = np.tanh(net.bias + sum(net.embed[k][c] for k, c in enumerate(sides)))
+            logits = hidden @ net.out + net.prior
+            c = code[w]
+            spelt = sum(letters[b] for b in w.encode()) + letters[256] + np.log(lmscore.CLASSES)
+            others = everywhere[w] - own[w]
+            total += logits[c] - np.log(np.exp(logits).sum())
+            total += np.log(others + lmscore.OPEN * np.exp(min(spelt, 0.0))) - np.log(corpus.classes[c] - own_class[c] + lmscore.OPEN)
+        out.append((len(words), total))
+    return out
+
+
+def test_scores_by_hand_and_order(spark):
+    """Scores equal a plain forward pass; order matters; held-out text scores far above the unigram model; copies score above others."""
     rng = np.random.default_rng(1)
     follow = {i: rng.permutation(40)[:3] for i in range(40)}
     rows = []
-    for d in range(120):
+    for d in range(320):
         w = [int(rng.integers(40))]
         for _ in range(200):
             w.append(int(rng.choice(follow[w[-1]])))
         rows.append((d, " ".join(f"v{x}" for x in w)))
-    train, held = frame(spark, rows[:100]), rows[100:]
-    weights = lmscore.trained(train)
-    mixed = [(i, " ".join(rng.permutation(t.split()))) for i, t in held]
-    a = {r["doc_id"]: r["pll"] / r["n_tokens"] for r in lmscore.scored(frame(spark, held), weights).collect()}
-    b = {r["doc_id"]: r["pll"] / r["n_tokens"] for r in lmscore.scored(frame(spark, mixed), weights).collect()}
-    assert sum(a[i] > b[i] for i in a) >= 0.9 * len(a)
-
-
-def test_gradient_and_edges(spark, docs, empty):
+    train, held = rows[:300], rows[300:]
+    corpus = lmscore.trained(frame(spark, train))
+    both = replace(corpus, classes=corpus.classes + lmscore.counted(frame(spark, held))[0] * 2)  # the same words in another order
+    mixed = [(1000 + i, " ".join(rng.permutation(t.split()))) for i, t in held]
+    got = {r["doc_id"]: r for r in lmscore.scored(frame(spark, held + mixed), corpus, frame(spark, train)).collect()}
+    mean = {i: r["pll"] / r["n_tokens"] for i, r in got.items()}
+    assert set(mean) == {i for i, _ in held + mixed} and sum(mean[i] > mean[1000 + i] for i, _ in held) >= 0.9 * len(held)
+    count = Counter(w for _, t in train for w in t.split())
+    unigram = np.mean([np.log(count[w] / count.total()) for _, t in held for w in t.split()])
+    assert np.mean([mean[i] for i, _ in held]) > unigram + 0.5
+    want = by_hand([t for _, t in held[:3]], both, [t for _, t in train + held + mixed])
+    for (i, _), (n, pll) in zip(held, want, strict=False):
+        assert got[i]["n_tokens"] == n and abs(got[i]["pll"] - pll) < 1e-3 * n
+
+
+def test_scores_tell_copies_apart(spark):
+    """A text that occurs twice scores above texts that stand alone, by words that no other document holds."""
+    rng = random.Random(3)
+    text = lambda i: " ".join(rng.choice([f"common{rng.randrange(50)}", f"common{rng.randrange(50)}", f"rare{i}x{rng.randrange(30)}"]) for _ in range(80))
+    rows = [(i, text(i)) for i in range(60)]
+    rows += [(100 + i, t) for i, t in rows[:5]]
+    df = frame(spark, rows)
+    mean = {r["doc_id"]: r["pll"] / r["n_tokens"] for r in lmscore.scored(df, lmscore.trained(df)).collect()}
+    assert min(mean[i] for i in [*range(5), *range(100, 105)]) > max(mean[i] for i in range(5, 60))
+
+
+def test_gradient_and_edges(spark, docs, empty, repeated):
     net = lmscore.Network.fresh(np.ones(lmscore.CLASSES))
     cls = np.arange(50) % 7
     ctx = lmscore.contexts(cls, np.array([0, 20, 50]))
@@ -243,10 +341,20 @@ def test_gradient_and_edges(spark, docs, empty):
         net.learn(ctx, cls)
     assert net.log_probability(ctx, cls).mean() > before
     assert np.allclose(lmscore.Network(net.flat()).flat(), net.flat())
-    weights = lmscore.trained(empty)
-    assert lmscore.scored(empty, weights).count() == 0
-    got = {r["doc_id"]: r for r in lmscore.scored(docs, weights).collect()}
+    corpus = lmscore.trained(empty)
+    assert lmscore.scored(empty, corpus).count() == 0
+    got = {r["doc_id"]: r for r in lmscore.scored(docs, corpus).collect()}
     assert all((r["n_tokens"] == 0) == (r["pll"] == 0) for r in got.values())
+    twice = repeated.withColumn("wanted", F.lit("mine")).withColumn("pll", F.lit(1))
+    by = defaultdict(set)
+    for r in lmscore.scored(twice, lmscore.trained(twice)).collect():
+        by[r["doc_id"]].add(round(r["pll"], 2))
+    assert len(by) == 13 and all(len(v) == 1 for i, v in by.items() if i is not None)
+
+
+def test_training_is_the_same_in_any_order(spark, docs):
+    a, b = (lmscore.trained(docs.repartition(1).sortWithinPartitions("doc_id")).weights for _ in range(2))
+    assert (a == b).all()
 
 
 def test_shards(spark, docs, rows, empty, repeated):
