@@ -121,8 +121,9 @@ def private_paths(text: Col) -> Column:
 
 
 def uniform(seed: int, *keys: Col) -> Column:
-    """A number in [0, 1) that depends on the seed and keys alone."""
-    return F.pmod(F.xxhash64(F.lit(seed), *[_c(k) for k in keys]), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    """A number in [0, 1) that depends on the seed and keys alone: 40 bits of an MD5, which any engine can repeat."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[_c(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 10), 16, 10).cast("bigint") / F.lit(float(1 << 40))
 
 
 def assignment_hash(items: Col) -> Column:

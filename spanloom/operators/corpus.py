@@ -42,7 +42,7 @@ def private_findings(df: DataFrame, key: str, columns: Sequence[str]) -> DataFra
 
 
 def leaves(df: DataFrame, key: str, json: str, depth: int = 8) -> DataFrame:
-    """(key, path, value) of the leaves of JSON objects of any shape, ``depth`` levels at most; a list is a leaf."""
+    """(key, path, value) of the leaves of JSON objects of any shape; a list is a leaf, and so is an object below ``depth`` levels."""
     level = df.select(key, F.lit("$").alias("path"), F.col(json).alias("_j"))
     out = None
     for _ in range(depth):
@@ -52,7 +52,7 @@ def leaves(df: DataFrame, key: str, json: str, depth: int = 8) -> DataFrame:
         done = pairs.where(~nested)
         out = done if out is None else out.unionByName(done)
         level = pairs.where(nested).withColumnRenamed("value", "_j")
-    return out
+    return out.unionByName(level.withColumnRenamed("_j", "value"))
 
 
 def manifest(df: DataFrame, key: str, content: Column) -> DataFrame:
@@ -67,13 +67,43 @@ def blinded(df: DataFrame, group: str, item: str, seed: int, pattern: str = "ite
     return out.join(pairs, group)
 
 
-def windows_bank(events: DataFrame, key: str, t: str, width: int, per: int, seed: int) -> DataFrame:
-    """At most ``per`` window starts a recording: on events, jittered by hash, one in each cell of half a width, in time order."""
-    start = F.greatest(F.col(t) - F.floor(sc.uniform(seed, key, t) * width), F.lit(0)).cast("bigint")
-    cell = F.rint(F.col("w0") / (width / 2)).cast("bigint")
-    rows = events.select(key, t, start.alias("w0")).withColumn("_c", cell)
-    one = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_c").orderBy(t, "w0"))).where("_n = 1")
-    return one.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("w0"))).where(F.col("_n") <= per).select(key, "w0")
+def windows_bank(events: DataFrame, key: str, t: str, kind: str, width: int, per: int, first: int, jitter: int, seed: int) -> DataFrame:
+    """Window starts of each recording (key, w0), at most ``per``, by declared preference.
+
+    First windows around the ``first`` earliest events of each kind, where they lie
+    inside the recording; then an even grid for the slots that are left, jittered by
+    hash.  Starts are clamped to the recording, one stays in each half width, and
+    the first ``per`` of these are taken.
+    """
+    end = events.groupBy(key).agg(F.greatest(F.max(t) - width, F.lit(0)).alias("_end"))
+    nth = F.row_number().over(Window.partitionBy(key, kind).orderBy(t))
+    seek = events.select(key, kind, t).distinct().withColumn("_n", nth).where(F.col("_n") <= first).join(end, key)
+    seek = seek.select(key, "_end", F.col(kind).alias("_k"), "_n", (F.col(t) - width // 2).alias("w0")).where((F.col("w0") >= 0) & (F.col("w0") <= F.col("_end")))
+    slots = end.join(seek.groupBy(key).agg(F.count("*").alias("_s")), key, "left").withColumn("_m", F.lit(per) - F.coalesce("_s", F.lit(0)))
+    grid = slots.where("_m > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_m").cast("int"))))
+    shift = F.floor((sc.uniform(seed, key, "_n") - 0.5) * 2 * jitter).cast("bigint")
+    grid = grid.select(key, "_end", F.lit("~").alias("_k"), "_n", (F.expr("_end * _n div (_m + 1)") + shift).alias("w0"))
+    rows = seek.unionByName(grid).withColumn("w0", F.least(F.greatest("w0", F.lit(0)), "_end").cast("bigint"))
+    one = rows.withColumn("_r", F.row_number().over(Window.partitionBy(key, F.floor(F.col("w0") / (width // 2))).orderBy("_k", "_n"))).where("_r = 1")
+    return one.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_k", "_n"))).where(F.col("_r") <= per).select(key, "w0")
+
+
+def region(df: DataFrame, spans: DataFrame, key: str, length: str, want: int, seed: str) -> DataFrame:
+    """Adds ``start``, ``end`` and ``origin``: the first declared span (key, s, e) that is long enough, else a seeded place, else the whole."""
+    declared = spans.where(F.col("e") - F.col("s") >= want).groupBy(key).agg(F.min("s").alias("_s"))
+    drawn = F.when(F.col(length) > want, F.pmod(F.col(seed) * 37, F.col(length) - want)).otherwise(F.lit(0))
+    start = F.coalesce("_s", drawn).cast("bigint")
+    end = F.when(F.col("_s").isNotNull() | (F.col(length) > want), start + want).otherwise(F.col(length))
+    origin = F.when(F.col("_s").isNotNull(), "declared").otherwise("unverified")
+    return df.join(declared, key, "left").withColumns({"start": start, "end": end.cast("bigint"), "origin": origin}).drop("_s")
+
+
+def refused(df: DataFrame, path: Column, folders: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Adds ``refusal``: why a path may not be used (inside a listed folder, or a listed word in its file name), or null."""
+    name = F.lower(F.substring_index(path, "/", -1))
+    inside = [F.when(path.startswith(f.rstrip("/") + "/"), F.lit(f"folder {f}")) for f in folders]
+    called = [F.when(F.contains(name, F.lit(n.lower())), F.lit(f"name {n}")) for n in names]
+    return df.withColumn("refusal", F.coalesce(*inside, *called))
 
 
 def lint(lines: DataFrame, doc: str, n: str, text: str) -> DataFrame:

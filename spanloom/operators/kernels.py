@@ -92,22 +92,32 @@ def rising_edges(df: DataFrame, keys: Keys, threshold: float, slope: float, gap:
 
 
 def hysteresis(df: DataFrame, keys: Keys, enter: float, stay: float, hold: int, v: str = "score", i: str = "i") -> DataFrame:
-    """Adds ``on``: set at ``enter``, kept while ``stay`` is reached at least every ``hold`` rows; the hold's tail is on."""
+    """Adds ``on``: set at ``enter``, kept while ``stay`` is reached at least every ``hold`` rows; the hold's tail is on.
 
-    def fold(pdf: pd.DataFrame, segments: list[tuple[int, int]]) -> pd.DataFrame:
-        on, values = np.zeros(len(pdf), bool), pdf[v].tolist()
-        for a, b in segments:
-            state, quiet = False, 0
-            for n in range(a, b):
-                if not state:
-                    state, quiet = values[n] >= enter, 0
-                else:
-                    quiet = 0 if values[n] >= stay else quiet + 1
-                    state = quiet <= hold
-                on[n] = state
-        return pdf.drop(columns="session").assign(on=on)
+    A stream: what a task carries from batch to batch is a series' key and its state.
+    """
+    names = list(keys)
 
-    return folded(df, keys, None, fold, _schema(df, "`on` boolean"), i)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, quiet = None, False, 0
+        for pdf in batches:
+            on, values = np.zeros(len(pdf), bool), pdf[v].tolist()
+            starts = np.flatnonzero(_starts(pdf, names)).tolist()
+            for a, b in zip(starts, [*starts[1:], len(pdf)], strict=True):
+                mine = tuple(pdf[c].iat[a] for c in names)
+                if mine != key:
+                    key, state, quiet = mine, False, 0
+                for n in range(a, b):
+                    if not state:
+                        state, quiet = values[n] >= enter, 0
+                    else:
+                        quiet = 0 if values[n] >= stay else quiet + 1
+                        state = quiet <= hold
+                    on[n] = state
+            yield pdf.assign(on=on)
+
+    sorted_rows = df.repartition(*keys).sortWithinPartitions(*names, i)
+    return sorted_rows.mapInPandas(run, _schema(df, "`on` boolean"))
 
 
 def min_separation(df: DataFrame, keys: Keys, gap: int | float, v: str, t: str = "t", tie: Sequence[str] = ()) -> DataFrame:
@@ -183,22 +193,31 @@ def added(df: DataFrame, keys: Keys, gap: int | float, t: str = "t", tie: Sequen
 
 
 def optimal(p: np.ndarray, o: np.ndarray, tolerance: float) -> list[tuple[int, int]]:
-    """Most pairs, then least total distance: on a line some best matching does not cross, so a table over prefixes is exact."""
-    n, m = len(p), len(o)
-    best = [[(0, 0.0)] * (m + 1) for _ in range(n + 1)]
-    for a in range(1, n + 1):
-        for b in range(1, m + 1):
-            top = min(best[a - 1][b], best[a][b - 1])
-            d = abs(p[a - 1] - o[b - 1])
-            if d <= tolerance:
-                c, total = best[a - 1][b - 1]
-                top = min(top, (c - 1, total + d))
-            best[a][b] = top
-    pairs, a, b = [], n, m
+    """Most pairs, then least total distance: on a line some best matching does not cross, so a table over prefixes is exact.
+
+    The table of the first a predictions is kept for the labels that the a-th can
+    reach: before them it is that of the row above, beyond them it stays level.
+    """
+    low, high = np.searchsorted(o, p - tolerance).tolist(), np.searchsorted(o, p + tolerance, "right").tolist()
+    p, o = p.tolist(), o.tolist()
+    rows: list[list[tuple[int, float]]] = [[(0, 0.0)]]
+    low, high = [0, *low], [0, *high]
+
+    def at(a: int, b: int) -> tuple[int, float]:
+        return rows[a][min(b, high[a]) - low[a]]
+
+    for a in range(1, len(p) + 1):
+        row = [at(a - 1, low[a])]
+        for b in range(low[a] + 1, high[a] + 1):
+            c, total = at(a - 1, b - 1)
+            row.append(min(at(a - 1, b), row[-1], (c - 1, total + abs(p[a - 1] - o[b - 1]))))
+        rows.append(row)
+    pairs, a, b = [], len(p), len(o)
     while a and b:
-        if best[a][b] == best[a - 1][b]:
+        b = min(b, high[a])
+        if b <= low[a] or at(a, b) == at(a - 1, b):
             a -= 1
-        elif best[a][b] == best[a][b - 1]:
+        elif at(a, b) == at(a, b - 1):
             b -= 1
         else:
             pairs.append((a - 1, b - 1))
@@ -206,14 +225,22 @@ def optimal(p: np.ndarray, o: np.ndarray, tolerance: float) -> list[tuple[int, i
     return pairs[::-1]
 
 
+def _nearest(o: np.ndarray, x: float, near: int) -> list[int]:
+    """The ``near`` nearest places of sorted ``o``, nearest first and the lower place of equals."""
+    at = int(np.searchsorted(o, x))
+    first = int(np.searchsorted(o, o[at - near])) if at > near else 0  # with all that equal the last one to the left
+    part = np.abs(o[first : at + near] - x)
+    return (np.argsort(part, kind="stable")[:near] + first).tolist()
+
+
 def greedy_input(p: np.ndarray, o: np.ndarray, tolerance: float, near: int = 4) -> list[tuple[int, int]]:
     """Each prediction in turn takes the nearest free label among its ``near`` nearest."""
     used, pairs = set(), []
     for a, x in enumerate(p):
-        for b in np.argsort(np.abs(o - x), kind="stable")[:near]:
+        for b in _nearest(o, x, near):
             if b not in used and abs(o[b] - x) <= tolerance:
-                used.add(int(b))
-                pairs.append((a, int(b)))
+                used.add(b)
+                pairs.append((a, b))
                 break
     return pairs
 
@@ -222,10 +249,10 @@ def greedy_retry(p: np.ndarray, o: np.ndarray, tolerance: float, near: int = 4)
     """The nearest label if it is within the tolerance, or if that is taken the next of the ``near`` nearest; else skip."""
     used, pairs = set(), []
     for a, x in enumerate(p):
-        order = np.argsort(np.abs(o - x), kind="stable")
-        if not order.size or abs(o[order[0]] - x) > tolerance:
+        order = _nearest(o, x, near)
+        if not order or abs(o[order[0]] - x) > tolerance:
             continue
-        free = next((int(b) for b in order[:near] if int(b) not in used and abs(o[b] - x) <= tolerance), None)
+        free = next((b for b in order if b not in used and abs(o[b] - x) <= tolerance), None)
         if free is not None:
             used.add(free)
             pairs.append((a, free))
@@ -234,7 +261,8 @@ def greedy_retry(p: np.ndarray, o: np.ndarray, tolerance: float, near: int = 4)
 
 def greedy_global(p: np.ndarray, o: np.ndarray, tolerance: float) -> list[tuple[int, int]]:
     """All pairs within the tolerance, closest first, each side once."""
-    order = sorted((abs(x - y), a, b) for a, x in enumerate(p) for b, y in enumerate(o) if abs(x - y) <= tolerance)
+    low, high = np.searchsorted(o, p - tolerance), np.searchsorted(o, p + tolerance, "right")
+    order = sorted((abs(p[a] - o[b]), a, b) for a in range(len(p)) for b in range(low[a], high[a]))
     left, right, pairs = set(), set(), []
     for _, a, b in order:
         if a not in left and b not in right:

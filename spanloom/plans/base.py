@@ -18,6 +18,11 @@ EV = "WITH ev AS (SELECT event_id, user_id, event_type, value, props, epoch_us(t
 SER = EV + ", ser AS (SELECT user_id, event_id, event_type, t, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS i FROM ev)"
 
 
+def uniform_sql(seed: int, *keys: str) -> str:
+    """The SQL twin of :func:`functions.scalars.uniform`."""
+    return f"(('0x' || md5(concat_ws(':', '{seed}', {', '.join(keys)}))[1:10])::BIGINT / 1099511627776.0)"
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn

@@ -68,7 +68,12 @@ def gate_tallies(spark, sf):
     return gates.tallies(_cascade(spark, sf), U, "gate", ["keep_", "open_", "drop_"])
 
 
-@query("completion_gate")
+@query(
+    "completion_gate",
+    EV.replace("WITH", "WITH RECURSIVE") + f""", c AS (SELECT user_id, event_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM ev v WHERE event_type = 'view'
+  AND EXISTS (SELECT 1 FROM ev s WHERE s.user_id = v.user_id AND s.event_type = 'click' AND abs(s.t - v.t) <= {12 * HOUR}) AND NOT EXISTS (SELECT 1 FROM ev o WHERE o.user_id = v.user_id AND o.event_type = 'purchase' AND abs(o.t - v.t) < {3 * HOUR})),
+rr AS (SELECT user_id, k, event_id, true AS keep, t AS last FROM c WHERE k = 1 UNION ALL SELECT c.user_id, c.k, c.event_id, c.t - rr.last >= {3 * HOUR}, CASE WHEN c.t - rr.last >= {3 * HOUR} THEN c.t ELSE rr.last END FROM rr JOIN c ON c.user_id = rr.user_id AND c.k = rr.k + 1) SELECT user_id, event_id FROM rr WHERE keep""",
+)
 def completion_gate(spark, sf):
     """Views inside click spans, three hours from purchases and from views added before."""
     spans = events(spark, sf, "click").select("user_id", (F.col("t") - 12 * HOUR).alias("s"), (F.col("t") + 12 * HOUR).alias("e"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..operators import corpus, joins, ranking
-from .base import EV, HOUR, events, load, query, r
+from .base import EV, HOUR, events, load, query, r, uniform_sql
 
 
 @query("dup_by_size_then_hash", "WITH d AS (SELECT doc_id, n_chars, text FROM documents WHERE n_chars IN (SELECT n_chars FROM documents GROUP BY 1 HAVING count(*) > 1)), h AS (SELECT doc_id, sha256(text) AS digest FROM d) SELECT doc_id, digest, count(*) OVER (PARTITION BY digest) AS copies FROM h")
@@ -50,7 +50,10 @@ def split_override(spark, sf):
     return _split(spark, sf).join(v, "o_custkey", "left").select("o_orderkey", F.when(F.col("o"), "SEALED_EXCLUDED").otherwise(F.col("split")).alias("split"))
 
 
-@query("hash_uniform_split")
+_U = uniform_sql(20260912, "o_custkey")
+
+
+@query("hash_uniform_split", f"SELECT CASE WHEN {_U} < 0.8 THEN 'train' WHEN {_U} < 0.9 THEN 'dev' ELSE 'test' END AS split, count(*) AS n FROM orders GROUP BY 1")
 def hash_uniform_split(spark, sf):
     """Weighted draws from a hash of the key: the same on any cluster."""
     split = ranking.drawn({"train": 0.8, "dev": 0.1, "test": 0.1}, 20260912, "o_custkey")
@@ -62,13 +65,22 @@ def crc_seed_pick(spark, sf):
     return load(spark, sf, "part").select("p_partkey", F.pmod(F.col("p_partkey") * 37 + F.col("p_size"), F.lit(1000)).cast("bigint").alias("region"))
 
 
-@query("crc_row_seed")
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(x, ''), lambda s: ascii(s)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda d, z: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295::BIGINT)"""
+
+
+@query("crc_row_seed", f"SELECT p_partkey, {_CRC} AS seed FROM (SELECT p_partkey, p_brand || ':' || p_partkey AS x FROM part)")
 def crc_row_seed(spark, sf):
     """A seed for each row from the CRC32 of its key."""
     return load(spark, sf, "part").select("p_partkey", F.crc32(F.concat_ws(":", "p_brand", "p_partkey").cast("binary")).alias("seed"))
 
 
-@query("stratified_split")
+@query(
+    "stratified_split",
+    f"""WITH a AS (SELECT s_suppkey FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 1), b AS (SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (FROM a) ORDER BY s_acctbal, s_suppkey LIMIT 1),
+c AS (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5 AND s_suppkey NOT IN (FROM a UNION ALL FROM b) ORDER BY s_acctbal DESC, s_suppkey LIMIT 1),
+d AS (SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (FROM a UNION ALL FROM b UNION ALL FROM c) ORDER BY {uniform_sql(20260912, 's_suppkey')}, s_suppkey LIMIT 10)
+SELECT s_suppkey, CASE WHEN s_suppkey IN (FROM a UNION ALL FROM b) THEN 'TEST' WHEN s_suppkey IN (FROM c UNION ALL FROM d) THEN 'DEV' ELSE 'TRAIN' END AS split FROM supplier""",
+)
 def stratified_split(spark, sf):
     """One supplier for each of three strata without replacement, a seeded fill of ten, the rest train."""
     s = load(spark, sf, "supplier")
@@ -100,7 +112,11 @@ def verify_manifest(spark, sf):
     return joins.catalog_diff(a, b, "page_id", "bytes", "sha256").groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("blinded_assignment")
+@query(
+    "blinded_assignment",
+    f"""WITH b AS (SELECT p_brand, p_partkey, printf('item_%03d', row_number() OVER (PARTITION BY p_brand ORDER BY {uniform_sql(7, 'p_brand', 'p_partkey')}, p_partkey)) AS blind FROM part),
+a AS (SELECT p_brand, sha256(string_agg(blind || '=' || p_partkey, chr(10) ORDER BY blind || '=' || p_partkey)) AS assignment FROM b GROUP BY 1) SELECT p_brand, p_partkey, blind, assignment FROM b JOIN a USING (p_brand)""",
+)
 def blinded_assignment(spark, sf):
     return corpus.blinded(load(spark, sf, "part").select("p_brand", "p_partkey"), "p_brand", "p_partkey", 7)
 
@@ -112,10 +128,46 @@ def gain_audit(spark, sf):
     return e.join(g, "label").groupBy("label").agg(r(F.max(F.abs(F.col("s") - F.col("g"))), 4).alias("largest"))
 
 
-@query("window_bank")
+_W, _J = 8 * HOUR, 2 * HOUR
+
+
+@query(
+    "window_bank",
+    f"""{EV}, r AS (SELECT DISTINCT user_id, event_type, t - 1704067200000000 AS t FROM ev), z AS (SELECT user_id, greatest(max(t) - {_W}, 0) AS z FROM r GROUP BY 1),
+k AS (SELECT user_id, z, event_type AS kind, row_number() OVER (PARTITION BY user_id, event_type ORDER BY t) AS n, t - {_W // 2} AS w0 FROM r JOIN z USING (user_id) QUALIFY n <= 2),
+s AS (SELECT * FROM k WHERE w0 BETWEEN 0 AND z), m AS (SELECT user_id, z, 12 - coalesce(c, 0) AS m FROM z LEFT JOIN (SELECT user_id, count(*) AS c FROM s GROUP BY 1) USING (user_id)),
+g AS (SELECT user_id, z, '~' AS kind, n, z * n // (m + 1) + floor(({uniform_sql(3, 'user_id', 'n')} - 0.5) * 2 * {_J})::BIGINT AS w0 FROM (SELECT *, unnest(range(1, m + 1)) AS n FROM m WHERE m > 0)),
+c AS (SELECT user_id, kind, n, least(greatest(w0, 0), z) AS w0 FROM (FROM s UNION ALL FROM g)), d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY user_id, w0 // {_W // 2} ORDER BY kind, n) = 1)
+SELECT user_id, w0::BIGINT AS w0 FROM d QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY kind, n) <= 12""",
+)
 def window_bank(spark, sf):
-    rel = events(spark, sf).select("user_id", (F.col("t") - 1_704_067_200_000_000).alias("t"))
-    return corpus.windows_bank(rel, "user_id", "t", 8 * HOUR, 12, 3)
+    rel = events(spark, sf).select("user_id", "event_type", (F.col("t") - 1_704_067_200_000_000).alias("t"))
+    return corpus.windows_bank(rel, "user_id", "t", "event_type", _W, 12, 2, _J, 3)
+
+
+@query(
+    "region_pick",
+    f"""{EV}, s AS (SELECT user_id, min(t) AS s FROM ev WHERE event_type = 'click' AND value * {HOUR} >= {60 * HOUR} GROUP BY 1), l AS (SELECT user_id, sum(value * {HOUR})::BIGINT AS n FROM ev GROUP BY 1)
+SELECT user_id, coalesce(s, CASE WHEN n > {60 * HOUR} THEN user_id * 37 % (n - {60 * HOUR}) ELSE 0 END) AS start_, CASE WHEN s IS NOT NULL OR n > {60 * HOUR} THEN coalesce(s, user_id * 37 % greatest(n - {60 * HOUR}, 1)) + {60 * HOUR} ELSE n END AS end_, CASE WHEN s IS NULL THEN 'unverified' ELSE 'declared' END AS origin FROM l LEFT JOIN s USING (user_id)""",
+)
+def region_pick(spark, sf):
+    """The first click span of sixty hours, else a place by the user's number, else the whole."""
+    e = events(spark, sf)
+    spans = e.where("event_type = 'click'").select("user_id", F.col("t").alias("s"), (F.col("t") + F.col("value") * HOUR).alias("e"))
+    whole = e.groupBy("user_id").agg(F.round(F.sum(F.col("value") * HOUR)).cast("bigint").alias("n"))
+    out = corpus.region(whole, spans, "user_id", "n", 60 * HOUR, "user_id")
+    return out.select("user_id", F.col("start").alias("start_"), F.col("end").alias("end_"), "origin")
+
+
+@query(
+    "refusal_list",
+    """SELECT coalesce(refusal, 'allowed') AS refusal, count(*) AS n FROM (SELECT CASE WHEN starts_with(path, 'docs/') THEN 'folder docs' WHEN starts_with(path, 'blog/') THEN 'folder blog' WHEN contains(lower(regexp_extract(path, '[^/]*$')), '7') THEN 'name 7' WHEN contains(lower(regexp_extract(path, '[^/]*$')), 'index') THEN 'name INDEX' END AS refusal
+FROM (SELECT regexp_replace(url, '^[a-z]+://[^/]*/?', '') AS path FROM pages)) GROUP BY 1""",
+)
+def refusal_list(spark, sf):
+    pages = load(spark, sf, "pages").withColumn("path", F.regexp_replace("url", "^[a-z]+://[^/]*/?", ""))
+    out = corpus.refused(pages, F.col("path"), ["docs", "blog"], ["7", "INDEX"])
+    return out.groupBy(F.coalesce("refusal", F.lit("allowed")).alias("refusal")).agg(F.count("*").alias("n"))
 
 
 @query("public_projection", "SELECT doc_id, lang, n_chars FROM documents")

@@ -255,18 +255,54 @@ def error_near_negatives(spark, sf):
     return b.groupBy("tp", F.col("distance").isNotNull().alias("near_negative")).agg(F.count("*").alias("n"))
 
 
+_TOL = 6 * HOUR
+_REC = EV.replace("WITH", "WITH RECURSIVE") + f", {_P}"
+#: {{a}} in time order takes, of its {{near}} nearest {{b}}, the nearest that is free: a fold with the taken places as state.
+_TURNS = """, ls AS (SELECT user_id, list(t ORDER BY t) AS ls FROM {b} GROUP BY 1), q AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS k FROM {a} JOIN ls USING (user_id)),
+rr AS (SELECT DISTINCT user_id, 0::BIGINT AS k, []::BIGINT[] AS used, []::BIGINT[][] AS pairs FROM q
+UNION ALL SELECT user_id, k, CASE WHEN j IS NULL THEN used ELSE list_append(used, j) END, CASE WHEN j IS NULL THEN pairs ELSE list_append(pairs, [t, x]) END FROM (SELECT *, ls[j] AS x FROM (
+  SELECT rr.user_id, q.k, q.t, used, pairs, ls, list_filter(list_sort(list_transform(range(1, len(ls) + 1), lambda j: [abs(ls[j] - q.t), j]))[1:{near}], lambda y: y[1] <= {tol} AND NOT list_contains(used, y[2]))[1][2] AS j
+  FROM rr JOIN q ON q.user_id = rr.user_id AND q.k = rr.k + 1 JOIN ls ON ls.user_id = rr.user_id))),
+z AS (SELECT user_id, unnest(pairs) AS pair FROM (SELECT * FROM rr QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1))"""
+_SUMMED = " SELECT user_id, count(*) AS pairs, sum(abs(pair[1] - pair[2]))::BIGINT AS total FROM z GROUP BY 1"
+_MATCH_SQL = {
+    "greedy_input": _REC + _TURNS.format(a="p", b="o", near=4, tol=_TOL) + _SUMMED,
+    "greedy_retry": _REC + _TURNS.format(a="p", b="o", near=4, tol=_TOL) + _SUMMED,  # if the nearest is out of reach, so are the others
+    "greedy_global": _REC + f""", a AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS i FROM p), b AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS j FROM o),
+c AS (SELECT user_id, i, j, abs(a.t - b.t) AS d, row_number() OVER (PARTITION BY user_id ORDER BY abs(a.t - b.t), i, j) AS k FROM a JOIN b USING (user_id) WHERE abs(a.t - b.t) <= {_TOL}),
+rr AS (SELECT user_id, 0::BIGINT AS k, []::BIGINT[] AS x, []::BIGINT[] AS y, 0::BIGINT AS pairs, 0::BIGINT AS total FROM (SELECT DISTINCT user_id FROM c)
+UNION ALL SELECT user_id, k, CASE WHEN ok THEN list_append(x, i) ELSE x END, CASE WHEN ok THEN list_append(y, j) ELSE y END, pairs + ok::BIGINT, total + CASE WHEN ok THEN d ELSE 0 END
+FROM (SELECT rr.user_id, c.k, x, y, pairs, total, i, j, d, NOT list_contains(x, i) AND NOT list_contains(y, j) AS ok FROM rr JOIN c ON c.user_id = rr.user_id AND c.k = rr.k + 1))
+SELECT user_id, pairs, total FROM rr QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1""",
+    # a table over prefixes, one row a prediction: a pair is worth 10^15, its distance is taken off; within a row the minimum is carried on
+    "optimal": _REC + f""", ls AS (SELECT user_id, list(t ORDER BY t) AS ls FROM o GROUP BY 1), q AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS k FROM p JOIN ls USING (user_id)),
+rr AS (SELECT user_id, 0::BIGINT AS k, list_prepend(0::BIGINT, list_transform(ls, lambda x: 0::BIGINT)) AS r FROM ls
+UNION ALL SELECT rr.user_id, q.k, list_reduce(list_prepend([0::BIGINT], list_transform(range(1, len(ls) + 1), lambda b: [least(r[b + 1], CASE WHEN abs(q.t - ls[b]) <= {_TOL} THEN r[b] - 1000000000000000 + abs(q.t - ls[b]) ELSE r[b + 1] END)])), lambda acc, x: list_append(acc, least(acc[-1], x[1])))
+FROM rr JOIN q ON q.user_id = rr.user_id AND q.k = rr.k + 1 JOIN ls ON ls.user_id = rr.user_id),
+v AS (SELECT user_id, r[-1] AS v, ceil(-r[-1] / 1e15)::BIGINT AS pairs FROM rr QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1)
+SELECT user_id, pairs, (v + pairs * 1000000000000000)::BIGINT AS total FROM v WHERE pairs > 0""",
+}
+
+
 def _matches(policy: str):
     def run(spark, sf):
         p, o = sides(spark, sf)
-        m = kernels.matched(p.select("user_id", "t"), o.select("user_id", "t"), U, 6 * HOUR, policy)
-        d = F.abs(F.col("predicted") - F.col("actual"))
-        return m.groupBy("user_id").agg(F.count("*").alias("pairs"), F.sum(d).alias("total"), F.max(d).alias("largest"))
+        m = kernels.matched(p.select("user_id", "t"), o.select("user_id", "t"), U, _TOL, policy)
+        return m.groupBy("user_id").agg(F.count("*").alias("pairs"), F.sum(F.abs(F.col("predicted") - F.col("actual"))).alias("total"))
 
     return run
 
 
-for _policy in kernels.POLICIES:
-    query(f"match_{_policy}")(_matches(_policy))
+for _policy, _sql in _MATCH_SQL.items():
+    query(f"match_{_policy}", _sql)(_matches(_policy))
+
+
+@query("match_label_major", _REC + _TURNS.format(a="o", b="p", near=5, tol=_TOL) + " SELECT user_id, pair[1] AS actual, pair[2] AS predicted, pair[2] - pair[1] AS lag FROM z")
+def match_label_major(spark, sf):
+    """Labels in turn take predictions; the signed lag is positive where the prediction is late."""
+    p, o = sides(spark, sf)
+    m = kernels.matched(p.select("user_id", "t"), o.select("user_id", "t"), U, _TOL, "label_major")
+    return m.select("user_id", "actual", "predicted", (F.col("predicted") - F.col("actual")).alias("lag"))
 
 
 @query("match_tolerance_block")

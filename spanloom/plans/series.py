@@ -296,13 +296,27 @@ def min_separation_dedup(spark, sf):
     return kernels.min_separation(series(spark, sf).where("v >= 25").select("user_id", "i", "v"), U, 4, "v", "i").select("user_id", "i")
 
 
-@query("nms_quota")
+#: Highest first, none closer than {reach} to one taken, at most {quota}: a fold over the rank with the taken places as state.
+_NMS = """c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, place, id) AS k FROM ({rows})), rr AS (SELECT user_id, k, [place] AS taken, [id] AS ids FROM c WHERE k = 1
+UNION ALL SELECT user_id, k, CASE WHEN ok THEN list_append(taken, place) ELSE taken END, CASE WHEN ok THEN list_append(ids, id) ELSE ids END
+FROM (SELECT c.user_id, c.k, c.place, c.id, taken, ids, len(taken) < {quota} AND len(list_filter(taken, lambda y: abs(y - c.place) < {reach})) = 0 AS ok FROM rr JOIN c ON c.user_id = rr.user_id AND c.k = rr.k + 1)),
+z AS (SELECT user_id, unnest(ids) AS id FROM (SELECT user_id, ids FROM rr QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1))"""
+
+
+@query("nms_quota", SER.replace("WITH", "WITH RECURSIVE") + ", " + _NMS.format(rows="SELECT user_id, v, t AS place, event_id AS id FROM ser", quota=10, reach=6 * HOUR) + " SELECT user_id, id AS event_id FROM z")
 def nms_quota(spark, sf):
     """Highest events first, six hours apart, at most ten a user."""
     return kernels.suppressed(series(spark, sf).select("user_id", "event_id", "t", "v"), U, 6 * HOUR, "v", "t", ["event_id"], quota=10).select("user_id", "event_id")
 
 
-@query("peaks_with_distance")
+@query(
+    "peaks_with_distance",
+    SER.replace("WITH", "WITH RECURSIVE")
+    + ", f AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY user_id ORDER BY i) THEN 0 ELSE 1 END AS fresh FROM ser), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY i) AS g FROM f), "
+    + "u AS (SELECT user_id, v, (a + b) // 2 AS place, lag(v) OVER w AS l, lead(v) OVER w AS r FROM (SELECT user_id, g, min(i) AS a, max(i) AS b, any_value(v) AS v FROM g GROUP BY ALL) WINDOW w AS (PARTITION BY user_id ORDER BY g)), "
+    + _NMS.format(rows="SELECT user_id, v, place, place AS id FROM u WHERE l < v AND r < v AND v >= 30", quota=1000000, reach=5)
+    + " SELECT user_id, i, v FROM z JOIN ser USING (user_id) WHERE i = id",
+)
 def peaks_with_distance(spark, sf):
     return kernels.peaks(series(spark, sf).select("user_id", "i", "v"), U, 5, 30.0)
 

@@ -12,15 +12,19 @@ from ..sources.scratch import shared
 from ..streaming import twins
 from .base import EV, HOUR, MONTH, events, load, query, r
 
-# Sixteen embeddings of a label in order are one waveform, the label's next sixteen its estimate.
+# Sixteen embeddings of a label in order are one waveform, the label's next sixteen its estimate; the last
+# waveform of a label is filled with silence, and its estimate is the label's first.
 
 
 def waves(spark, sf):
     n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
     rows = load(spark, sf, "embeddings").select("label", F.floor(n / 16).alias("block"), "vec_id", "embedding")
     w = rows.groupBy("label", "block").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("x"))
-    w = w.where(F.size("x") == 16).select("label", "block", F.flatten(F.transform("x", lambda v: v["embedding"])).alias("x"))
-    return w.withColumn("y", F.lead("x").over(Window.partitionBy("label").orderBy("block"))).where("y is not null")
+    silence = F.array_repeat(F.lit(0.0).cast("float"), (16 - F.size("x")) * F.size(F.col("x")[0]["embedding"]))
+    w = w.select("label", "block", F.concat(F.flatten(F.transform("x", lambda v: v["embedding"])), silence).alias("x"))
+    order = Window.partitionBy("label").orderBy("block")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return w.withColumn("y", F.coalesce(F.lead("x").over(order), F.first("x").over(whole)))
 
 
 def _kernel(name, fn, schema, columns=("x", "y")):
@@ -43,6 +47,9 @@ _kernel("multi_resolution_distance", lambda x, y: {"distance": sg.log_distance(x
 _kernel("mask_oracles", lambda x, y: {"bounded": float(sg.bounded_mask(x + y, x).mean()), "ratio_error": float(np.abs(sg.istft(sg.complex_mask(x + y, x) * sg.stft(x + y), x.size) - x).max())}, "bounded double, ratio_error double")
 _kernel("mask_path_decomposition", lambda x, y: sg.paths(sg.bounded_mask(x + y, x), x, y), "target_kept_db double, nuisance_cut_db double, residual double")
 _kernel("coherence_by_band", lambda x, y: {"low": float(sg.coherence(x, y)[:8].mean()), "high": float(sg.coherence(x, y)[16:].mean())}, "low double, high double")
+_kernel("coherence_by_loudness", sg.coherence_by_loudness, "loud_low double, quiet_low double, loud_mid double, quiet_mid double")
+_kernel("friction_fidelity", lambda x, y: sg.friction(x + 0.1 * y, x), "envelope_r double, log_distance double")
+_kernel("optimised_mask", lambda x, y: dict(zip(("before", "after"), sg.optimised_mask(x + y, x, 12)[1:], strict=True)), "before double, after double")
 _kernel("stereo_features", sg.stereo, "level_db double, correlation double, phase double, delay double")
 _kernel("transient_fidelity", lambda x, y: sg.transient(x + 0.1 * y, x), "rise_error long, decay_error long, peak_ratio double")
 _kernel("reference_attenuation", lambda x, y: sg.active_attenuation(x + y, x, y), "active_db double, inactive_db double")
@@ -165,12 +172,23 @@ def stream_tumbling(spark, sf):
     return twins.replayed(spark, sf, lambda s: twins.tumbling(s, "24 hours"))
 
 
-@query("stream_refractory")
+_TURN = EV.replace("WITH", "WITH RECURSIVE") + ", n AS (SELECT user_id, t, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM ev), "
+
+
+@query(
+    "stream_refractory",
+    _TURN + f"""rr AS (SELECT user_id, i, t, event_id, true AS keep, t AS last FROM n WHERE i = 1 UNION ALL SELECT n.user_id, n.i, n.t, n.event_id, n.t - rr.last >= {6 * HOUR}, CASE WHEN n.t - rr.last >= {6 * HOUR} THEN n.t ELSE rr.last END FROM rr JOIN n ON n.user_id = rr.user_id AND n.i = rr.i + 1)
+SELECT user_id, event_id, t FROM rr WHERE keep""",
+)
 def stream_refractory(spark, sf):
     """Events kept by a stateful refractory rule, one state a user."""
     return twins.replayed(spark, sf, lambda s: twins.refractory(s, 6 * HOUR))
 
 
-@query("stream_hysteresis")
+@query(
+    "stream_hysteresis",
+    _TURN + """h AS (SELECT user_id, i, event_id, value >= 60 AS st, 0 AS quiet FROM n WHERE i = 1 UNION ALL SELECT n.user_id, n.i, n.event_id, CASE WHEN h.st THEN (CASE WHEN n.value >= 20 THEN 0 ELSE h.quiet + 1 END) <= 2 ELSE n.value >= 60 END, CASE WHEN h.st AND n.value < 20 THEN h.quiet + 1 ELSE 0 END FROM h JOIN n ON n.user_id = h.user_id AND n.i = h.i + 1)
+SELECT user_id, event_id, st AS on_ FROM h""",
+)
 def stream_hysteresis(spark, sf):
-    return twins.replayed(spark, sf, lambda s: twins.hysteresis(s, 60.0, 20.0, 2))
+    return twins.replayed(spark, sf, lambda s: twins.hysteresis(s, 60.0, 20.0, 2)).withColumnRenamed("on", "on_")

@@ -1,6 +1,9 @@
 """Structured Streaming twins of sessions, windows and the sequential rules.
 
-Late rows wait for a watermark; state is one small row a key.
+Late rows wait for a watermark.  Aggregates come out when the watermark has
+passed them and leave the state.  The sequential rules keep rows back until the
+watermark has passed them, so files whose times interleave give what the batch
+rules give; a key's state is its last decision and the rows still open.
 """
 
 from __future__ import annotations
@@ -17,79 +20,118 @@ from ..sources.scratch import shared
 LATE = "1 hour"
 
 
-def source(spark: SparkSession, folder: str, name: str = "events.parquet", watermark: str | None = LATE) -> DataFrame:
-    """A table's files as a stream of rows with an event time ``at``."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("at", F.col("ts").cast("timestamp"))
-    return rows.withWatermark("at", watermark) if watermark else rows
-
-
-def replayed(spark: SparkSession, folder: str, plan: Callable[[DataFrame], DataFrame], mode: str | None = None) -> DataFrame:
-    """Run a streaming plan over all files that are there, and read what it wrote."""
+def source(spark: SparkSession, folder: str, schema, watermark: str = LATE) -> DataFrame:
+    """The parquet files of a folder and those below, oldest first and one a step, as a stream of rows with an event time ``at``."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
+    return rows.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", watermark)
+
+
+def staged(spark: SparkSession, folder: str, name: str, files: int) -> tuple[str, object]:
+    """A table laid out as a stream would deliver it: ``files`` files one after the other in time, and a last row far ahead that moves the watermark."""
+    rows = spark.read.parquet(f"{folder}/{name}")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    out = shared(spark, "replay")
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    if low is None:
+        low = high = 0
+    edges = [low + (high - low) * k // files for k in range(1, files)]
+    for k, (a, b) in enumerate(zip([None, *edges], [*edges, None], strict=True)):
+        part = rows.where((at >= a if a is not None else F.lit(True)) & (at < b if b is not None else F.lit(True)))
+        part.coalesce(1).write.parquet(f"{out}/{k:03d}")
+    far = (F.timestamp_micros(F.lit(high)) + F.expr("interval 1000 days")).cast(rows.schema["ts"].dataType)
+    last = spark.range(1).select(*[far.alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+    last.coalesce(1).write.parquet(f"{out}/{files:03d}")
+    return out, rows.schema
+
+
+def run(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """Run a streaming plan until its files are used up, and read what it wrote."""
     out = shared(spark, "stream")
-    df = plan(source(spark, folder, watermark=None))
-    schema = df.schema
+    schema = stream.schema
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/data/{number}")
 
-    stream = df.writeStream.outputMode(mode or ("complete" if _aggregated(df) else "append")).foreachBatch(sink)
-    stream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    query = stream.writeStream.outputMode("append").foreachBatch(sink)
+    query.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{out}/data")
 
 
-def _aggregated(df: DataFrame) -> bool:
-    return "Aggregate" in df._jdf.queryExecution().logical().toString()
+def replayed(spark: SparkSession, folder: str, plan: Callable[[DataFrame], DataFrame], name: str = "events.parquet", files: int = 3) -> DataFrame:
+    """A streaming plan over a table, delivered in several files with a watermark."""
+    where, schema = staged(spark, folder, name, files)
+    return run(spark, plan(source(spark, where, schema)))
 
 
 def _micros(c) -> F.Column:
     return F.unix_micros(c)
 
 
+#: Number of rows that only move the watermark; a filter on them would be pushed below it.
+_NONE = -(1 << 63)
+
+
 def sessions(rows: DataFrame, gap: str) -> DataFrame:
     """A user's events closer than ``gap`` in one session."""
-    g = rows.groupBy("user_id", F.session_window("at", gap).alias("w")).agg(F.count("*").alias("n"))
-    return g.select("user_id", _micros(F.col("w.start")).alias("start"), "n")
+    g = rows.groupBy("user_id", F.session_window("at", gap).alias("w")).agg(F.count("event_id").alias("n"))
+    return g.where("n > 0").select("user_id", _micros(F.col("w.start")).alias("start"), "n")
 
 
 def sliding(rows: DataFrame, width: str, step: str) -> DataFrame:
-    g = rows.groupBy(F.window("at", width, step).alias("w")).agg(F.count("*").alias("n"))
-    return g.select(_micros(F.col("w.start")).alias("w0"), "n")
+    g = rows.groupBy(F.window("at", width, step).alias("w")).agg(F.count("event_id").alias("n"))
+    return g.where("n > 0").select(_micros(F.col("w.start")).alias("w0"), "n")
 
 
 def tumbling(rows: DataFrame, width: str) -> DataFrame:
-    g = rows.groupBy(F.window("at", width).alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
-    return g.select(_micros(F.col("w.start")).alias("w0"), "n", "total")
+    g = rows.groupBy(F.window("at", width).alias("w")).agg(F.count("event_id").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return g.where("n > 0").select(_micros(F.col("w.start")).alias("w0"), "n", "total")
 
 
-def _timed(rows: DataFrame) -> DataFrame:
-    return rows.select("user_id", "event_id", "value", _micros(F.col("at")).alias("t"))
+def _folded(rows: DataFrame, fold: Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]], fresh: tuple, out: str, state_schema: str) -> DataFrame:
+    """``fold(state, rows in order)`` -> (state, rows that come out), user by user, for rows that the watermark has passed."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *inner, t, ids, values = state.get if state.exists else (*fresh, [], [], [])
+        held = pd.DataFrame({"event_id": list(ids), "value": list(values), "t": list(t)})
+        real = [p.loc[p["event_id"] != _NONE, ["event_id", "value", "t"]] for p in parts]
+        some = [p for p in (held, *real) if len(p)]
+        pdf = (pd.concat(some) if some else held).sort_values(["t", "event_id"])
+        pdf = pdf.astype({"event_id": "int64", "value": "float64", "t": "int64"})
+        passed = state.getCurrentWatermarkMs()
+        ready, rest = pdf[pdf["t"] < passed * 1000], pdf[pdf["t"] >= passed * 1000]
+        if len(ready):
+            inner, out_rows = fold(tuple(inner), ready)
+            out_rows.insert(0, "user_id", key[0])
+            yield out_rows
+        state.update((*inner, rest["t"].tolist(), rest["event_id"].tolist(), rest["value"].tolist()))
+        if len(rest):
+            state.setTimeoutTimestamp(max(int(rest["t"].min()) // 1000 + 1, passed + 1))
+
+    number = F.coalesce("event_id", F.lit(_NONE)).alias("event_id")
+    timed = rows.select("user_id", number, F.col("value").cast("double").alias("value"), "at", _micros(F.col("at")).alias("t"))
+    held = "t array<long>, ids array<long>, v array<double>"
+    return timed.groupBy("user_id").applyInPandasWithState(step, f"user_id long, {out}", f"{state_schema}, {held}", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def refractory(rows: DataFrame, gap: int) -> DataFrame:
     """Events at least ``gap`` microseconds after the last one kept; the state is its time."""
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        keep = []
-        pdf = pd.concat(list(parts)).sort_values(["t", "event_id"])
+    def fold(state: tuple, pdf: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        (last,), keep = state, []
         for t in pdf["t"]:
             ok = last is None or t - last >= gap
             keep.append(ok)
             last = t if ok else last
-        state.update((int(last),))
-        yield pdf.loc[keep, ["user_id", "event_id", "t"]]
+        return (int(last),), pdf.loc[keep, ["event_id", "t"]]
 
-    return _timed(rows).groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, t long", "last long", "append", GroupStateTimeout.NoTimeout)
+    return _folded(rows, fold, (None,), "event_id long, t long", "last long")
 
 
 def hysteresis(rows: DataFrame, enter: float, stay: float, hold: int) -> DataFrame:
     """On and off of a hysteresis with hold; the state is (on, quiet rows)."""
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        on, quiet = state.get if state.exists else (False, 0)
-        flags = []
-        pdf = pd.concat(list(parts)).sort_values(["t", "event_id"])
+    def fold(state: tuple, pdf: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        (on, quiet), flags = state, []
         for v in pdf["value"]:
             if not on:
                 on, quiet = v >= enter, 0
@@ -97,7 +139,6 @@ def hysteresis(rows: DataFrame, enter: float, stay: float, hold: int) -> DataFra
                 quiet = 0 if v >= stay else quiet + 1
                 on = quiet <= hold
             flags.append(bool(on))
-        state.update((bool(on), int(quiet)))
-        yield pd.DataFrame({"user_id": pdf["user_id"].to_numpy(), "event_id": pdf["event_id"].to_numpy(), "on": flags})
+        return (bool(on), int(quiet)), pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "on": flags})
 
-    return _timed(rows).groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, on boolean", "on boolean, quiet long", "append", GroupStateTimeout.NoTimeout)
+    return _folded(rows, fold, (False, 0), "event_id long, on boolean", "on boolean, quiet long")
