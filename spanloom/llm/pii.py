@@ -65,7 +65,9 @@ CREDENTIAL = r"(?i)(?<![\p{L}\p{Nd}])(?:api[_-]?key|access[_-]?key|passwd|passwo
 _RUN = r"[\p{L}\p{Nd}]++"
 #: Stands for a base span; letters that touch it are part of what the span hides.
 _HOLE = "\uffff"
-_FREE_RUN = r"(?<![\p{L}\p{Nd}\uFFFF])[\p{L}\p{Nd}]++(?!\uFFFF)"
+#: Whole runs of letters, and whole runs of MIXED letters and digits or more, that touch no hole.
+_WORD = r"(?<![\p{L}\p{Nd}\uFFFF])\p{L}++(?![\p{Nd}\uFFFF])"
+_CODE = rf"(?<![\p{{L}}\p{{Nd}}\uFFFF])(?=\p{{L}}*+\p{{Nd}})(?=\p{{Nd}}*+\p{{L}})[\p{{L}}\p{{Nd}}]{{{MIXED},}}+(?!\uFFFF)"
 
 _LAST = (1 << 63) - 1
 #: Matches folded at once: a fold copies what it has for every match it keeps.
@@ -177,19 +179,23 @@ def _entities(spans: str, text: Column) -> Column:
     return F.array_distinct(F.concat(named, F.when(text.rlike(CREDENTIAL), F.array(F.lit("credential"))).otherwise(F.array().cast("array<string>"))))
 
 
+def _shape(run: Column) -> Column:
+    """What stands for a long run of letters and digits."""
+    kind = F.when(run.rlike("^[0-9a-f]+$"), "hex").when(run.rlike("^[0-9A-Z]+$"), "capitals").otherwise("mixed")
+    return F.concat(F.lit("#"), kind, F.lit(":"), F.floor(F.log2(F.length(run))).cast("string"))
+
+
 def _term(run: Column) -> Column:
     """A word in lower case, the shape of a long run of letters and digits, or null."""
     digits, letters = run.rlike(r"\p{Nd}"), run.rlike(r"\p{L}")
-    shape = F.when(run.rlike("^[0-9a-f]+$"), "hex").when(run.rlike("^[0-9A-Z]+$"), "capitals").otherwise("mixed")
-    size = F.floor(F.log2(F.length(run))).cast("string")
-    return F.when(~digits, F.lower(run)).when(letters & (F.length(run) >= MIXED), F.concat(F.lit("#"), shape, F.lit(":"), size))
+    return F.when(~digits, F.lower(run)).when(letters & (F.length(run) >= MIXED), _shape(run))
 
 
-def _words(text: Column, pattern: str = _RUN) -> Column:
-    """The different terms of a text, and first letters with a star for their generalisations."""
-    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    terms = F.array_distinct(F.filter(F.transform(runs, _term), lambda t: t.isNotNull()))
-    return _bound(terms, lambda t: F.concat(t, F.array_distinct(F.transform(F.filter(t, lambda x: ~x.startswith("#")), _general))))
+def _words(text: Column) -> Column:
+    """The different terms of a text, and first letters with a star for the words' generalisations."""
+    words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower))
+    shapes = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_CODE), F.lit(0)), _shape))
+    return F.concat(_bound(words, lambda w: F.concat(w, F.array_distinct(F.transform(w, _general)))), shapes)
 
 
 def _general(term: Column) -> Column:
@@ -239,41 +245,38 @@ def _given(give: DataFrame) -> DataFrame:
 
 
 def _holders(docs: DataFrame, given: DataFrame) -> DataFrame:
-    """key, hash and the disclosing terms (a map to actions) of the documents that hold any."""
+    """key, hash, text and the disclosing terms (a map to actions) of the documents that hold any: no other text is shuffled."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.xxhash64(text).alias("hash"), F.explode(_words(text)).alias("term"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    each = rows.withColumn("term", F.explode(_words(F.col("text"))))
+    actions = F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("actions")
     if given.count() <= GIVEN:
-        held = rows.join(F.broadcast(given.select("term", "action")), "term")
-    else:
-        held = spread(rows, given, ["term"], "n_term")
-    return held.groupBy("key", "hash").agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("actions"))
+        held = each.join(F.broadcast(given.select("term", "action")), "term")
+        return held.groupBy("key", "hash").agg(F.first("text").alias("text"), actions)
+    held = spread(each.drop("text"), given, ["term"], "n_term").groupBy("key", "hash").agg(actions)
+    return rows.join(held, ["key", "hash"]).dropDuplicates(["key", "hash"])
 
 
-def marked(docs: DataFrame, support: int = SUPPORT, level: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
-    """All documents (doc_id, key, hash, text_sha256), and of those with a span its base and all spans (start, kind, end, action) and sanitised text."""
+def spans(docs: DataFrame, support: int = SUPPORT, level: float = DISCLOSURE) -> DataFrame:
+    """doc_id, key, hash, base and all spans (start, kind, end, action) and clean_sha256, the hash of the sanitised text, of every document."""
     found = base_spans(docs)
+    text = F.col("text")
+    base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit("mask").alias("action")))
+    found = found.withColumns({"entities": _entities("spans", text), "base": base})
     # the words beside base spans, while the text is at hand
-    terms = F.when(F.size("entities") > 0, _words(_outside(F.col("text"), F.col("spans")), _FREE_RUN)).otherwise(F.array().cast("array<string>"))
-    found = found.withColumn("entities", _entities("spans", F.col("text")))
-    found = written(found.select("doc_id", "key", "hash", "spans", "entities", terms.alias("terms"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")), "found")
+    terms = F.when(F.size("entities") > 0, _words(_outside(text, F.col("spans")))).otherwise(F.array().cast("array<string>"))
+    clean = F.when(F.size("base") > 0, _clean(text, "base")).otherwise(text)
+    found = written(found.select("doc_id", "key", "hash", "base", "entities", terms.alias("terms"), F.sha2(clean.cast("binary"), 256).alias("base_clean")), "found")
     holders = _holders(docs, _given(disclosing(docs, found, support, level)))
-    some = found.where(F.size("spans") > 0).select("key", "hash", "spans").dropDuplicates(["key", "hash"])
-    touched = written(some.join(holders, ["key", "hash"], "full"), "touched")
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    base = F.coalesce(
-        F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit("mask").alias("action"))),
-        F.array().cast("array<struct<start:int,kind:int,end:int,action:string>>"),
-    )
-    runs = F.when(F.col("actions").isNotNull(), places(F.col("text"), _RUN, lambda x: F.coalesce(F.map_contains_key("actions", _term(x)), F.lit(False)), _term))
-    added = F.transform(
-        F.coalesce(runs, F.array().cast(_SPANS)),
-        lambda w: F.struct(w["start"].alias("start"), F.lit(4).alias("kind"), w["end"].alias("end"), F.element_at("actions", w["value"]).alias("action")),
-    )
-    out = rows.join(touched, ["key", "hash"]).select("key", "hash", "text", base.alias("base"), added.alias("added"))
+    rows = holders.join(found.select("key", "hash", "base").dropDuplicates(["key", "hash"]), ["key", "hash"])
+    runs = places(text, _RUN, lambda x: F.coalesce(F.map_contains_key("actions", _term(x)), F.lit(False)), _term)
+    added = F.transform(runs, lambda w: F.struct(w["start"].alias("start"), F.lit(4).alias("kind"), w["end"].alias("end"), F.element_at("actions", w["value"]).alias("action")))
     apart = F.filter("added", lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
-    out = out.select("key", "hash", "text", "base", F.array_sort(F.concat("base", apart)).alias("all"))
-    return found.select("doc_id", "key", "hash", "text_sha256"), out.withColumn("clean", _clean(F.col("text"), "all")).dropDuplicates(["key", "hash"])
+    rows = rows.withColumn("added", added).withColumn("all", F.array_sort(F.concat("base", apart)))
+    marks = written(rows.select("key", "hash", "all", F.sha2(_clean(text, "all").cast("binary"), 256).alias("clean")), "marks")
+    return fewer(found.select("doc_id", "key", "hash", "base", "base_clean").join(marks, ["key", "hash"], "left")).select(
+        "doc_id", "key", "hash", "base", F.coalesce("all", "base").alias("all"), F.coalesce("clean", "base_clean").alias("clean_sha256")
+    )
 
 
 def _clean(text: Column, spans: str) -> Column:
@@ -291,22 +294,12 @@ def _clean(text: Column, spans: str) -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
 
 
-def spans(docs: DataFrame, support: int = SUPPORT, level: float = DISCLOSURE) -> DataFrame:
-    """doc_id, key, hash, base and all spans (start, kind, end, action) and clean_sha256, the hash of the sanitised text, of every document."""
-    found, marks = marked(docs, support, level)
-    marks = marks.select("key", "hash", "base", "all", F.sha2(F.col("clean").cast("binary"), 256).alias("clean_sha256"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,action:string>>")
-    return fewer(found.join(written(marks, "marks"), ["key", "hash"], "left")).select(
-        "doc_id", "key", "hash", F.coalesce("base", none).alias("base"), F.coalesce("all", none).alias("all"), F.coalesce("clean_sha256", "text_sha256").alias("clean_sha256")
-    )
-
-
 def sanitised(docs: DataFrame, **options) -> DataFrame:
     """doc_id and the text: entities become [KIND], disclosing words a letter and a star or nothing."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    marks = marked(docs, **options)[1].select("key", "hash", "clean")
-    return rows.join(marks, ["key", "hash"], "left").select("doc_id", F.coalesce("clean", "text").alias("text"))
+    marks = spans(docs, **options).where(F.size("all") > 0).select("key", "hash", "all").dropDuplicates(["key", "hash"])
+    return rows.join(marks, ["key", "hash"], "left").select("doc_id", F.when(F.col("all").isNotNull(), _clean(F.col("text"), "all")).otherwise(F.col("text")).alias("text"))
 
 
 def _listed(all_spans: str) -> Column:

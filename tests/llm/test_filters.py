@@ -4,8 +4,10 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import frame
+from pyspark.sql import functions as F
 
 from spanloom.llm import decontaminate, quality
 
@@ -44,6 +46,48 @@ def test_plan_puts_cheap_rejecting_rules_first(spark):
     assert quality.plan(docs, rules) == ["often", "never"]
 
 
+def test_cascade_computes_on_survivors_only():
+    """Ten rules that reject a tenth each: no rule is computed on more than what COMPACT lets stand."""
+    texts = [f"t{i:04d} word" for i in range(1000)]
+    raw = "".join(texts).encode()
+    f = quality.Features(np.frombuffer(raw, np.uint8), np.arange(0, len(raw) + 1, len(texts[0])))
+    seen = []
+
+    def rule(k):
+        def run(x):
+            number = [int(x.buf[a + 1 : a + 5].tobytes()) for a in x.off[:-1]] if isinstance(x, quality.Features) else None
+            size = x.size
+            if number is None:
+                whole = x._f
+                number = [int(whole.buf[a + 1 : a + 5].tobytes()) for a in whole.off[:-1][x._rows]]
+            seen.append((size, len(number)))
+            return np.array([n % 10 == k for n in number], bool)
+
+        return run
+
+    names = [f"r{k}" for k in range(10)]
+    left = quality.cascade(f, names[:9], {n: rule(k) for k, n in enumerate(names)})
+    assert [int(t[1:5]) for t, keep in zip(texts, left, strict=True) if keep] == list(range(9, 1000, 10))
+    assert [alive for _, alive in seen] == [1000 - 100 * k for k in range(9)]
+    assert all(size * quality.COMPACT <= alive or size == alive for size, alive in seen)
+
+
+def test_sample_is_bounded_under_a_hot_text(spark, tmp_path):
+    """A text that repeats in every row, and large partitions: a task measures its first rows alone."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("the very same hot text in every single row").alias("text")).repartition(3)
+    log = spark.sparkContext.accumulator(0)
+    rules = {"count": lambda f: (log.add(len(f.off) - 1), f.n_words < 0)[1]}
+    assert quality.plan(docs, rules, sample_rows=50) == ["count"]
+    assert 0 < log.value <= 150
+
+
+def test_shared_features_are_charged_once(spark):
+    """The rule that comes with its words for free goes before one that has to split them."""
+    rules = {"few_words": lambda f: f.n_words < 10**6, "controls": lambda f: np.ones(len(f.off) - 1, bool)}
+    docs = frame(spark, [(i, "some text here " * 400) for i in range(300)])
+    assert quality.plan(docs, rules)[0] == "controls"
+
+
 def test_junk_goes_and_clean_stays(spark):
     clean = " ".join(f"word{i}" for i in range(60)) + "."
     junk = ["%%% *** " * 30, "BUY NOW " + " ".join(f"W{i}X" for i in range(40)).upper(), "a b!! " * 2 + "c!! d!! e!! f!! g!! h!! i!! j!!", "short"]
@@ -111,5 +155,9 @@ def test_decontamination_edges(spark, docs, empty, repeated):
     assert decontaminate.scanned(docs, none).where("_n_hit > 0").count() == 0
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     assert decontaminate.scanned(empty, bench).count() == 0
-    assert decontaminate.scanned(repeated, bench).count() == 27
+    odd = repeated.withColumn("_n_hit", F.lit("mine")).withColumn("_items", F.lit("too")).withColumn("_ranges", F.lit(1))
+    for block in (1 << 20, 4):
+        found = decontaminate.scanned(odd, bench, block_bytes=block)
+        assert found.columns == [*odd.columns, "_n_words", "_n_hit_", "_spans", "_items_"] and found.count() == 27
+        assert {(r["_n_hit"], r["_items"], r["_ranges"]) for r in found.collect()} == {("mine", "too", 1)}
     assert hashlib.sha256(b"").hexdigest()
