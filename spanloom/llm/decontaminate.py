@@ -6,14 +6,17 @@ ten words; a shorter item is one window.  Each document is normalised the same
 way, scanned once, and every match is mapped back to the characters of the
 original text.
 
-The automaton's size is checked: items are dealt by hash into as many blocks
-as ``BLOCK_BYTES`` asks for, and the blocks scan one after the other in the
-same stage, so a large benchmark costs passes, not memory, and no shuffle.
+The automaton's size is checked.  One block of up to ``BLOCK_BYTES`` of benchmark
+is one scan and no shuffle.  A larger benchmark is dealt by hash into blocks:
+each is a scan of its own with one automaton, which is dropped before the next,
+and leaves the word ranges and items of the documents it hits in a written
+table.  These meet their texts once, at the end, by (doc_id, hash of the text).
 
 Edge cases: null and empty texts have no words and no hits; items without
 words have no window; repeated items each count; with an empty benchmark
 nothing is hit; an empty table gives an empty result; other columns are kept,
-but for those that have the names of the new ones.
+and a name that the documents have already gets underscores at its end, as by
+:func:`base.free`.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .base import table
+from .base import free, table, written
 
 WINDOW = 10
 #: Most bytes of benchmark text in one automaton (its windows take about ten times as many nodes).
@@ -71,82 +74,107 @@ class Scanner:
         if found:
             self.automaton.make_automaton()
 
-    def scan(self, line: str) -> tuple[list[tuple[int, int]], set[str]]:
-        """(end offset, words) of each match, and the items matched."""
-        ends, items = [], set()
-        if len(self.automaton):
-            for end, (n, owners) in self.automaton.iter(line):
-                ends.append((end, n))
+    def hits(self, text: bytes) -> tuple[np.ndarray, set[str]]:
+        """Word ranges (first, past the last) of the matches in a text, and the items matched."""
+        line, n = normalised(text)
+        ends, sizes, items = [], [], set()
+        if n and len(self.automaton):
+            for end, (size, owners) in self.automaton.iter(line):
+                ends.append(end)
+                sizes.append(size)
                 items.update(owners)
-        return ends, items
+        if not ends:
+            return _NONE, items
+        stop = np.searchsorted(np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32), ends)
+        return np.unique(np.stack([stop - sizes, stop], 1), axis=0), items
+
+
+_ADDED = ["_n_words", "_n_hit", "_spans", "_items"]
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns of ``docs`` and ``_n_words``, ``_spans`` (merged, code points of the original) and ``_items``.
+    """All columns of ``docs`` and ``_n_words``, ``_n_hit``, ``_spans`` (merged, code points of the original) and ``_items``.
 
     ``_n_hit`` counts the words in the spans.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("_n_words", "_n_hit", "_spans", "_items", "_hits")
+    spark, names = docs.sparkSession, docs.columns
     bench = benchmark.select(F.col("item_id"), "text")
     size = bench.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    extra = [
-        T.StructField("_n_words", T.LongType()),
-        T.StructField("_n_hit", T.LongType()),
-        T.StructField("_spans", span),
-        T.StructField("_items", T.ArrayType(T.StringType())),
-        T.StructField("_hits", T.BinaryType()),
-    ]
-    schema = T.StructType(list(docs.schema) + extra)
-    for k in range(blocks):
-        part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        shared = spark.sparkContext.broadcast(patterns([(r[0], r[1]) for r in part.collect()], window))
-        first, last = k == 0, k == blocks - 1
+    added, kinds = [free(docs, c) for c in _ADDED], [T.LongType(), T.LongType(), span, T.ArrayType(T.StringType())]
+    schema = T.StructType([*docs.schema, *[T.StructField(c, t) for c, t in zip(added, kinds, strict=True)]])
+
+    def shared(part: DataFrame):
+        return spark.sparkContext.broadcast(patterns([(r[0], r[1]) for r in part.collect()], window))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=last) -> Iterator[pa.RecordBatch]:
-            scanner = Scanner(shared.value)
+    if blocks == 1:
+        found = shared(bench)
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scanner = Scanner(found.value)
             for batch in batches:
                 for lo, hi, buf, off in tk.text_slices(batch.column("text")):
-                    yield _scan(batch.slice(lo, hi - lo), buf, off, scanner, first, last)
+                    hits = [scanner.hits(buf[off[i] : off[i + 1]].tobytes()) for i in range(hi - lo)]
+                    yield _told(batch.slice(lo, hi - lo), names, added, buf, off, hits)
 
-        docs = docs.mapInArrow(run, schema)
-    return docs.drop("_hits")
+        return docs.mapInArrow(whole, schema)
 
+    key, digest, ranges = free(docs, "_key"), free(docs, "_digest"), free(docs, "_ranges")
+    keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest: F.xxhash64("text")})
+    hits = None
+    for k in range(blocks):
+        found = shared(bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k))
 
-def _scan(batch: pa.RecordBatch, buf: np.ndarray, off: np.ndarray, scanner: Scanner, first: bool, last: bool) -> pa.RecordBatch:
-    raw = buf.tobytes()
-    n_words, n_hit, spans, items, hits = [], [], [], [], []
-    for i in range(len(off) - 1):
-        text = raw[off[i] : off[i + 1]]
-        line, n = normalised(text)
-        ends, owners = scanner.scan(line) if n else ([], set())
-        marks = np.zeros(n + 1, np.int32)
-        if not first:
-            owners |= set(batch.column("_items")[i].as_py())
-            before = batch.column("_hits")[i].as_py()
-            if before:
-                pairs = np.frombuffer(before, np.int64).reshape(-1, 2)
-                np.add.at(marks, pairs[:, 0], 1)
-                np.add.at(marks, pairs[:, 1], -1)
-        if ends:
-            gaps = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
-            stop = np.searchsorted(gaps, [e for e, _ in ends])
-            np.add.at(marks, stop - [k for _, k in ends], 1)
-            np.add.at(marks, stop, -1)
+        def part(batches: Iterator[pa.RecordBatch], found=found) -> Iterator[pa.RecordBatch]:
+            scanner = Scanner(found.value)
+            for batch in batches:
+                rows = []
+                for lo, hi, buf, off in tk.text_slices(batch.column("text")):
+                    for i in range(hi - lo):
+                        runs, items = scanner.hits(buf[off[i] : off[i + 1]].tobytes())
+                        if len(runs):
+                            rows.append((batch.column(key)[lo + i].as_py(), batch.column(digest)[lo + i].as_py(), runs.tolist(), sorted(items)))
+                kinds = [pa.string(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())]
+                columns = zip(*rows, strict=True) if rows else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [key, digest, "runs", "items"])
+
+        one = written(keyed.select(key, digest, "text").mapInArrow(part, f"`{key}` string, `{digest}` long, runs array<array<long>>, items array<string>"), "hits")
+        found.destroy()
+        hits = one if hits is None else hits.unionByName(one)
+    merged = hits.groupBy(key, digest).agg(F.struct(F.flatten(F.collect_set("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")).alias(ranges))
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, buf, off in tk.text_slices(batch.column("text")):
+                mine = batch.column(ranges).slice(lo, hi - lo).to_pylist()
+                hits = [(np.array(x["runs"], np.int64), set(x["items"])) if x else (_NONE, set()) for x in mine]
+                yield _told(batch.slice(lo, hi - lo), names, added, buf, off, hits)
+
+    return keyed.join(written(merged, "hits"), [key, digest], "left").select(*names, ranges).mapInArrow(close, schema)
+
+
+_NONE = np.zeros((0, 2), np.int64)
+
+
+def _told(batch: pa.RecordBatch, names: list[str], added: list[str], buf: np.ndarray, off: np.ndarray, hits: list[tuple[np.ndarray, set[str]]]) -> pa.RecordBatch:
+    """The rows with the words hit, merged, and where they lie in the text."""
+    n_words, n_hit, spans, items = [], [], [], []
+    for i, (runs, owners) in enumerate(hits):
+        text = buf[off[i] : off[i + 1]].tobytes()
+        n = normalised(text)[1] if not len(runs) else int(tk.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), _WORD).start.size)
+        marks = np.zeros(n + 1, np.int64)
+        np.add.at(marks, runs[:, 0], 1)
+        np.add.at(marks, runs[:, 1], -1)
         hit = np.cumsum(marks)[:n] > 0
         edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]])))
-        runs = edge.reshape(-1, 2)
         n_words.append(n)
         n_hit.append(int(hit.sum()))
         items.append(sorted(owners))
-        hits.append(b"" if last else runs.astype(np.int64).tobytes())
-        spans.append(_original(text, runs) if runs.size else [])
-    arrays = {c: batch.column(c) for c in batch.schema.names if c not in ("_n_words", "_n_hit", "_spans", "_items", "_hits")}
+        spans.append(_original(text, edge.reshape(-1, 2)) if edge.size else [])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    new = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string())), pa.array(hits, pa.binary())]
-    return pa.RecordBatch.from_arrays([*arrays.values(), *new], [*arrays, "_n_words", "_n_hit", "_spans", "_items", "_hits"])
+    new = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *new], [*names, *added])
 
 
 def _original(text: bytes, runs: np.ndarray) -> list[dict[str, int]]:

@@ -47,7 +47,8 @@ from .base import fewer, free, release, spread, table, written
 MIN_CHARS = 25
 
 _LINE = tk.lut(b"\n")
-_ADDED = ["_n_lines", "_n_removed", "_kept"]
+#: Columns that :func:`deduplicated` adds.
+ADDED = ["_n_lines", "_n_removed", "_kept"]
 _MARK = pa.schema(
     [
         ("_key", pa.int64()), ("_hash", pa.int64()), ("print", pa.int64()),
@@ -149,7 +150,7 @@ def deduplicated(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     digest = F.xxhash64("text")
     key = F.coalesce(F.col("doc_id").cast("long"), digest.bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(1 << 62)))
     runs = repeated_runs(docs.select(key.alias("_key"), digest.alias("_hash"), F.col("text").alias("_text")), least)
-    added, kinds = [free(docs, c) for c in _ADDED], [T.LongType(), T.LongType(), T.StringType()]
+    added, kinds = [free(docs, c) for c in ADDED], [T.LongType(), T.LongType(), T.StringType()]
     schema = T.StructType([*docs.schema, *[T.StructField(c, t) for c, t in zip(added, kinds, strict=True)]])
     names = docs.columns
 

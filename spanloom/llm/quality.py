@@ -3,8 +3,13 @@
 Base counts are computed for every document.  The verdict is a conjunction of
 rules; their order is planned on a sample, by rejections per nanosecond among
 the documents that the rules chosen before let through, and each rule then
-sees only the survivors of those before it.  The order changes the work, never
-the verdict.
+sees the survivors of those before it: as soon as a fifth of a slice's documents
+are gone, the rest is copied together and nothing is computed on the others.
+What several rules need (words, lines) is charged to the first of them.  The order
+changes the work, never the verdict.
+
+The sample is the first ``SAMPLE_ROWS`` documents of every input partition: a task
+reads no further, whatever its partition holds and however often a text repeats.
 
 Edge cases: a null or empty text has no words, so it fails the base test;
 repeated rows are judged alike; an empty table gives an empty result; other
@@ -27,8 +32,10 @@ from .base import map_texts, table
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: About so many documents are timed to plan the order; bounded by rows, verdicts don't depend on it.
-SAMPLE_ROWS = 1000
+#: So many documents of each partition are timed to plan the order; verdicts don't depend on it.
+SAMPLE_ROWS = 64
+#: The rest of a slice is copied together when it is less than this part of it.
+COMPACT = 0.8
 
 _LINE = tk.lut(b"\n")
 _SYMBOL = np.zeros(256, bool)
@@ -50,6 +57,11 @@ class Features:
     def __init__(self, buf: np.ndarray, off: np.ndarray):
         self.buf, self.off = buf, off
 
+    @property
+    def size(self) -> int:
+        """Documents that a rule's arrays are computed on."""
+        return len(self.off) - 1
+
     def only(self, rows: np.ndarray) -> Features:
         sizes = np.diff(self.off)[rows]
         off = np.concatenate([[0], np.cumsum(sizes)])
@@ -144,19 +156,31 @@ RULES: dict[str, Callable[[Features], np.ndarray]] = {
 }
 
 
-def cascade(f: Features, order: list[str], rules: dict[str, Callable] = RULES) -> np.ndarray:
+#: Features that a rule shares with others.
+NEEDS: dict[str, tuple[str, ...]] = {
+    "few_words": ("words",), "repeated_windows": ("words", "n_repeat_words"), "word_length": ("words", "word_chars"), "symbols": ("words", "n_symbols"),
+    "repeated_lines": ("_lines", "n_dup_lines"), "exclamation": ("words",), "letters": ("words",),
+}
+#: What :func:`measured` has computed before the cascade starts.
+_BASE = ("words", "n_repeat_words", "word_chars", "n_symbols", "_lines", "n_dup_lines")
+
+
+def cascade(f: Features | _Masked, order: list[str], rules: dict[str, Callable] = RULES) -> np.ndarray:
     """True for the documents that no rule rejects; every rule sees the survivors of those before it."""
-    rows, now = np.arange(len(f.off) - 1), f
+    total = rows = np.arange(len(f.off) - 1)
+    now, size = f, f.size
     for name in order:
         if not rows.size:
             break
         good = np.flatnonzero(~rules[name](now))
-        if good.size < 0.8 * rows.size:
-            now = now.only(good)
-        elif good.size < rows.size:
-            now = _Masked(now, good)
+        if good.size == rows.size:
+            continue
         rows = rows[good]
-    out = np.zeros(len(f.off) - 1, bool)
+        if good.size < COMPACT * size:
+            now, size = now.only(good), good.size
+        else:
+            now = _Masked(now, good)
+    out = np.zeros(total.size, bool)
     out[rows] = True
     return out
 
@@ -167,6 +191,10 @@ class _Masked:
     def __init__(self, f: Features, rows: np.ndarray):
         self._f, self._rows = (f._f, f._rows[rows]) if isinstance(f, _Masked) else (f, rows)
 
+    @property
+    def size(self) -> int:
+        return self._f.size
+
     def only(self, rows: np.ndarray) -> Features:
         return self._f.only(self._rows[rows])
 
@@ -186,50 +214,63 @@ class _Masked:
         return call
 
 
-def plan(docs: DataFrame, rules: dict[str, Callable] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rules by rejection per cost on a sample of about ``sample_rows`` documents, chosen by hash and measured on the executors.
+def plan(docs: DataFrame, rules: dict[str, Callable] = RULES, sample_rows: int = SAMPLE_ROWS, known: tuple[str, ...] = ()) -> list[str]:
+    """Rules by rejection per cost on the first ``sample_rows`` documents of each partition, measured on the executors.
 
     Greedy: each step takes the rule with the most rejections per nanosecond
-    among documents that the rules taken before let through; the driver gets
-    one row for each sampled batch pattern of rejections.
+    among documents that the rules taken before let through.  A shared feature
+    costs only the first rule that needs it, and nothing if it is ``known``.  The
+    driver gets one row for each pattern of rejections.
     """
     names = list(rules)
-    some = max(1, docs.count() // max(1, sample_rows))
+    shared = sorted({x for name in names for x in NEEDS.get(name, ())})
 
-    def measure(batch: pa.RecordBatch, lo: int, hi: int, buf: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
-        cost, mask = [], np.zeros(hi - lo, np.int64)
+    def measure(buf: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
+        f, mask, cost = Features(buf, off), np.zeros(len(off) - 1, np.int64), []
+        for x in shared:
+            began = time.perf_counter_ns()
+            getattr(f, x)
+            cost.append(time.perf_counter_ns() - began)
         for i, name in enumerate(names):
-            f = Features(buf, off)
             began = time.perf_counter_ns()
             mask |= rules[name](f).astype(np.int64) << i
-            cost.append((time.perf_counter_ns() - began) / max(1, hi - lo))
+            cost.append(time.perf_counter_ns() - began)
         patterns, n = np.unique(mask, return_counts=True)
-        return pa.RecordBatch.from_pydict(
-            {"pattern": pa.array(patterns), "n": pa.array(n.astype(np.int64)), "cost": pa.array([[c * k for c in cost] for k in n], pa.list_(pa.float64()))}
-        )
+        each = [[c * k / mask.size for c in cost] for k in n]
+        return pa.RecordBatch.from_pydict({"pattern": pa.array(patterns), "n": pa.array(n.astype(np.int64)), "cost": pa.array(each, pa.list_(pa.float64()))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = sample_rows
+        for batch in batches:
+            for _, _, buf, off in tk.text_slices(batch.column("text").slice(0, left)):
+                yield measure(buf, off)
+            left -= min(left, batch.num_rows)
+            if not left:
+                return
 
-    sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(some)) == 0)
     got = (
-        map_texts(sample, measure, "pattern long, n long, cost array<double>")
+        docs.select("text").mapInArrow(run, "pattern long, n long, cost array<double>")
         .groupBy("pattern")
-        .agg(F.sum("n").alias("n"), *[F.sum(F.col("cost")[i]).alias(f"c{i}") for i in range(len(names))])
+        .agg(F.sum("n").alias("n"), *[F.sum(F.col("cost")[i]).alias(f"c{i}") for i in range(len(shared) + len(names))])
         .collect()
     )
-    left, order = set(range(len(names))), []
-    spent = [sum(r[f"c{i}"] for r in got) for i in range(len(names))]
-    alive = list(got)
+    spent = [sum(r[f"c{i}"] for r in got) for i in range(len(shared) + len(names))]
+    price, own = dict(zip(shared, spent, strict=False)), dict(zip(names, spent[len(shared) :], strict=True))
+    have, left, order, alive = set(known), set(names), [], list(got)
     while left:
-        rate = {i: sum(r["n"] for r in alive if r["pattern"] >> i & 1) / max(spent[i], 1.0) for i in left}
+        cost = {x: own[x] + sum(price[y] for y in NEEDS.get(x, ()) if y not in have) for x in left}
+        rate = {x: sum(r["n"] for r in alive if r["pattern"] >> names.index(x) & 1) / max(cost[x], 1.0) for x in left}
         best = max(sorted(left), key=rate.get)
-        order.append(names[best])
+        order.append(best)
         left.discard(best)
-        alive = [r for r in alive if not r["pattern"] >> best & 1]
+        have |= set(NEEDS.get(best, ()))
+        alive = [r for r in alive if not r["pattern"] >> names.index(best) & 1]
     return order
 
 
 def measured(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """doc_id, the base counts and the verdict of each document."""
-    order = order or plan(docs)
+    order = order or plan(docs, known=_BASE)
 
     def run(batch: pa.RecordBatch, lo: int, hi: int, buf: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
         f = Features(buf, off)

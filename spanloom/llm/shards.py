@@ -7,13 +7,16 @@ Records are ordered by (hash of the text, doc_id), so equal texts lie together.
 2. Quantiles of the sample are the splitters of R ranges, R at most
    ``MAX_RANGES``.
 3. Exact bytes of each range are counted; a range of over twice its share is
-   sampled again by itself and subdivided, which splits a hot text by doc_id.
+   sampled again by itself and subdivided, which splits a hot text by doc_id,
+   until none is left that can be split (rows that repeat doc_id and text, or one
+   row of that size, can't; what remains after ``ROUNDS`` is warned of, and
+   costs one task a longer sort, not the result).
 4. A record's place in bytes is its range's offset plus the running sum inside
    the range; the shard is that place in sixteenths of the total.  Texts whose
    copies take a small part of a shard go where the first copy goes.
 
-The driver sees splitters and one row of sums a range, both bounded by
-``MAX_RANGES``; ranges are sorted side by side, never a shard as a whole.
+The driver sees splitters, one row of sums a range and about ``DRAWS`` sampled keys
+a range: ``MAX_RANGES`` at first, and as many again for each round at most.  Ranges are sorted side by side, never a shard as a whole.
 
 Edge cases: a null text has no bytes, so size 1; a row without doc_id orders
 first; repeated rows take neighbouring slots in any order; an empty table gives an
@@ -22,6 +25,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import warnings
 from bisect import bisect_right
 from itertools import accumulate
 
@@ -36,6 +40,8 @@ RANGE_BYTES, MAX_RANGES, DRAWS = 4 << 20, 4096, 64
 #: Copies of a text stay together up to this part of a shard's bytes.
 TOGETHER = 1 / 64
 _LEAF = 64
+#: Rounds of subdividing.
+ROUNDS = 8
 
 Key = tuple[int, int]
 
@@ -88,11 +94,11 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     pieces = min(MAX_RANGES, max(4 * shards, -(-total // RANGE_BYTES)))
     share = total / pieces
     splitters = _quantiles(_drawn(rows, F.col("size") * F.lit(DRAWS / share), 1), pieces)
-    for seed in (2, 3, 4):
+    for seed in range(2, ROUNDS + 3):
         placed = rows.withColumn("range", _below(F.col("key"), splitters))
         sums = {r["range"]: (r["b"], r["n"]) for r in placed.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
         over = {k: int(b / share) + 1 for k, (b, n) in sums.items() if b > 2 * share and n > 1}
-        if not over or len(splitters) + sum(over.values()) > 2 * MAX_RANGES:
+        if not over or seed == ROUNDS + 2:
             break
         fresh: dict[int, list[Key]] = {k: [] for k in over}
         for key in _drawn(placed.where(F.col("range").isin(list(over))), F.col("size") * F.lit(DRAWS / share), seed):
@@ -101,9 +107,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         if more <= set(splitters):
             break
         splitters = sorted(more | set(splitters))
-    else:
-        placed = rows.withColumn("range", _below(F.col("key"), splitters))
-        sums = {r["range"]: (r["b"], r["n"]) for r in placed.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
+    if over:
+        warnings.warn(f"{len(over)} of {len(sums)} ranges hold over twice their share of bytes and can't be split", stacklevel=2)
     names = sorted(sums)
     offset = dict(zip(names, accumulate([0] + [sums[k][0] for k in names])))
     ranks = dict(zip(names, accumulate([0] + [sums[k][1] for k in names])))

@@ -4,9 +4,11 @@ Records are range-sorted by page_id; each partition writes gzip members into
 files that roll at a compressed size.  Headers, record ids and digests are
 made from the record alone, gzip times are zero, the date is a parameter: the
 same table gives the same bytes.  A file is written under a name of its task
-attempt and renamed when complete; the manifest, a table of the files of every
-partition, is committed last by Spark and is all that readers look at, so
-what a lost task left behind is never read.
+attempt and renamed when complete to one that holds its digest, so a second
+attempt at a task finds the same file in place or adds one of its own, and none is
+ever replaced; the manifest, a table of the files of every partition, is
+committed last by Spark and is all that readers look at, so what a lost task
+left behind is never read.  Files are read back a file a task.
 
 Of equal payloads of at least ``LEAST`` bytes one row is the response and the
 others revisit it.  The owner of each digest is a partial maximum; revisits
@@ -106,10 +108,11 @@ class _Roller:
         if self.out is None:
             return
         self.out.close()
-        name = f"part-{self.partition:05d}-{len(self.done):04d}.warc.gz"
-        if self.fs.get_file_info(f"{self.root}/{name}").type != fs.FileType.NotFound:
-            self.fs.delete_file(f"{self.root}/{name}")
-        self.fs.move(self.temporary, f"{self.root}/{name}")
+        name = f"part-{self.partition:05d}-{len(self.done):04d}-{self.sha.hexdigest()[:16]}.warc.gz"
+        if self.fs.get_file_info(f"{self.root}/{name}").type == fs.FileType.NotFound:
+            self.fs.move(self.temporary, f"{self.root}/{name}")
+        else:  # another attempt has written the same bytes
+            self.fs.delete_file(self.temporary)
         self.done.append((name, self.records, self.size, self.sha.hexdigest()))
         self.out = None
 
@@ -196,9 +199,10 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                             rows = []
                 yield _batch(rows)
 
-    manifest = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
+    manifest = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").select("file")
+    manifest = manifest.repartition(max(1, manifest.count()))  # dealt in turn: a file or two a task
     schema = "page_id long, url string, html string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return manifest.select("file").mapInArrow(run, schema)
+    return manifest.mapInArrow(run, schema)
 
 
 def _digest(field: str) -> bytes:
