@@ -115,3 +115,21 @@ def lint(lines: DataFrame, doc: str, n: str, text: str) -> DataFrame:
     jump = heads.withColumn("_p", F.lag("_h").over(order)).where(F.col("_h") > F.coalesce("_p", F.lit(0)) + 1).select(doc, n, F.lit("heading_jump").alias("error"))
     width = lines.withColumn("_c", cells).withColumn("_p", F.lag("_c").over(order)).where("_c is not null and _p is not null and _c <> _p")
     return jump.unionByName(width.select(doc, n, F.lit("table_width").alias("error")))
+
+
+def broken_links(lines: DataFrame, names: DataFrame, doc: str, n: str, text: str, name: str) -> DataFrame:
+    """Local Markdown links of lines whose target is no known file name."""
+    links = lines.select(doc, n, F.explode(F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\(([^)#:]+)\)"), F.lit(1))).alias("target"))
+    return links.join(names.select(F.col(name).alias("target")).distinct(), "target", "left_anti").select(doc, n, "target")
+
+
+def missing(names: DataFrame, required: DataFrame, name: str) -> DataFrame:
+    """Required file names that are not there."""
+    return required.select(name).distinct().join(names.select(name), name, "left_anti")
+
+
+def receipts(files: DataFrame, recorded: DataFrame, name: str, digest: str) -> DataFrame:
+    """Recorded files whose digest is another now, or that are gone: (name, state)."""
+    now = files.select(name, F.col(digest).alias("_now"))
+    state = F.when(F.col("_now").isNull(), "gone").when(F.col("_now") != F.col(digest), "changed")
+    return recorded.join(now, name, "left").withColumn("state", state).where("state is not null").select(name, "state")

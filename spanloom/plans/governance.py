@@ -170,6 +170,38 @@ def refusal_list(spark, sf):
     return out.groupBy(F.coalesce("refusal", F.lit("allowed")).alias("refusal")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "document_links",
+    """WITH l AS (SELECT user_id, event_id, 'file_' || (event_id % 97) || '.md' AS target FROM events UNION ALL SELECT user_id, event_id, 'extra_' || (event_id % 5) || '.md' FROM events WHERE event_id % 4 = 0)
+SELECT user_id, event_id, target FROM l WHERE target NOT IN (SELECT 'file_' || p_partkey || '.md' FROM part WHERE p_partkey % 3 <> 0)""",
+)
+def document_links(spark, sf):
+    """Links of note lines to files that are not there."""
+    e = F.col("event_id").cast("string")
+    first = F.concat(F.lit("see [a]("), F.lit("file_"), (F.col("event_id") % 97).cast("string"), F.lit(".md) or https://x.y/z"))
+    more = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit(" and [b "), e, F.lit("](extra_"), (F.col("event_id") % 5).cast("string"), F.lit(".md)"))).otherwise("")
+    lines = load(spark, sf, "events").select("user_id", "event_id", F.concat(first, more).alias("line"))
+    names = load(spark, sf, "part").where("p_partkey % 3 <> 0").select(F.concat(F.lit("file_"), F.col("p_partkey").cast("string"), F.lit(".md")).alias("name"))
+    return corpus.broken_links(lines, names, "user_id", "event_id", "line", "name")
+
+
+@query("required_files", "SELECT 'file_' || n || '.md' AS name FROM (SELECT unnest(range(1, 31)) AS n) WHERE n % 3 = 0")
+def required_files(spark, sf):
+    """Required names that are not there."""
+    name = lambda c: F.concat(F.lit("file_"), F.col(c).cast("string"), F.lit(".md")).alias("name")
+    names = load(spark, sf, "part").where("p_partkey % 3 <> 0").select(name("p_partkey"))
+    return corpus.missing(names, spark.range(1, 31).select(name("id")), "name")
+
+
+@query("hash_receipts", "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'gone' ELSE 'changed' END AS state FROM pages WHERE page_id % 5 = 0 OR page_id % 7 = 0")
+def hash_receipts(spark, sf):
+    """Recorded digests that no longer hold."""
+    pages = load(spark, sf, "pages")
+    record = corpus.manifest(pages, "page_id", F.col("html"))
+    now = pages.where("page_id % 5 <> 0").withColumn("html", F.when(F.col("page_id") % 7 == 0, F.concat(F.coalesce("html", F.lit("")), F.lit("!"))).otherwise(F.col("html")))
+    return corpus.receipts(corpus.manifest(now, "page_id", F.col("html")), record, "page_id", "sha256")
+
+
 @query("public_projection", "SELECT doc_id, lang, n_chars FROM documents")
 def public_projection(spark, sf):
     return corpus.public(load(spark, sf, "documents"), ["doc_id", "lang", "n_chars", "device", "session"])

@@ -79,10 +79,10 @@ def level_stats(spark, sf):
     )
 
 
-@query("db_and_gain", "SELECT event_id, round(20 * log10(value + 1e-12), 6) AS amplitude, round(10 * log10(greatest(value, 1e-12)), 6) AS power, round(10 * log10(value + 1e-12), 6) AS power_sum, round(pow(10.0, (value - 40) / 200), 6) AS gain FROM events")
+@query("db_and_gain", "SELECT event_id, round(20 * log10(value + 1e-12), 6) AS amplitude, round(10 * log10(greatest(value, 1e-12)), 6) AS power, round(10 * log10(value + 1e-12), 6) AS power_sum, round(10 * log10(greatest(value - 20, 1e-300)), 6) AS power_deep, round(pow(10.0, (value - 40) / 200), 6) AS gain FROM events")
 def db_and_gain(spark, sf):
     return events(spark, sf).select(
-        "event_id", r(sc.amplitude_db("value")).alias("amplitude"), r(sc.power_db("value")).alias("power"), r(sc.power_db("value", additive=True)).alias("power_sum"), r(sc.gain((F.col("value") - 40) / 10)).alias("gain")
+        "event_id", r(sc.amplitude_db("value")).alias("amplitude"), r(sc.power_db("value")).alias("power"), r(sc.power_db("value", additive=True)).alias("power_sum"), r(sc.power_db(F.col("value") - 20, 1e-300)).alias("power_deep"), r(sc.gain((F.col("value") - 40) / 10)).alias("gain")
     )
 
 

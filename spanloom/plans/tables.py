@@ -105,6 +105,27 @@ def file_catalog(spark, sf):
     return files.catalog(spark, sf).select("name", "bytes", "category")
 
 
+@query("session_scan", "SELECT 'session=' || n_regionkey AS session, 1::BIGINT AS files FROM nation GROUP BY 1")
+def session_scan(spark, sf):
+    """Sessions of a two-level tree and their files of an allowed kind; a second kind beside them is left out."""
+    folder = _folder(spark)
+    tree = load(spark, sf, "nation").select(F.col("n_regionkey").alias("session"), F.col("n_name").alias("line")).coalesce(1)
+    tree.write.partitionBy("session").csv(folder)
+    tree.write.mode("append").partitionBy("session").json(folder)
+    return files.sessions(files.catalog(spark, folder), ["csv"]).groupBy("session").agg(F.count("*").alias("files"))
+
+
+@query("excluded_walk", "SELECT 'kept' AS folder, count(DISTINCT n_regionkey) AS files, true AS sized FROM nation")
+def excluded_walk(spark, sf):
+    """Path and size of all files but those of an excluded folder."""
+    folder = _folder(spark)
+    tree = load(spark, sf, "nation").select(F.col("n_regionkey").alias("session"), F.col("n_name").alias("line")).coalesce(1)
+    for name in ("kept", "private"):
+        tree.write.partitionBy("session").csv(f"{folder}/{name}")
+    found = files.catalog(spark, folder, glob="*.csv", excluded=("private",))
+    return found.groupBy(F.element_at(F.split("path", "/"), -3).alias("folder")).agg(F.count("*").alias("files"), (F.min("bytes") > 0).alias("sized"))
+
+
 @query("latest_optional")
 def latest_optional(spark, sf):
     return files.latest(files.catalog(spark, sf), r"orders|lineitem")
