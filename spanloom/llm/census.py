@@ -27,7 +27,7 @@ from .base import ordered, written
 
 #: Chunk and bucket sizes grow with the square root of the corpus, within these bounds.
 CHUNK_BYTES = (4 << 20, 128 << 20)
-BUCKET_BYTES = (16 << 20, 512 << 20)
+BUCKET_BYTES = (16 << 20, 128 << 20)
 
 Hashes = Callable[[pa.Table], tuple[np.ndarray, np.ndarray, object]]
 Finish = Callable[[pa.Table, np.ndarray, np.ndarray, object], pa.Table]

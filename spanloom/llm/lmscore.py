@@ -1,17 +1,20 @@
 """Masked pseudo-likelihood of documents (op9).
 
-Every word is predicted from both sides and never sees itself, in two steps:
+Every word is predicted from both sides and never sees itself, by a mixture:
 
-    log p(word | sides) = log p(class | sides) + log p(word | class)
+    p(word | sides) = a * p(word | left word) + b * p(word | right word)
+                      + (1 - a - b) * p(class | sides) * p(word | class)
 
 The class (a hash of the lower-cased word, ``CLASSES`` of them) comes from a
 small network: an embedding for each of the two words on either side, a tanh
-layer, a softmax.  The word within its class comes from the corpus: its count in
-all other documents, against all other words of its class, with ``OPEN`` counts
-set aside for words that no other document holds, shared out by a spelling model
-(byte frequencies).  So the vocabulary is that of the corpus and open, rare
-words are told apart, a document never counts as evidence for itself, and what
-scoring gathers grows with the corpus: it is a census of all words.
+layer, a softmax.  All else comes from the corpus without the document itself:
+the word within its class by its count against all words of the class, with
+``OPEN`` counts set aside for words that no other document holds, shared out by
+a spelling model (byte frequencies); the word beside its neighbour by their
+count against the neighbour's; and the weights, half of n / (n + ``TRUST``) for
+a neighbour that other documents hold n times.  So the vocabulary is that of the
+corpus and open, a document never counts as evidence for itself, and what scoring
+gathers grows with the corpus: it is a census of all words and pairs of words.
 
 Training covers every document.  Class counts over the corpus set the output
 biases.  In each of ``ROUNDS`` rounds the next part of the documents is dealt to
@@ -49,6 +52,8 @@ ROUNDS, REPLICA_BYTES = 3, 4 << 20
 BATCH, RATE, SCORE_BATCH = 2048, 0.8, 8192
 #: Counts set aside in each class for words that no other document holds.
 OPEN = 50.0
+#: A neighbour that other documents hold so often has half of the weight it can have.
+TRUST = 1.0
 #: Replicas are added up in units of so many words and so small a part of a weight.
 WORDS_UNIT, WEIGHT_UNIT = 1024, 2.0**-20
 
@@ -215,19 +220,38 @@ def trained(docs: DataFrame, rounds: int = ROUNDS) -> Corpus:
     return Corpus(classes, spelt, weights)
 
 
-def _within(corpus: Corpus, h: np.ndarray, cls: np.ndarray, words: tk.Words, count: np.ndarray) -> np.ndarray:
-    """Log probability of each word in its class, by all other documents."""
-    doc = words.doc
-    key = tk.mix(h + doc.astype(np.uint64) * tk.LANES[1][0])
-    _, at, own = np.unique(key, return_inverse=True, return_counts=True)
+def _others(key: np.ndarray, doc: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """How often all other documents hold each key."""
+    _, at, own = np.unique(tk.mix(key + doc.astype(np.uint64) * tk.LANES[1][0]), return_inverse=True, return_counts=True)
+    return np.maximum(count.astype(np.float64) - own[at], 0.0)
+
+
+def _pairs(h: np.ndarray, words: tk.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Where two words of one document start, and the hash of both."""
+    at = np.flatnonzero(words.valid(2))
+    return at, tk.windows(h, 2)[at]
+
+
+def _mixed(corpus: Corpus, h: np.ndarray, cls: np.ndarray, words: tk.Words, count: np.ndarray, by_class: np.ndarray) -> np.ndarray:
+    """Log probability of each word: ``count`` is that of the words, then of the pairs; ``by_class`` is the network's part."""
+    doc, n = words.doc, h.size
+    others = _others(h, doc, count[:n])
     _, cat, own_class = np.unique(doc * CLASSES + cls, return_inverse=True, return_counts=True)
     spelling = corpus.spelling()
     spelt = np.concatenate([[0.0], np.cumsum(spelling[:256][words.buf])])
     base = np.minimum(spelt[words.end] - spelt[words.start] + spelling[256] + np.log(CLASSES), 0.0)
-    others = np.maximum(count.astype(np.float64) - own[at], 0.0)
     rest = np.maximum(corpus.classes[cls] - own_class[cat], others)
+    at, key = _pairs(h, words)
+    both = _others(key, doc[at], count[n:])
+    beside, weight = np.zeros(n), np.zeros(n)
+    for word, side in ((at + 1, at), (at, at + 1)):  # each word by the one to its left, then by the one to its right
+        known = others[side]
+        share = 0.5 * known / (known + TRUST)
+        beside[word] += share * np.divide(both, known, out=np.zeros(at.size), where=known > 0).clip(0, 1)
+        weight[word] += share
     with np.errstate(divide="ignore"):
-        return np.logaddexp(np.log(others), np.log(OPEN) + base) - np.log(rest + OPEN)
+        alone = by_class + np.logaddexp(np.log(others), np.log(OPEN) + base) - np.log(rest + OPEN)
+        return np.logaddexp(np.log(beside), np.log1p(-weight) + alone)
 
 
 def _sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -250,27 +274,27 @@ def scored(docs: DataFrame, corpus: Corpus, counted_in: DataFrame | None = None)
         corpus = replace(corpus, classes=corpus.classes + counted(docs)[0])
         rows = rows.unionByName(counted_in.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(False).alias("wanted")))
     size = text_bytes(rows)
-    deal = Deal.of(size, size / 60, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    deal = Deal.of(size, size / 6, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shared = spark.sparkContext.broadcast(corpus)
     rows = rows.withColumn("chunk", chunk_of(deal.chunks, "doc_id", "text"))
 
     def hashes(t: pa.Table):
         keys, parts = [], []
-        for lo, hi, buf, off in tk.text_slices(t.column("text")):
-            h, _, _ = tokens(buf, off)
-            keys.append(h)
-            parts.append((lo, hi, buf, off, h.size))
+        for _, _, buf, off in tk.text_slices(t.column("text")):
+            h, _, words = tokens(buf, off)
+            keys += [h, _pairs(h, words)[1]]
+            parts.append((buf, off, h.size + keys[-1].size))
         key = concatenated(keys)
         return key, tk.mix(key ^ tk.LANES[1][2]), parts
 
     def finish(t: pa.Table, key: np.ndarray, count: np.ndarray, parts: list) -> pa.Table:
         net, done, n, both, by_class = Network(shared.value.weights), 0, [], [], []
-        for _, _, buf, off, size in parts:
+        for buf, off, size in parts:
             h, cls, words = tokens(buf, off)
             first = net.log_probability(contexts(cls, words.woff), cls)
-            second = _within(shared.value, h, cls, words, count[done : done + size])
+            whole = _mixed(shared.value, h, cls, words, count[done : done + size], first)
             done += size
-            for out, x in ((both, first + second), (by_class, first)):
+            for out, x in ((both, whole), (by_class, first)):
                 out.append(_sums(x, words.woff))
             n.append(np.diff(words.woff).astype(np.int64))
         cols = [t.column("doc_id"), *[pa.array(concatenated(x, k)) for x, k in ((n, np.int64), (both, np.float64), (by_class, np.float64))]]

@@ -1,6 +1,7 @@
 """Substring dedup by level-wise doubling (op4).
 
-Level 35 counts every window of 35 words in the corpus.  A word covered by a
+The first level is the length that is asked for: it counts every window of 35
+words in the corpus, and what goes is decided there.  A word covered by a
 window whose sequence also starts elsewhere, in the same document or another,
 is removed.  Only windows repeated at one length are extended to twice that
 length: the window at i survives to 2L if those at i and i + L were repeated,
