@@ -74,8 +74,8 @@ class Scanner:
         if found:
             self.automaton.make_automaton()
 
-    def hits(self, text: bytes) -> tuple[np.ndarray, set[str]]:
-        """Word ranges (first, past the last) of the matches in a text, and the items matched."""
+    def hits(self, text: bytes) -> tuple[int, np.ndarray, set[str]]:
+        """Words of a text, word ranges (first, past the last) of the matches, and the items matched."""
         line, n = normalised(text)
         ends, sizes, items = [], [], set()
         if n and len(self.automaton):
@@ -84,9 +84,9 @@ class Scanner:
                 sizes.append(size)
                 items.update(owners)
         if not ends:
-            return _NONE, items
+            return n, _NONE, items
         stop = np.searchsorted(np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32), ends)
-        return np.unique(np.stack([stop - sizes, stop], 1), axis=0), items
+        return n, np.unique(np.stack([stop - sizes, stop], 1), axis=0), items
 
 
 _ADDED = ["_n_words", "_n_hit", "_spans", "_items"]
@@ -132,7 +132,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
                 rows = []
                 for lo, hi, buf, off in tk.text_slices(batch.column("text")):
                     for i in range(hi - lo):
-                        runs, items = scanner.hits(buf[off[i] : off[i + 1]].tobytes())
+                        _, runs, items = scanner.hits(buf[off[i] : off[i + 1]].tobytes())
                         if len(runs):
                             rows.append((batch.column(key)[lo + i].as_py(), batch.column(digest)[lo + i].as_py(), runs.tolist(), sorted(items)))
                 kinds = [pa.string(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())]
@@ -148,7 +148,8 @@ def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
         for batch in batches:
             for lo, hi, buf, off in tk.text_slices(batch.column("text")):
                 mine = batch.column(ranges).slice(lo, hi - lo).to_pylist()
-                hits = [(np.array(x["runs"], np.int64), set(x["items"])) if x else (_NONE, set()) for x in mine]
+                words = [normalised(buf[off[i] : off[i + 1]].tobytes())[1] for i in range(hi - lo)]
+                hits = [(n, np.array(x["runs"], np.int64), set(x["items"])) if x else (n, _NONE, set()) for n, x in zip(words, mine, strict=True)]
                 yield _told(batch.slice(lo, hi - lo), names, added, buf, off, hits)
 
     return keyed.join(written(merged, "hits"), [key, digest], "left").select(*names, ranges).mapInArrow(close, schema)
@@ -157,23 +158,24 @@ def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
 _NONE = np.zeros((0, 2), np.int64)
 
 
-def _told(batch: pa.RecordBatch, names: list[str], added: list[str], buf: np.ndarray, off: np.ndarray, hits: list[tuple[np.ndarray, set[str]]]) -> pa.RecordBatch:
+def _told(batch: pa.RecordBatch, names: list[str], added: list[str], buf: np.ndarray, off: np.ndarray, hits: list[tuple[int, np.ndarray, set[str]]]) -> pa.RecordBatch:
     """The rows with the words hit, merged, and where they lie in the text."""
-    n_words, n_hit, spans, items = [], [], [], []
-    for i, (runs, owners) in enumerate(hits):
-        text = buf[off[i] : off[i + 1]].tobytes()
-        n = normalised(text)[1] if not len(runs) else int(tk.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), _WORD).start.size)
+    n_hit, spans = [], []
+    for i, (n, runs, _) in enumerate(hits):
+        if not len(runs):
+            n_hit.append(0)
+            spans.append([])
+            continue
         marks = np.zeros(n + 1, np.int64)
         np.add.at(marks, runs[:, 0], 1)
         np.add.at(marks, runs[:, 1], -1)
         hit = np.cumsum(marks)[:n] > 0
         edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]])))
-        n_words.append(n)
         n_hit.append(int(hit.sum()))
-        items.append(sorted(owners))
-        spans.append(_original(text, edge.reshape(-1, 2)) if edge.size else [])
+        spans.append(_original(buf[off[i] : off[i + 1]].tobytes(), edge.reshape(-1, 2)))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    new = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))]
+    words, items = [n for n, _, _ in hits], [sorted(x) for _, _, x in hits]
+    new = [pa.array(words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))]
     return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *new], [*names, *added])
 
 
