@@ -165,7 +165,7 @@ NEEDS: dict[str, tuple[str, ...]] = {
 _BASE = ("words", "n_repeat_words", "word_chars", "n_symbols", "_lines", "n_dup_lines")
 
 
-def cascade(f: Features | _Masked, order: list[str], rules: dict[str, Callable] = RULES) -> np.ndarray:
+def cascade(f: Features | _Masked, order: list[str], rules: dict[str, Callable] = RULES, compact: float = COMPACT) -> np.ndarray:
     """True for the documents that no rule rejects; every rule sees the survivors of those before it."""
     total = rows = np.arange(len(f.off) - 1)
     now, size = f, f.size
@@ -176,7 +176,7 @@ def cascade(f: Features | _Masked, order: list[str], rules: dict[str, Callable]
         if good.size == rows.size:
             continue
         rows = rows[good]
-        if good.size < COMPACT * size:
+        if good.size < compact * size:
             now, size = now.only(good), good.size
         else:
             now = _Masked(now, good)
@@ -277,7 +277,8 @@ def measured(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
         failed = (f.n_words < MIN_WORDS) | (100 * f.n_repeat_words > MAX_REPEAT_PERCENT * f.n_words)
         kept = np.zeros(hi - lo, bool)
         rows = np.flatnonzero(~failed)
-        kept[rows] = cascade(_Masked(f, rows), [x for x in order if x not in ("few_words", "repeated_windows")])
+        rest = [x for x in order if x not in ("few_words", "repeated_windows")]
+        kept[rows] = cascade(_Masked(f, rows), rest, compact=0.0)  # a copy of the rest would count words and lines again
         cols = [f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words]
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id").slice(lo, hi - lo), *[pa.array(c.astype(np.int64)) for c in cols], pa.array(failed), pa.array(kept)],
