@@ -26,6 +26,37 @@ def quantiles(x: str, points: Sequence[float]) -> Column:
     return F.percentile(x, list(points))
 
 
+def exact_quantiles(df: DataFrame, keys: Sequence[str], x: str, points: Sequence[float], accuracy: int = 10_000) -> DataFrame:
+    """keys and ``q``, the same percentiles, for groups of any size.
+
+    A sketch brackets each of them; rows below a bracket are counted and only the
+    rows inside, about four in ``accuracy``, are sorted, or all rows of a group of
+    ``accuracy`` rows at most.
+    """
+    wide = [min(max(p + d * 2 / accuracy, 0.0), 1.0) for p in points for d in (-1, 1)]
+    rows = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).alias("_x"))
+    sketch = rows.groupBy(*keys).agg(F.percentile_approx("_x", wide, accuracy).alias("_s"), F.min("_x").alias("_l"), F.max("_x").alias("_h"), F.count("*").alias("_n"))
+    small = F.col("_n") <= accuracy  # a bracket of less than a rank on either side
+    cells = [
+        F.struct(
+            F.lit(j).alias("j"),
+            F.when(small | F.lit(wide[2 * j] == 0), F.col("_l")).otherwise(F.col("_s")[2 * j]).alias("low"),
+            F.when(small | F.lit(wide[2 * j + 1] == 1), F.col("_h")).otherwise(F.col("_s")[2 * j + 1]).alias("high"),
+            (F.lit(float(p)) * (F.col("_n") - 1)).alias("rank"),
+        )
+        for j, p in enumerate(points)
+    ]
+    both = rows.join(sketch.select(*keys, F.array(*cells).alias("_c")), list(keys))
+    below = both.groupBy(*keys).agg(*[F.count_if(F.col("_x") < F.col("_c")[j]["low"]).alias(f"_b{j}") for j in range(len(points))])
+    inside = both.select(*keys, "_x", F.explode(F.filter("_c", lambda c: F.col("_x").between(c["low"], c["high"]))).alias("c")).select(*keys, "_x", "c.j", "c.rank")
+    inside = inside.join(below.select(*keys, F.array(*[f"_b{j}" for j in range(len(points))]).alias("_b")), list(keys))
+    at = F.row_number().over(Window.partitionBy(*keys, "j").orderBy("_x")) - 1 + F.col("_b")[F.col("j")]
+    low, high = F.floor("rank"), F.ceil("rank")
+    picked = inside.withColumn("_at", at).where((F.col("_at") == low) | (F.col("_at") == high)).groupBy(*keys, "j", "rank")
+    value = picked.agg(F.min("_x").alias("a"), F.max("_x").alias("b")).withColumn("v", F.col("a") + (F.col("rank") - F.floor("rank")) * (F.col("b") - F.col("a")))
+    return value.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda c: c["v"]).alias("q"))
+
+
 def summary(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.median(x).alias("median"), F.avg(x).alias("mean"), F.min(x).alias("low"), F.max(x).alias("high"), F.count(x).alias("n"))
 

@@ -1,9 +1,12 @@
 """Sequential rules: each is a fold over one series, so it runs as a streaming kernel.
 
-Series are first cut where a gap is longer than the rule can see; the state
-before such a gap has no effect after it, so a kernel folds one *segment* at a
-time.  Rows come sorted from the window that cut them, without another
-shuffle, and a task holds one batch and the segment that runs over its end.
+Rules whose state is a few numbers (refractory, hysteresis, placement) are
+streams: a task holds one batch and that state.  For the others series are first
+cut where a gap is longer than the rule can see; the state before such a gap has
+no effect after it, so a kernel folds one *segment* at a time.  Rows come sorted
+from the window that cut them, without another shuffle, and a task holds one
+batch and the segment that runs over its end; only a quota over the highest rows
+of a series holds the series.
 """
 
 from __future__ import annotations
@@ -70,19 +73,43 @@ def _schema(df: DataFrame, *more: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *more])
 
 
+#: State and the rows of one series that lie in one batch -> state, and the rows that come out.
+Step = Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]]
+
+
+def streamed(df: DataFrame, keys: Keys, order: Sequence[str], step: Step, fresh: tuple, schema: str) -> DataFrame:
+    """Fold every series in order; what a task carries from batch to batch is a series' key and its state."""
+    names = list(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, fresh
+        for pdf in batches:
+            starts, out = np.flatnonzero(_starts(pdf, names)).tolist(), []
+            for a, b in zip(starts, [*starts[1:], len(pdf)], strict=True):
+                mine = tuple(pdf[c].iat[a] for c in names)
+                if mine != key:
+                    key, state = mine, fresh
+                state, rows = step(state, pdf.iloc[a:b])
+                out.append(rows)
+            if out:
+                yield pd.concat(out)
+
+    return df.repartition(*keys).sortWithinPartitions(*names, *order).mapInPandas(run, schema)
+
+
 def refractory(df: DataFrame, keys: Keys, gap: int | float, t: str = "t", tie: Sequence[str] = ()) -> DataFrame:
-    """Rows at least ``gap`` after the last row *kept*."""
+    """Rows at least ``gap`` after the last row *kept*: from one kept row the next is found by bisection."""
 
-    def fold(pdf: pd.DataFrame, segments: list[tuple[int, int]]) -> pd.DataFrame:
-        keep, times = np.zeros(len(pdf), bool), pdf[t].tolist()
-        for a, b in segments:
-            last = None
-            for n in range(a, b):
-                if last is None or times[n] - last >= gap:
-                    keep[n], last = True, times[n]
-        return pdf[keep].drop(columns="session")
+    def step(state: tuple, pdf: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        (last,), times, keep = state, pdf[t].to_numpy(), []
+        at = 0 if last is None else int(np.searchsorted(times, last + gap))
+        while at < len(times):
+            keep.append(at)
+            last = times[at]
+            at = max(at + 1, int(np.searchsorted(times, last + gap)))
+        return (last,), pdf.iloc[keep]
 
-    return folded(df, keys, gap, fold, _schema(df), t, tie)
+    return streamed(df, keys, [t, *tie], step, (None,), _schema(df))
 
 
 def rising_edges(df: DataFrame, keys: Keys, threshold: float, slope: float, gap: int, v: str = "score", i: str = "i") -> DataFrame:
@@ -92,32 +119,20 @@ def rising_edges(df: DataFrame, keys: Keys, threshold: float, slope: float, gap:
 
 
 def hysteresis(df: DataFrame, keys: Keys, enter: float, stay: float, hold: int, v: str = "score", i: str = "i") -> DataFrame:
-    """Adds ``on``: set at ``enter``, kept while ``stay`` is reached at least every ``hold`` rows; the hold's tail is on.
-
-    A stream: what a task carries from batch to batch is a series' key and its state.
-    """
-    names = list(keys)
+    """Adds ``on``: set at ``enter``, kept while ``stay`` is reached at least every ``hold`` rows; the hold's tail is on."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, quiet = None, False, 0
-        for pdf in batches:
-            on, values = np.zeros(len(pdf), bool), pdf[v].tolist()
-            starts = np.flatnonzero(_starts(pdf, names)).tolist()
-            for a, b in zip(starts, [*starts[1:], len(pdf)], strict=True):
-                mine = tuple(pdf[c].iat[a] for c in names)
-                if mine != key:
-                    key, state, quiet = mine, False, 0
-                for n in range(a, b):
-                    if not state:
-                        state, quiet = values[n] >= enter, 0
-                    else:
-                        quiet = 0 if values[n] >= stay else quiet + 1
-                        state = quiet <= hold
-                    on[n] = state
-            yield pdf.assign(on=on)
+    def step(carried: tuple, pdf: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        (state, quiet), on = carried, []
+        for value in pdf[v].tolist():
+            if not state:
+                state, quiet = value >= enter, 0
+            else:
+                quiet = 0 if value >= stay else quiet + 1
+                state = quiet <= hold
+            on.append(state)
+        return (state, quiet), pdf.assign(on=np.array(on, bool))
 
-    sorted_rows = df.repartition(*keys).sortWithinPartitions(*names, i)
-    return sorted_rows.mapInPandas(run, _schema(df, "`on` boolean"))
+    return streamed(df, keys, [i], step, (False, 0), _schema(df, "`on` boolean"))
 
 
 def min_separation(df: DataFrame, keys: Keys, gap: int | float, v: str, t: str = "t", tie: Sequence[str] = ()) -> DataFrame:
@@ -169,19 +184,17 @@ def peaks(df: DataFrame, keys: Keys, distance: int, height: float, v: str = "v",
 def placed(df: DataFrame, keys: Keys, size: str, room: int, gap: int, order: str) -> DataFrame:
     """First fit in order on a canvas of ``room``: rows with ``at``, until one does not fit."""
 
-    def fold(pdf: pd.DataFrame, segments: list[tuple[int, int]]) -> pd.DataFrame:
-        kept, at, sizes = [], [], pdf[size].tolist()
-        for a, b in segments:
-            cursor = 0
-            for n in range(a, b):
-                if cursor + sizes[n] > room:
-                    break
-                kept.append(n)
-                at.append(cursor)
-                cursor += sizes[n] + gap
-        return pdf.loc[kept].drop(columns="session").assign(at=np.array(at, np.int64))
+    def step(state: tuple, pdf: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        cursor, at = state[0], []
+        for n in pdf[size].tolist():
+            if cursor is None or cursor + n > room:
+                cursor = None
+                break
+            at.append(cursor)
+            cursor += n + gap
+        return (cursor,), pdf.iloc[: len(at)].assign(at=np.array(at, np.int64))
 
-    return folded(df, keys, None, fold, _schema(df, "`at` bigint"), order)
+    return streamed(df, keys, [order], step, (0,), _schema(df, "`at` bigint"))
 
 
 def added(df: DataFrame, keys: Keys, gap: int | float, t: str = "t", tie: Sequence[str] = ()) -> DataFrame:

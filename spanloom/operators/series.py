@@ -128,18 +128,26 @@ def best_window(mask: DataFrame, keys: Keys, width: int, step: int, v: str = "m"
 
 
 def locked_average(df: DataFrame, events: DataFrame, keys: Keys, half: int, v: str = "v") -> DataFrame:
-    """Mean of the series at each offset within ``half`` rows of the events that lie that far from both ends."""
-    around_ = events.select(*keys, F.col("i").alias("_e"), F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("offset")).withColumn("i", F.col("_e") + F.col("offset"))
-    hit = around_.join(df.select(*keys, "i", v), [*keys, "i"])
-    full = hit.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "_e"))).where(F.col("_n") == 2 * half + 1)
-    return full.groupBy("offset").agg(F.avg(v).alias("mean"), F.count("*").alias("n"))
+    """Mean of the series at each offset within ``half`` rows of the events that lie that far from both ends.
+
+    Events meet their row; what lies around it is a range window in the same sort.
+    """
+    marks = events.groupBy(*keys, "i").agg(F.count("*").alias("_e"))
+    near = F.collect_list(F.struct("i", F.col(v).alias("v"))).over(_order(keys).rangeBetween(-half, half))
+    hit = df.select(*keys, "i", v).join(marks, [*keys, "i"], "left").withColumn("_w", near).where(F.col("_e").isNotNull() & (F.size("_w") == 2 * half + 1))
+    each = hit.select("i", "_e", F.explode("_w").alias("w")).select((F.col("w.i") - F.col("i")).cast("int").alias("offset"), "_e", "w.v")
+    return each.groupBy("offset").agg((F.sum(F.col("v") * F.col("_e")) / F.sum("_e")).alias("mean"), F.sum("_e").alias("n"))
 
 
 def lag_scan(df: DataFrame, keys: Keys, a: str, b: str, most: int) -> DataFrame:
-    """Lag of b, within ``most`` rows, with the largest sum of products; the first lag of equals."""
-    moved = df.select(*keys, F.col("i").alias("_i"), F.col(b).alias("_b"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"))
-    pairs = moved.withColumn("i", F.col("_i") - F.col("lag")).join(df.select(*keys, "i", a), [*keys, "i"])
-    sums = pairs.groupBy(*keys, "lag").agg(F.sum(F.col(a) * F.col("_b")).alias("dot"), F.count("*").alias("n"))
+    """Lag of b, within ``most`` rows, with the largest sum of products; the first lag of equals.
+
+    Each row meets its neighbours in a range window; sums need no other shuffle.
+    """
+    near = F.collect_list(F.struct("i", F.col(a).alias("a"))).over(_order(keys).rangeBetween(-most, most))
+    pairs = df.select(*keys, "i", F.col(b).alias("_b"), a).withColumn("_w", near).select(*keys, "i", "_b", F.explode("_w").alias("w"))
+    pairs = pairs.select(*keys, (F.col("i") - F.col("w.i")).cast("int").alias("lag"), (F.col("w.a") * F.col("_b")).alias("_p"))
+    sums = pairs.groupBy(*keys, "lag").agg(F.sum("_p").alias("dot"), F.count("*").alias("n"))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("dot"), "lag"))
     return sums.withColumn("_k", nth).where("_k = 1").drop("_k")
 

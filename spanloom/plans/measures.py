@@ -16,7 +16,7 @@ LI = "lineitem"
 
 @query("quantile_table", "SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 4) AS p{int(p * 100)}" for p in (0.1, 0.25, 0.5, 0.75, 0.9)) + " FROM lineitem GROUP BY l_returnflag")
 def quantile_table(spark, sf):
-    q = load(spark, sf, LI).groupBy("l_returnflag").agg(stats.quantiles("l_extendedprice", (0.1, 0.25, 0.5, 0.75, 0.9)).alias("q"))
+    q = stats.exact_quantiles(load(spark, sf, LI), ["l_returnflag"], "l_extendedprice", (0.1, 0.25, 0.5, 0.75, 0.9))
     return q.select("l_returnflag", *[r(F.col("q")[i], 4).alias(f"p{p}") for i, p in enumerate((10, 25, 50, 75, 90))])
 
 

@@ -115,6 +115,18 @@ def test_leaves_of_any_depth(spark):
     assert got == {("$.a.b", '{"c":{"d":1}}'), ("$.a.e", "2"), ("$.f", '[1,{"g":2}]')}
 
 
+def test_exact_quantiles_of_large_and_small_groups(spark):
+    from spanloom.functions import stats
+
+    rng = np.random.default_rng(5)
+    parts = {"big": np.round(rng.normal(size=5000), 2), "ties": rng.integers(0, 3, 3000).astype(float), "few": np.array([3.0, 1.0, 2.0]), "one": np.array([7.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in parts.items() for v in vs] + [("few", None)], "k string, v double").repartition(5)
+    points = (0.0, 0.1, 0.5, 0.9, 1.0)
+    for accuracy in (100, 10_000):
+        got = {r["k"]: r["q"] for r in stats.exact_quantiles(df, ["k"], "v", points, accuracy).collect()}
+        assert set(got) == set(parts) and all(np.allclose(got[k], np.quantile(v, points)) for k, v in parts.items())
+
+
 # Waveforms: every query on the tables against direct sums.
 
 
