@@ -134,7 +134,12 @@ CHECKS = {
     "phone": (lambda x: F.length(_digits(x)).between(10, 15), _digits),
 }
 #: What a text must hold before its pattern is tried.
-HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+HINTS = {
+    "email": lambda text: text.contains("@"),
+    "ip": lambda text: text.contains(".") & text.rlike("[0-9]"),
+    "card": lambda text: text.rlike("[0-9]"),
+    "phone": lambda text: text.contains("+"),
+}
 #: The group of a value.
 GROUPS = {
     "email": lambda v: F.substring_index(v, "@", -1),
@@ -152,7 +157,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     none = F.array().cast(_SPANS)
     for kind, pattern in PATTERNS.items():
         found = places(F.col("text"), pattern, *CHECKS[kind])
-        rows = rows.withColumn(kind, F.when(F.col("text").contains(HINTS[kind]), found).otherwise(none) if HINTS[kind] else found)
+        rows = rows.withColumn(kind, F.when(HINTS[kind](F.col("text")), found).otherwise(none))
     tagged = [_tagged(kind, i) for i, kind in enumerate(PATTERNS)]
     return rows.select("doc_id", "key", "hash", "text", F.array_sort(F.concat(*tagged)).alias("spans"))
 
@@ -176,7 +181,8 @@ def _entities(spans: str, text: Column) -> Column:
         return F.array(F.concat(F.lit("k"), kind), F.concat(F.lit("g"), kind, F.lit(":"), group), F.concat(F.lit("v"), kind, F.lit(":"), s["value"]))
 
     named = F.flatten(F.transform(spans, of))
-    return F.array_distinct(F.concat(named, F.when(text.rlike(CREDENTIAL), F.array(F.lit("credential"))).otherwise(F.array().cast("array<string>"))))
+    label = (text.contains("=") | text.contains(":") | text.contains("AKIA")) & text.rlike(CREDENTIAL)
+    return F.array_distinct(F.concat(named, F.when(label, F.array(F.lit("credential"))).otherwise(F.array().cast("array<string>"))))
 
 
 def _shape(run: Column) -> Column:
@@ -194,7 +200,8 @@ def _term(run: Column) -> Column:
 def _words(text: Column) -> Column:
     """The different terms of a text, and first letters with a star for the words' generalisations."""
     words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower))
-    shapes = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_CODE), F.lit(0)), _shape))
+    codes = F.when(text.rlike(r"\p{Nd}"), F.regexp_extract_all(text, F.lit(_CODE), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    shapes = F.array_distinct(F.transform(codes, _shape))
     return F.concat(_bound(words, lambda w: F.concat(w, F.array_distinct(F.transform(w, _general)))), shapes)
 
 
