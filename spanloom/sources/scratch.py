@@ -9,8 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, or under a local folder where that is unset, as in tests."""
+    """A new path under spark.checkpoint.dir, or under a local folder where that is unset and all run on one machine, as in tests."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spanloom-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
