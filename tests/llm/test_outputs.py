@@ -62,6 +62,10 @@ def test_warc_edges(spark):
     warc.write(pages(spark, [(4, "a", big), (4, "a", big), (None, "b", big), (None, "c", "x" * 1500), (None, "c", "x" * 1500)]), folder)
     got = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read(spark, folder).collect())
     assert got == {(4, "response", None): 1, (4, "revisit", 4): 1, (None, "revisit", 4): 1, (None, "response", None): 1, (None, "revisit", None): 1}
+    wide = pages(spark, [(1, "u", "é" * 3_000_000), (2, "u", "a\r\n\r\nb" * 400), (3, None, None)]).withColumn("digest", F.lit("mine")).withColumn("owner", F.lit(7)).withColumn("what", F.lit(1))
+    folder = "file://" + tempfile.mkdtemp()
+    assert {r["bytes"] > 0 for r in warc.write(wide, folder, roll=1000).collect()} == {True}
+    assert {r["page_id"]: (r["payload_bytes"], r["html"]) for r in warc.read(spark, folder).collect()} == {1: (6_000_000, "é" * 3_000_000), 2: (2400, "a\r\n\r\nb" * 400), 3: (0, "")}
     for p in (0, 1, -1, 2**63 - 1, -(2**63), 123456789, None):
         assert warc.page_of(warc.record_id(p, b"12345678")) == p
 
@@ -399,6 +403,25 @@ def test_shards_are_even_and_split_hot_texts(spark, monkeypatch):
     assert len(homes[crc]) > 1 and sum(len(v) > 1 for k, v in homes.items() if k != crc) <= 16
 
 
+def test_shard_law_by_hand(spark, sf):
+    """Texts of one copy lie in the sixteenth of all bytes, in the order of (text hash, doc_id), that their first byte falls into."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = F.coalesce("text", F.lit(""))
+    rows = [(r["h"], r["doc_id"], r["n"]) for r in docs.select("doc_id", F.xxhash64(text).alias("h"), (F.octet_length(text) + 1).alias("n")).collect()]
+    total, at, want, copies = sum(n for *_, n in rows), 0, {}, Counter(h for h, *_ in rows)
+    for h, d, n in sorted(rows):
+        if copies[h] == 1:
+            want[d] = min(at * 16 // total, 15)
+        at += n
+    got = {r["doc_id"]: r for r in registry.QUERIES["op10_shards"](spark, sf).collect()}
+    assert len(want) > 100 and {d: got[d]["shard"] for d in want} == want
+    assert {r["law"] for r in got.values()} == {"bytes"} and all(r["grown_shard"] is None for r in got.values())
+    by = defaultdict(list)
+    for r in got.values():
+        by[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
 def test_search_for_splitters(spark):
     keys = [(i * 10, 0) for i in range(300)]
     df = spark.range(0, 3100, 7).select(F.struct(F.col("id").alias("h"), F.lit(0).cast("long").alias("d")).alias("key"))
