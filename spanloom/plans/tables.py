@@ -160,12 +160,19 @@ def wav_round_trip(spark, sf):
     return both.agg(F.count("*").alias("n"), (F.max(far) < 1e-6).alias("same"))
 
 
-@query("raw_frame_source")
+_PIXELS = "WITH f AS (SELECT unnest(range(12)) AS frame), c AS (SELECT frame, p, (21 * p + 13 * frame) % 256 AS r, (21 * p + 7 + 13 * frame) % 256 AS g, (21 * p + 14 + 13 * frame) % 256 AS b FROM f, range(48) AS x(p))"
+
+
+@query(
+    "raw_frame_source",
+    f"""{_PIXELS}, d AS (SELECT a.frame, avg((abs(a.r - z.r) + abs(a.g - z.g) + abs(a.b - z.b)) / 3.0) AS diff FROM c a JOIN c z ON z.frame = a.frame - 1 AND z.p = a.p GROUP BY 1)
+SELECT frame, round(avg((r > 1.2 * b AND r > 80)::INT), 6) AS warm, round(avg((least(r, g, b) > 180 AND greatest(r, g, b) - least(r, g, b) < 30)::INT), 6) AS white, round(avg((r + g + b) / 3.0), 6) AS bright, round(coalesce(any_value(diff), 0.0), 6) AS diff FROM c LEFT JOIN d USING (frame) GROUP BY frame""",
+)
 def raw_frame_source(spark, sf):
-    """The Python data source of raw frames, reading frames it makes itself."""
+    """The Python data source of raw frames, reading frames whose bytes a formula gives."""
     files.register(spark)
     df = spark.read.format("rawframes").option("synthetic", "12").option("width", "8").option("height", "6").load()
-    return df.select("frame", "warm", "white", "bright", "diff")
+    return df.select("frame", *[r(c).alias(c) for c in ("warm", "white", "bright", "diff")])
 
 
 @query("table_partitions_pruned", "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_quantity < 10 GROUP BY 1")
