@@ -141,21 +141,26 @@ def typed(events: DataFrame, keys: Keys, t: str, kind: str, release: str, before
 
 def adaptive(series: DataFrame, peaks: DataFrame, keys: Keys, back: int, ahead: int, low: float, fall: float, v: str = "v") -> DataFrame:
     """Spans shaped by the data: from the last row at or under ``low`` of the peak, at most ``back`` rows before it, to the
-    first row at or under ``fall`` of the largest value up to ``ahead`` rows after it; the reach's end where there is none."""
-    near = peaks.select(*keys, F.col("i").alias("_p"), F.explode(F.sequence(F.col("i") - back, F.col("i") + ahead)).alias("i")).join(series.select(*keys, "i", v), [*keys, "i"])
-    by = Window.partitionBy(*keys, "_p")
-    at = F.max(F.when(F.col("i") == F.col("_p"), F.col(v))).over(by)
-    top = F.max(F.when(F.col("i") >= F.col("_p"), F.col(v))).over(by)
-    near = near.withColumns({"_at": at, "_top": top})
-    start = F.max(F.when((F.col("i") < F.col("_p")) & (F.col(v) <= low * F.col("_at")), F.col("i")))
-    end = F.min(F.when((F.col("i") >= F.col("_p")) & (F.col(v) <= fall * F.col("_top")), F.col("i")))
-    out = near.groupBy(*keys, "_p").agg(start.alias("s"), end.alias("e"))
-    return out.select(*keys, F.coalesce("s", F.col("_p") - back).alias("s"), F.coalesce("e", F.col("_p") + ahead).alias("e"))
+    first row at or under ``fall`` of the largest value up to ``ahead`` rows after it; the reach's end where there is none.
+
+    What lies around a peak is a range window in one sort of the series.
+    """
+    order = Window.partitionBy(*keys).orderBy("i")
+    marks = peaks.select(*keys, "i").withColumn("_peak", F.lit(True)).distinct()
+    pairs = lambda a, b: F.collect_list(F.struct("i", F.col(v).alias("v"))).over(order.rangeBetween(a, b))
+    rows = series.select(*keys, "i", v).join(marks, [*keys, "i"], "left")
+    near = rows.withColumns({"_b": pairs(-back, -1), "_f": pairs(0, ahead), "_top": F.max(v).over(order.rangeBetween(0, ahead))}).where("_peak")
+    start = F.array_max(F.transform(F.filter("_b", lambda x: x["v"] <= low * F.col(v)), lambda x: x["i"]))
+    end = F.array_min(F.transform(F.filter("_f", lambda x: x["v"] <= fall * F.col("_top")), lambda x: x["i"]))
+    return near.select(*keys, F.coalesce(start, F.col("i") - back).alias("s"), F.coalesce(end, F.col("i") + ahead).alias("e"))
 
 
 def dynamics(series: DataFrame, events: DataFrame, keys: Keys, half: int, raw: str, out: str, missed: float = 0.1) -> DataFrame:
     """Peaks of both signals around each event, their ratio, its absolute log, and whether the event is all but gone."""
-    near = events.select(*keys, F.col("i").alias("event"), F.explode(F.sequence(F.col("i") - half, F.col("i") + half)).alias("i"))
-    top = near.join(series.select(*keys, "i", raw, out), [*keys, "i"]).groupBy(*keys, "event").agg(F.max(raw).alias("raw_peak"), F.max(out).alias("out_peak"))
+    around = Window.partitionBy(*keys).orderBy("i").rangeBetween(-half, half)
+    marks = events.select(*keys, "i").withColumn("_e", F.lit(True)).distinct()
+    rows = series.select(*keys, "i", raw, out).join(marks, [*keys, "i"], "left")
+    near = rows.withColumns({"raw_peak": F.max(raw).over(around), "out_peak": F.max(out).over(around)}).where("_e")
+    top = near.select(*keys, F.col("i").alias("event"), "raw_peak", "out_peak")
     ratio = F.col("out_peak") / F.greatest(F.col("raw_peak"), F.lit(1e-9))
     return top.withColumn("ratio", ratio).withColumns({"log_error": F.abs(F.ln(F.greatest("ratio", F.lit(1e-9)))), "missed": F.col("ratio") < missed})
