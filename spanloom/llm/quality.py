@@ -63,10 +63,20 @@ class Features:
         return len(self.off) - 1
 
     def only(self, rows: np.ndarray) -> Features:
+        """The features of some documents, their bytes copied together; what is computed already is cut, not computed again."""
         sizes = np.diff(self.off)[rows]
         off = np.concatenate([[0], np.cumsum(sizes)])
         parts = [self.buf[self.off[i] : self.off[i + 1]] for i in rows]
-        return Features(np.concatenate(parts) if parts else self.buf[:0], off)
+        out = Features(np.concatenate(parts) if parts else self.buf[:0], off)
+        for name, value in self.__dict__.items():
+            if name == "words":
+                out.__dict__[name] = value.only(rows, out.buf, off)[0]
+            elif name == "_lines":
+                lines, places = value[0].only(rows, out.buf, off)
+                out.__dict__[name] = lines, value[1][places]
+            elif name not in ("buf", "off"):
+                out.__dict__[name] = value[rows]
+        return out
 
     def total(self, mark: np.ndarray) -> np.ndarray:
         """Marked bytes in each document."""

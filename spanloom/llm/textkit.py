@@ -89,6 +89,16 @@ class Words:
         self.woff = np.searchsorted(self.start, off)
         self.count = np.diff(self.woff)
 
+    def only(self, rows: np.ndarray, buf: np.ndarray, off: np.ndarray) -> tuple[Words, np.ndarray]:
+        """The words of some documents, whose bytes are ``buf`` now, and where they are among these."""
+        out, count = object.__new__(Words), self.count[rows]
+        out.buf, out.off, out.count = buf, off, count
+        out.woff = np.concatenate([[0], np.cumsum(count)])
+        places = np.arange(out.woff[-1]) + np.repeat(self.woff[rows] - out.woff[:-1], count)
+        shift = np.repeat(self.off[rows] - off[:-1], count)
+        out.start, out.end = self.start[places] - shift, self.end[places] - shift
+        return out, places
+
     @property
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)

@@ -72,6 +72,21 @@ def test_cascade_computes_on_survivors_only():
     assert all(size * quality.COMPACT <= alive or size == alive for size, alive in seen)
 
 
+def test_cut_features_equal_fresh_ones(texts):
+    """Words, lines and counts of some documents, cut from those of all or computed anew."""
+    parts = [(t or "").encode() for t in texts]
+    buf, off = np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    rows = np.arange(0, len(parts), 3)
+    f, want = quality.Features(buf, off), quality.Features(buf, off).only(rows)
+    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+    for name in names:
+        getattr(f, name)
+    got = f.only(rows)
+    assert {"words", "_lines", "n_words"} <= set(got.__dict__) and "words" not in want.__dict__
+    assert all((getattr(got, n) == getattr(want, n)).all() for n in names) and (got.wordy() == want.wordy()).all()
+    assert (got.words.start == want.words.start).all() and (got._lines[1] == want._lines[1]).all() and (got.words.hashes() == want.words.hashes()).all()
+
+
 def test_sample_is_bounded_under_a_hot_text(spark, tmp_path):
     """A text that repeats in every row, and large partitions: a task measures its first rows alone."""
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("the very same hot text in every single row").alias("text")).repartition(3)
