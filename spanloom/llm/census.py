@@ -2,10 +2,10 @@
 
 Keys are never shuffled as rows.  Documents are dealt into *chunks* by a hash
 of their content; a chunk sorts its distinct keys into *buckets* by a second,
-independent hash and sends one packed blob to each (8 bytes a distinct key,
-counts saturating at 255, or at 2**32 - 1 where the caller asks for wide ones).
-A bucket adds up the counts and answers each chunk with one count a key, in the
-chunk's own order; the chunk is then dealt
+independent hash and sends one packed blob to each (8 bytes a distinct key and a
+byte for its count; counts over 254, up to 2**32 - 1, are listed behind).  A bucket
+adds up the counts and answers each chunk with one count a key, packed alike, in
+the chunk's own order; the chunk is then dealt
 out again, recomputes its keys and reads the answers beside them.
 
 A key that occurs everywhere costs one entry a chunk, so no key is hot.  A
@@ -53,13 +53,28 @@ def _segments(route: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def answered(rows: DataFrame, deal: Deal, hashes: Hashes, finish: Finish, schema: str, count_type: type = np.uint8) -> DataFrame:
+def packed(counts: np.ndarray) -> bytes:
+    """A byte a count; those over 254 are 255 there and follow behind with their places."""
+    many = np.flatnonzero(counts > 254)
+    behind = np.stack([many, np.minimum(counts[many], (1 << 32) - 1)], 1).astype(np.uint32)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + behind.tobytes()
+
+
+def unpacked(blob: bytes, n: int) -> np.ndarray:
+    """``n`` packed counts."""
+    out = np.frombuffer(blob, np.uint8, n).astype(np.uint32)
+    behind = np.frombuffer(blob[n:], np.uint32).reshape(-1, 2)
+    out[behind[:, 0]] = behind[:, 1]
+    return out
+
+
+def answered(rows: DataFrame, deal: Deal, hashes: Hashes, finish: Finish, schema: str) -> DataFrame:
     """``finish(rows of a chunk, keys, count of each key, context)`` for every chunk of ``rows`` (column ``chunk``).
 
     ``hashes`` gives a chunk's keys, a second hash that routes each, and a
     context for ``finish``; it sees the rows in an order set by their values.
     """
-    buckets, top = deal.buckets, np.iinfo(count_type).max
+    buckets = deal.buckets
 
     def emit(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
@@ -70,7 +85,7 @@ def answered(rows: DataFrame, deal: Deal, hashes: Hashes, finish: Finish, schema
             one, n = np.unique(key[order[bound[b] : bound[b + 1]]], return_counts=True)
             out["bucket"].append(int(b))
             out["keys"].append(one.tobytes())
-            out["counts"].append(np.minimum(n, top).astype(count_type).tobytes())
+            out["counts"].append(packed(n))
         kinds = {"bucket": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
         cols = [pa.array([chunk] * len(out["bucket"]), pa.int64()), *[pa.array(out[c], kinds[c]) for c in kinds]]
         return pa.Table.from_arrays(cols, ["chunk", *kinds])
@@ -78,15 +93,15 @@ def answered(rows: DataFrame, deal: Deal, hashes: Hashes, finish: Finish, schema
     def tally(table: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
         keys = np.concatenate(blobs)
-        counts = np.concatenate([np.frombuffer(x.as_buffer(), count_type) for x in table.column("counts")])
+        counts = np.concatenate([unpacked(x.as_py(), k.size) for x, k in zip(table.column("counts"), blobs, strict=True)])
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        total = np.minimum(np.add.reduceat(counts[order].astype(np.int64), first), top).astype(count_type)
-        answer = np.empty(keys.size, count_type)
+        total = np.minimum(np.add.reduceat(counts[order].astype(np.int64), first), (1 << 32) - 1)
+        answer = np.empty(keys.size, np.uint32)
         answer[order] = np.repeat(total, np.diff(np.append(first, keys.size)))
         ends = np.cumsum([x.size for x in blobs])
-        parts = [answer[e - x.size : e].tobytes() for e, x in zip(ends, blobs, strict=True)]
+        parts = [packed(answer[e - x.size : e]) for e, x in zip(ends, blobs, strict=True)]
         return pa.Table.from_arrays(
             [table.column("chunk"), table.column("bucket"), pa.array(parts, pa.binary())], ["chunk", "bucket", "answer"]
         )
@@ -96,11 +111,11 @@ def answered(rows: DataFrame, deal: Deal, hashes: Hashes, finish: Finish, schema
         key, route, context = hashes(table)
         order, bound = _segments(route, buckets)
         got = dict(zip(answers.column("bucket").to_pylist(), answers.column("answer"), strict=True))
-        count = np.zeros(key.size, count_type)
+        count = np.zeros(key.size, np.uint32)
         for b in np.flatnonzero(np.diff(bound)):
             at = order[bound[b] : bound[b + 1]]
-            _, inverse = np.unique(key[at], return_inverse=True)
-            count[at] = np.frombuffer(got[int(b)].as_buffer(), count_type)[inverse]
+            one, inverse = np.unique(key[at], return_inverse=True)
+            count[at] = unpacked(got[int(b)].as_py(), one.size)[inverse]
         return finish(table, key, count, context)
 
     asked = rows.groupBy("chunk").applyInArrow(emit, "chunk long, bucket int, keys binary, counts binary")

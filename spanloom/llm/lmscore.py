@@ -49,7 +49,7 @@ from .census import Deal, answered, concatenated
 CLASSES, WIDTH, SIDES = 128, 16, 2
 PLACES = 2 * SIDES
 ROUNDS, REPLICA_BYTES = 3, 4 << 20
-BATCH, RATE, SCORE_BATCH = 2048, 0.8, 8192
+BATCH, RATE, SCORE_BATCH = 2048, 0.8, 1024
 #: Counts set aside in each class for words that no other document holds.
 OPEN = 50.0
 #: A neighbour that other documents hold so often has half of the weight it can have.
@@ -104,7 +104,8 @@ class Network:
         np.tanh(hidden, out=hidden)
         logits = hidden @ self.out
         logits += self.prior
-        logits -= logits.max(1, keepdims=True)
+        if (np.abs(self.out).sum(0) + np.abs(self.prior)).max() > 60:  # what tanh lets a logit reach; below, exp can't overflow
+            logits -= logits.max(1, keepdims=True)
         return hidden, logits
 
     def log_probability(self, ctx: np.ndarray, cls: np.ndarray) -> np.ndarray:
@@ -124,9 +125,8 @@ class Network:
             n = want.size
             hidden, grad = self._forward(part)
             np.exp(grad, out=grad)
-            grad /= grad.sum(1, keepdims=True)
-            grad[np.arange(n), want] -= 1
-            grad *= rate / n
+            grad *= np.float32(rate / n) / grad.sum(1, keepdims=True)
+            grad[np.arange(n), want] -= np.float32(rate / n)
             back = grad @ self.out.T
             back *= 1 - hidden * hidden
             self.out -= hidden.T @ grad
@@ -236,7 +236,11 @@ def _mixed(corpus: Corpus, h: np.ndarray, cls: np.ndarray, words: tk.Words, coun
     """Log probability of each word: ``count`` is that of the words, then of the pairs; ``by_class`` is the network's part."""
     doc, n = words.doc, h.size
     others = _others(h, doc, count[:n])
-    _, cat, own_class = np.unique(doc * CLASSES + cls, return_inverse=True, return_counts=True)
+    cat = doc * CLASSES + cls
+    if cat.size and cat[-1] < 1 << 22:
+        own_class = np.bincount(cat)
+    else:  # a slice of very many tiny texts
+        _, cat, own_class = np.unique(cat, return_inverse=True, return_counts=True)
     spelling = corpus.spelling()
     spelt = np.concatenate([[0.0], np.cumsum(spelling[:256][words.buf])])
     base = np.minimum(spelt[words.end] - spelt[words.start] + spelling[256] + np.log(CLASSES), 0.0)
@@ -300,7 +304,7 @@ def scored(docs: DataFrame, corpus: Corpus, counted_in: DataFrame | None = None)
         cols = [t.column("doc_id"), *[pa.array(concatenated(x, k)) for x, k in ((n, np.int64), (both, np.float64), (by_class, np.float64))]]
         return pa.Table.from_arrays(cols, ["doc_id", "n_tokens", "pll", "class_pll"]).filter(t.column("wanted"))
 
-    return answered(rows, deal, hashes, finish, "doc_id long, n_tokens long, pll double, class_pll double", np.uint32)
+    return answered(rows, deal, hashes, finish, "doc_id long, n_tokens long, pll double, class_pll double")
 
 
 def op9_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
