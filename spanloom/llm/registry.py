@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, lmscore, neardup, packing, pii, quality, shards, substrings, warc
+from . import alignment, codes, decontaminate, lines, lmscore, mixing, neardup, packing, pii, quality, shards, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": pii.op8_pii,
     "op9_lmscore": lmscore.op9_lmscore,
     "op10_shards": shards.op10_shards,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_codes": codes.op12_codes,
+    "op13_mix": mixing.op13_mix,
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": decontaminate.SQL,
@@ -27,4 +30,5 @@ ORACLES: dict[str, str] = {
     "op4_substrings": substrings.SQL,
     "op5_lines": lines.SQL,
     "op6_warc": warc.SQL,
+    "op12_codes": codes.SQL,
 }
