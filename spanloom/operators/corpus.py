@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..sources.scratch import shared
 
 
 def duplicates(df: DataFrame, size: str, content: Column, out: str = "digest") -> DataFrame:
@@ -41,18 +42,43 @@ def private_findings(df: DataFrame, key: str, columns: Sequence[str]) -> DataFra
     return df.select(key, leaves).select(key, "path", F.explode(sc.private_paths("value")).alias("found"))
 
 
-def leaves(df: DataFrame, key: str, json: str, depth: int = 8) -> DataFrame:
-    """(key, path, value) of the leaves of JSON objects of any shape; a list is a leaf, and so is an object below ``depth`` levels."""
-    level = df.select(key, F.lit("$").alias("path"), F.col(json).alias("_j"))
+def walked(df: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, path, value) of every leaf of JSON documents, through objects and lists of any depth.
+
+    ``path`` lists the key names, and ``[i]`` for the places of lists; strings
+    come as they are, other leaves as JSON.  Each step opens the containers that
+    are left by one lateral ``variant_explode``, and is written, so a document
+    is parsed once and opened a level at a time.  Empty containers have no
+    leaf; texts that are no JSON are left out.
+    """
+    spark = df.sparkSession
+    level = df.select(F.col(key).alias("_id"), F.array().cast("array<string>").alias("path"), F.try_parse_json(json).alias("_v")).where("_v is not null")
     out = None
-    for _ in range(depth):
-        pairs = level.select(key, "path", F.explode_outer(F.from_json("_j", "map<string,string>")).alias("k", "value")).where("k is not null")
-        pairs = pairs.select(key, F.concat_ws(".", "path", "k").alias("path"), "value")
-        nested = F.coalesce(F.col("value").startswith("{"), F.lit(False))
-        done = pairs.where(~nested)
-        out = done if out is None else out.unionByName(done)
-        level = pairs.where(nested).withColumnRenamed("value", "_j")
-    return out.unionByName(level.withColumnRenamed("_j", "value"))
+    while True:
+        kind = F.schema_of_variant("_v")
+        rows = level.withColumns({"_open": kind.startswith("OBJECT") | kind.startswith("ARRAY"), "_text": kind == "STRING"})
+        place = shared(spark, "walk")
+        rows.write.parquet(place)
+        rows = spark.read.schema(rows.schema).parquet(place)
+        value = F.when(F.col("_text"), F.try_variant_get("_v", "$", "string")).otherwise(F.to_json("_v"))
+        leaf = rows.where("not _open").select(F.col("_id").alias(key), "path", value.alias("value"))
+        out = leaf if out is None else out.unionByName(leaf)
+        nested = rows.where("_open").select("_id", F.col("path").alias("_path"), "_v")
+        if nested.isEmpty():
+            return out
+        opened = nested.alias("w").lateralJoin(spark.tvf.variant_explode(F.col("w._v").outer()))
+        name = F.coalesce(F.col("key"), F.concat(F.lit("["), F.col("pos"), F.lit("]")))
+        level = opened.select("_id", F.array_append("_path", name).alias("path"), F.col("value").alias("_v"))
+
+
+def findings(leaves: DataFrame, key: str, tokens: Sequence[str]) -> DataFrame:
+    """(key, field, match) of walked leaves: each absolute path in a value, and ``private-key-name`` where the last key name holds a token."""
+    field, last = F.array_join("path", "/"), F.lower(F.coalesce(F.try_element_at("path", F.lit(-1)), F.lit("")))
+    found = leaves.select(key, field.alias("field"), F.explode(sc.private_paths("value")).alias("match"))
+    named = F.lit(False)
+    for token in tokens:
+        named |= F.contains(last, F.lit(token.lower()))
+    return found.unionByName(leaves.where(named).select(key, field.alias("field"), F.lit("private-key-name").alias("match")))
 
 
 def manifest(df: DataFrame, key: str, content: Column) -> DataFrame:

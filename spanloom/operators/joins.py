@@ -68,6 +68,69 @@ def best_match(pairs: DataFrame, left: Keys, order: Sequence[Column]) -> DataFra
     return pairs.withColumn("_n", F.row_number().over(Window.partitionBy(*left).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def deepest_prefix(records: DataFrame, candidates: DataFrame, keys: Keys, name: str, dirs: str = "dirs", least: int = 2, by: Keys = ()) -> DataFrame:
+    """(keys, name, depth): the candidate, equal in ``by``, whose folders share the most leading segments with a record's, at least ``least``; the first name of equals.
+
+    Candidates are collapsed to the first name under each prefix, so a record
+    meets one row for each of its prefixes, however many candidates lie there.
+    """
+
+    def prefixes(df: DataFrame, *more: str) -> DataFrame:
+        deep = df.where(F.size(dirs) >= least).select(*more, *by, dirs, F.explode(F.sequence(F.lit(least), F.size(dirs))).alias("depth"))
+        return deep.select(*more, *by, "depth", F.slice(dirs, F.lit(1), F.col("depth")).alias("_p"))
+
+    first = prefixes(candidates, name).groupBy(*by, "_p").agg(F.min(name).alias(name))
+    met = prefixes(records, *[k for k in keys if k not in by]).join(first, [*by, "_p"])
+    return met.groupBy(*keys).agg(F.max_by(F.struct("depth", name), "depth").alias("_m")).select(*keys, F.col(f"_m.{name}").alias(name), F.col("_m.depth").alias("depth"))
+
+
+def _grams(text: str, sizes: Sequence[int]) -> Column:
+    """Distinct substrings of some lengths."""
+    some = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i, n=n: F.substring(F.col(text), i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes]
+    return F.array_distinct(F.concat(*some))
+
+
+def containing(needles: DataFrame, texts: DataFrame, needle: str, text: str, size: int = 3) -> DataFrame:
+    """Distinct pairs (needle, text) in which the text contains the needle; empty needles are left out.
+
+    Every gram of a needle stands in a text that contains it, so a needle meets
+    only the texts that hold its rarest gram (of ``size`` characters, or all of
+    a shorter needle), and the pairs are then compared.
+    """
+    texts = texts.select(text).where(F.length(text) > 0).distinct().withColumn("_g", F.explode(_grams(text, range(1, size + 1))))
+    often = texts.groupBy("_g").agg(F.count("*").alias("_n"))
+    own = needles.select(needle).where(F.length(needle) > 0).distinct()
+    parts = F.when(F.length(needle) < size, F.array(needle)).otherwise(_grams(needle, [size]))
+    counted = own.withColumn("_g", F.explode(parts)).join(often, "_g", "left")
+    rarest = counted.groupBy(needle).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("_m")).where("_m.n > 0")
+    return rarest.select(needle, F.col("_m._g").alias("_g")).join(texts, "_g").where(F.contains(text, F.col(needle))).select(needle, text)
+
+
+def scored_prefix_match(records: DataFrame, candidates: DataFrame, key: str, name: str, dirs: str = "dirs", word: str = "family", stem: str = "stem", least: int = 2, letters: int = 2) -> DataFrame:
+    """(key, name, depth, rule): each record's best candidate, by shared leading folders, then rule, then name.
+
+    Rule 2: at least ``least`` folders are shared.  Rule 1: fewer are, but the
+    record's ``word`` (of ``letters`` at least) lies in the candidate's ``stem``
+    or last folder, or the stem in the word; an empty stem lies in any word.
+    Records without a candidate are left out.  Only records that rule 2 leaves
+    are matched by name, as distinct (word, leading folders) against distinct
+    (names, leading folders).
+    """
+    near = deepest_prefix(records, candidates, [key], name, dirs, least).withColumn("rule", F.lit(2))
+    rest = records.where(F.length(word) >= letters).join(near.select(key), key, "left_anti").select(key, F.slice(dirs, 1, least - 1).alias("_to"), word)
+    folder = F.coalesce(F.try_element_at(dirs, F.lit(-1)), F.lit(""))
+    sites = candidates.groupBy(F.slice(dirs, 1, least - 1).alias("_to"), F.coalesce(stem, F.lit("")).alias("_stem"), folder.alias("_folder")).agg(F.min(name).alias(name))
+    words, ask = rest.select(word).distinct(), rest.select("_to", word).distinct()
+    by_stem, by_folder = (containing(words, sites, word, c).join(sites, c) for c in ("_stem", "_folder"))
+    inside = containing(sites, words, "_stem", word).join(sites, "_stem")
+    pairs = by_stem.unionByName(by_folder, allowMissingColumns=True).unionByName(inside, allowMissingColumns=True).groupBy(word, "_to").agg(F.min(name).alias(name))
+    called = deepest_prefix(ask, pairs, ["_to", word], name, "_to", 0, [word])
+    unnamed = deepest_prefix(ask, sites.where("_stem = ''"), ["_to", word], name, "_to", 0)
+    best = called.unionByName(unnamed).groupBy("_to", word).agg(F.min(F.struct((-F.col("depth")).alias("d"), name)).alias("_m"))
+    named = rest.join(best, ["_to", word]).select(key, F.col(f"_m.{name}").alias(name), (-F.col("_m.d")).alias("depth"), F.lit(1).alias("rule"))
+    return near.unionByName(named)
+
+
 def first_of(right: DataFrame, keys: Keys, order: Sequence[Column]) -> DataFrame:
     """One row for each key, the first in order: a lookup side whose matches are unique."""
     return best_match(right, keys, order)

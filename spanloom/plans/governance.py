@@ -225,7 +225,45 @@ def private_text_scan(spark, sf):
 
 @query("json_leaves", "SELECT event_id, '$.k' AS path, json_extract_string(props, '$.k') AS value FROM events")
 def json_leaves(spark, sf):
-    return corpus.leaves(load(spark, sf, "events"), "event_id", "props", 2)
+    leaves = corpus.walked(load(spark, sf, "events"), "event_id", "props")
+    return leaves.select("event_id", F.concat(F.lit("$."), F.array_join("path", ".")).alias("path"), "value")
+
+
+_NEST = """o AS (SELECT conv_id * 1000 + turn AS id, turn, role, string_split(text, chr(10)) AS lines FROM conversations)"""
+
+
+def nested(spark, sf):
+    """A JSON document for each turn: objects in lists in objects, a list element for each line."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("no"), x.alias("text")))
+    doc = F.struct("role", F.struct(F.col("turn").alias("Serial_no"), lines.alias("lines"), F.array(F.array("turn"), F.array().cast("array<int>")).alias("at")).alias("message"))
+    return load(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.to_json(doc).alias("j"))
+
+
+_LEAVES = _NEST + """, u AS (SELECT id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS k FROM o),
+w AS (SELECT id, 'role' AS field, role AS value FROM o UNION ALL SELECT id, 'message/Serial_no', turn::VARCHAR FROM o UNION ALL SELECT id, 'message/at/[0]/[0]', turn::VARCHAR FROM o
+UNION ALL SELECT id, 'message/lines/[' || k || ']/no', k::VARCHAR FROM u UNION ALL SELECT id, 'message/lines/[' || k || ']/text', line FROM u)"""
+
+
+@query("json_walk", f"WITH {_LEAVES} SELECT id, field, value FROM w")
+def json_walk(spark, sf):
+    """Every leaf of nested documents made of whole conversation turns."""
+    return corpus.walked(nested(spark, sf), "id", "j").select("id", F.array_join("path", "/").alias("field"), "value")
+
+
+_TOKENS = ["serial", "imei", "gps", "latitude", "longitude", "phone_number", "owner_name"]
+
+
+@query(
+    "private_object_scan",
+    rf"""WITH d AS (SELECT page_id, url, html FROM pages), w AS (SELECT page_id, 'source/url' AS field, url AS value FROM d UNION ALL SELECT page_id, 'source/owner_name', split_part(url, '/', 3) FROM d
+UNION ALL SELECT page_id, 'body/[0]', html FROM d), f AS (SELECT page_id, field, unnest(regexp_extract_all(value, '{_PATHS}')) AS match FROM w)
+SELECT page_id, field, match FROM f UNION ALL SELECT page_id, field, 'private-key-name' FROM w WHERE field LIKE '%owner_name' AND value IS NOT NULL""",
+)
+def private_object_scan(spark, sf):
+    """Whole pages as objects: absolute paths in any value, and fields whose names are private."""
+    source = F.struct("url", F.split_part("url", F.lit("/"), F.lit(3)).alias("owner_name"))
+    rows = load(spark, sf, "pages").select("page_id", F.to_json(F.struct(source.alias("source"), F.array("html").alias("body"))).alias("j"))
+    return corpus.findings(corpus.walked(rows, "page_id", "j"), "page_id", _TOKENS)
 
 
 @query("json_props_extract", "SELECT json_extract_string(props, '$.k')::BIGINT % 10 AS k, count(*) AS n FROM events GROUP BY 1")

@@ -133,6 +133,36 @@ def best_prefix_match(spark, sf):
     return joins.best_match(pairs, ["p_partkey"], [F.desc("k"), F.desc("rule"), F.col("s_suppkey")])
 
 
+_SITES = r"""d AS (SELECT page_id, url, regexp_extract(url, '://([^/?#]+)', 1) AS host, string_split(regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g'), '/')[2] AS lang FROM pages),
+s AS (SELECT page_id, url, string_split(host, '.')[-1] AS tld, lang, CASE WHEN len(string_split(host, '.')) > 3 THEN string_split(host, '.')[1] ELSE '-' END AS front, string_split(host, '.')[-3] AS label FROM d),
+t AS (SELECT page_id, url, [tld, lang, front] AS dirs, label, substr(label, 1, 5) AS family FROM s),
+c AS (SELECT url, dirs, label AS stem FROM t WHERE url LIKE 'http:%'), q AS (SELECT page_id, dirs, family FROM t WHERE url LIKE 'https:%')"""
+
+
+def sites(spark, sf):
+    """Pages as files of folders (top domain, language, front), named by the site's label."""
+    host = F.split(F.regexp_extract("url", r"://([^/?#]+)", 1), r"\.")
+    lang = F.get(F.split(F.regexp_replace("url", r"^[a-z]+://|[?#].*$", ""), "/"), 1)
+    front = F.when(F.size(host) > 3, F.get(host, 0)).otherwise("-")
+    label = F.try_element_at(host, F.lit(-3))
+    return load(spark, sf, "pages").select("page_id", "url", F.array(F.element_at(host, -1), lang, front).alias("dirs"), label.alias("stem"), F.substring(label, 1, 5).alias("family"))
+
+
+@query(
+    "longest_prefix_match",
+    f"""WITH {_SITES}, p AS (SELECT q.page_id, c.url, CASE WHEN q.dirs[1] <> c.dirs[1] THEN 0 WHEN q.dirs[2] <> c.dirs[2] THEN 1 WHEN q.dirs[3] <> c.dirs[3] THEN 2 ELSE 3 END AS depth,
+length(q.family) >= 2 AND (contains(c.stem, q.family) OR contains(q.family, c.stem) OR contains(c.dirs[3], q.family)) AS called FROM q, c),
+r AS (SELECT page_id, url, depth, CASE WHEN depth >= 3 THEN 2 WHEN called THEN 1 END AS rule FROM p)
+SELECT page_id, url AS reference, depth, rule FROM r WHERE rule IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY depth DESC, rule DESC, url) = 1""",
+)
+def longest_prefix_match(spark, sf):
+    """Each secure page's best plain page: the longest shared folder path, else a name match, else none."""
+    pages = sites(spark, sf)
+    records = pages.where(F.col("url").startswith("https:")).select("page_id", "dirs", "family")
+    candidates = pages.where(F.col("url").startswith("http:")).select(F.col("url").alias("reference"), "dirs", "stem")
+    return joins.scored_prefix_match(records, candidates, "page_id", "reference", least=3)
+
+
 @query(
     "family_siblings",
     """WITH d AS (SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS host, length(html) AS n FROM pages), f AS (SELECT page_id, regexp_replace(host, '^(www|m)\\.', '') AS fam, host FROM d)
