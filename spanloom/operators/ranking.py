@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import uniform
+from .ranges import numbered
 
 Keys = Sequence[str]
 
@@ -51,8 +52,9 @@ def drawn(weights: dict[str, float], seed: int, *keys: str) -> Column:
 
 
 def stable_ids(df: DataFrame, order: Sequence[Column], pattern: str = "recording_%04d", out: str = "stable_id") -> DataFrame:
-    """Numbered names in a natural order; meant for a catalogue, which one task sorts."""
-    return df.withColumn(out, F.format_string(pattern, F.row_number().over(Window.orderBy(*order))))
+    """Numbered names in a natural order, whose ranges are numbered at the same time."""
+    rows = numbered(df, order, "_number")
+    return rows.withColumn(out, F.format_string(pattern, F.col("_number"))).drop("_number")
 
 
 def stratified_split(df: DataFrame, key: str, strata: Sequence[tuple[str, Column, Sequence[Column], str]], fill: tuple[str, int], rest: str, seed: int) -> DataFrame:

@@ -107,14 +107,6 @@ def test_files_and_frames(spark, sf):
     assert rows[0]["diff"] == 0.0
 
 
-def test_leaves_of_any_depth(spark):
-    from spanloom.operators import corpus
-
-    deep = '{"a": {"b": {"c": {"d": 1}}, "e": 2}, "f": [1, {"g": 2}]}'
-    got = {(r["path"], r["value"]) for r in corpus.leaves(spark.createDataFrame([(1, deep)], "id long, j string"), "id", "j", 2).collect()}
-    assert got == {("$.a.b", '{"c":{"d":1}}'), ("$.a.e", "2"), ("$.f", '[1,{"g":2}]')}
-
-
 def test_exact_quantiles_of_large_and_small_groups(spark):
     from spanloom.functions import stats
 

@@ -188,7 +188,7 @@ def test_privacy_and_labels(spark):
     assert pairs(corpus.private_findings(df, "id", ["a", "b"]), "id", "found") == [(1, "/home/u/a"), (1, r"C:\data\x"), (2, "/Users/k")]
     assert corpus.public(df, ["id", "zzz"]).columns == ["id"]
     js = spark.createDataFrame([(1, '{"a": {"b": "x"}, "c": 3}'), (2, "broken")], "id int, j string")
-    assert pairs(corpus.leaves(js, "id", "j"), "path", "value") == [("$.a.b", "x"), ("$.c", "3")]
+    assert pairs(corpus.walked(js, "id", "j"), "path", "value") == [(["a", "b"], "x"), (["c"], "3")]
     tiers = spark.createDataFrame([(4.1, 0.4), (4.1, 0.35), (2.5, 1.0), (1.6, 1.0)], "r double, p double").select(scalars.confidence_tier("r", "p"))
     assert [r[0] for r in tiers.collect()] == ["strong", "present", "weak", "no_transient"]
 
