@@ -86,8 +86,12 @@ def deepest_prefix(records: DataFrame, candidates: DataFrame, keys: Keys, name:
 
 def _grams(text: str, sizes: Sequence[int]) -> Column:
     """Distinct substrings of some lengths."""
-    some = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i, n=n: F.substring(F.col(text), i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes]
-    return F.array_distinct(F.concat(*some))
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(text) - n + 1)
+        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*map(of, sizes)))
 
 
 def containing(needles: DataFrame, texts: DataFrame, needle: str, text: str, size: int = 3) -> DataFrame:
