@@ -34,26 +34,16 @@ def _kernel(name, fn, schema, columns=("x", "y")):
     query(name)(run)
 
 
-_kernel("stft_round_trip", lambda x: {"frames": len(sg.stft(x)), "error": float(np.abs(sg.istft(sg.stft(x), x.size) - x).max())}, "frames long, error double", ["x"])
-_kernel("stft_band_level", lambda x: {"low": sg.band_db(x, 0.0, 0.1), "high": sg.band_db(x, 0.3, 0.5)}, "low double, high double", ["x"])
 _kernel("spectral_flux_onsets", lambda x: {"n": len(sg.onsets(sg.onset_strength(x))), "peak": float(sg.onset_strength(x).max())}, "n long, peak double", ["x"])
 _kernel("band_pass_envelope", lambda x: {"peak": float(sg.envelope(sg.band_pass(x, 0.05, 0.2)).max())}, "peak double", ["x"])
 _kernel("delay_estimates", lambda x, y: {"ncc": sg.delay(x, y, 32)[0], "phat": sg.delay(x, y, 32, "phat")[0]}, "ncc double, phat double")
 _kernel("sinc_warp", lambda x: {"error": float(np.abs(sg.warp(x, np.arange(64, 128) + 0.0) - x[64:128]).max())}, "error double", ["x"])
-_kernel("ridge_cancel", lambda x, y: {"left_db": float(sg.db(np.mean(sg.cancel(x + 0.5 * y, [y]) ** 2)) - sg.db(np.mean(x**2)))}, "left_db double")
-_kernel("percussive_mask", lambda x: {"mean": float(sg.percussive_mask(sg.stft(x)).mean())}, "mean double", ["x"])
 _kernel("wiener_gate", lambda x, y: {"gain": float(sg.wiener_gain(x + y, y).mean()), "gated": float(np.abs(sg.soft_gate(x, np.abs(y), 0.5)).mean())}, "gain double, gated double")
-_kernel("multi_resolution_distance", lambda x, y: {"distance": sg.log_distance(x, y)}, "distance double")
-_kernel("mask_oracles", lambda x, y: {"bounded": float(sg.bounded_mask(x + y, x).mean()), "ratio_error": float(np.abs(sg.istft(sg.complex_mask(x + y, x) * sg.stft(x + y), x.size) - x).max())}, "bounded double, ratio_error double")
-_kernel("mask_path_decomposition", lambda x, y: sg.paths(sg.bounded_mask(x + y, x), x, y), "target_kept_db double, nuisance_cut_db double, residual double")
-_kernel("coherence_by_band", lambda x, y: {"low": float(sg.coherence(x, y)[:8].mean()), "high": float(sg.coherence(x, y)[16:].mean())}, "low double, high double")
 _kernel("coherence_by_loudness", sg.coherence_by_loudness, "loud_low double, quiet_low double, loud_mid double, quiet_mid double")
 _kernel("friction_fidelity", lambda x, y: sg.friction(x + 0.1 * y, x), "envelope_r double, log_distance double")
 _kernel("optimised_mask", lambda x, y: dict(zip(("before", "after"), sg.optimised_mask(x + y, x, 12)[1:], strict=True)), "before double, after double")
 _kernel("stereo_features", sg.stereo, "level_db double, correlation double, phase double, delay double")
 _kernel("transient_fidelity", lambda x, y: sg.transient(x + 0.1 * y, x), "rise_error long, decay_error long, peak_ratio double")
-_kernel("reference_attenuation", lambda x, y: sg.active_attenuation(x + y, x, y), "active_db double, inactive_db double")
-_kernel("overlap_add_chunks", lambda x: {"error": float(np.abs(sg.chunked(x, lambda c: c, 256)[256:-256] - x[256:-256]).max() if x.size > 512 else 0.0)}, "error double", ["x"])
 _kernel("augmentation_chain", lambda x, block: {"level_db": float(sg.db(np.mean(sg.augmented(x, int(block)) ** 2)))}, "level_db double", ["x", "block"])
 _kernel("delayed_copy_check", lambda x, y: dict(zip(("lag", "value"), sg.delayed_copy(x + 0.3 * np.roll(y, 5), y, 2, 16), strict=True)), "lag long, value double")
 _kernel("comb_ripple", lambda x, y: {"ripple": sg.comb_ripple(x, x + 0.5 * np.roll(x, 7))}, "ripple double")
