@@ -190,6 +190,9 @@ def stream_tumbling(spark, sf):
     return twins.replayed(spark, sf, lambda s: twins.tumbling(s, "24 hours"))
 
 
+#: Open rows of a day lie together in the state: the files cover a month.
+DAY = 24 * 3_600_000
+
 _TURN = EV.replace("WITH", "WITH RECURSIVE") + ", n AS (SELECT user_id, t, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM ev), "
 
 
@@ -200,7 +203,7 @@ SELECT user_id, event_id, t FROM rr WHERE keep""",
 )
 def stream_refractory(spark, sf):
     """Events kept by a stateful refractory rule, one state a user."""
-    return twins.replayed(spark, sf, lambda s: twins.refractory(s, 6 * HOUR))
+    return twins.replayed(spark, sf, lambda s: twins.refractory(s, 6 * HOUR, DAY))
 
 
 @query(
@@ -209,4 +212,16 @@ def stream_refractory(spark, sf):
 SELECT user_id, event_id, st AS on_ FROM h""",
 )
 def stream_hysteresis(spark, sf):
-    return twins.replayed(spark, sf, lambda s: twins.hysteresis(s, 60.0, 20.0, 2)).withColumnRenamed("on", "on_")
+    return twins.replayed(spark, sf, lambda s: twins.hysteresis(s, 60.0, 20.0, 2, DAY)).withColumnRenamed("on", "on_")
+
+
+@query(
+    "stream_frame_scan",
+    """WITH d AS (SELECT label, vec_id, embedding AS e, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)
+SELECT label, vec_id, round(coalesce(list_avg(list_transform(list_zip(e, p), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE))), 0), 6) AS change FROM d""",
+)
+def stream_frame_scan(spark, sf):
+    """Vectors as frames of their label's film, a minute apart: the change since the frame before, with that one frame as state."""
+    rows = load(spark, sf, "embeddings").select(F.col("label").cast("long").alias("user_id"), F.col("vec_id").alias("event_id"), F.col("embedding").alias("value"), F.timestamp_seconds(1_000_000_000 + F.col("vec_id") * 60).alias("ts"))
+    got = twins.replayed(spark, sf, lambda s: twins.frame_changes(s, DAY), rows=rows)
+    return got.select(F.col("user_id").cast("int").alias("label"), F.col("event_id").alias("vec_id"), r("change").alias("change"))

@@ -10,14 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.scratch import shared
 
 LATE = "1 hour"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def source(spark: SparkSession, folder: str, schema, watermark: str = LATE) -> DataFrame:
@@ -26,9 +29,8 @@ def source(spark: SparkSession, folder: str, schema, watermark: str = LATE) -> D
     return rows.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", watermark)
 
 
-def staged(spark: SparkSession, folder: str, name: str, files: int) -> tuple[str, object]:
-    """A table laid out as a stream would deliver it: ``files`` files one after the other in time, and a last row far ahead that moves the watermark."""
-    rows = spark.read.parquet(f"{folder}/{name}")
+def staged(spark: SparkSession, rows: DataFrame, files: int) -> tuple[str, object]:
+    """Rows with a time ``ts`` laid out as a stream would deliver it: ``files`` files one after the other in time, and a last row far ahead that moves the watermark."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     out = shared(spark, "replay")
     low, high = rows.agg(F.min(at), F.max(at)).first()
@@ -52,14 +54,19 @@ def run(spark: SparkSession, stream: DataFrame) -> DataFrame:
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/data/{number}")
 
-    query = stream.writeStream.outputMode("append").foreachBatch(sink)
-    query.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKS)  # state with maps and timers
+    try:
+        query = stream.writeStream.outputMode("append").foreachBatch(sink)
+        query.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{out}/data")
 
 
-def replayed(spark: SparkSession, folder: str, plan: Callable[[DataFrame], DataFrame], name: str = "events.parquet", files: int = 3) -> DataFrame:
-    """A streaming plan over a table, delivered in several files with a watermark."""
-    where, schema = staged(spark, folder, name, files)
+def replayed(spark: SparkSession, folder: str, plan: Callable[[DataFrame], DataFrame], name: str = "events.parquet", files: int = 3, rows: DataFrame | None = None) -> DataFrame:
+    """A streaming plan over a table, or ``rows`` made from one, delivered in several files with a watermark."""
+    where, schema = staged(spark, spark.read.parquet(f"{folder}/{name}") if rows is None else rows, files)
     return run(spark, plan(source(spark, where, schema)))
 
 
@@ -87,33 +94,70 @@ def tumbling(rows: DataFrame, width: str) -> DataFrame:
     return g.where("n > 0").select(_micros(F.col("w.start")).alias("w0"), "n", "total")
 
 
-def _folded(rows: DataFrame, fold: Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]], fresh: tuple, out: str, state_schema: str) -> DataFrame:
+#: Open rows are kept by cells of this many milliseconds, unless a rule is given another: its rows come out that much later at most.
+CELL = 3_600_000
+
+
+class _Rule(StatefulProcessor):
+    """A sequential rule over one key: the value state is its last decision, the map state the open rows by cells of time.
+
+    A row is added to its cell and to no other; a cell's timer fires when the
+    watermark has passed its end, and then its rows are decided in order and
+    leave the state; Spark fires timers by time.  So a batch touches the cells
+    that it adds to and those that end, and the state holds no row that is older
+    than the watermark by more than a cell.
+    """
+
+    def __init__(self, fold, fresh: tuple, out: str, state: str, value: str, cell: int):
+        self.fold, self.fresh, self.names = fold, fresh, [c.split()[0].strip("`") for c in out.split(", ")]
+        self.state, self.value, self.cell = state, value, cell
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.decision = handle.getValueState("decision", self.state)
+        self.cells = handle.getMapState("open", "cell long", f"t array<long>, ids array<long>, v array<{self.value}>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802  Spark's name
+        new: dict[int, tuple[list, list, list]] = {}
+        for pdf in rows:
+            for t, number, value in zip(pdf["t"].tolist(), pdf["event_id"].tolist(), pdf["value"].tolist(), strict=True):
+                if number != _NONE:
+                    plain = value.tolist() if isinstance(value, np.ndarray) else value
+                    for held, x in zip(new.setdefault(t // (1000 * self.cell), ([], [], [])), (t, number, plain), strict=True):
+                        held.append(x)
+        for cell, held in new.items():
+            if self.cells.containsKey((cell,)):
+                held = tuple(list(old) + more for old, more in zip(self.cells.getValue((cell,)), held, strict=True))
+            else:
+                self.handle.registerTimer((cell + 1) * self.cell)
+            self.cells.updateValue((cell,), held)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802  Spark's name
+        cell = expiredTimerInfo.getExpiryTimeInMs() // self.cell - 1
+        t, ids, values = self.cells.getValue((cell,))
+        order = sorted(range(len(t)), key=lambda n: (t[n], ids[n]))
+        pdf = pd.DataFrame({"event_id": [ids[n] for n in order], "value": [values[n] for n in order], "t": [t[n] for n in order]})
+        state, rows = self.fold(self.decision.get() or self.fresh, pdf)
+        self.decision.update(state)
+        self.cells.removeKey((cell,))
+        if len(rows):
+            rows.insert(0, "user_id", key[0])
+            yield rows[self.names]
+
+    def close(self) -> None:
+        pass
+
+
+def _folded(rows: DataFrame, fold: Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]], fresh: tuple, out: str, state_schema: str, value: str = "double", cell: int = CELL) -> DataFrame:
     """``fold(state, rows in order)`` -> (state, rows that come out), user by user, for rows that the watermark has passed."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        *inner, t, ids, values = state.get if state.exists else (*fresh, [], [], [])
-        held = pd.DataFrame({"event_id": list(ids), "value": list(values), "t": list(t)})
-        real = [p.loc[p["event_id"] != _NONE, ["event_id", "value", "t"]] for p in parts]
-        some = [p for p in (held, *real) if len(p)]
-        pdf = (pd.concat(some) if some else held).sort_values(["t", "event_id"])
-        pdf = pdf.astype({"event_id": "int64", "value": "float64", "t": "int64"})
-        passed = state.getCurrentWatermarkMs()
-        ready, rest = pdf[pdf["t"] < passed * 1000], pdf[pdf["t"] >= passed * 1000]
-        if len(ready):
-            inner, out_rows = fold(tuple(inner), ready)
-            out_rows.insert(0, "user_id", key[0])
-            yield out_rows
-        state.update((*inner, rest["t"].tolist(), rest["event_id"].tolist(), rest["value"].tolist()))
-        if len(rest):
-            state.setTimeoutTimestamp(max(int(rest["t"].min()) // 1000 + 1, passed + 1))
-
     number = F.coalesce("event_id", F.lit(_NONE)).alias("event_id")
-    timed = rows.select("user_id", number, F.col("value").cast("double").alias("value"), "at", _micros(F.col("at")).alias("t"))
-    held = "t array<long>, ids array<long>, v array<double>"
-    return timed.groupBy("user_id").applyInPandasWithState(step, f"user_id long, {out}", f"{state_schema}, {held}", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = rows.select("user_id", number, F.col("value").cast(value).alias("value"), "at", _micros(F.col("at")).alias("t"))
+    out = f"user_id long, {out}"
+    return timed.groupBy("user_id").transformWithStateInPandas(_Rule(fold, fresh, out, state_schema, value, cell), out, "Append", "EventTime")
 
 
-def refractory(rows: DataFrame, gap: int) -> DataFrame:
+def refractory(rows: DataFrame, gap: int, cell: int = CELL) -> DataFrame:
     """Events at least ``gap`` microseconds after the last one kept; the state is its time."""
 
     def fold(state: tuple, pdf: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
@@ -124,10 +168,10 @@ def refractory(rows: DataFrame, gap: int) -> DataFrame:
             last = t if ok else last
         return (int(last),), pdf.loc[keep, ["event_id", "t"]]
 
-    return _folded(rows, fold, (None,), "event_id long, t long", "last long")
+    return _folded(rows, fold, (None,), "event_id long, t long", "last long", cell=cell)
 
 
-def hysteresis(rows: DataFrame, enter: float, stay: float, hold: int) -> DataFrame:
+def hysteresis(rows: DataFrame, enter: float, stay: float, hold: int, cell: int = CELL) -> DataFrame:
     """On and off of a hysteresis with hold; the state is (on, quiet rows)."""
 
     def fold(state: tuple, pdf: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
@@ -141,4 +185,18 @@ def hysteresis(rows: DataFrame, enter: float, stay: float, hold: int) -> DataFra
             flags.append(bool(on))
         return (bool(on), int(quiet)), pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "on": flags})
 
-    return _folded(rows, fold, (False, 0), "event_id long, on boolean", "on boolean, quiet long")
+    return _folded(rows, fold, (False, 0), "event_id long, on boolean", "on boolean, quiet long", cell=cell)
+
+
+def frame_changes(rows: DataFrame, cell: int = CELL) -> DataFrame:
+    """Mean absolute change of each frame (``value``, an array) since its key's frame before, which is all that the state carries; 0 for the first."""
+
+    def fold(state: tuple, pdf: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        (last,), out = state, []
+        for frame in pdf["value"]:
+            now = np.asarray(frame, float)
+            out.append(0.0 if last is None else float(np.abs(now - last).mean()))
+            last = now
+        return (last.tolist(),), pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "change": out})
+
+    return _folded(rows, fold, (None,), "event_id long, change double", "last array<double>", "array<double>", cell)
