@@ -1,9 +1,11 @@
-"""Operators on long series (keys, i, v): windows keyed by the series, no collect, no Python."""
+"""Operators on series (keys, i, v): windows keyed by the series; :mod:`ranges` has those for one series that no task should sort."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,17 +141,41 @@ def locked_average(df: DataFrame, events: DataFrame, keys: Keys, half: int, v: s
     return each.groupBy("offset").agg((F.sum(F.col("v") * F.col("_e")) / F.sum("_e")).alias("mean"), F.sum("_e").alias("n"))
 
 
-def lag_scan(df: DataFrame, keys: Keys, a: str, b: str, most: int) -> DataFrame:
+def lag_scan(df: DataFrame, keys: Keys, a: str, b: str, most: int, block: int = 1 << 14) -> DataFrame:
     """Lag of b, within ``most`` rows, with the largest sum of products; the first lag of equals.
 
-    Each row meets its neighbours in a range window; sums need no other shuffle.
+    Rows lie in blocks of their index, with ``a`` of the ``most`` rows on either
+    side as well; a block gives one array of 2 ``most`` + 1 partial sums, and the
+    arrays are added up.  What is shuffled is the rows once and an array a block.
     """
-    near = F.collect_list(F.struct("i", F.col(a).alias("a"))).over(_order(keys).rangeBetween(-most, most))
-    pairs = df.select(*keys, "i", F.col(b).alias("_b"), a).withColumn("_w", near).select(*keys, "i", "_b", F.explode("_w").alias("w"))
-    pairs = pairs.select(*keys, (F.col("i") - F.col("w.i")).cast("int").alias("lag"), (F.col("w.a") * F.col("_b")).alias("_p"))
-    sums = pairs.groupBy(*keys, "lag").agg(F.sum("_p").alias("dot"), F.count("*").alias("n"))
+    block = max(block, 4 * most)
+    kinds = dict(df.dtypes)
+    whole = all(kinds[c] in ("tinyint", "smallint", "int", "bigint") for c in (a, b))
+    kind, dtype = ("bigint", np.int64) if whole else ("double", np.float64)
+    cells = F.sequence(F.floor((F.col("i") - most) / block), F.floor((F.col("i") + most) / block))
+    rows = df.select(*keys, "i", F.col(a).cast(kind).alias("_a"), F.col(b).cast(kind).alias("_b"), F.explode(cells).alias("_block"))
+    blocks = rows.groupBy(*keys, "_block").agg(F.collect_list(F.struct("i", F.col("_a").isNotNull().alias("x"), F.coalesce("_a", F.lit(0)).alias("_a"), F.col("_b").isNotNull().alias("y"), F.coalesce("_b", F.lit(0)).alias("_b"))).alias("_s"))
+    blocks = blocks.select(*keys, "_block", *[F.col(f"_s.{c}").alias(c) for c in ("i", "x", "_a", "y", "_b")])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            dots, counts = [], []
+            for at, i, x, va, y, vb in zip(pdf["_block"], *(pdf[c] for c in ("i", "x", "_a", "y", "_b")), strict=True):
+                place = np.asarray(i, np.int64) - (at * block - most)
+                dense = np.zeros((4, block + 2 * most), dtype)
+                for line, values in zip(dense, (va, x, vb, y), strict=True):
+                    line[place] = np.asarray(values, dtype)
+                own = dense[2:, most : most + block]
+                parts = [dense[:2, most - lag : most - lag + block] for lag in range(-most, most + 1)]
+                dots.append([p[0] @ own[0] for p in parts])
+                counts.append([int(p[1] @ own[1]) for p in parts])
+            yield pdf[list(keys)].assign(_dot=dots, _n=counts)
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"_dot array<{kind}>", "_n array<bigint>"])
+    each = blocks.mapInPandas(sums, schema).select(*keys, F.posexplode(F.arrays_zip("_dot", "_n")).alias("_l", "_p"))
+    total = each.groupBy(*keys, (F.col("_l") - most).alias("lag")).agg(F.sum("_p._dot").alias("dot"), F.sum("_p._n").alias("n")).where("n > 0")
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("dot"), "lag"))
-    return sums.withColumn("_k", nth).where("_k = 1").drop("_k")
+    return total.withColumn("_k", nth).where("_k = 1").drop("_k")
 
 
 def vote(peaks: DataFrame, keys: Keys, channel: str, reach: int, least: int, gap: int) -> DataFrame:

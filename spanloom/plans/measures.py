@@ -188,6 +188,30 @@ def two_regressor_fit(spark, sf):
     return f.select("k", r("weight_a", 3).alias("weight_a"), r("weight_b", 2).alias("weight_b"))
 
 
+_FIVE = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "one"]
+
+
+def _five_sql() -> str:
+    """Gauss-Jordan elimination, a table a step."""
+    v = [*_FIVE, "l_extendedprice"]
+    sums = ", ".join(f"sum({a} * {b}) AS a{i}{j}" for i, a in enumerate(v[:5]) for j, b in enumerate(v))
+    steps = [f"m0 AS (SELECT k, {sums}, sum(l_extendedprice * l_extendedprice) AS yy, count(*) AS n FROM (SELECT l_suppkey AS k, l_quantity::DOUBLE AS l_quantity, l_discount::DOUBLE AS l_discount, l_tax::DOUBLE AS l_tax, l_linenumber::DOUBLE AS l_linenumber, 1.0::DOUBLE AS one, l_extendedprice::DOUBLE AS l_extendedprice FROM lineitem) GROUP BY k)"]
+    for p in range(5):
+        cells = ", ".join(f"a{p}{j} / a{p}{p} AS a{i}{j}" if i == p else f"a{i}{j} - a{i}{p} * a{p}{j} / a{p}{p} AS a{i}{j}" for i in range(5) for j in range(6))
+        steps.append(f"m{p + 1} AS (SELECT k, {cells} FROM m{p})")
+    weights = ", ".join(f"round(m5.a{i}5, {d}) AS w{i}" for i, d in enumerate((3, 1, 1, 2, 1)))
+    left = " - ".join(["yy", *(f"m5.a{i}5 * m0.a{i}5" for i in range(5))])
+    return f"WITH {', '.join(steps)} SELECT k, n, {weights}, round(({left}) / yy, 6) AS unexplained FROM m5 JOIN m0 USING (k)"
+
+
+@query("five_regressor_fit", _five_sql())
+def five_regressor_fit(spark, sf):
+    """Each supplier's prices on quantity, discount, tax, line number and a constant."""
+    rows = load(spark, sf, LI).select(F.col("l_suppkey").alias("k"), F.lit(1.0).alias("one"), *[c for c in _FIVE if c != "one"], "l_extendedprice")
+    f = stats.least_squares(rows, ["k"], "l_extendedprice", _FIVE)
+    return f.select("k", "n", *[r(F.col("weights")[i], d).alias(f"w{i}") for i, d in enumerate((3, 1, 1, 2, 1))], r("unexplained").alias("unexplained"))
+
+
 @query(
     "consensus_offset",
     """WITH p AS (SELECT user_id, value AS v FROM events), c AS (SELECT a.user_id, a.v AS low, count(*) AS n, list(b.v ORDER BY b.v) AS vs FROM (SELECT DISTINCT user_id, v FROM p) a JOIN p b ON a.user_id = b.user_id AND b.v BETWEEN a.v AND a.v + 2 GROUP BY a.user_id, a.v),

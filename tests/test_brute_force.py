@@ -149,37 +149,25 @@ def told(spark, sf, name):
 
 
 def test_waveform_levels(spark, sf, wave):
-    f = np.arange(33) / 64
-    got = {n: told(spark, sf, n) for n in ("stft_round_trip", "stft_band_level", "spectral_flux_onsets", "coherence_by_band", "coherence_by_loudness", "mask_oracles", "multi_resolution_distance", "percussive_mask", "wiener_gate", "comb_ripple", "reference_attenuation")}
+    """The kernels that are left; the queries by time-frequency rows have SQL twins and tests of their own."""
+    got = {n: told(spark, sf, n) for n in ("spectral_flux_onsets", "coherence_by_loudness", "wiener_gate", "comb_ripple")}
     assert all(len(g) == len(wave) for g in got.values())
     for k, (x, y) in wave.items():
         z, v = bins(x), bins(y)
-        assert got["stft_round_trip"][k]["frames"] == len(z) and got["stft_round_trip"][k]["error"] < 1e-9
         p = np.abs(z) ** 2
-        r = got["stft_band_level"][k]
-        assert r["low"] == pytest.approx(level(p[:, f <= 0.1].mean()), abs=1e-6) and r["high"] == pytest.approx(level(p[:, f >= 0.3].mean()), abs=1e-6)
         db = np.maximum(20 * np.log10(np.abs(z) + 1e-12), -80)
         flux = [0.0] + [sum(max(b - a, 0) for a, b in zip(db[i - 1], db[i], strict=True)) for i in range(1, len(db))]
         assert got["spectral_flux_onsets"][k]["peak"] == pytest.approx(max(flux), rel=1e-6)
-        c = [abs(np.mean(z[:, b] * v[:, b].conj())) ** 2 / max(np.mean(p[:, b]) * np.mean(np.abs(v[:, b]) ** 2), 1e-12) for b in range(33)]
-        assert got["coherence_by_band"][k]["low"] == pytest.approx(np.mean(c[:8]), rel=1e-6)
-        mix = bins(x + y)
-        mask = [[min(max((s * m.conjugate()).real / (abs(m) ** 2 + 1e-12), 0), 1) for s, m in zip(a, b, strict=True)] for a, b in zip(z, mix, strict=True)]
-        assert got["mask_oracles"][k]["bounded"] == pytest.approx(np.mean(mask), rel=1e-6) and got["mask_oracles"][k]["ratio_error"] < 1e-6
-        far = np.mean([np.abs(np.log(np.abs(bins(x, n, n // 4)) + 1e-5) - np.log(np.abs(bins(y, n, n // 4)) + 1e-5)).mean() for n in (16, 32, 64)])
-        assert got["multi_resolution_distance"][k]["distance"] == pytest.approx(far, rel=1e-6)
-        g = np.maximum(1 - np.abs(v) ** 2 / np.maximum(np.abs(mix) ** 2, 1e-12), 0.1)
+        g = np.maximum(1 - np.abs(v) ** 2 / np.maximum(np.abs(bins(x + y)) ** 2, 1e-12), 0.1)
         e = np.concatenate([g[:1], g, g[-1:]])
         assert got["wiener_gate"][k]["gain"] == pytest.approx(np.mean((e[:-2] + e[1:-1] + e[2:]) / 3), rel=1e-6)
-        active = np.abs(v) >= np.percentile(np.abs(v), 75)
-        assert got["reference_attenuation"][k]["active_db"] == pytest.approx(level((p)[active].mean()) - level((np.abs(mix) ** 2)[active].mean()), abs=1e-6)
         shifted = bins(x + 0.5 * np.roll(x, 7))
         ratio = [level(np.mean(p[:, b])) - level(np.mean(np.abs(shifted[:, b]) ** 2)) for b in range(33)]
         assert got["comb_ripple"][k]["ripple"] == pytest.approx(np.percentile(ratio, 95) - np.percentile(ratio, 5), abs=1e-6)
 
 
 def test_waveform_delays_and_copies(spark, sf, wave):
-    got = {n: told(spark, sf, n) for n in ("delay_estimates", "delayed_copy_check", "stereo_features", "overlap_add_chunks", "sinc_warp", "friction_fidelity", "optimised_mask", "mask_path_decomposition", "band_pass_envelope", "ridge_cancel", "transient_fidelity", "augmentation_chain")}
+    got = {n: told(spark, sf, n) for n in ("delay_estimates", "delayed_copy_check", "stereo_features", "sinc_warp", "friction_fidelity", "optimised_mask", "band_pass_envelope", "transient_fidelity", "augmentation_chain")}
     assert all(len(g) == len(wave) for g in got.values())
     for k, (x, y) in wave.items():
         n = len(x)
@@ -190,13 +178,11 @@ def test_waveform_delays_and_copies(spark, sf, wave):
         assert got["delayed_copy_check"][k]["lag"] == max(values, key=lambda j: abs(values[j]))
         s = got["stereo_features"][k]
         assert s["level_db"] == pytest.approx(level(sum(x * x)) - level(sum(y * y)), abs=1e-6) and s["correlation"] == pytest.approx(sum(x * y) / math.sqrt(sum(x * x) * sum(y * y)), rel=1e-6)
-        assert got["overlap_add_chunks"][k]["error"] < 1e-9 and got["sinc_warp"][k]["error"] < 1e-9
+        assert got["sinc_warp"][k]["error"] < 1e-9
         blocks = lambda w: [np.mean(np.abs(w[i : i + 8])) for i in range(0, n - 7, 8)]
         assert got["friction_fidelity"][k]["envelope_r"] == pytest.approx(np.corrcoef(blocks(x), blocks(x + 0.1 * y))[0, 1], rel=1e-6)
         m = got["optimised_mask"][k]
         assert 0 <= m["after"] <= m["before"]
-        assert got["mask_path_decomposition"][k]["residual"] < 1e-12
-        assert got["ridge_cancel"][k]["left_db"] < level(np.mean((x + 0.5 * y) ** 2)) - level(np.mean(x**2)) + 1.0
 
 
 def test_an_optimised_mask_reaches_an_exact_one():
