@@ -142,7 +142,7 @@ def around(df: DataFrame, keys: Keys, before: int, after: int, columns: dict[str
 Step = Callable[[int, float], int]
 
 
-def _one_task_each(rows: DataFrame) -> DataFrame:
+def one_task_each(rows: DataFrame) -> DataFrame:
     """Each range in order in a task of its own, as far as range partitioning by its number can."""
     parts = rows.agg(F.max("_range")).first()[0]
     return rows.repartitionByRange((parts or 0) + 1, "_range").sortWithinPartitions("_range", "_place")
@@ -196,7 +196,7 @@ def scanned(df: DataFrame, keys: Keys, order: Sequence[str], v: str, step: Step,
         if found:
             yield pd.DataFrame({"_range": [x[0] for x in found], "first": [x[1] for x in found], "last": [x[2] for x in found], "ends": [[x[3][k] for k in x[4]] for x in found]})
 
-    maps = _one_task_each(rows.select("_range", "_place", "_key", v)).mapInPandas(transitions, "_range long, first string, last string, ends array<int>")
+    maps = one_task_each(rows.select("_range", "_place", "_key", v)).mapInPandas(transitions, "_range long, first string, last string, ends array<int>")
     entry, state, before = {}, 0, None
     for m in maps.orderBy("_range").collect():  # a row for each range
         entry[m["_range"]] = state if m["first"] == before else 0
@@ -221,7 +221,7 @@ def scanned(df: DataFrame, keys: Keys, order: Sequence[str], v: str, step: Step,
             yield pdf.drop(columns=["_range", "_place", "_key"]).assign(**{out: np.array(got, np.int32)})
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{out}` int"])
-    return _one_task_each(rows).mapInPandas(filled, schema)
+    return one_task_each(rows).mapInPandas(filled, schema)
 
 
 def hysteresis(df: DataFrame, keys: Keys, enter: float, stay: float, hold: int, v: str = "score", i: str = "i", parts: int | None = None) -> DataFrame:

@@ -150,19 +150,50 @@ def wav_round_trip(spark, sf):
     return both.agg(F.count("*").alias("n"), (F.max(far) < 1e-6).alias("same"))
 
 
-_PIXELS = "WITH f AS (SELECT unnest(range(12)) AS frame), c AS (SELECT frame, p, (21 * p + 13 * frame) % 256 AS r, (21 * p + 7 + 13 * frame) % 256 AS g, (21 * p + 14 + 13 * frame) % 256 AS b FROM f, range(48) AS x(p))"
+# Vectors as frames of 11 by 2 RGB pixels: 64 bytes of components and two of zeros.
+_PIXELS = """WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS frame, list_concat([least(greatest(floor((x::DOUBLE + 1) * 127.5), 0), 255) FOR x IN embedding], [0.0, 0.0]) AS b FROM embeddings),
+c AS (SELECT frame, p, b[3 * p + 1] AS r, b[3 * p + 2] AS g, b[3 * p + 3] AS b FROM e, range(22) AS x(p))"""
+_FRAMES = f"""{_PIXELS}, d AS (SELECT a.frame, avg((abs(a.r - z.r) + abs(a.g - z.g) + abs(a.b - z.b)) / 3.0) AS diff FROM c a JOIN c z ON z.frame = a.frame - 1 AND z.p = a.p GROUP BY 1)
+SELECT frame, round(avg((r > 1.2 * b AND r > 80)::INT), 6) AS warm, round(avg((least(r, g, b) > 180 AND greatest(r, g, b) - least(r, g, b) < 30)::INT), 6) AS white, round(avg((r + g + b) / 3.0), 6) AS bright, round(coalesce(any_value(diff), 0.0), 6) AS diff FROM c LEFT JOIN d USING (frame) GROUP BY frame"""
 
 
-@query(
-    "raw_frame_source",
-    f"""{_PIXELS}, d AS (SELECT a.frame, avg((abs(a.r - z.r) + abs(a.g - z.g) + abs(a.b - z.b)) / 3.0) AS diff FROM c a JOIN c z ON z.frame = a.frame - 1 AND z.p = a.p GROUP BY 1)
-SELECT frame, round(avg((r > 1.2 * b AND r > 80)::INT), 6) AS warm, round(avg((least(r, g, b) > 180 AND greatest(r, g, b) - least(r, g, b) < 30)::INT), 6) AS white, round(avg((r + g + b) / 3.0), 6) AS bright, round(coalesce(any_value(diff), 0.0), 6) AS diff FROM c LEFT JOIN d USING (frame) GROUP BY frame""",
-)
+def _pixels(rows):
+    byte = lambda x: F.least(F.greatest(F.floor((x.cast("double") + 1) * 127.5), F.lit(0)), F.lit(255)).cast("int")
+    return rows.select("vec_id", F.concat(F.transform("embedding", byte), F.array(F.lit(0), F.lit(0))).alias("pixels"))
+
+
+def _frames(reader, folder):
+    return reader.format("rawframes").option("path", folder).option("width", "11").option("height", "2").load()
+
+
+def _features(df):
+    return df.select("frame", *[r(c).alias(c) for c in ("warm", "white", "bright", "diff")])
+
+
+@query("raw_frame_source", _FRAMES)
 def raw_frame_source(spark, sf):
-    """The Python data source of raw frames, reading frames whose bytes a formula gives."""
+    """The Python data source of raw frames over files of all vectors."""
     files.register(spark)
-    df = spark.read.format("rawframes").option("synthetic", "12").option("width", "8").option("height", "6").load()
-    return df.select("frame", *[r(c).alias(c) for c in ("warm", "white", "bright", "diff")])
+    folder = _folder(spark)
+    files.write_raw_frames(_pixels(load(spark, sf, "embeddings")), "vec_id", "pixels", folder, 4)
+    return _features(_frames(spark.read, folder))
+
+
+@query("raw_frame_stream", _FRAMES)
+def raw_frame_stream(spark, sf):
+    """The same frames as a stream that is stopped and started again as files are added: nothing repeats, nothing is lost."""
+    files.register(spark)
+    folder, out = _folder(spark), shared(spark, "frames")
+    rows = _pixels(load(spark, sf, "embeddings"))
+    half = rows.agg(F.expr("percentile_approx(vec_id, 0.5)")).first()[0]
+    for name, part in (("a", rows.where(F.col("vec_id") <= half)), ("b", rows.where(F.col("vec_id") > half))):
+        place = f"{folder}-{name}"
+        files.write_raw_frames(part, "vec_id", "pixels", place, 2)
+        files.move_behind(place, folder, name)
+        stream = _frames(spark.readStream, folder)
+        sink = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/data/{number}")
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return _features(spark.read.option("recursiveFileLookup", True).parquet(f"{out}/data"))
 
 
 @query("table_partitions_pruned", "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_quantity < 10 GROUP BY 1")

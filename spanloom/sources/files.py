@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+
+from ..operators.ranges import one_task_each, ranged
 
 #: Extensions of each category.
 CATEGORIES = {
@@ -151,8 +154,56 @@ def decoded_wav(df: DataFrame, key: str, blob: str) -> DataFrame:
     return df.select(key, blob).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, samples array<float>, rate int, channels int, error string")
 
 
+def _store(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}" if path.startswith("/") else path)
+
+
+def write_raw_frames(df: DataFrame, order: str, pixels: str, folder: str, parts: int) -> None:
+    """Frames, arrays of bytes as numbers, in ``order`` into the raw files of a folder; their names sort like their frames.
+
+    Each range of the order is one file, written under a temporary name and
+    moved when it is whole, so a task that runs again leaves no half file.
+    """
+    rows = ranged(df.select(order, pixels), [order], parts)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = name = temporary = None
+        store, root = _store(folder)
+        store.create_dir(root, recursive=True)
+        count = 0
+        for pdf in batches:
+            for at, frame in zip(pdf["_range"], pdf[pixels], strict=True):
+                if name != f"{root}/frames-{at:05d}.raw":
+                    if out is not None:
+                        out.close()
+                        store.move(temporary, name)
+                    name, temporary = f"{root}/frames-{at:05d}.raw", f"{root}/_temporary-{uuid.uuid4().hex}"
+                    out = store.open_output_stream(temporary)
+                out.write(np.asarray(frame, np.uint8).tobytes())
+                count += 1
+        if out is not None:
+            out.close()
+            store.move(temporary, name)
+        yield pd.DataFrame({"n": [count]})
+
+    one_task_each(rows).mapInPandas(write, "n long").agg(F.sum("n")).collect()
+
+
+def move_behind(source: str, folder: str, prefix: str) -> None:
+    """Add the whole raw files of one folder to another, behind those there if ``prefix`` sorts so."""
+    from pyarrow import fs
+
+    (store, root), (_, to) = _store(source), _store(folder)
+    store.create_dir(to, recursive=True)
+    for x in sorted(store.get_file_info(fs.FileSelector(root)), key=lambda x: x.path):
+        if x.path.endswith(".raw"):
+            store.move(x.path, f"{to}/{prefix}-{x.base_name}")
+
+
 class RawFrames(DataSource):
-    """Fixed-size RGB frames of a raw file, as feature rows: options path, width, height, or synthetic=<frames>."""
+    """Fixed-size RGB frames of raw files as feature rows, in batches or as a stream: options path (a file, or a folder of .raw files), width, height."""
 
     @classmethod
     def name(cls) -> str:
@@ -164,46 +215,99 @@ class RawFrames(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _RawReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802  Spark's name
+        return _RawStream(self.options)
+
+
+class _Frames:
+    """The frames of a file or folder, numbered over its files in order of their names."""
 
-class _RawReader(DataSourceReader):
     BLOCK = 256
 
     def __init__(self, options):
         self.w, self.h = int(options.get("width", 8)), int(options.get("height", 8))
-        self.path, self.synthetic = options.get("path"), int(options.get("synthetic", 0))
+        self.path, self.size = options["path"], self.w * self.h * 3
 
-    def _open(self):
+    def files(self) -> list[tuple[str, int]]:
+        """Paths, and how many whole frames each has."""
         from pyarrow import fs
 
-        store, path = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
-        return store, path
+        store, root = _store(self.path)
+        info = store.get_file_info(root)
+        if info.type == fs.FileType.File:
+            found = [info]
+        else:
+            found = sorted((x for x in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if x.path.endswith(".raw")), key=lambda x: x.path)
+        return [(x.path, x.size // self.size) for x in found]
+
+    def ranges(self, start: int, end: int) -> list[InputPartition]:
+        """Partitions of at most ``BLOCK`` frames: (file, first frame there, frames, number of the first, file and place of the frame before)."""
+        out, at, before = [], 0, None
+        for path, count in self.files():
+            for a in range(0, count, self.BLOCK):
+                low, high = max(a, start - at), min(a + self.BLOCK, count, end - at)
+                if low < high:
+                    last = (path, low - 1) if low else before
+                    out.append(InputPartition((path, low, high - low, at + low, last)))
+            if count:
+                before = (path, count - 1)
+            at += count
+        return out
+
+    def rows(self, partition: InputPartition) -> Iterator[tuple]:
+        """A frame before the range, if there is one, is all that is carried into it."""
+        from ..operators.signal import frame_features
+
+        path, low, count, number, last = partition.value
+        store, _ = _store(self.path)
+
+        def frame(file, place: int) -> np.ndarray:
+            file.seek(place * self.size)
+            return np.frombuffer(file.read(self.size), np.uint8).reshape(self.h, self.w, 3)
+
+        previous = None
+        if last:
+            with store.open_input_file(last[0]) as file:
+                previous = frame(file, last[1]).astype(float)
+        with store.open_input_file(path) as file:
+            for k in range(count):
+                now = frame(file, low + k)
+                row = frame_features(now, previous)
+                previous = now.astype(float)
+                yield (number + k, row["warm"], row["white"], row["bright"], row["diff"])
+
+
+class _RawReader(DataSourceReader):
+    def __init__(self, options):
+        self.frames = _Frames(options)
 
     def partitions(self):
-        if self.synthetic:
-            count = self.synthetic
-        else:
-            store, path = self._open()
-            count = store.get_file_info(path).size // (self.w * self.h * 3)
-        return [InputPartition((a, min(a + self.BLOCK, count))) for a in range(0, count, self.BLOCK)]
+        return self.frames.ranges(0, sum(n for _, n in self.frames.files())) or [InputPartition(None)]
 
     def read(self, partition):
-        from ..operators.signal import frame_features
+        return self.frames.rows(partition) if partition.value else iter(())
 
-        a, b = partition.value
-        previous, size = None, self.w * self.h * 3
-        for i in range(max(0, a - 1), b):  # one frame before, for its difference
-            if self.synthetic:
-                raw = (np.arange(size) * 7 + i * 13).astype(np.uint8)
-            else:
-                store, path = self._open()
-                with store.open_input_file(path) as f:
-                    f.seek(i * size)
-                    raw = np.frombuffer(f.read(size), np.uint8)
-            frame = raw.reshape(self.h, self.w, 3)
-            row = frame_features(frame, previous)
-            previous = frame.astype(float)
-            if i >= a:
-                yield (i, row["warm"], row["white"], row["bright"], row["diff"])
+
+class _RawStream(DataSourceStreamReader):
+    """Offsets are numbers of frames: files are only ever added behind the others, and whole."""
+
+    def __init__(self, options):
+        self.frames = _Frames(options)
+
+    def initialOffset(self) -> dict:  # noqa: N802  Spark's name
+        return {"frame": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802  Spark's name
+        return {"frame": sum(n for _, n in self.frames.files())}
+
+    def partitions(self, start: dict, end: dict):
+        return self.frames.ranges(start["frame"], end["frame"])
+
+    def read(self, partition):
+        return self.frames.rows(partition)
+
+    def commit(self, end: dict) -> None:
+        """Files stay: another query may read them."""
 
 
 def register(spark: SparkSession) -> None:

@@ -8,6 +8,7 @@ rules give; a key's state is its last decision and the rows still open.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,8 +47,8 @@ def staged(spark: SparkSession, rows: DataFrame, files: int) -> tuple[str, objec
     return out, rows.schema
 
 
-def run(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """Run a streaming plan until its files are used up, and read what it wrote."""
+def run(spark: SparkSession, stream: DataFrame, told: Callable[[dict], object] | None = None) -> DataFrame:
+    """Run a streaming plan until its files are used up, and read what it wrote; ``told`` gets the progress of each step."""
     out = shared(spark, "stream")
     schema = stream.schema
 
@@ -58,9 +59,12 @@ def run(spark: SparkSession, stream: DataFrame) -> DataFrame:
     spark.conf.set(_PROVIDER, _ROCKS)  # state with maps and timers
     try:
         query = stream.writeStream.outputMode("append").foreachBatch(sink)
-        query.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+        query = query.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
     finally:
         spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+    for progress in query.recentProgress if told else []:
+        told(json.loads(progress.json) if hasattr(progress, "json") else progress)
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{out}/data")
 
 

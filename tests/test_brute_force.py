@@ -102,7 +102,7 @@ def test_files_and_frames(spark, sf):
     assert {r["category"] for r in QUERIES["file_catalog"](spark, sf).collect()} == {"table"}
     assert [r["name"] for r in QUERIES["latest_optional"](spark, sf).collect()] == ["orders.parquet"]
     rows = {r["frame"]: r for r in QUERIES["raw_frame_source"](spark, sf).collect()}
-    assert sorted(rows) == list(range(12)) and rows[0]["diff"] == 0 and all(0 <= rows[k]["warm"] <= 1 and 0 <= rows[k]["bright"] <= 255 for k in rows)
+    assert sorted(rows) == list(range(spark.read.parquet(f"{sf}/embeddings.parquet").count())) and rows[0]["diff"] == 0 and all(0 <= rows[k]["warm"] <= 1 and 0 <= rows[k]["bright"] <= 255 for k in rows)
     files.register(spark)
     assert rows[0]["diff"] == 0.0
 

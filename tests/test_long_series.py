@@ -36,7 +36,7 @@ def test_ranges_are_even(spark):
 
 def test_filling_tasks_are_even(spark):
     rows = ranges.ranged(spark.range(64_000).select(F.col("id").alias("i")), ["i"], PARTS)
-    tasks = ranges._one_task_each(rows).groupBy(F.spark_partition_id()).count()
+    tasks = ranges.one_task_each(rows).groupBy(F.spark_partition_id()).count()
     sizes = sorted(r["count"] for r in tasks.collect())
     assert sizes[-1] <= 2 * sizes[len(sizes) // 2] and len(sizes) > PARTS // 2
 
