@@ -93,6 +93,21 @@ def blinded(df: DataFrame, group: str, item: str, seed: int, pattern: str = "ite
     return out.join(pairs, group)
 
 
+def levelled(df: DataFrame, group: str, peak: str, source: Column, target_db: float, strict: bool = True) -> DataFrame:
+    """One gain a group, ``gain_db``, from its ``source`` item's peak, never over 0 dB, and each item's ``level`` under it.
+
+    If an item would clip, the job is ended: items must not be mended one by
+    one.  Without ``strict`` such items are marked in ``clips`` only.
+    """
+    limit = 10 ** (target_db / 20)
+    own = df.where(source).groupBy(group).agg(F.max(peak).alias("_raw"))
+    rows = df.join(own, group).withColumn("_g", F.when(F.col("_raw") > 0, F.least(F.lit(1.0), limit / F.col("_raw"))).otherwise(1.0))
+    rows = rows.withColumns({"gain_db": 20 * F.log10("_g"), "level": F.col(peak) * F.col("_g")}).withColumn("clips", F.col("level") > 1 + 1e-6)
+    if strict:
+        rows = rows.withColumn("clips", F.when(F.col("clips"), F.raise_error(F.concat(F.lit("the common gain would clip group "), F.col(group).cast("string"))).cast("boolean")).otherwise(F.lit(False)))
+    return rows.drop("_raw", "_g")
+
+
 def windows_bank(events: DataFrame, key: str, t: str, kind: str, width: int, per: int, first: int, jitter: int, seed: int) -> DataFrame:
     """Window starts of each recording (key, w0), at most ``per``, by declared preference.
 

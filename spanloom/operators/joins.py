@@ -166,3 +166,13 @@ def complete(left: DataFrame, right: DataFrame, keys: Keys) -> DataFrame:
     """Rows of either side without a partner: a positional join is sound if there are none."""
     a = left.join(right, list(keys), "left_anti").select(*keys, F.lit("left").alias("side"))
     return a.unionByName(right.join(left, list(keys), "left_anti").select(*keys, F.lit("right").alias("side")))
+
+
+def siblings(df: DataFrame, family: Keys, key: str, near: int) -> DataFrame:
+    """(key, siblings, n): up to ``near`` members of a row's family on either side of it in order of ``key``, and how many there are in all.
+
+    A window of bounded width in one sort a family; no pair of members is made.
+    """
+    order, whole = Window.partitionBy(*family).orderBy(key), Window.partitionBy(*family)
+    around = F.array_sort(F.concat(F.collect_list(key).over(order.rowsBetween(-near, -1)), F.collect_list(key).over(order.rowsBetween(1, near))))
+    return df.select(*family, key).distinct().select(key, around.alias("siblings"), (F.count("*").over(whole) - 1).alias("n"))

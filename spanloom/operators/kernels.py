@@ -318,3 +318,20 @@ def matched(predicted: DataFrame, actual: DataFrame, keys: Keys, tolerance: int
         return pd.DataFrame(out | {"predicted": p, "actual": o})
 
     return folded(both, keys, tolerance, fold, schema, t, ["side"])
+
+
+def coincidence(outputs: DataFrame, references: DataFrame, bands: DataFrame, keys: Keys, tolerance: int | float, step: int, low: str, others: Sequence[str], share: float = 1.5) -> DataFrame:
+    """(keys, n_output, coincidence, lowband): outputs matched one to one with references, and how many of these references are low.
+
+    ``bands`` has band series by index; a reference at time t has the index
+    t / ``step``, rounded half up, and is low where the band ``low`` is at least
+    ``share`` times the sum of the others there; what is missing is silence.
+    """
+    found = matched(outputs.select(*keys, "t"), references.select(*keys, "t"), keys, tolerance)
+    found = found.withColumn("i", F.floor((F.col("actual") + step // 2) / step))
+    rest = F.lit(0.0)
+    for c in others:
+        rest = rest + F.coalesce(F.col(c), F.lit(0.0))
+    low_there = F.coalesce(F.col(low), F.lit(0.0)) >= share * rest
+    pairs = found.join(bands.select(*keys, "i", low, *others), [*keys, "i"], "left").groupBy(*keys).agg(F.count("*").alias("coincidence"), F.count_if(low_there).alias("lowband"))
+    return outputs.groupBy(*keys).agg(F.count("*").alias("n_output")).join(pairs, list(keys), "left").fillna(0, ["coincidence", "lowband"])

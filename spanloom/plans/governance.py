@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
@@ -121,6 +122,19 @@ def blinded_assignment(spark, sf):
     return corpus.blinded(load(spark, sf, "part").select("p_brand", "p_partkey"), "p_brand", "p_partkey", 7)
 
 
+@query(
+    "common_gain",
+    """WITH p AS (SELECT label, vec_id, list_max(list_transform(embedding, lambda x: abs(x)))::DOUBLE AS peak, vec_id = min(vec_id) OVER (PARTITION BY label) AS raw FROM embeddings), g AS (SELECT label, least(1.0, 10 ** (-18 / 20.0) / peak) AS g FROM p WHERE raw)
+SELECT label, vec_id, round(20 * log10(g), 6) AS gain_db, round(peak * g, 6) AS level, peak * g > 1 + 1e-6 AS clips FROM p JOIN g USING (label)""",
+)
+def common_gain(spark, sf):
+    """A label's vectors as items of a group: one gain from its first, for a peak of 18 dB under full scale; the job ends if any would clip."""
+    first = F.min("vec_id").over(Window.partitionBy("label"))
+    rows = load(spark, sf, "embeddings").select("label", "vec_id", F.array_max(F.transform("embedding", F.abs)).cast("double").alias("peak"), (F.col("vec_id") == first).alias("raw"))
+    got = corpus.levelled(rows, "label", "peak", F.col("raw"), -18.0)
+    return got.select("label", "vec_id", r("gain_db").alias("gain_db"), r("level").alias("level"), "clips")
+
+
 @query("gain_audit", "WITH g AS (SELECT label, avg(list_sum(embedding)) AS g FROM embeddings GROUP BY 1), a AS (SELECT label, abs(list_sum(embedding) - g) AS e FROM embeddings JOIN g USING (label)) SELECT label, round(max(e), 4) AS largest FROM a GROUP BY label")
 def gain_audit(spark, sf):
     e = load(spark, sf, "embeddings").select("label", F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x).alias("s"))

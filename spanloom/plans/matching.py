@@ -335,7 +335,25 @@ def match_label_major(spark, sf):
     return m.select("user_id", "actual", "predicted", (F.col("predicted") - F.col("actual")).alias("lag"))
 
 
-@query("match_tolerance_block")
+def _optimal_sql(hours: int, kept: str) -> str:
+    """The table of ``optimal`` whose cells also list what is ``kept`` of their pairs: ``v{hours}`` (user_id, kept)."""
+    cell = "{'v': 0::BIGINT, 'd': []::BIGINT[]}"
+    pair = f"CASE WHEN abs(q.t - ls[b]) <= {hours * HOUR} AND r[b].v - 1000000000000000 + abs(q.t - ls[b]) < r[b + 1].v THEN {{'v': r[b].v - 1000000000000000 + abs(q.t - ls[b]), 'd': list_append(r[b].d, {kept})}} ELSE r[b + 1] END"
+    return f"""rr{hours} AS (SELECT user_id, 0::BIGINT AS k, list_prepend({cell}, list_transform(ls, lambda x: {cell})) AS r FROM ls
+UNION ALL SELECT rr.user_id, q.k, list_reduce(list_prepend([{cell}], list_transform(range(1, len(ls) + 1), lambda b: [{pair}])), lambda acc, x: list_append(acc, CASE WHEN acc[-1].v <= x[1].v THEN acc[-1] ELSE x[1] END))
+FROM rr{hours} rr JOIN q ON q.user_id = rr.user_id AND q.k = rr.k + 1 JOIN ls ON ls.user_id = rr.user_id),
+v{hours} AS (SELECT user_id, unnest(r[-1].d) AS kept FROM (SELECT * FROM rr{hours} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1))"""
+
+
+_LISTS = "ls AS (SELECT user_id, list(t ORDER BY t) AS ls FROM o GROUP BY 1), q AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS k FROM p JOIN ls USING (user_id))"
+
+
+@query(
+    "match_tolerance_block",
+    f"""{_REC}, {_LISTS}, {", ".join(_optimal_sql(h, "abs(q.t - ls[b])") for h in (1, 3, 6))}, d AS ({" UNION ALL ".join(f"SELECT {h} AS hours, kept FROM v{h}" for h in (1, 3, 6))}),
+m AS (SELECT hours, count(*) AS hits, median(kept)::DOUBLE AS median, quantile_cont(kept::DOUBLE, 0.95) AS p95 FROM d GROUP BY hours), n AS (SELECT (SELECT count(*) FROM p) AS n_pred, (SELECT count(*) FROM o) AS n_label)
+SELECT hours, hits, median, round(p95, 3) AS p95, n_pred, n_label, round(hits / n_pred, 6) AS p, round(hits / n_label, 6) AS r, round(2.0 * hits / (n_pred + n_label), 6) AS f1 FROM m, n""",
+)
 def match_tolerance_block(spark, sf):
     """Optimal matches at three tolerances: counts, precision, recall, F1, median and 95th percentile of the error."""
     p, o = sides(spark, sf)
@@ -344,7 +362,34 @@ def match_tolerance_block(spark, sf):
     for hours in (1, 3, 6):
         pairs = kernels.matched(p.select("user_id", "t"), o.select("user_id", "t"), U, hours * HOUR)
         d = F.abs(F.col("predicted") - F.col("actual"))
-        row = pairs.agg(F.lit(hours).alias("hours"), F.count("*").alias("hits"), F.median(d).alias("median"), F.percentile(d, 0.95).alias("p95"))
+        row = pairs.agg(F.lit(hours).alias("hours"), F.count("*").alias("hits"), F.median(d).alias("median"), r(F.percentile(d, 0.95), 3).alias("p95"))
         out = row if out is None else out.unionByName(row)
     out = out.join(F.broadcast(n.join(m)))  # one row of counts
-    return stats.precision_recall(out, "hits", "n_pred", "n_label")
+    out = stats.precision_recall(out, "hits", "n_pred", "n_label")
+    return out.withColumns({c: r(c) for c in ("p", "r", "f1")})
+
+
+@query(
+    "onset_coincidence",
+    f"""{_REC}, {_LISTS}, {_optimal_sql(3, "ls[b]")}, g AS (SELECT user_id, t // {6 * HOUR} AS i, coalesce(sum(value) FILTER (event_type = 'view'), 0) AS bass, coalesce(sum(value) FILTER (event_type = 'error'), 0) AS mid, coalesce(sum(value) FILTER (event_type = 'click'), 0) AS hi FROM ev GROUP BY ALL),
+c AS (SELECT user_id, count(*) AS coincidence, count(*) FILTER (coalesce(bass, 0) >= 1.5 * (coalesce(mid, 0) + coalesce(hi, 0))) AS lowband FROM (SELECT user_id, (kept + {3 * HOUR}) // {6 * HOUR} AS i FROM v3) LEFT JOIN g USING (user_id, i) GROUP BY user_id)
+SELECT user_id, count(*) AS n_output, coalesce(any_value(coincidence), 0) AS coincidence, coalesce(any_value(lowband), 0) AS lowband FROM p LEFT JOIN c USING (user_id) GROUP BY user_id""",
+)
+def onset_coincidence(spark, sf):
+    """Clicks matched one to one with purchases; a purchase is low where views outweigh errors and clicks in its six hours."""
+    p, o = sides(spark, sf)
+    band = lambda kind: F.coalesce(F.sum(F.when(F.col("event_type") == kind, F.col("value"))), F.lit(0.0))
+    bands = events(spark, sf).groupBy("user_id", F.floor(F.col("t") / (6 * HOUR)).alias("i")).agg(band("view").alias("bass"), band("error").alias("mid"), band("click").alias("hi"))
+    return kernels.coincidence(p, o, bands, U, 3 * HOUR, 6 * HOUR, "bass", ["mid", "hi"])
+
+
+@query(
+    "sibling_lists",
+    """WITH f AS (SELECT page_id, regexp_replace(regexp_extract(url, '://([^/]+)', 1), '^(www|m)\.', '') AS family FROM pages), n AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY page_id) AS k, count(*) OVER (PARTITION BY family) - 1 AS n FROM f)
+SELECT a.page_id, coalesce(list(b.page_id ORDER BY b.page_id) FILTER (b.page_id IS NOT NULL), []) AS siblings, any_value(a.n) AS n FROM n a LEFT JOIN n b ON b.family = a.family AND b.k <> a.k AND abs(b.k - a.k) <= 3 GROUP BY a.page_id""",
+)
+def sibling_lists(spark, sf):
+    """Each page's nearest siblings of its site, three on either side."""
+    host = F.regexp_extract("url", r"://([^/]+)", 1)
+    rows = load(spark, sf, "pages").select("page_id", F.regexp_replace(host, r"^(www|m)\.", "").alias("family"))
+    return joins.siblings(rows, ["family"], "page_id", 3)

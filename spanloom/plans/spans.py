@@ -306,13 +306,3 @@ def event_dynamics(spark, sf):
     s = moving_average(series(spark, sf), U, 3, out="o")
     d = iv.dynamics(s, s.where("event_type = 'purchase'"), U, 2, "v", "o", 0.5)
     return d.select("user_id", "event", "raw_peak", r("ratio", 5).alias("ratio"), r("log_error", 5).alias("log_error"), "missed")
-
-
-@query("onset_coincidence")
-def onset_coincidence(spark, sf):
-    """Clicks matched one to one with purchases, and how many of the pairs have a low-band purchase (value under 10)."""
-    from ..operators import kernels
-
-    ref = events(spark, sf, "purchase").select("user_id", F.col("t").alias("actual"), (F.col("value") < 10).alias("low_band"))
-    m = kernels.matched(events(spark, sf, "click").select("user_id", "t"), ref.select("user_id", F.col("actual").alias("t")), U, 3 * HOUR)
-    return m.join(ref, ["user_id", "actual"]).groupBy("user_id").agg(F.count("*").alias("pairs"), F.count_if("low_band").alias("low_band"))
