@@ -158,9 +158,13 @@ def lint(lines: DataFrame, doc: str, n: str, text: str) -> DataFrame:
     return jump.unionByName(width.select(doc, n, F.lit("table_width").alias("error")))
 
 
-def broken_links(lines: DataFrame, names: DataFrame, doc: str, n: str, text: str, name: str) -> DataFrame:
-    """Local Markdown links of lines whose target is no known file name."""
-    links = lines.select(doc, n, F.explode(F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\(([^)#:]+)\)"), F.lit(1))).alias("target"))
+#: Local Markdown links, and links to the own site in HTML.
+MARKDOWN_LINK, HTML_LINK = r"\[[^\]]*\]\(([^)#:]+)\)", r'href="/([^"#?]+)'
+
+
+def broken_links(lines: DataFrame, names: DataFrame, doc: str, n: str, text: str, name: str, pattern: str = MARKDOWN_LINK) -> DataFrame:
+    """Local links of texts whose target is no known name, once for each time."""
+    links = lines.select(doc, n, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("target"))
     return links.join(names.select(F.col(name).alias("target")).distinct(), "target", "left_anti").select(doc, n, "target")
 
 

@@ -132,12 +132,13 @@ def best_window(mask: DataFrame, keys: Keys, width: int, step: int, v: str = "m"
 def locked_average(df: DataFrame, events: DataFrame, keys: Keys, half: int, v: str = "v") -> DataFrame:
     """Mean of the series at each offset within ``half`` rows of the events that lie that far from both ends.
 
-    Events meet their row; what lies around it is a range window in the same sort.
+    Each distinct event asks for its 2 ``half`` + 1 rows by their index, so the
+    work follows the events, not the rows of the series.
     """
     marks = events.groupBy(*keys, "i").agg(F.count("*").alias("_e"))
-    near = F.collect_list(F.struct("i", F.col(v).alias("v"))).over(_order(keys).rangeBetween(-half, half))
-    hit = df.select(*keys, "i", v).join(marks, [*keys, "i"], "left").withColumn("_w", near).where(F.col("_e").isNotNull() & (F.size("_w") == 2 * half + 1))
-    each = hit.select("i", "_e", F.explode("_w").alias("w")).select((F.col("w.i") - F.col("i")).cast("int").alias("offset"), "_e", "w.v")
+    asked = marks.select(*keys, "_e", F.col("i").alias("_at"), F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("offset")).withColumn("i", F.col("_at") + F.col("offset"))
+    found = asked.join(df.select(*keys, "i", F.col(v).alias("v")), [*keys, "i"]).groupBy(*keys, "_at", "_e").agg(F.collect_list(F.struct("offset", "v")).alias("_w"))
+    each = found.where(F.size("_w") == 2 * half + 1).select("_e", F.explode("_w").alias("w")).select("w.offset", "_e", "w.v")
     return each.groupBy("offset").agg((F.sum(F.col("v") * F.col("_e")) / F.sum("_e")).alias("mean"), F.sum("_e").alias("n"))
 
 

@@ -199,6 +199,18 @@ def document_links(spark, sf):
     return corpus.broken_links(lines, names, "user_id", "event_id", "line", "name")
 
 
+@query(
+    "page_links",
+    """WITH l AS (SELECT page_id, length(html) AS size, unnest(regexp_extract_all(html, 'href="/([^"#?]+)', 1)) AS target FROM pages), k AS (SELECT DISTINCT regexp_extract(html, '<title>([^ <]+)', 1) AS name FROM pages)
+SELECT page_id, size, target FROM l WHERE target NOT IN (SELECT name FROM k)""",
+)
+def page_links(spark, sf):
+    """Links in whole pages to words that no page's title starts with."""
+    pages = load(spark, sf, "pages")
+    names = pages.where("html is not null").select(F.regexp_extract("html", "<title>([^ <]+)", 1).alias("name"))
+    return corpus.broken_links(pages.select("page_id", F.length("html").alias("size"), "html"), names, "page_id", "size", "html", "name", corpus.HTML_LINK)
+
+
 @query("required_files", "SELECT 'file_' || n || '.md' AS name FROM (SELECT unnest(range(1, 31)) AS n) WHERE n % 3 = 0")
 def required_files(spark, sf):
     """Required names that are not there."""

@@ -116,6 +116,34 @@ def excluded_walk(spark, sf):
     return found.groupBy(F.element_at(F.split("path", "/"), -3).alias("folder")).agg(F.count("*").alias("files"), (F.min("bytes") > 0).alias("sized"))
 
 
+def _tree(spark, sf):
+    """Suppliers by nation in two kinds of files, and notes by region in a third."""
+    folder = _folder(spark)
+    rows = load(spark, sf, "supplier").select(F.format_string("n%02d", F.col("s_nationkey").cast("int")).alias("part"), F.col("s_name").alias("line")).coalesce(1)
+    rows.write.partitionBy("part").json(f"{folder}/a")
+    rows.write.partitionBy("part").text(f"{folder}/b")
+    load(spark, sf, "nation").select(F.col("n_regionkey").alias("part"), F.col("n_name").alias("line")).coalesce(1).write.partitionBy("part").orc(f"{folder}/c")
+    return files.catalog(spark, folder)
+
+
+_FOLDERS = "WITH s AS (SELECT DISTINCT s_nationkey AS n FROM supplier)"
+
+
+@query("tree_catalog", f"{_FOLDERS} SELECT 'table' AS category, count(*) AS files, count(*) AS folders, true AS sized FROM s UNION ALL SELECT 'text', count(*), count(*), true FROM s UNION ALL SELECT 'other', count(DISTINCT n_regionkey), count(DISTINCT n_regionkey), true FROM nation")
+def tree_catalog(spark, sf):
+    """Categories of the files of a tree that is written from tables, by their extensions alone."""
+    found = _tree(spark, sf).groupBy("category")
+    return found.agg(F.count("*").alias("files"), F.count_distinct(F.element_at(F.split("path", "/"), -2)).alias("folders"), (F.min("bytes") > 0).alias("sized"))
+
+
+@query("latest_of_tree", f"{_FOLDERS} SELECT 'part=n' || lpad(max(n)::VARCHAR, 2, '0') AS name, 'there' AS state FROM s WHERE n % 100 < 20 HAVING count(*) > 0")
+def latest_of_tree(spark, sf):
+    """The last folder of a name pattern, and no row for a pattern that none has."""
+    folders = _tree(spark, sf).withColumn("name", F.element_at(F.split("path", "/"), -2))
+    there = files.latest(folders, r"^part=n[01]\d$").withColumn("state", F.lit("there"))
+    return there.unionByName(files.latest(folders, r"^part=zz").withColumn("state", F.lit("missing")))
+
+
 @query("latest_optional")
 def latest_optional(spark, sf):
     return files.latest(files.catalog(spark, sf), r"orders|lineitem")

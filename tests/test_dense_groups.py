@@ -180,3 +180,23 @@ def test_state_is_bounded_by_the_watermark(spark, tmp_path):
     assert got == pytest.approx(want)
     cells = [op["numRowsTotal"] for p in held for op in p["stateOperators"] if "ransformWithState" in op["operatorName"]]
     assert cells and max(cells) < 240 and cells[-1] <= 40
+
+
+def test_one_gain_a_group(spark):
+    from spanloom.operators import corpus
+
+    df = spark.createDataFrame([("a", 1, 0.9, True), ("a", 2, 0.5, False), ("b", 3, 0.1, True), ("b", 4, 0.2, False), ("z", 5, 0.0, True)], "g string, item int, peak double, raw boolean")
+    got = {r["item"]: (round(r["gain_db"], 3), round(r["level"], 4), r["clips"]) for r in corpus.levelled(df, "g", "peak", F.col("raw"), -6.0).collect()}
+    assert got == {1: (-5.085, 0.5012, False), 2: (-5.085, 0.2784, False), 3: (0.0, 0.1, False), 4: (0.0, 0.2, False), 5: (0.0, 0.0, False)}
+    loud = spark.createDataFrame([("a", 1, 0.4, True), ("a", 2, 1.5, False)], "g string, item int, peak double, raw boolean")
+    assert [r["clips"] for r in corpus.levelled(loud, "g", "peak", F.col("raw"), -6.0, strict=False).orderBy("item").collect()] == [False, True]
+    with pytest.raises(Exception, match="would clip group a"):
+        corpus.levelled(loud, "g", "peak", F.col("raw"), -6.0).collect()
+
+
+def test_siblings(spark):
+    from spanloom.operators import joins
+
+    df = spark.createDataFrame([("f", n) for n in (5, 1, 9, 3, 3)] + [("g", 7), (None, 8)], "f string, n int")
+    got = {r["n_"]: (r["siblings"], r["n"]) for r in joins.siblings(df.withColumnRenamed("n", "n_"), ["f"], "n_", 2).collect()}
+    assert got == {1: ([3, 5], 3), 3: ([1, 5, 9], 3), 5: ([1, 3, 9], 3), 9: ([3, 5], 3), 7: ([], 0), 8: ([], 0)}
