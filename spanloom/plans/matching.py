@@ -385,7 +385,7 @@ def onset_coincidence(spark, sf):
 
 @query(
     "sibling_lists",
-    """WITH f AS (SELECT page_id, regexp_replace(regexp_extract(url, '://([^/]+)', 1), '^(www|m)\.', '') AS family FROM pages), n AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY page_id) AS k, count(*) OVER (PARTITION BY family) - 1 AS n FROM f)
+    """WITH f AS (SELECT page_id, regexp_replace(regexp_extract(url, '://([^/]+)', 1), '^(www|m)\\.', '') AS family FROM pages), n AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY page_id) AS k, count(*) OVER (PARTITION BY family) - 1 AS n FROM f)
 SELECT a.page_id, coalesce(list(b.page_id ORDER BY b.page_id) FILTER (b.page_id IS NOT NULL), []) AS siblings, any_value(a.n) AS n FROM n a LEFT JOIN n b ON b.family = a.family AND b.k <> a.k AND abs(b.k - a.k) <= 3 GROUP BY a.page_id""",
 )
 def sibling_lists(spark, sf):

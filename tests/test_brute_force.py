@@ -68,8 +68,8 @@ def test_optimal_matching_on_the_tables(spark, sf):
     for hours in (1, 3, 6):
         hits = sum(cheapest(sorted(p[u]), sorted(o[u]), hours * HOUR)[0] for u in p)
         assert block[hours] == (hits, sum(map(len, p.values())), sum(map(len, o.values())))
-    pairs = {r["user_id"]: r["pairs"] for r in QUERIES["onset_coincidence"](spark, sf).collect()}
-    assert pairs == {u: v for u, v in ((u, cheapest(sorted(p[u]), sorted(o[u]), 3 * HOUR)[0]) for u in p) if v}
+    pairs = {r["user_id"]: (r["n_output"], r["coincidence"]) for r in QUERIES["onset_coincidence"](spark, sf).collect()}
+    assert pairs == {u: (len(p[u]), cheapest(sorted(p[u]), sorted(o[u]), 3 * HOUR)[0]) for u in p if p[u]}
 
 
 @pytest.mark.parametrize("seed", range(6))
