@@ -125,7 +125,7 @@ class Tokens:
         self.lead = self.b.encode("a")  # stands before each segment, so that B adds its space there
 
     def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a.encode_batch(parts, add_special_tokens=False)]
+        a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]  # without offsets
         n = len(self.lead)
         b = [ids[n:] if ids[:n] == self.lead else [] for ids in self.b.encode(["a" + p for p in parts], num_threads=1)]
         return a, b
@@ -169,6 +169,38 @@ class Lexicon(dict):
         self.pairs.add(codes)
         return number
 
+    def _covering(self, parts: list[str], a: list[list[int]], b: list[list[int]]) -> np.ndarray:
+        """Whether the bytes of a segment's tokens are the segment, for both tokenizers: all at once, or one by one where they are not."""
+        t, raw = self.tokens, [p.encode() for p in parts]
+        sizes, whole = list(map(len, raw)), b"".join(raw)
+
+        def same(ids: list[list[int]], table: list[bytes], size: np.ndarray) -> bool:
+            flat = list(chain.from_iterable(ids))
+            ends = np.concatenate([[0], np.cumsum(size[flat])])[np.cumsum(list(map(len, ids)))]
+            return b"".join(map(table.__getitem__, flat)) == whole and np.array_equal(ends, np.cumsum(sizes))
+
+        if same(a, t.a_bytes, t.a_size) and same(b, t.b_bytes, t.b_size):
+            return np.ones(len(parts), bool)
+        joined = lambda ids, table: b"".join(map(table.__getitem__, ids))
+        return np.array([joined(x, t.a_bytes) == r == joined(y, t.b_bytes) for r, x, y in zip(raw, a, b, strict=True)])
+
+    def _numbers(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> np.ndarray:
+        """The groups' numbers; those of one id on each side are looked up once for each distinct pair."""
+        raw_a, raw_b, known = a.astype("<u4").tobytes(), b.astype("<u4").tobytes(), self.group
+        out = np.empty(cut_a.size - 1, np.int64)
+        plain = (np.diff(cut_a) == 1) & (np.diff(cut_b) == 1)
+        pairs, first, inverse = np.unique(a[cut_a[:-1][plain]] * len(self.tokens.b_bytes) + b[cut_b[:-1][plain]], return_index=True, return_inverse=True)
+        at = np.flatnonzero(plain)[first]
+        number = np.empty(pairs.size, np.int64)
+        for k, (i, j) in enumerate(zip(cut_a[at].tolist(), cut_b[at].tolist(), strict=True)):
+            key = raw_a[4 * i : 4 * i + 4] + _BAR + raw_b[4 * j : 4 * j + 4]
+            number[k] = known[key] if key in known else self._group(key)
+        out[plain] = number[inverse]
+        rest = np.flatnonzero(~plain)
+        keys = [raw_a[4 * i : 4 * j] + _BAR + raw_b[4 * k : 4 * m] for i, j, k, m in zip(*(c.tolist() for c in (cut_a[rest], cut_a[rest + 1], cut_b[rest], cut_b[rest + 1])), strict=True)]
+        out[rest] = [known[key] if key in known else self._group(key) for key in keys]
+        return out
+
     def settle(self) -> None:
         """Tokenize the new segments."""
         new, self.new = self.new, []
@@ -176,24 +208,22 @@ class Lexicon(dict):
             return
         t = self.tokens
         a, b = t.encode(new)
-        good = np.array([bool(b"".join(map(t.a_bytes.__getitem__, x)) == (raw := s.encode()) == b"".join(map(t.b_bytes.__getitem__, y))) for s, x, y in zip(new, a, b, strict=True)])
-        a, b = ([x if g else [] for x, g in zip(xs, good, strict=True)] for xs in (a, b))
-        n_a, n_b = (np.array([len(x) for x in xs]) for xs in (a, b))
-        flat_a, flat_b = (np.fromiter(chain.from_iterable(xs), np.int64) for xs in (a, b))
+        good = self._covering(new, a, b)
+        a, b = ([x if g else [] for x, g in zip(xs, good, strict=True)] if not good.all() else xs for xs in (a, b))
+        n_a, n_b = (np.fromiter(map(len, xs), np.int64, len(xs)) for xs in (a, b))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(xs), np.int64, n.sum()) for xs, n in ((a, n_a), (b, n_b)))
         end_a, end_b = np.cumsum(t.a_size[flat_a]), np.cumsum(t.b_size[flat_b])
         both = np.intersect1d(end_a, end_b, assume_unique=True)  # every segment ends in both
-        cut_a, cut_b = (np.concatenate([[0], np.searchsorted(e, both) + 1]).tolist() for e in (end_a, end_b))
-        raw_a, raw_b, known = flat_a.astype("<u4").tobytes(), flat_b.astype("<u4").tobytes(), self.group
-        keys = [raw_a[4 * i : 4 * j] + _BAR + raw_b[4 * k : 4 * m] for i, j, k, m in zip(cut_a, cut_a[1:], cut_b, cut_b[1:], strict=False)]
-        groups = [known[key] if key in known else self._group(key) for key in keys]
+        cut_a, cut_b = (np.concatenate([[0], np.searchsorted(e, both) + 1]) for e in (end_a, end_b))
+        groups = self._numbers(flat_a, flat_b, cut_a, cut_b)
         tokens_before = np.concatenate([[0], np.cumsum(n_a)])
-        at = np.searchsorted(np.array(cut_a), tokens_before)  # groups before each segment
+        at = np.searchsorted(cut_a, tokens_before)  # groups before each segment
         self.first.add(self.members.n + at[:-1])
-        self.members.add(np.array(groups, np.int64))
-        links = np.concatenate([[0], np.cumsum([self.group_links[g] for g in groups])]).astype(np.int64)
+        self.members.add(groups)
+        links = np.concatenate([[0], np.cumsum(np.diff(cut_a) * np.diff(cut_b))])
         for column, values in ((self.good, good), (self.n_a, n_a), (self.n_b, n_b), (self.n_groups, np.diff(at)), (self.n_links, np.diff(links[at]))):
             column.add(values)
-        text = [self.group_texts[g] for g in groups]
+        text = list(map(self.group_texts.__getitem__, groups.tolist()))
         self.texts += [";".join(text[i:j]) for i, j in zip(at.tolist(), at[1:].tolist(), strict=False)]
 
 
