@@ -24,7 +24,7 @@ from brute import classes, cut
 from spanloom.llm import lmscore, packing, pii, registry, shards, warc
 from spanloom.llm import textkit as tk
 
-TABLES = "documents pages benchmark labels".split()
+TABLES = "documents embeddings pages benchmark labels".split()
 
 
 def pages(spark, rows):
