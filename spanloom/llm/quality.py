@@ -3,10 +3,12 @@
 Base counts are computed for every document.  The verdict is a conjunction of
 rules; their order is planned on a sample, by rejections per nanosecond among
 the documents that the rules chosen before let through, and each rule then
-sees the survivors of those before it: as soon as half of a slice's documents
-are gone, the rest is copied together and nothing is computed on the others.
-What several rules need (words, lines) is charged to the first of them.  The order
-changes the work, never the verdict.
+computes on the survivors of those before it alone: the bytes of survivors are
+copied together by the first rule that reads bytes after a rejection (a copy costs
+a small part of any count over the same bytes), words and lines that are known
+already are cut, and rules on known counts copy nothing.  What several rules need
+(words, lines) is charged to the first of them.  The order changes the work, never
+the verdict.
 
 The sample is the first ``SAMPLE_ROWS`` documents of every input partition: a task
 reads no further, whatever its partition holds and however often a text repeats.
@@ -34,8 +36,6 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: So many documents of each partition are timed to plan the order; verdicts don't depend on it.
 SAMPLE_ROWS = 64
-#: The rest of a slice is copied together when it is less than this part of it (at 0.8 the copies cost more than they spare).
-COMPACT = 0.5
 
 _LINE = tk.lut(b"\n")
 _SYMBOL = np.zeros(256, bool)
@@ -63,20 +63,8 @@ class Features:
         return len(self.off) - 1
 
     def only(self, rows: np.ndarray) -> Features:
-        """The features of some documents, their bytes copied together; what is computed already is cut, not computed again."""
-        sizes = np.diff(self.off)[rows]
-        off = np.concatenate([[0], np.cumsum(sizes)])
-        parts = [self.buf[self.off[i] : self.off[i + 1]] for i in rows]
-        out = Features(np.concatenate(parts) if parts else self.buf[:0], off)
-        for name, value in self.__dict__.items():
-            if name == "words":
-                out.__dict__[name] = value.only(rows, out.buf, off)[0]
-            elif name == "_lines":
-                lines, places = value[0].only(rows, out.buf, off)
-                out.__dict__[name] = lines, value[1][places]
-            elif name not in ("buf", "off"):
-                out.__dict__[name] = value[rows]
-        return out
+        """The features of some documents: what is computed already is cut when asked for, the rest is computed on their bytes alone."""
+        return _Some(self, rows)
 
     def total(self, mark: np.ndarray) -> np.ndarray:
         """Marked bytes in each document."""
@@ -100,6 +88,9 @@ class Features:
 
     @cached_property
     def _lines(self) -> tuple[tk.Words, np.ndarray]:
+        return self._counted_lines()
+
+    def _counted_lines(self) -> tuple[tk.Words, np.ndarray]:
         lines = tk.Words(self.buf, self.off, _LINE)
         seen = np.concatenate([[0], np.cumsum(tk.BLANK[self.buf])])
         return lines, seen[lines.end] > seen[lines.start]
@@ -175,53 +166,64 @@ NEEDS: dict[str, tuple[str, ...]] = {
 _BASE = ("words", "n_repeat_words", "word_chars", "n_symbols", "_lines", "n_dup_lines")
 
 
-def cascade(f: Features | _Masked, order: list[str], rules: dict[str, Callable] = RULES, compact: float = COMPACT) -> np.ndarray:
-    """True for the documents that no rule rejects; every rule sees the survivors of those before it."""
-    total = rows = np.arange(len(f.off) - 1)
-    now, size = f, f.size
-    for name in order:
-        if not rows.size:
-            break
-        good = np.flatnonzero(~rules[name](now))
-        if good.size == rows.size:
-            continue
-        rows = rows[good]
-        if good.size < compact * size:
-            now, size = now.only(good), good.size
-        else:
-            now = _Masked(now, good)
-    out = np.zeros(total.size, bool)
-    out[rows] = True
-    return out
-
+class _Some(Features):
+    """Some documents of a slice.  Bytes, words and lines are taken from the slice they were cut from when they are first asked for."""
 
-class _Masked:
-    """Features of some rows, when too few went to make a copy of the rest worth while."""
+    _COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
-    def __init__(self, f: Features, rows: np.ndarray):
-        self._f, self._rows = (f._f, f._rows[rows]) if isinstance(f, _Masked) else (f, rows)
+    def __init__(self, source: Features, rows: np.ndarray):
+        known = {}
+        while True:  # counts from the nearest slice that has them, bytes from the nearest that holds some
+            for name in self._COUNTS:
+                if name not in known and name in source.__dict__:
+                    known[name] = source.__dict__[name][rows]
+            if not isinstance(source, _Some) or "buf" in source.__dict__:
+                break
+            source, rows = source._source, source._rows[rows]
+        self.__dict__.update(known)
+        self._source, self._rows = source, rows
 
-    @property
-    def size(self) -> int:
-        return self._f.size
+    @cached_property
+    def off(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(np.diff(self._source.off)[self._rows])])
 
-    def only(self, rows: np.ndarray) -> Features:
-        return self._f.only(self._rows[rows])
+    @cached_property
+    def buf(self) -> np.ndarray:
+        rows, source = self._rows, self._source
+        if not rows.size:
+            return source.buf[:0]
+        gap = np.flatnonzero(np.diff(rows) != 1) + 1  # neighbours are copied at once
+        first, last = rows[np.concatenate([[0], gap])], rows[np.concatenate([gap - 1, [rows.size - 1]])]
+        return np.concatenate([source.buf[a:b] for a, b in zip(source.off[first], source.off[last + 1], strict=True)])
 
-    @property
-    def off(self) -> np.ndarray:
-        return np.concatenate([[0], np.cumsum(np.diff(self._f.off)[self._rows])])
+    @cached_property
+    def words(self) -> tk.Words:
+        if "words" in self._source.__dict__:
+            return self._source.words.only(self._rows, self.buf, self.off)[0]
+        return tk.Words(self.buf, self.off)
 
-    def __getattr__(self, name: str):
-        value = getattr(self._f, name)
-        if not callable(value):
-            return value[self._rows]
+    @cached_property
+    def _lines(self) -> tuple[tk.Words, np.ndarray]:
+        if "_lines" in self._source.__dict__:
+            lines, full = self._source._lines
+            some, places = lines.only(self._rows, self.buf, self.off)
+            return some, full[places]
+        return self._counted_lines()
 
-        def call():
-            out = value()
-            return tuple(x[self._rows] for x in out) if isinstance(out, tuple) else out[self._rows]
 
-        return call
+def cascade(f: Features, order: list[str], rules: dict[str, Callable] = RULES) -> np.ndarray:
+    """True for the documents that no rule rejects; every rule computes on the survivors of those before it."""
+    now = f
+    rows = np.arange(f.size)
+    for name in order:
+        if not rows.size:
+            break
+        good = np.flatnonzero(~rules[name](now))
+        if good.size < rows.size:
+            rows, now = rows[good], now.only(good)
+    out = np.zeros(f.size, bool)
+    out[rows] = True
+    return out
 
 
 def plan(docs: DataFrame, rules: dict[str, Callable] = RULES, sample_rows: int = SAMPLE_ROWS, known: tuple[str, ...] = ()) -> list[str]:
@@ -288,7 +290,7 @@ def measured(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
         kept = np.zeros(hi - lo, bool)
         rows = np.flatnonzero(~failed)
         rest = [x for x in order if x not in ("few_words", "repeated_windows")]
-        kept[rows] = cascade(_Masked(f, rows), rest, compact=0.0)  # a copy of the rest would count words and lines again
+        kept[rows] = cascade(f.only(rows), rest)
         cols = [f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words]
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id").slice(lo, hi - lo), *[pa.array(c.astype(np.int64)) for c in cols], pa.array(failed), pa.array(kept)],

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from conftest import frame
 from pyspark.sql import functions as F
@@ -46,21 +47,23 @@ def test_plan_puts_cheap_rejecting_rules_first(spark):
     assert quality.plan(docs, rules) == ["often", "never"]
 
 
+def slices(texts, size):
+    """Features of slices of so many texts."""
+    for lo in range(0, len(texts), size):
+        parts = [(t or "").encode() for t in texts[lo : lo + size]]
+        yield quality.Features(np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in parts])]))
+
+
 def test_cascade_computes_on_survivors_only():
-    """Ten rules that reject a tenth each: no rule is computed on more than what COMPACT lets stand."""
-    texts = [f"t{i:04d} word" for i in range(1000)]
-    raw = "".join(texts).encode()
-    f = quality.Features(np.frombuffer(raw, np.uint8), np.arange(0, len(raw) + 1, len(texts[0])))
+    """Each rule reads the bytes of exactly those documents that all rules before it let through."""
+    texts = [f"w{n:04d} " + "x" * (n % 7) for n in range(1000)]
+    (f,) = slices(texts, 1000)
     seen = []
 
     def rule(k):
         def run(x):
-            number = [int(x.buf[a + 1 : a + 5].tobytes()) for a in x.off[:-1]] if isinstance(x, quality.Features) else None
-            size = x.size
-            if number is None:
-                whole = x._f
-                number = [int(whole.buf[a + 1 : a + 5].tobytes()) for a in whole.off[:-1][x._rows]]
-            seen.append((size, len(number)))
+            number = [int(x.buf[a + 1 : a + 5].tobytes()) for a in x.off[:-1]]
+            seen.append(number)
             return np.array([n % 10 == k for n in number], bool)
 
         return run
@@ -68,8 +71,42 @@ def test_cascade_computes_on_survivors_only():
     names = [f"r{k}" for k in range(10)]
     left = quality.cascade(f, names[:9], {n: rule(k) for k, n in enumerate(names)})
     assert [int(t[1:5]) for t, keep in zip(texts, left, strict=True) if keep] == list(range(9, 1000, 10))
-    assert [alive for _, alive in seen] == [1000 - 100 * k for k in range(9)]
-    assert all(size * quality.COMPACT <= alive or size == alive for size, alive in seen)
+    assert seen == [[n for n in range(1000) if n % 10 >= k] for k in range(9)]
+
+
+@pytest.mark.parametrize("base", [True, False])
+def test_registered_rules_compute_as_many_as_are_alive(base, monkeypatch):
+    """Every document of sf0.1, after the base counts or without them: each count of a rule reads the bytes of the survivors, no more."""
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()
+    order = ["symbols", "word_length", "capitals", "repeated_lines", "letters", "exclamation", "control_bytes"]
+    order = order if base else ["few_words", "repeated_windows", *order]
+    total, wordy, read, computed, alive = quality.Features.total, quality.Features.wordy, [], Counter(), Counter()
+    monkeypatch.setattr(quality.Features, "total", lambda x, mark: (read.append(len(mark)), total(x, mark))[1])
+    monkeypatch.setattr(quality.Features, "wordy", lambda x: (read.append(x.buf.size), wordy(x))[1])
+    for f in slices(texts, 2000):
+        left = np.arange(f.size)
+        if base:
+            _ = f.n_words, f.n_repeat_words, f.word_chars, f.n_symbols, f.n_dup_lines
+            left = np.flatnonzero((f.n_words >= 10) & (5 * f.n_repeat_words <= f.n_words))
+        sizes, start, reads = np.diff(f.off), left, []
+
+        def counted(name):
+            def run(x):
+                read.clear()
+                computed[name] += x.size
+                out = quality.RULES[name](x)
+                reads.append(list(read))
+                return out
+
+            return run
+
+        got = quality.cascade(f.only(start), order, {n: counted(n) for n in order})
+        for name, seen in zip(order, reads, strict=True):
+            alive[name] += left.size
+            assert set(seen) <= {int(sizes[left].sum())} and (seen or name not in ("capitals", "letters", "exclamation", "control_bytes"))
+            left = left[~quality.RULES[name](f)[left]]
+        assert (start[got] == left).all()
+    assert computed == alive and alive["control_bytes"] < alive[order[0]] <= len(texts)
 
 
 def test_cut_features_equal_fresh_ones(texts):
@@ -82,7 +119,8 @@ def test_cut_features_equal_fresh_ones(texts):
     for name in names:
         getattr(f, name)
     got = f.only(rows)
-    assert {"words", "_lines", "n_words"} <= set(got.__dict__) and "words" not in want.__dict__
+    assert set(names) <= set(got.__dict__) and not set(names) & set(want.__dict__)
+    assert {"words", "_lines"} <= set(got._source.__dict__) and "words" not in want._source.__dict__
     assert all((getattr(got, n) == getattr(want, n)).all() for n in names) and (got.wordy() == want.wordy()).all()
     assert (got.words.start == want.words.start).all() and (got._lines[1] == want._lines[1]).all() and (got.words.hashes() == want.words.hashes()).all()
 
