@@ -143,7 +143,13 @@ def locked_average(df: DataFrame, events: DataFrame, keys: Keys, half: int, v: s
 
 
 def lag_scan(df: DataFrame, keys: Keys, a: str, b: str, most: int, block: int = 1 << 14) -> DataFrame:
-    """Lag of b, within ``most`` rows, with the largest sum of products; the first lag of equals.
+    """Lag of b, within ``most`` rows, with the largest sum of products; the first lag of equals."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("dot"), "lag"))
+    return lag_sums(df, keys, a, b, most, block).withColumn("_k", nth).where("_k = 1").drop("_k")
+
+
+def lag_sums(df: DataFrame, keys: Keys, a: str, b: str, most: int, block: int = 1 << 14) -> DataFrame:
+    """(keys, lag, dot, n): sum of products of a and what b has ``lag`` rows later, and how many there are, for every lag within ``most`` rows.
 
     Rows lie in blocks of their index, with ``a`` of the ``most`` rows on either
     side as well; a block gives one array of 2 ``most`` + 1 partial sums, and the
@@ -174,9 +180,7 @@ def lag_scan(df: DataFrame, keys: Keys, a: str, b: str, most: int, block: int =
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"_dot array<{kind}>", "_n array<bigint>"])
     each = blocks.mapInPandas(sums, schema).select(*keys, F.posexplode(F.arrays_zip("_dot", "_n")).alias("_l", "_p"))
-    total = each.groupBy(*keys, (F.col("_l") - most).alias("lag")).agg(F.sum("_p._dot").alias("dot"), F.sum("_p._n").alias("n")).where("n > 0")
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("dot"), "lag"))
-    return total.withColumn("_k", nth).where("_k = 1").drop("_k")
+    return each.groupBy(*keys, (F.col("_l") - most).alias("lag")).agg(F.sum("_p._dot").alias("dot"), F.sum("_p._n").alias("n")).where("n > 0")
 
 
 def vote(peaks: DataFrame, keys: Keys, channel: str, reach: int, least: int, gap: int) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -34,19 +33,7 @@ def _kernel(name, fn, schema, columns=("x", "y")):
     query(name)(run)
 
 
-_kernel("spectral_flux_onsets", lambda x: {"n": len(sg.onsets(sg.onset_strength(x))), "peak": float(sg.onset_strength(x).max())}, "n long, peak double", ["x"])
-_kernel("band_pass_envelope", lambda x: {"peak": float(sg.envelope(sg.band_pass(x, 0.05, 0.2)).max())}, "peak double", ["x"])
-_kernel("delay_estimates", lambda x, y: {"ncc": sg.delay(x, y, 32)[0], "phat": sg.delay(x, y, 32, "phat")[0]}, "ncc double, phat double")
-_kernel("sinc_warp", lambda x: {"error": float(np.abs(sg.warp(x, np.arange(64, 128) + 0.0) - x[64:128]).max())}, "error double", ["x"])
-_kernel("wiener_gate", lambda x, y: {"gain": float(sg.wiener_gain(x + y, y).mean()), "gated": float(np.abs(sg.soft_gate(x, np.abs(y), 0.5)).mean())}, "gain double, gated double")
-_kernel("coherence_by_loudness", sg.coherence_by_loudness, "loud_low double, quiet_low double, loud_mid double, quiet_mid double")
-_kernel("friction_fidelity", lambda x, y: sg.friction(x + 0.1 * y, x), "envelope_r double, log_distance double")
 _kernel("optimised_mask", lambda x, y: dict(zip(("before", "after"), sg.optimised_mask(x + y, x, 12)[1:], strict=True)), "before double, after double")
-_kernel("stereo_features", sg.stereo, "level_db double, correlation double, phase double, delay double")
-_kernel("transient_fidelity", lambda x, y: sg.transient(x + 0.1 * y, x), "rise_error long, decay_error long, peak_ratio double")
-_kernel("augmentation_chain", lambda x, block: {"level_db": float(sg.db(np.mean(sg.augmented(x, int(block)) ** 2)))}, "level_db double", ["x", "block"])
-_kernel("delayed_copy_check", lambda x, y: dict(zip(("lag", "value"), sg.delayed_copy(x + 0.3 * np.roll(y, 5), y, 2, 16), strict=True)), "lag long, value double")
-_kernel("comb_ripple", lambda x, y: {"ripple": sg.comb_ripple(x, x + 0.5 * np.roll(x, 7))}, "ripple double")
 
 
 # Sources and sinks.
