@@ -11,9 +11,10 @@ committed last by Spark and is all that readers look at, so what a lost task
 left behind is never read.  Files are read back a file a task.
 
 Of equal payloads of at least ``LEAST`` bytes one row is the response and the
-others revisit it.  The owner of each digest is a partial maximum; revisits
-travel as small rows that sort just before their page, so pages are shuffled
-once and never meet by digest.
+others revisit it.  The owner of each digest is a partial maximum over a written
+table of page ids and digests; owners of very many pages are broadcast to them, so
+no digest's pages meet in one task.  Revisits travel as small rows that sort just
+before their page, so pages are shuffled once and never meet by digest.
 
 Edge cases: a null payload is empty and its record a response; line breaks in
 urls are dropped and a null url is left out; rows that repeat a page_id and
@@ -37,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import scratch, table
+from .base import release, scratch, spread, table, written
 
 LEAST = 1000
 ROLL_BYTES = 32 << 20
@@ -122,9 +123,9 @@ def write(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, date: str = DAT
     spark = pages.sparkSession
     body = F.coalesce("html", F.lit("")).cast("binary")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.sha1(body).alias("digest"))
-    keys = pages.where(F.octet_length("html") >= least).select("page_id", "digest")
-    owners = keys.groupBy("digest").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = keys.join(owners, "digest").where("page_id is null or page_id <> owner").distinct()
+    keys = written(pages.where(F.octet_length("html") >= least).select("page_id", "digest"), "digests")
+    owners = written(keys.groupBy("digest").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1"), "owners")
+    revisits = spread(keys, owners, ["digest"], "n").drop("n").where("page_id is null or page_id <> owner").distinct()
     none = F.lit(None)
     rows = revisits.select("page_id", "digest", F.lit(0).alias("what"), none.cast("string").alias("url"), none.cast("string").alias("html"), "owner").unionByName(
         pages.select("page_id", "digest", F.lit(1).alias("what"), "url", "html", none.cast("long").alias("owner"))
@@ -157,6 +158,7 @@ def write(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, date: str = DAT
         )
 
     rows.mapInArrow(run, _MANIFEST).write.parquet(f"{folder}/manifest")
+    release(keys, owners)
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 
