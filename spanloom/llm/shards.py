@@ -5,18 +5,20 @@ Records are ordered by (hash of the text, doc_id), so equal texts lie together.
 1. Each record draws itself into the sample with a probability proportional to
    its size; the draw is a hash of its key, so it is the same in every run.
 2. Quantiles of the sample are the splitters of R ranges, R at most
-   ``MAX_RANGES``.
+   ``MAX_RANGES``.  Hot texts, whose copies exceed ``TOGETHER`` of a shard, are
+   known from exact sums (fewer than shards / ``TOGETHER`` of them); any other
+   splitter moves to the start of its text, so that only hot texts are cut.
 3. Exact bytes of each range are counted; a range of over twice its share is
    sampled again by itself and subdivided, which splits a hot text by doc_id,
    until none is left that can be split (rows that repeat doc_id and text, or one
    row of that size, can't; what remains after ``ROUNDS`` is warned of, and
    costs one task a longer sort, not the result).
 4. A record's place in bytes is its range's offset plus the running sum inside
-   the range; the shard is that place in sixteenths of the total.  Texts whose
-   copies take a small part of a shard go where the first copy goes.
+   the range; the shard is that place in sixteenths of the total.  Texts that are
+   not hot go where their first copy goes, all of them.
 
 The driver sees splitters, one row of sums a range and about ``DRAWS`` sampled keys
-a range: ``MAX_RANGES`` at first, and as many again for each round at most.  Ranges are sorted side by side, never a shard as a whole.
+a range: ``MAX_RANGES`` at first, and as many again for each round at most; and the hashes of hot texts.  Ranges are sorted side by side, never a shard as a whole.
 
 Edge cases: a null text has no bytes, so size 1; a row without doc_id orders
 first; repeated rows take neighbouring slots in any order; an empty table gives an
@@ -40,6 +42,8 @@ RANGE_BYTES, MAX_RANGES, DRAWS = 4 << 20, 4096, 64
 #: Copies of a text stay together up to this part of a shard's bytes.
 TOGETHER = 1 / 64
 _LEAF = 64
+#: The key of a row without doc_id, which is the start of its text.
+_FIRST = -(1 << 63)
 #: Rounds of subdividing.
 ROUNDS = 8
 
@@ -70,9 +74,11 @@ def _drawn(rows: DataFrame, share: Column, seed: int) -> list[Key]:
     return [tuple(r["key"]) for r in rows.where(draw < share).select("key").collect()]
 
 
-def _quantiles(keys: list[Key], pieces: int) -> list[Key]:
+def _quantiles(keys: list[Key], pieces: int, hot: set[int]) -> list[Key]:
+    """Splitters between equal parts of the sample; inside a text only where it is hot."""
     keys = sorted(keys)
-    return sorted({keys[len(keys) * i // pieces] for i in range(1, pieces)}) if keys else []
+    found = [keys[len(keys) * i // pieces] for i in range(1, pieces)] if keys else []
+    return sorted({(h, d if h in hot else _FIRST) for h, d in found})
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -87,23 +93,25 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         ),
         "keys",
     )
-    rows = rows.withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("key", F.struct("h", "d"))
+    rows = rows.withColumn("d", F.coalesce("doc_id", F.lit(_FIRST))).withColumn("key", F.struct("h", "d"))
     total = rows.agg(F.sum("size")).first()[0]
     if not total:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     pieces = min(MAX_RANGES, max(4 * shards, -(-total // RANGE_BYTES)))
-    share = total / pieces
-    splitters = _quantiles(_drawn(rows, F.col("size") * F.lit(DRAWS / share), 1), pieces)
+    share, limit = total / pieces, total / shards * TOGETHER
+    heavy = rows.groupBy("h").agg(F.sum("size").alias("b"), F.count("*").alias("n")).where((F.col("b") > F.lit(limit)) & (F.col("n") > 1))
+    hot = {r["h"] for r in heavy.select("h").collect()}
+    splitters = _quantiles(_drawn(rows, F.col("size") * F.lit(DRAWS / share), 1), pieces, hot)
     for seed in range(2, ROUNDS + 3):
         placed = rows.withColumn("range", _below(F.col("key"), splitters))
         sums = {r["range"]: (r["b"], r["n"]) for r in placed.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
-        over = {k: int(b / share) + 1 for k, (b, n) in sums.items() if b > 2 * share and n > 1}
+        over = {k: int(b / share) + 1 for k, (b, n) in sums.items() if b > max(2 * share, share + limit) and n > 1}
         if not over or seed == ROUNDS + 2:
             break
         fresh: dict[int, list[Key]] = {k: [] for k in over}
         for key in _drawn(placed.where(F.col("range").isin(list(over))), F.col("size") * F.lit(DRAWS / share), seed):
             fresh[bisect_right(splitters, key)].append(key)
-        more = {x for k, keys in fresh.items() for x in _quantiles(keys, over[k])}
+        more = {x for k, keys in fresh.items() for x in _quantiles(keys, over[k], hot)}
         if more <= set(splitters):
             break
         splitters = sorted(more | set(splitters))
@@ -121,7 +129,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         .withColumn("nth", F.row_number().over(order))
         .withColumns({"lead": F.min("place").over(alike), "copies": F.sum("size").over(alike)})
         .join(F.broadcast(base), "range")
-        .withColumn("at", F.col("offset") + F.when(F.col("copies") <= F.lit(total / shards * TOGETHER), F.col("lead")).otherwise(F.col("place")))
+        .withColumn("at", F.col("offset") + F.when(F.col("copies") <= F.lit(limit), F.col("lead")).otherwise(F.col("place")))
     )
     spot = written(
         spot.select(

@@ -402,7 +402,31 @@ def test_shards_are_even_and_split_hot_texts(spark, monkeypatch):
         homes[r["text_crc32"]].add(r["shard"])
     assert max(size.values()) < 1.1 * min(size.values()) and len(size) == 16
     crc = zlib.crc32(("hot text " * 20).encode())
-    assert len(homes[crc]) > 1 and sum(len(v) > 1 for k, v in homes.items() if k != crc) <= 16
+    assert len(homes[crc]) > 1 and not any(len(v) > 1 for k, v in homes.items() if k != crc)
+
+
+def test_groups_of_copies_stay_whole(spark, monkeypatch):
+    """Two thousand texts of twenty copies, each far under the part of a shard at which a text is hot: none lies in two shards."""
+    monkeypatch.setattr(shards, "RANGE_BYTES", 4000)
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("text number"), F.col("id") % 2000).alias("text"))
+    homes = shards.sharded(docs).groupBy("text_crc32").agg(F.count_distinct("shard").alias("homes"), F.count("*").alias("n"))
+    assert homes.where("homes > 1").count() == 0 and homes.agg(F.sum("n")).first()[0] == 40_000
+    sizes = [r["b"] for r in shards.sharded(docs).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 16 and max(sizes) < 1.1 * min(sizes)
+
+
+def test_a_digest_of_very_many_pages(spark, tmp_path):
+    """Nine pages of ten hold the same payload: all revisit the one with the largest page_id, and others keep their own."""
+    html = F.when(F.col("id") % 10 == 0, F.concat(F.repeat(F.lit("own "), 300), F.floor(F.col("id") / 20))).otherwise(F.repeat(F.lit("same "), 250))
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("http://x/").alias("url"), html.alias("html"))
+    folder = f"file://{tmp_path}/warc"
+    warc.write(pages, folder)
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.read(spark, folder).collect()}
+    want = {}
+    for i in range(3000):
+        owner = 2999 if i % 10 else i // 20 * 20 + 10
+        want[i] = ("response", None) if i == owner else ("revisit", owner)
+    assert got == want
 
 
 def test_shard_law_by_hand(spark, sf):
