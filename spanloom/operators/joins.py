@@ -18,13 +18,11 @@ def nearest(left: DataFrame, right: DataFrame, keys: Keys, t: str = "t", toleran
     """``left`` with ``before`` and ``after``, the nearest right times at or before and after, ``lag`` (signed, the earlier on ties) and ``distance``."""
     both = left.withColumn("_side", F.lit(1)).unionByName(right.select(*keys, F.col(t), F.lit(0).alias("_side")), allowMissingColumns=True)
     mark = F.when(F.col("_side") == 0, F.col(t))
-    order = Window.partitionBy(*keys).orderBy(t, "_side")
-    out = both.withColumns(
-        {
-            "before": F.last(mark, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-            "after": F.first(mark, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)),
-        }
-    ).where("_side = 1").drop("_side")
+    upto = lambda *order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # "after" runs backwards: a frame that reaches to the end would be scanned anew from every row
+    before = F.last(mark, ignorenulls=True).over(upto(F.asc(t), F.asc("_side")))
+    after = F.last(mark, ignorenulls=True).over(upto(F.desc(t), F.desc("_side")))
+    out = both.withColumns({"before": before, "after": after}).where("_side = 1").drop("_side")
     back, ahead = F.col(t) - F.col("before"), F.col("after") - F.col(t)
     lag = F.when(F.col("after").isNull() | (back <= ahead), -back).otherwise(ahead)
     out = out.withColumn("lag", lag).withColumn("distance", F.abs("lag"))

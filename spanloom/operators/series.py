@@ -199,17 +199,18 @@ def histogram(df: DataFrame, keys: Keys, width: int, t: str = "t") -> DataFrame:
 
 
 def interpolated(points: DataFrame, grid: DataFrame, keys: Keys, t: str = "t", v: str = "v") -> DataFrame:
-    """Values on the grid by straight lines between the points around; the end value beyond the ends."""
-    both = points.select(*keys, t, F.struct(F.col(t).alias("t"), F.col(v).alias("v")).alias("_p"), F.lit(0).alias("_side")).unionByName(
-        grid.select(*keys, t, F.lit(1).alias("_side")), allowMissingColumns=True
-    )
-    order = Window.partitionBy(*keys).orderBy(t, "_side")
-    out = both.withColumns(
-        {
-            "_a": F.last("_p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-            "_b": F.first("_p", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)),
-        }
-    ).where("_side = 1")
-    part = (F.col(t) - F.col("_a.t")) / (F.col("_b.t") - F.col("_a.t"))
-    value = F.when(F.col("_a").isNull(), F.col("_b.v")).when(F.col("_b").isNull() | (F.col("_b.t") == F.col("_a.t")), F.col("_a.v"))
-    return out.select(*keys, t, value.otherwise(F.col("_a.v") + part * (F.col("_b.v") - F.col("_a.v"))).alias(v))
+    """Values on the grid by straight lines between the points around; the end value beyond the ends.
+
+    Each point carries the next one, so one running window finds both; a frame
+    that reaches to the end would be scanned anew from every row.
+    """
+    own = F.struct(F.col(t).alias("t"), F.col(v).alias("v"))
+    marks = points.select(*keys, t, own.alias("_a"), F.lead(own).over(_order(keys, t)).alias("_b"), F.lit(0).alias("_side"))
+    first = points.groupBy(*keys).agg(F.min_by(own, t).alias("_b")).withColumns({t: F.lit(None).cast(points.schema[t].dataType), "_a": F.lit(None).cast(marks.schema["_a"].dataType), "_side": F.lit(0)})
+    near = F.when(F.col("_side") == 0, F.struct("_a", "_b"))
+    both = marks.unionByName(first).withColumn("_p", near).drop("_a", "_b").unionByName(grid.select(*keys, t, F.lit(1).alias("_side")), allowMissingColumns=True)
+    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_first(t), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_p", F.last("_p", ignorenulls=True).over(order)).where("_side = 1")
+    p, q = F.col("_p._a"), F.col("_p._b")
+    value = F.when(p.isNull(), q["v"]).when(q.isNull() | (q["t"] == p["t"]), p["v"])
+    return out.select(*keys, t, value.otherwise(p["v"] + (F.col(t) - p["t"]) / (q["t"] - p["t"]) * (q["v"] - p["v"])).alias(v))
