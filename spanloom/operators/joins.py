@@ -66,6 +66,11 @@ def best_match(pairs: DataFrame, left: Keys, order: Sequence[Column]) -> DataFra
     return pairs.withColumn("_n", F.row_number().over(Window.partitionBy(*left).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def alike(candidates: DataFrame, kinds: dict[str, Column], name: str) -> DataFrame:
+    """(kinds, name): the first name of the candidates that the named expressions, all that a rule looks at, can't tell apart."""
+    return candidates.groupBy(*[c.alias(k) for k, c in kinds.items()]).agg(F.min(name).alias(name))
+
+
 def deepest_prefix(records: DataFrame, candidates: DataFrame, keys: Keys, name: str, dirs: str = "dirs", least: int = 2, by: Keys = ()) -> DataFrame:
     """(keys, name, depth): the candidate, equal in ``by``, whose folders share the most leading segments with a record's, at least ``least``; the first name of equals.
 

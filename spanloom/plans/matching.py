@@ -122,13 +122,14 @@ c AS (SELECT p_partkey, s_suppkey, CASE WHEN s_nationkey % 5 = p_size % 5 THEN 2
 SELECT p_partkey, s_suppkey, k, rule FROM c QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY k DESC, rule DESC, s_suppkey) = 1""",
 )
 def best_prefix_match(spark, sf):
+    """The rules see a supplier's nation and last digit alone, so a part meets the first supplier of each such kind, however many there are."""
     p = load(spark, sf, "part").withColumn("_k", F.col("p_size") % 25)
-    s = load(spark, sf, "supplier")
+    s = joins.alike(load(spark, sf, "supplier"), {"s_nationkey": F.col("s_nationkey"), "_digit": F.col("s_suppkey") % 10}, "s_suppkey")
     pairs = p.join(s, p["_k"] == s.s_nationkey).select(
         "p_partkey",
         "s_suppkey",
         F.when(F.col("s_nationkey") % 5 == F.col("p_size") % 5, 2).otherwise(1).alias("k"),
-        F.when(F.col("s_suppkey") % 10 == F.col("p_partkey") % 10, 1).otherwise(0).alias("rule"),
+        F.when(F.col("_digit") == F.col("p_partkey") % 10, 1).otherwise(0).alias("rule"),
     )
     return joins.best_match(pairs, ["p_partkey"], [F.desc("k"), F.desc("rule"), F.col("s_suppkey")])
 

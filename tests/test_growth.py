@@ -28,3 +28,9 @@ def test_a_grid_without_points_and_points_at_its_ends(spark):
     g = spark.createDataFrame([("a", 0), ("a", 2), ("a", 3), ("a", 6), ("a", 9), ("b", 1)], "k string, t long")
     got = {(r["k"], r["t"]): r["v"] for r in series.interpolated(p, g, ["k"]).collect()}
     assert got == {("a", 0): 5.0, ("a", 2): 5.0, ("a", 3): 6.0, ("a", 6): 9.0, ("a", 9): 9.0, ("b", 1): None}
+
+
+def test_records_meet_one_candidate_of_a_kind(spark):
+    many = spark.range(5000).select(F.col("id").alias("s"), (F.col("id") % 25).alias("n"))
+    kinds = joins.alike(many, {"n": F.col("n"), "d": F.col("s") % 10}, "s")
+    assert {(r["n"], r["d"]): r["s"] for r in kinds.collect()} == {(s % 25, s % 10): s for s in range(4999, -1, -1)}
