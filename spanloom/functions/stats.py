@@ -21,6 +21,24 @@ def finite(x: str) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
 
 
+def _decimal(x: str) -> tuple[Column, Column]:
+    """The value as a decimal, and whether every value of the group is one of up to 14 digits behind the point."""
+    d = F.expr(f"try_cast(`{x}` AS DECIMAL(24, 14))")
+    return d, F.bool_and(F.coalesce(d.cast("double") == F.col(x), F.col(x).isNull()))
+
+
+def steady_sum(x: str) -> Column:
+    """The sum of doubles, the same in any order of rows and without rounding where all are decimals; a plain sum otherwise."""
+    d, whole = _decimal(x)
+    return F.coalesce(F.when(whole, F.try_sum(d).cast("double")), F.sum(x))
+
+
+def steady_mean(x: str) -> Column:
+    """The mean of doubles like :func:`steady_sum`: means that are equal as numbers compare equal."""
+    d, whole = _decimal(x)
+    return F.coalesce(F.when(whole, F.try_avg(d).cast("double")), F.avg(x))
+
+
 def quantiles(x: str, points: Sequence[float]) -> Column:
     """Exact percentiles with linear interpolation, as an array."""
     return F.percentile(x, list(points))

@@ -99,12 +99,12 @@ _CKPT = "c AS (SELECT l_suppkey AS k, l_linenumber AS step, avg(l_discount) AS e
 
 
 def checkpoints(spark, sf):
-    return load(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.col("l_linenumber").alias("step")).agg(F.avg("l_discount").alias("err"), F.avg("l_tax").alias("weak"), F.count("*").alias("n"))
+    return load(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.col("l_linenumber").alias("step")).agg(stats.steady_mean("l_discount").alias("err"), stats.steady_mean("l_tax").alias("weak"), F.count("*").alias("n"))
 
 
 @query("checkpoint_validity", f"WITH {_CKPT}, b AS (SELECT avg(l_discount) AS err FROM lineitem) SELECT k, step, c.err <= 1.05 * b.err AS no_regression, n >= 50 AND weak <= 0.045 AS valid FROM c, b")
 def checkpoint_validity(spark, sf):
-    base = load(spark, sf, "lineitem").agg(F.avg("l_discount").alias("err"))
+    base = load(spark, sf, "lineitem").agg(stats.steady_mean("l_discount").alias("err"))
     c = gates.no_regression(checkpoints(spark, sf), base, "err", 1.05)
     return c.select("k", "step", "no_regression", gates.accepted([("n", ">=", 50), ("weak", "<=", 0.045)]).alias("valid"))
 

@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.functions import stats
 from spanloom.operators import joins, series, waves
+from spanloom.plans import QUERIES
 
 
 def plan(df):
@@ -34,3 +36,23 @@ def test_records_meet_one_candidate_of_a_kind(spark):
     many = spark.range(5000).select(F.col("id").alias("s"), (F.col("id") % 25).alias("n"))
     kinds = joins.alike(many, {"n": F.col("n"), "d": F.col("s") % 10}, "s")
     assert {(r["n"], r["d"]): r["s"] for r in kinds.collect()} == {(s % 25, s % 10): s for s in range(4999, -1, -1)}
+
+
+@pytest.fixture(scope="module")
+def lines(spark, tmp_path_factory):
+    """Means that are exactly the limits, of values in an order in which a running sum of doubles ends above or below them."""
+    kinds = [(1, 13, (0.0,), (0.01, 0.03, 0.06, 0.08)), (2, 20, (0.0,), (0.01, 0.02, 0.03, 0.05, 0.07)), (3, 13, (0.01, 0.04, 0.07, 0.1), (0.04,)), (4, 13, (0.05,), (0.02, 0.02, 0.04, 0.05, 0.08))]
+    rows = [(k, 1, d, t) for k, n, ds, ts in kinds for d, t in zip(sorted(ds * n * len(ts)), sorted(ts * n * len(ds)), strict=True)]
+    folder = str(tmp_path_factory.mktemp("lines"))
+    spark.createDataFrame(rows, "l_suppkey long, l_linenumber int, l_discount double, l_tax double").coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+def test_a_mean_at_the_limit_is_valid(spark, lines):
+    assert {r["k"]: r["valid"] for r in QUERIES["checkpoint_validity"](spark, lines).collect()} == {1: True, 2: True, 3: True, 4: True}
+
+
+def test_a_mean_is_plain_where_values_are_no_decimals(spark):
+    rows = spark.createDataFrame([(1, 1e-20), (1, 3e-20), (2, float("nan")), (2, 1.0), (3, None), (3, 2.0), (4, 1e300), (5, None)], "k int, x double")
+    got = {r["k"]: (r["m"], r["s"]) for r in rows.groupBy("k").agg(stats.steady_mean("x").alias("m"), stats.steady_sum("x").alias("s")).collect()}
+    assert got[1] == pytest.approx((2e-20, 4e-20), rel=1e-9, abs=0) and got[2][0] != got[2][0] and got[3] == (2.0, 2.0) and got[4] == (1e300, 1e300) and got[5] == (None, None)
