@@ -56,3 +56,7 @@ def test_a_mean_is_plain_where_values_are_no_decimals(spark):
     rows = spark.createDataFrame([(1, 1e-20), (1, 3e-20), (2, float("nan")), (2, 1.0), (3, None), (3, 2.0), (4, 1e300), (5, None)], "k int, x double")
     got = {r["k"]: (r["m"], r["s"]) for r in rows.groupBy("k").agg(stats.steady_mean("x").alias("m"), stats.steady_sum("x").alias("s")).collect()}
     assert got[1] == pytest.approx((2e-20, 4e-20), rel=1e-9, abs=0) and got[2][0] != got[2][0] and got[3] == (2.0, 2.0) and got[4] == (1e300, 1e300) and got[5] == (None, None)
+
+
+def test_a_mean_at_the_limit_is_no_stop(spark, lines):
+    assert {r["k"]: r["reason"] for r in QUERIES["first_stop_condition"](spark, lines).collect()} == {}
