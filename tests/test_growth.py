@@ -60,3 +60,7 @@ def test_a_mean_is_plain_where_values_are_no_decimals(spark):
 
 def test_a_mean_at_the_limit_is_no_stop(spark, lines):
     assert {r["k"]: r["reason"] for r in QUERIES["first_stop_condition"](spark, lines).collect()} == {}
+
+
+def test_a_mean_at_the_guard_counts(spark, lines):
+    assert {r["k"]: r["best"] for r in QUERIES["running_best_guarded"](spark, lines).collect() if r["k"] in (2, 3, 4)} == {2: 0.0, 3: -0.055, 4: -0.05}
