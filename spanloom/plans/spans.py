@@ -207,13 +207,14 @@ def envelope_frames(spark, sf):
 SELECT env.user_id, round(sum(g) / 720, 4) AS mean_gain, round(count(*) FILTER (g > 0) / 720, 6) AS open, round(count(*) FILTER (g >= 0.5) / 720, 6) AS half_open, any_value(longest) AS longest FROM env JOIN l USING (user_id) GROUP BY env.user_id""",
 )
 def gate_support(spark, sf):
+    """Gains are added as decimals: rises and falls then make whole sums, whatever the order of frames, and a mean halfway between two digits is rounded as such."""
     from pyspark.sql import Window
 
     env = envelope(spark, sf)
     held = env.where("g > 0").withColumn("k", F.col("i") - F.row_number().over(Window.partitionBy("user_id").orderBy("i")))
     longest = held.groupBy("user_id", "k").count().groupBy("user_id").agg(F.max("count").alias("longest"))
     stats = env.groupBy("user_id").agg(
-        r(F.sum("g") / 720, 4).alias("mean_gain"), r(F.count_if(F.col("g") > 0) / 720).alias("open"), r(F.count_if(F.col("g") >= 0.5) / 720).alias("half_open")
+        r(F.sum(F.col("g").cast("decimal(18, 12)")).cast("double") / 720, 4).alias("mean_gain"), r(F.count_if(F.col("g") > 0) / 720).alias("open"), r(F.count_if(F.col("g") >= 0.5) / 720).alias("half_open")
     )
     return stats.join(longest, "user_id")
 

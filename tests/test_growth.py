@@ -1,11 +1,14 @@
 """Steps whose cost or result once depended on the size of groups or the order of rows."""
 
+import os
+from decimal import ROUND_HALF_UP, Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import stats
 from spanloom.operators import joins, series, waves
-from spanloom.plans import QUERIES
+from spanloom.plans import QUERIES, spans
 
 
 def plan(df):
@@ -64,3 +67,21 @@ def test_a_mean_at_the_limit_is_no_stop(spark, lines):
 
 def test_a_mean_at_the_guard_counts(spark, lines):
     assert {r["k"]: r["best"] for r in QUERIES["running_best_guarded"](spark, lines).collect() if r["k"] in (2, 3, 4)} == {2: 0.0, 3: -0.055, 4: -0.05}
+
+
+def test_days_of_equal_load_lie_in_both_quartiles(spark, tmp_path):
+    """Loads of 0.1, 0.2 and 0.3 in two orders are equal, so every day is at the quartiles."""
+    orders = [(0.1, 0.2, 0.3), (0.3, 0.2, 0.1), (0.2, 0.3, 0.1), (0.1, 0.1, 0.4)]
+    rows = [(3 * d + n, f"2024-01-0{d + 1} 0{n}:00:00", 7, "click", v, "{}") for d, vs in enumerate(orders) for n, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert [(r["heavy"], r["quiet"]) for r in QUERIES["quartile_class_selectivity"](spark, str(tmp_path)).collect()] == [(0.2, 0.2)]
+
+
+def test_a_gain_halfway_between_two_digits_goes_up(spark, sf):
+    """Sums of gains as decimals in plain Python; of 1,500 users 14 have a mean halfway."""
+    folder = os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.1")
+    gains = spans.envelope(spark, folder).groupBy("user_id").agg(F.collect_list("g").alias("g")).collect()
+    mean = lambda g: sum(Decimal(f"{x:.12f}") for x in g) / 720
+    want = {r["user_id"]: float(mean(r["g"]).quantize(Decimal("0.0001"), ROUND_HALF_UP)) for r in gains}
+    assert {r["user_id"]: r["mean_gain"] for r in QUERIES["gate_support"](spark, folder).collect()} == want
