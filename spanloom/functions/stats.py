@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 
 def precision_recall(df: DataFrame, hits: str, predicted: str, actual: str) -> DataFrame:
     """Adds p, r and f1; empty sides give 0."""
@@ -44,6 +46,10 @@ def quantiles(x: str, points: Sequence[float]) -> Column:
     return F.percentile(x, list(points))
 
 
+#: Groups whose brackets are broadcast to their rows; more are joined, and are smaller.
+FEW = 10_000
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], x: str, points: Sequence[float], accuracy: int = 10_000) -> DataFrame:
     """keys and ``q``, the same percentiles, for groups of any size.
 
@@ -64,7 +70,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], x: str, points: Sequence
         )
         for j, p in enumerate(points)
     ]
-    both = rows.join(sketch.select(*keys, F.array(*cells).alias("_c")), list(keys))
+    brackets = stored(sketch.select(*keys, F.array(*cells).alias("_c")), "brackets")
+    if brackets.count() <= FEW:  # else rows would meet them in a task a group
+        brackets = F.broadcast(brackets)
+    both = rows.join(brackets, list(keys))
     below = both.groupBy(*keys).agg(*[F.count_if(F.col("_x") < F.col("_c")[j]["low"]).alias(f"_b{j}") for j in range(len(points))])
     inside = both.select(*keys, "_x", F.explode(F.filter("_c", lambda c: F.col("_x").between(c["low"], c["high"]))).alias("c")).select(*keys, "_x", "c.j", "c.rank")
     inside = inside.join(below.select(*keys, F.array(*[f"_b{j}" for j in range(len(points))]).alias("_b")), list(keys))
@@ -92,12 +101,21 @@ def correlation(x: str, y: str) -> Column:
     return F.when(spread > 0, F.covar_pop(x, y) / spread)
 
 
+#: Rows that a task sorts, as far as groups let it.
+TASK = 1 << 20
+
+
 def correlated(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 3) -> DataFrame:
-    """Pearson and, on average ranks, Spearman; null under ``least`` rows or without spread."""
-    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    """Pearson and, on average ranks, Spearman; null under ``least`` rows or without spread.
+
+    One shuffle by the keys, into as many tasks as the rows call for.
+    """
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    least_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranked = pairs.repartition(max(least_parts, -(-pairs.count() // TASK)), *keys)
     for c, name in ((x, "_rx"), (y, "_ry")):
-        ties = F.count("*").over(Window.partitionBy(*keys, c))
-        ranked = ranked.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (ties - 1) / 2)
+        upto = Window.partitionBy(*keys).orderBy(c)
+        ranked = ranked.withColumn(name, (F.rank().over(upto) + F.count("*").over(upto)) / 2)  # the first and the last rank of equal values
     safe = lambda a, b: F.when(F.count("*") >= least, correlation(a, b))
     return ranked.groupBy(*keys).agg(safe(x, y).alias("pearson"), safe("_rx", "_ry").alias("spearman"), F.count("*").alias("n"))
 

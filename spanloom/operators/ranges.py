@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..sources.scratch import shared
+from ..sources.scratch import shared, stored
 
 Keys = Sequence[str]
 
@@ -88,13 +88,6 @@ def running(rows: DataFrame, keys: Keys, sums: dict[str, Column] | None = None,
     return own.join(F.broadcast(carry), same, "left").withColumns(final).drop(*spare, *carry.columns)
 
 
-def stored(df: DataFrame, name: str = "rows") -> DataFrame:
-    """``df`` written to the shared folder and read again, for what two later steps read."""
-    path = shared(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def merged(spans: DataFrame, keys: Keys, gap: int | float = 0, parts: int | None = None) -> DataFrame:
     """Disjoint spans (keys, s, e, parts) like :func:`intervals.merged`, for keys whose spans no single task should sort."""
     reach = running(ranged(spans.select(*keys, "s", "e"), [*keys, "s", "e"], parts), keys, tops={"_reach": F.col("e")}, before=True)

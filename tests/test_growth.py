@@ -85,3 +85,11 @@ def test_a_gain_halfway_between_two_digits_goes_up(spark, sf):
     mean = lambda g: sum(Decimal(f"{x:.12f}") for x in g) / 720
     want = {r["user_id"]: float(mean(r["g"]).quantize(Decimal("0.0001"), ROUND_HALF_UP)) for r in gains}
     assert {r["user_id"]: r["mean_gain"] for r in QUERIES["gate_support"](spark, folder).collect()} == want
+
+
+def test_ranks_take_one_shuffle_into_tasks_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(stats, "TASK", 100)
+    rows = spark.range(2000).select((F.col("id") % 50).alias("k"), (F.col("id") % 7).alias("x"), (F.col("id") * 37 % 11).alias("y"))
+    got = stats.correlated(rows, ["k"], "x", "y")
+    assert plan(got).count("exchange hashpartitioning") == 1 and "hashpartitioning(k#" in plan(got) and ", 20)" in plan(got)
+    assert got.count() == 50
