@@ -130,8 +130,8 @@ def mad_outliers(spark, sf):
 @query("percentile_cap_filter", "WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.85) AS cap FROM lineitem GROUP BY 1) SELECT l_returnflag, count(*) AS kept, max(l_extendedprice) AS top FROM lineitem JOIN q USING (l_returnflag) WHERE l_extendedprice <= cap GROUP BY 1")
 def percentile_cap_filter(spark, sf):
     li = load(spark, sf, LI)
-    cap = li.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", 0.85).alias("cap"))
-    return li.join(cap, "l_returnflag").where("l_extendedprice <= cap").groupBy("l_returnflag").agg(F.count("*").alias("kept"), F.max("l_extendedprice").alias("top"))
+    cap = stats.exact_quantiles(li, ["l_returnflag"], "l_extendedprice", [0.85]).select("l_returnflag", F.col("q")[0].alias("cap"))
+    return li.join(F.broadcast(cap), "l_returnflag").where("l_extendedprice <= cap").groupBy("l_returnflag").agg(F.count("*").alias("kept"), F.max("l_extendedprice").alias("top"))
 
 
 @query("verdict_counts", "WITH c AS (SELECT o_custkey, count(*) AS total, count(*) FILTER (o_orderstatus = 'P') AS n FROM orders GROUP BY 1) SELECT total, count(*) AS customers, count(*) FILTER (2 * n >= total) AS insufficient FROM c GROUP BY total")
