@@ -93,3 +93,23 @@ def test_ranks_take_one_shuffle_into_tasks_by_their_rows(spark, monkeypatch):
     got = stats.correlated(rows, ["k"], "x", "y")
     assert plan(got).count("exchange hashpartitioning") == 1 and "hashpartitioning(k#" in plan(got) and ", 20)" in plan(got)
     assert got.count() == 50
+
+
+@pytest.mark.parametrize("few, joins_seen", [(10_000, True), (0, False)])
+def test_brackets_of_few_groups_are_broadcast(spark, monkeypatch, few, joins_seen):
+    """Rows of three groups once met their brackets in three tasks."""
+    monkeypatch.setattr(stats, "FEW", few)
+    rows = spark.range(30_000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 30_011).cast("double").alias("x"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = stats.exact_quantiles(rows, ["k"], "x", [0.25, 0.85])
+        assert ("broadcasthashjoin" in plan(got)) == joins_seen
+        want = rows.groupBy("k").agg(F.percentile("x", [0.25, 0.85]).alias("q"))
+        assert {r["k"]: r["q"] for r in got.collect()} == {r["k"]: pytest.approx(r["q"]) for r in want.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_a_cap_is_found_without_a_buffer_of_a_group(spark, sf):
+    assert "percentile(" not in plan(QUERIES["percentile_cap_filter"](spark, sf))
