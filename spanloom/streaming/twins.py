@@ -40,7 +40,7 @@ def staged(spark: SparkSession, rows: DataFrame, files: int) -> tuple[str, objec
     edges = [low + (high - low) * k // files for k in range(1, files)]
     for k, (a, b) in enumerate(zip([None, *edges], [*edges, None], strict=True)):
         part = rows.where((at >= a if a is not None else F.lit(True)) & (at < b if b is not None else F.lit(True)))
-        part.coalesce(1).write.parquet(f"{out}/{k:03d}")
+        part.repartition(1).write.parquet(f"{out}/{k:03d}")  # cut out by many tasks, written by one
     far = (F.timestamp_micros(F.lit(high)) + F.expr("interval 1000 days")).cast(rows.schema["ts"].dataType)
     last = spark.range(1).select(*[far.alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
     last.coalesce(1).write.parquet(f"{out}/{files:03d}")
@@ -102,32 +102,37 @@ def tumbling(rows: DataFrame, width: str) -> DataFrame:
 CELL = 3_600_000
 
 
+#: Keys are dealt by hash into so many groups, each with one state: calls into the state don't grow with the keys.
+GROUPS = 128
+
+
 class _Rule(StatefulProcessor):
-    """A sequential rule over one key: the value state is its last decision, the map state the open rows by cells of time.
+    """A sequential rule over the keys of one group: the value state is each key's last decision, the map state the open rows by cells of time.
 
-    A row is added to its cell and to no other; a cell's timer fires when the
-    watermark has passed its end, and then its rows are decided in order and
-    leave the state; Spark fires timers by time.  So a batch touches the cells
-    that it adds to and those that end, and the state holds no row that is older
-    than the watermark by more than a cell.
+    Rows are added to their cells and to no other; a cell's timer fires when the
+    watermark has passed its end, and then its rows are decided in order, key by
+    key, and leave the state; Spark fires timers by time.  So a batch touches the
+    cells that it adds to and those that end, and the state holds no row that is
+    older than the watermark by more than a cell.
     """
 
-    def __init__(self, fold, fresh: tuple, out: str, state: str, value: str, cell: int):
-        self.fold, self.fresh, self.names = fold, fresh, [c.split()[0].strip("`") for c in out.split(", ")]
-        self.state, self.value, self.cell = state, value, cell
+    def __init__(self, step, fresh: tuple, out: str, state: str, value: str, cell: int):
+        self.step, self.fresh, self.names = step, fresh, [c.split()[0].strip("`") for c in out.split(", ")]
+        parts = [c.split(" ", 1) for c in state.split(", ")]
+        self.state, self.value, self.cell = ", ".join(["users array<long>", *(f"`{n}` array<{kind}>" for n, kind in parts)]), value, cell
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.decision = handle.getValueState("decision", self.state)
-        self.cells = handle.getMapState("open", "cell long", f"t array<long>, ids array<long>, v array<{self.value}>")
+        self.cells = handle.getMapState("open", "cell long", f"users array<long>, t array<long>, ids array<long>, v array<{self.value}>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802  Spark's name
-        new: dict[int, tuple[list, list, list]] = {}
+        new: dict[int, tuple[list, list, list, list]] = {}
         for pdf in rows:
-            for t, number, value in zip(pdf["t"].tolist(), pdf["event_id"].tolist(), pdf["value"].tolist(), strict=True):
+            for user, t, number, value in zip(pdf["user_id"].tolist(), pdf["t"].tolist(), pdf["event_id"].tolist(), pdf["value"].tolist(), strict=True):
                 if number != _NONE:
                     plain = value.tolist() if isinstance(value, np.ndarray) else value
-                    for held, x in zip(new.setdefault(t // (1000 * self.cell), ([], [], [])), (t, number, plain), strict=True):
+                    for held, x in zip(new.setdefault(t // (1000 * self.cell), ([], [], [], [])), (user, t, number, plain), strict=True):
                         held.append(x)
         for cell, held in new.items():
             if self.cells.containsKey((cell,)):
@@ -139,68 +144,64 @@ class _Rule(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802  Spark's name
         cell = expiredTimerInfo.getExpiryTimeInMs() // self.cell - 1
-        t, ids, values = self.cells.getValue((cell,))
-        order = sorted(range(len(t)), key=lambda n: (t[n], ids[n]))
-        pdf = pd.DataFrame({"event_id": [ids[n] for n in order], "value": [values[n] for n in order], "t": [t[n] for n in order]})
-        state, rows = self.fold(self.decision.get() or self.fresh, pdf)
-        self.decision.update(state)
+        users, t, ids, values = self.cells.getValue((cell,))
+        before = self.decision.get()
+        last = dict(zip(before[0], zip(*before[1:], strict=True), strict=True)) if before else {}
+        out = []
+        for n in sorted(range(len(t)), key=lambda n: (t[n], ids[n])):
+            state, row = self.step(last.get(users[n], self.fresh), t[n], values[n])
+            last[users[n]] = state
+            if row is not None:
+                out.append((users[n] if users[n] != _NONE else None, ids[n], *row))
+        self.decision.update((list(last), *(list(x) for x in zip(*last.values(), strict=True))))
         self.cells.removeKey((cell,))
-        if len(rows):
-            rows.insert(0, "user_id", key[0])
-            yield rows[self.names]
+        if out:
+            yield pd.DataFrame({name: pd.Series(x, dtype="Int64" if name == "user_id" else None) for name, x in zip(self.names, zip(*out, strict=True), strict=True)})
 
     def close(self) -> None:
         pass
 
 
-def _folded(rows: DataFrame, fold: Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]], fresh: tuple, out: str, state_schema: str, value: str = "double", cell: int = CELL) -> DataFrame:
-    """``fold(state, rows in order)`` -> (state, rows that come out), user by user, for rows that the watermark has passed."""
-    number = F.coalesce("event_id", F.lit(_NONE)).alias("event_id")
-    timed = rows.select("user_id", number, F.col("value").cast(value).alias("value"), "at", _micros(F.col("at")).alias("t"))
-    out = f"user_id long, {out}"
-    return timed.groupBy("user_id").transformWithStateInPandas(_Rule(fold, fresh, out, state_schema, value, cell), out, "Append", "EventTime")
+def _folded(rows: DataFrame, step: Callable[[tuple, int, object], tuple[tuple, tuple | None]], fresh: tuple, out: str, state_schema: str, value: str = "double", cell: int = CELL) -> DataFrame:
+    """``step(state, t, value)`` -> (state, what comes out behind the event's number, or None), user by user in order, for rows that the watermark has passed."""
+    number, user = (F.coalesce(F.col(c).cast("long"), F.lit(_NONE)) for c in ("event_id", "user_id"))
+    timed = rows.select(F.pmod(F.xxhash64("user_id"), F.lit(GROUPS)).alias("_group"), user.alias("user_id"), number.alias("event_id"), F.col("value").cast(value).alias("value"), "at", _micros(F.col("at")).alias("t"))
+    out = f"user_id long, event_id long, {out}"
+    return timed.groupBy("_group").transformWithStateInPandas(_Rule(step, fresh, out, state_schema, value, cell), out, "Append", "EventTime")
 
 
 def refractory(rows: DataFrame, gap: int, cell: int = CELL) -> DataFrame:
     """Events at least ``gap`` microseconds after the last one kept; the state is its time."""
 
-    def fold(state: tuple, pdf: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        (last,), keep = state, []
-        for t in pdf["t"]:
-            ok = last is None or t - last >= gap
-            keep.append(ok)
-            last = t if ok else last
-        return (int(last),), pdf.loc[keep, ["event_id", "t"]]
+    def step(state: tuple, t: int, value: float) -> tuple[tuple, tuple | None]:
+        (last,) = state
+        return ((int(t),), (t,)) if last is None or t - last >= gap else (state, None)
 
-    return _folded(rows, fold, (None,), "event_id long, t long", "last long", cell=cell)
+    return _folded(rows, step, (None,), "t long", "last long", cell=cell)
 
 
 def hysteresis(rows: DataFrame, enter: float, stay: float, hold: int, cell: int = CELL) -> DataFrame:
     """On and off of a hysteresis with hold; the state is (on, quiet rows)."""
 
-    def fold(state: tuple, pdf: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        (on, quiet), flags = state, []
-        for v in pdf["value"]:
-            if not on:
-                on, quiet = v >= enter, 0
-            else:
-                quiet = 0 if v >= stay else quiet + 1
-                on = quiet <= hold
-            flags.append(bool(on))
-        return (bool(on), int(quiet)), pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "on": flags})
+    def step(state: tuple, t: int, value: float) -> tuple[tuple, tuple | None]:
+        on, quiet = state
+        value = float("nan") if value is None else value
+        if not on:
+            on, quiet = bool(value >= enter), 0
+        else:
+            quiet = 0 if value >= stay else int(quiet) + 1
+            on = quiet <= hold
+        return (on, quiet), (on,)
 
-    return _folded(rows, fold, (False, 0), "event_id long, on boolean", "on boolean, quiet long", cell=cell)
+    return _folded(rows, step, (False, 0), "on boolean", "on boolean, quiet long", cell=cell)
 
 
 def frame_changes(rows: DataFrame, cell: int = CELL) -> DataFrame:
     """Mean absolute change of each frame (``value``, an array) since its key's frame before, which is all that the state carries; 0 for the first."""
 
-    def fold(state: tuple, pdf: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        (last,), out = state, []
-        for frame in pdf["value"]:
-            now = np.asarray(frame, float)
-            out.append(0.0 if last is None else float(np.abs(now - last).mean()))
-            last = now
-        return (last.tolist(),), pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "change": out})
+    def step(state: tuple, t: int, value) -> tuple[tuple, tuple | None]:
+        (last,), now = state, np.asarray(value, float)
+        change = 0.0 if last is None else float(np.abs(now - np.asarray(last, float)).mean())
+        return (now.tolist(),), (change,)
 
-    return _folded(rows, fold, (None,), "event_id long, change double", "last array<double>", "array<double>", cell)
+    return _folded(rows, step, (None,), "change double", "last array<double>", "array<double>", cell)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import stats
 from spanloom.operators import joins, series, waves
 from spanloom.plans import QUERIES, spans
+from spanloom.streaming import twins
 
 
 def plan(df):
@@ -113,3 +114,19 @@ def test_brackets_of_few_groups_are_broadcast(spark, monkeypatch, few, joins_see
 
 def test_a_cap_is_found_without_a_buffer_of_a_group(spark, sf):
     assert "percentile(" not in plan(QUERIES["percentile_cap_filter"](spark, sf))
+
+
+def test_a_stream_keeps_a_state_for_a_group_of_keys(spark, tmp_path):
+    """Many more keys than groups, with and without a null key: calls into the state are by group, decisions by key."""
+    rows = [(n, n % 400 if n % 401 else None, n * 60_000_000, float(n % 97)) for n in range(3000)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, t long, value double").withColumn("ts", F.timestamp_micros(F.col("t") + 1_700_000_000_000_000).cast("timestamp_ntz"))
+    states = []
+    where, schema = twins.staged(spark, df.drop("t"), 2)
+    got = twins.run(spark, twins.refractory(twins.source(spark, where, schema), 500 * 60_000_000, 24 * 3_600_000), lambda p: states.append(p["stateOperators"][0]["numRowsTotal"]))
+    last, want = {}, set()
+    for n, u, t, _ in rows:
+        if u not in last or t - last[u] >= 500 * 60_000_000:
+            last[u] = t
+            want.add((u, n))
+    assert {(r["user_id"], r["event_id"]) for r in got.collect()} == want
+    assert 0 < max(states) <= 10 * twins.GROUPS
