@@ -140,12 +140,16 @@ def warped(df: DataFrame, places: DataFrame, keys: Keys, v: str, taps: int = 16,
 
 
 def onsets(strength: DataFrame, keys: Keys, k: float = 4.0, distance: int = 4) -> DataFrame:
-    """(keys, frame, strength): local maxima over median + ``k`` MAD, the higher first, ``distance`` frames apart."""
+    """(keys, frame, strength): local maxima over median + ``k`` MAD, the higher first, ``distance`` frames apart.
+
+    Strengths are sums in any order: copies of a frame differ in their last digits.
+    A frame is over the limit by 10^-9 at least, so that one at the limit is not over it.
+    """
     middle = stats.exact_quantiles(strength, keys, "strength", [0.5]).select(*keys, F.col("q")[0].alias("_m"))
     away = strength.join(middle, list(keys)).withColumn("_d", F.abs(F.col("strength") - F.col("_m")))
     spread = stats.exact_quantiles(away, keys, "_d", [0.5]).select(*keys, F.col("q")[0].alias("_w"))
     tops = series.local_maxima(strength, keys, "strength", "frame").join(middle, list(keys)).join(spread, list(keys))
-    tops = tops.where(F.col("strength") > F.col("_m") + k * F.col("_w")).select(*keys, "frame", "strength")
+    tops = tops.where(F.col("strength") - (F.col("_m") + k * F.col("_w")) >= 1e-9).select(*keys, "frame", "strength")
     return kernels.suppressed(tops, keys, distance, "strength", "frame")
 
 

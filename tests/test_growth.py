@@ -116,6 +116,16 @@ def test_a_cap_is_found_without_a_buffer_of_a_group(spark, sf):
     assert "percentile(" not in plan(QUERIES["percentile_cap_filter"](spark, sf))
 
 
+def test_an_onset_at_the_limit_is_not_over_it(spark):
+    """Copies of a frame whose strength is the median and one MAD, 7 and 1, apart in the last digits as sums in other orders are."""
+    noise = [-2e-15, 0.0, 2e-15, 4e-15]
+    values = [x for n in noise for x in (7.0, 8.0 + n, 6.5, 7.5, 5.0, 9.0, 4.0)] + [7.0]
+    rows = spark.createDataFrame([(0, i, v) for i, v in enumerate(values)], "k int, frame long, strength double")
+    assert len({v for v in values if abs(v - 8.0) < 1e-9}) > 1
+    got = {r["frame"]: r["strength"] for r in waves.onsets(rows, ["k"], 1.0, 1).collect()}
+    assert got == {7 * n + 5: 9.0 for n in range(4)}
+
+
 def test_a_stream_keeps_a_state_for_a_group_of_keys(spark, tmp_path):
     """Many more keys than groups, with and without a null key: calls into the state are by group, decisions by key."""
     rows = [(n, n % 400 if n % 401 else None, n * 60_000_000, float(n % 97)) for n in range(3000)]
