@@ -2,6 +2,7 @@
 
 import os
 from decimal import ROUND_HALF_UP, Decimal
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +71,26 @@ def test_a_mean_at_the_guard_counts(spark, lines):
     assert {r["k"]: r["best"] for r in QUERIES["running_best_guarded"](spark, lines).collect() if r["k"] in (2, 3, 4)} == {2: 0.0, 3: -0.055, 4: -0.05}
 
 
+def test_stops_and_bests_are_those_of_exact_means(spark, sf):
+    """By whole hundredths and fractions in plain Python; where a mean is the limit itself the SQL goes by the order of its sums."""
+    folder = os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.1")
+    cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("long"))
+    sums = spark.read.parquet(f"{folder}/lineitem.parquet").groupBy("l_suppkey", "l_linenumber").agg(cents("l_discount").alias("d"), cents("l_tax").alias("t"), F.count("*").alias("n")).collect()
+    stops, bests, held, limits = {}, {}, {}, 0
+    for k, step, d, t, n in sorted(sums):
+        err, weak = Fraction(d, 100 * n), Fraction(t, 100 * n)
+        limits += err == Fraction("0.055") or weak in (Fraction("0.036"), Fraction("0.042"))
+        if err > Fraction("0.055") or weak < Fraction("0.036"):
+            stops.setdefault(k, (step, "collapse" if err > Fraction("0.055") else "passthrough"))
+        h = -int(err * 10**8 + Fraction(1, 2)) if weak <= Fraction("0.042") else None
+        bests[k, step] = h is not None and (k not in held or h > held[k])
+        if bests[k, step]:
+            held[k] = h
+    assert limits > 0
+    assert {r["k"]: (r["step"], r["reason"]) for r in QUERIES["first_stop_condition"](spark, folder).collect()} == stops
+    assert {(r["k"], r["step"]): r["improved"] for r in QUERIES["running_best_guarded"](spark, folder).collect()} == bests
+
+
 def test_days_of_equal_load_lie_in_both_quartiles(spark, tmp_path):
     """Loads of 0.1, 0.2 and 0.3 in two orders are equal, so every day is at the quartiles."""
     orders = [(0.1, 0.2, 0.3), (0.3, 0.2, 0.1), (0.2, 0.3, 0.1), (0.1, 0.1, 0.4)]
